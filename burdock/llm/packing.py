@@ -42,7 +42,7 @@ class Encoder:
     stays inside a chunk, where the tokenizer itself deals with it. Holds at most ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -128,6 +128,13 @@ class Packer:
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """This Python worker's encoder; its cache of words outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     common.tune(spark)
@@ -141,9 +148,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity
         return pa.RecordBatch.from_arrays([pa.array(cols[0], arrow), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[id_col, *_COLUMNS])
 
     def run(batches):
-        if file not in _encoders:
-            _encoders[file] = Encoder(file)
-        encode, end, arrow = _encoders[file], np.array([END], np.uint32), None
+        encode, end, arrow = encoder(file), np.array([END], np.uint32), None
         packer = Packer(capacity, TaskContext.get().partitionId() << 32)
         for b in batches:
             arrow = b.schema.field(0).type
