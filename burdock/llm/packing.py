@@ -3,8 +3,8 @@
 A document is cut into whole sequences of C ids and a rest r < C. The rest belongs to class k = floor(C / r) (at most
 ``CLASSES``), whose bins take k documents each: k rests of class k always fit. Each worker fills the bins of its own
 partition, one open bin a class, without a shuffle or a word with other workers. Since documents may be cut, the slack
-of a full bin is topped up from a reserve (rests of class 1), and what is still open when the partition ends is laid
-end to end. The last, short sequence is cut at powers of two, lengths that need no padding.
+of a full bin is topped up from a reserve (rests of class 1); a bin that finds the reserve spent waits for more, and
+what has waited too long, or is still open when the partition ends, is laid end to end. The last, short sequence is cut at powers of two, lengths that need no padding.
 
 Null text is the empty text, which has one id (the end id). Repeated rows are packed one by one. Sequence ids are
 partition number x 2^32 + a counter: distinct, and the same when a lost task runs again.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 CLASSES = 64
+WAIT = 64
 END = 2
 _COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -68,6 +69,7 @@ class Packer:
         self.capacity, self.sequence = capacity, first_id
         self.open: dict[int, list] = {}
         self.reserve: list = []
+        self.waiting: list[list] = []
         self.out: list[tuple] = []
 
     def place(self, pieces: list) -> None:
@@ -77,7 +79,8 @@ class Packer:
             at += len(ids)
         self.sequence += 1
 
-    def top_up(self, pieces: list) -> list:
+    def settle(self, pieces: list) -> None:
+        """Place a bin that the reserve can top up; let it wait where the reserve is spent."""
         room = self.capacity - sum(len(p[3]) for p in pieces)
         while room and self.reserve:
             doc, total, start, ids = self.reserve.pop()
@@ -85,20 +88,27 @@ class Packer:
             if len(ids) > room:
                 self.add_rest((doc, total, start + room, ids[room:]))
             room -= min(room, len(ids))
-        return pieces
+        if not room:
+            self.place(pieces)
+            return
+        self.waiting.append(pieces)
+        if len(self.waiting) > WAIT:
+            held, self.waiting = [p for b in self.waiting for p in b], []
+            if left := self.lay(held):
+                self.waiting.append(left)
 
     def add_rest(self, piece: tuple) -> None:
         k = min(self.capacity // len(piece[3]), CLASSES)
         if k == 1:
             self.reserve.append(piece)
-            if len(self.reserve) > 64:
-                self.place(self.top_up([self.reserve.pop(0)]))
+            if self.waiting or len(self.reserve) > WAIT:
+                self.settle(self.waiting.pop() if self.waiting else [self.reserve.pop(0)])
             return
         held = self.open.setdefault(k, [])
         held.append(piece)
         if len(held) == k:
             del self.open[k]
-            self.place(self.top_up(held))
+            self.settle(held)
 
     def add(self, doc: object, ids: np.ndarray) -> None:
         whole = len(ids) // self.capacity * self.capacity
@@ -107,22 +117,26 @@ class Packer:
         if whole < len(ids):
             self.add_rest((doc, len(ids), whole, ids[whole:]))
 
-    def close(self) -> None:
-        """Lay all open pieces end to end; cut the last sequence at powers of two."""
-        rest = [*self.reserve, *(p for k in sorted(self.open) for p in self.open[k])]
-        self.reserve, self.open = [], {}
+    def lay(self, rest: list, last: bool = False) -> list:
+        """Place pieces end to end in whole sequences; what is left over is returned or, at last, cut at powers of two."""
+        rest = rest[::-1]
         left = sum(len(p[3]) for p in rest)
-        while left:
+        while left >= (1 if last else self.capacity):
             size = self.capacity if left >= self.capacity else 1 << left.bit_length() - 1
             left -= size
-            bin_ = []
+            pieces = []
             while size:
-                doc, total, start, ids = rest.pop(0)
-                bin_.append((doc, total, start, ids[:size]))
+                doc, total, start, ids = rest.pop()
+                pieces.append((doc, total, start, ids[:size]))
                 if len(ids) > size:
-                    rest.insert(0, (doc, total, start + size, ids[size:]))
+                    rest.append((doc, total, start + size, ids[size:]))
                 size -= min(size, len(ids))
-            self.place(bin_)
+            self.place(pieces)
+        return rest[::-1]
+
+    def close(self) -> None:
+        self.lay([*(p for b in self.waiting for p in b), *self.reserve, *(p for k in sorted(self.open) for p in self.open[k])], last=True)
+        self.reserve, self.waiting, self.open = [], [], {}
 
 
 _encoders: dict[str, Encoder] = {}
@@ -138,7 +152,7 @@ def encoder(path: str) -> Encoder:
 def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     common.tune(spark)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     kind = rows.schema[0].dataType
     file = path or tokenizer_path("word_bpe_49k.json")
 

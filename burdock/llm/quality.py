@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -143,20 +144,19 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     )
 
 
-def score(spark: SparkSession, docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """``id_col``, columns ``keep`` and score (0 to 1) of each row; whole texts, one pass, no shuffle."""
+def score(spark: SparkSession, docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), score_col: str = "score") -> DataFrame:
+    """``id_col``, columns ``keep`` and ``score_col`` (0 to 1) of each row; whole texts, one pass, no shuffle."""
     common.tune(spark)
     shared = spark.sparkContext.broadcast(model)
     cols = [id_col, *keep]
-    rows = docs.select(*cols, F.col(text_col).alias("_text"))
+    rows = docs.select(*cols, F.col(text_col).alias("__text"))
 
     def run(batches):
         for b in batches:
-            s = 1 / (1 + np.exp(-np.clip(raw_score(shared.value, *features(b.column("_text").to_pylist())), -30, 30))) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(s.astype(np.float64))], names=[*cols, "score"])
+            s = 1 / (1 + np.exp(-np.clip(raw_score(shared.value, *features(b.column(len(cols)).to_pylist())), -30, 30))) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s.astype(np.float64))], names=[*cols, score_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(score_col, T.DoubleType())]))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,4 +169,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored under 0.3 go; the rest pass unchanged."""
     model = train(spark, common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     cols = docs.columns
-    return score(spark, docs, model, keep=[c for c in cols if c != "doc_id"]).where("score >= 0.3").select(*cols)
+    return score(spark, docs, model, keep=[c for c in cols if c != "doc_id"], score_col="__score").where("__score >= 0.3").select(*cols)

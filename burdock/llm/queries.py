@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, quality
+from . import chat, decontam, packing, quality, secrets
 
 QUERIES = {
     "op3_quality_fm": quality.op3,
     "op4_harmonic_packing": packing.op4,
+    "op5_chat_format": chat.op5,
+    "op8_secret_scan": secrets.op8,
+    "op9_decontamination": decontam.op9,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_chat_format": chat.ORACLE}
