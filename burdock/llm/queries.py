@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, packing, quality, secrets
+from . import ann, chat, decontam, langid, license, packing, quality, secrets, tokens
 
 QUERIES = {
+    "op1_license_scan": license.op1,
+    "op2_section_tokens": tokens.op2,
     "op3_quality_fm": quality.op3,
     "op4_harmonic_packing": packing.op4,
     "op5_chat_format": chat.op5,
+    "op7_language_spans": langid.op7,
     "op8_secret_scan": secrets.op8,
     "op9_decontamination": decontam.op9,
+    "op10_block_neighbours": ann.op10,
 }
 ORACLES: dict[str, str] = {"op5_chat_format": chat.ORACLE}
