@@ -13,7 +13,9 @@ partition number x 2^32 + a counter: distinct, and the same when a lost task run
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from . import common
 CLASSES = 64
 WAIT = 64
 END = 2
+#: Latin-1 letters, then ASCII signs other than the apostrophe.
+_PIECES = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 _COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -35,31 +39,51 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of whole texts, with a cache of words.
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    odd = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(odd)}
+
+
+class Encoder(dict):
+    """Ids of whole texts; the dictionary holds the ids (bytes of unsigned 32-bit numbers) of words seen before.
 
     The tokenizer cuts at white space before it merges, so a text's ids are those of its space-separated chunks in
     order. Chunks are cut at the space and the newline only (white space under any definition); other white space
-    stays inside a chunk, where the tokenizer itself deals with it. Holds at most ``most`` words.
+    stays inside a chunk, where the tokenizer itself deals with it. Of a chunk made of Latin-1 letters, perhaps with
+    ASCII signs behind, the lower-cased letters are one piece and the signs another, so the merges alone are asked
+    for; any other chunk goes through the whole tokenizer. Holds about ``most`` words.
     """
 
     def __init__(self, path: str, most: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
+        super().__init__({"": b""})
+        self.tok, self.most = Tokenizer.from_file(path), most
+        self.merge, self.letters = self.tok.model.tokenize, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if m := _PIECES.fullmatch(word):
+            low = m[1].lower()
+            if m[2]:
+                ids = self[low] + self[m[2]]
+            elif low != word:
+                ids = self[low]
+            else:
+                text = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.merge(text)]).tobytes()
+        else:
+            ids = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").replace("\n", " ").split(" ")
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known = self.known = {"": b""}
-                new = [w for w in set(words) if w]
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
+        if len(self) > self.most:
+            self.clear()
+            self[""] = b""
+        return np.frombuffer(b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" "))), np.uint32)
 
 
 class Packer:
