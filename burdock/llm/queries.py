@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, langid, license, packing, quality, secrets, tokens
+from . import ann, chat, decontam, langid, license, ngram_join, packing, quality, secrets, tokens
 
 QUERIES = {
     "op1_license_scan": license.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_fm": quality.op3,
     "op4_harmonic_packing": packing.op4,
     "op5_chat_format": chat.op5,
+    "op6_ngram_jaccard": ngram_join.op6,
     "op7_language_spans": langid.op7,
     "op8_secret_scan": secrets.op8,
     "op9_decontamination": decontam.op9,
