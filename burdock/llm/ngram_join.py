@@ -10,10 +10,12 @@ n - need(n) + 1 tokens. The join intersects that filter for three orders:
    (``profile``), before any pair is thought of.
 2. and 3. by two hashes: of the pairs that pass order 1, those without a common prefix token here go unverified.
 
-Equal sets are one node, however many copies there are. Pairs are not listed within a group: each node is first
-verified against the one leader (the smallest node of a list and size class) it shares most prefix tokens with, the
-verified links are contracted to components, and only pairs *between* components are listed after that. The
-components are those of the full link graph: every pair left out lies in one component already.
+Equal sets are one node, however many copies there are. Pairs are not listed within a group: in
+rounds, each node is verified against one leader (a node drawn from a list and size class), the one it shares most
+prefix tokens with, and the verified links are contracted to components. Nodes whose lists hold several components are
+then ordered anew, tokens that one component alone has first, which dismisses most of them. When few pairs are left,
+or after STARS rounds, all pairs *between* components are listed and verified. The components are those of the full
+link graph: every pair left out lies in one component already.
 
 Rows: a null id stays null and a component of null ids only has a null id; repeated rows and equal ids are fine; null
 and empty texts have empty sets; extra columns are ignored. Tokens are 64-bit hashes of shingles, sets are told apart
@@ -37,6 +39,11 @@ FLUSH_DOCS = 32_767
 _MULTI = 0x8000
 #: Rows of a table that may be broadcast (16 to 40 bytes each).
 SMALL = 1_000_000
+#: Rounds of verification against leaders, at most; none follows where so few pairs a node are left, or one node in
+#: so many found a link.
+STARS = 6
+FEW = 6
+RARE = 50
 
 
 def need(n: Column, num: int, den: int) -> Column:
@@ -188,6 +195,31 @@ def token_sets(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col:
     return found.join(nodes.select("fp", "rep"), "fp").where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("rep").alias("rep"), F.first("tokens").alias("tokens"))
 
 
+def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """token, nid, n, root, own, at: the prefix of each set under the order (tokens of one root, then by number of sets).
+
+    Tokens of one root have no partner in another, so they are counted, not listed. ``at`` is the place in the order;
+    two sets whose first common token stands at a and b share at most min(n - a, n - b) tokens.
+    """
+    held = sets.select("nid", "n", "root", F.explode("tokens").alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token", "df")
+    listed = held.join(counts, "token").groupBy("nid", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    listed = listed.withColumn("own", F.col("n") - F.size("t")).withColumn("room", F.col("n") - need(F.col("n"), num, den) + 1 - F.col("own")).where("room > 0")
+    return listed.select("nid", "n", "root", "own", F.posexplode(F.slice("t", F.lit(1), F.col("room"))).alias("k", "t")).select(F.col("t.token").alias("token"), "nid", "n", "root", "own", (F.col("own") + F.col("k")).alias("at"))
+
+
+def star(post: DataFrame, step: int, num: int, den: int) -> DataFrame:
+    """(a, b): for each node of ``post`` the leader of another root it shares most listed tokens with. A list's leaders
+    are one node a size class: by turns the one with fewest tokens of its own, and one drawn by a hash."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
+    lists = post.select("token", "nid", "root", "own", band.alias("band"))
+    typical = F.col("own") if step % 2 else F.lit(0)  # an original has fewer tokens of its own than its edited copies
+    lead = lists.groupBy("token", "band").agg(F.min(F.struct(typical, F.xxhash64("nid", F.lit(step)), "nid", "root")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("token", "band", F.col("lead.nid").alias("lead"), F.col("lead.root").alias("lead_root"))
+    votes = lists.join(lead, ["token", "band"]).where("lead_root <> root").groupBy("nid", "lead").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("nid").agg(F.min_by("lead", F.struct(-F.col("votes"), F.xxhash64("lead", F.lit(step)), F.col("lead"))).alias("lead"))
+    return best.select(F.greatest("nid", "lead").alias("a"), F.least("nid", "lead").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes that link, by their whole sets; pairs without common prefix tokens under the two hash
     orders are dismissed first."""
@@ -238,29 +270,28 @@ def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: int =
     ws.drop("found")
 
     # order 1: rare tokens first; tokens of one set only come before all and are counted, not listed
-    held = sets.select("nid", "n", F.explode("tokens").alias("token"))
-    counts = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    listed = held.join(counts, "token").groupBy("nid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    room = F.col("n") - need(F.col("n"), num, den) + 1 - (F.col("n") - F.size("t"))
-    post = ws.save(listed.withColumn("room", room).where("room > 0").select("nid", "n", F.explode(F.slice("t", F.lit(1), F.col("room"))).alias("t")).select(F.col("t.token").alias("token"), "nid", "n"), "prefixes")
-
-    # each node against the leader it shares most prefix tokens with
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).alias("band")
-    lists = post.withColumn("band", band)
-    lead = lists.groupBy("token", "band").agg(F.min("nid").alias("lead"), F.count("*").alias("k")).where("k > 1")
-    votes = lists.join(lead, ["token", "band"]).where("lead < nid").groupBy("nid", "lead").agg(F.count("*").alias("votes"))
-    star = votes.groupBy("nid").agg(F.min_by("lead", F.struct(-F.col("votes"), F.col("lead"))).alias("b")).select(F.col("nid").alias("a"), "b")
-    links = ws.save(verified(star, sets, num, den), "links")
-    roots = ws.save(components(ws, links, "star"), "star-roots")
-
-    # pairs between components, from the lists that still hold several
-    rooted = post.join(common.bounded(roots.withColumnRenamed("node", "nid"), SMALL), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    rooted = rooted.join(mixed, "token")
-    one, two = rooted.select("token", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), rooted.select("token", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)).select("a", "b").distinct()
+    post = ws.save(prefixes(sets.withColumn("root", F.col("nid")), num, den), "prefixes-0")
+    roots = None
+    for step in range(1, STARS + 1):
+        # each node against the leader, of another component, that it shares most prefix tokens with
+        links = ws.save(verified(star(post, step, num, den), sets, num, den), f"links-{step}")
+        roots = ws.save(components(ws, links if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), f"star-{step}"), f"roots-{step}")
+        # the nodes of lists that hold several components are ordered anew, tokens of one component first
+        rooted = post.drop("root").join(common.bounded(roots.withColumnRenamed("node", "nid"), SMALL), "nid", "left").select("token", "nid", F.coalesce("root", "nid").alias("root"))
+        mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+        open_ = ws.save(rooted.join(mixed, "token").select("nid", "root").distinct(), f"open-{step}")
+        post = ws.save(prefixes(sets.join(common.bounded(open_, SMALL), "nid"), num, den), f"prefixes-{step}")
+        n = post.groupBy("token").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0))).first()[0]
+        if n <= FEW * open_.count() or RARE * links.count() <= open_.count():
+            break
+
+    # all pairs between components that are left
+    side = lambda x: post.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("nid", "n", "root", "at")))
+    both = F.ceil(num * (F.col("a_n") + F.col("b_n")) / F.lit(num + den))  # tokens that sets of these sizes must share
+    fits = (F.col("a_nid") < F.col("b_nid")) & (F.col("a_root") != F.col("b_root")) & (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= both)
+    pairs = side("a").join(side("b"), "token").where(fits).select(F.col("a_nid").alias("a"), F.col("b_nid").alias("b")).distinct()
     more = verified(pairs, sets, num, den)
-    roots = ws.save(components(ws, ws.save(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "edges"), "all"), "roots")
+    roots = ws.save(components(ws, ws.save(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "edges"), "all"), "roots")
 
     named = sets.select("nid", "fp", "rep").join(roots, F.col("nid") == F.col("node")).select("fp", "root", "rep")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
