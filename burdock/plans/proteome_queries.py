@@ -1 +1,76 @@
-"""Queries of this family."""
+"""Proteome construction and caller consensus over stand-ins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import proteome
+from .registry import query
+from .standins import SQL, expression, read, transcripts
+
+
+@query("clean_ids", SQL + "SELECT tx AS id FROM tx WHERE len >= 10 AND tx IN (SELECT tx FROM expr WHERE tpm > 2000)")
+def clean_ids(spark, sf):
+    on = expression(spark, sf).where("tpm > 2000").select("tx").distinct()
+    return transcripts(spark, sf).where("len >= 10").join(on, "tx", "left_semi").select(F.col("tx").alias("id"))
+
+
+@query("interval_join", "WITH p AS (SELECT user_id AS k, event_id, event_id % 5000 AS pos FROM events), s AS (SELECT o_custkey AS k, o_orderkey, o_orderkey % 5000 AS a, o_orderkey % 5000 + o_orderkey % 700 AS b FROM orders) SELECT o_orderkey, count(*) AS n, min(event_id) AS first_event FROM p JOIN s USING (k) WHERE pos BETWEEN a AND b GROUP BY 1")
+def interval_join(spark, sf):
+    points = read(spark, sf, "events").select(F.col("user_id").alias("k"), "event_id", (F.col("event_id") % 5000).cast("int").alias("pos"))
+    at = (F.col("o_orderkey") % 5000).cast("int")
+    spans = read(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", at.alias("a"), (at + F.col("o_orderkey") % 700).cast("int").alias("b"))
+    return proteome.range_join(points, spans, "k", "pos", "a", "b", 512).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("combine_dedup_union", "WITH u AS (SELECT 0 AS file_ord, o_orderkey AS ord, o_orderpriority AS id, o_orderstatus AS sequence FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 1, o_orderkey, o_orderpriority, o_orderstatus FROM orders) SELECT id, sequence, file_ord, ord FROM (SELECT *, row_number() OVER (PARTITION BY id, sequence ORDER BY file_ord, ord) AS n FROM u) WHERE n = 1")
+def combine_union(spark, sf):
+    rows = read(spark, sf, "orders").select(F.col("o_orderpriority").alias("id"), F.col("o_orderstatus").alias("sequence"), F.col("o_orderkey").alias("ord"))
+    return proteome.union_distinct(rows.where("sequence <> 'P'"), rows)
+
+
+@query("nonsense_pivot", "WITH h AS (SELECT p_partkey AS k, p_size AS a, p_size + p_partkey % 40 - 20 AS b FROM part) SELECT k::VARCHAR AS TRANSCRIPT_ID, a AS LEN_H1, greatest(b, 1) AS LEN_H2, '-' || abs(a - greatest(b, 1)) AS LOSS, CASE WHEN a > greatest(b, 1) THEN 'H2_TRUNCATED' ELSE 'H1_TRUNCATED' END AS STATUS FROM h WHERE abs(a - greatest(b, 1)) > 10 AND abs(a - greatest(b, 1))::DOUBLE / greatest(a, b, 1) > 0.05")
+def nonsense_pivot(spark, sf):
+    part = read(spark, sf, "part")
+    rec = lambda h, n: part.select(F.concat(F.lit(f"{h}_"), F.col("p_partkey").cast("string")).alias("id"), F.repeat(F.lit("A"), n.cast("int")).alias("sequence"), F.col("p_partkey").alias("ord"))
+    second = F.greatest(F.col("p_size") + F.col("p_partkey") % 40 - 20, F.lit(1))
+    return proteome.truncations(rec("H1", F.col("p_size")).unionByName(rec("H2", second)))
+
+
+_CALLS = "WITH calls AS (SELECT l_suppkey % 9 AS sample, l_returnflag AS caller, ['A', 'B', 'C'][l_linenumber % 3 + 1] AS locus, 'HLA-' || ['A', 'B', 'C'][l_linenumber % 3 + 1] || '*0' || (l_partkey % 5) || ':01' AS allele, l_linenumber AS rank, l_linestatus AS source_file FROM lineitem WHERE l_orderkey % 50 = 0)"
+
+
+@query("hla_consensus", _CALLS + """, a AS (SELECT sample, locus, allele, count(DISTINCT caller) AS support_count, min(rank) AS r, string_agg(DISTINCT caller, ',' ORDER BY caller) AS support_callers, string_agg(DISTINCT source_file, ',' ORDER BY source_file) AS source_files FROM calls GROUP BY 1, 2, 3),
+t AS (SELECT *, row_number() OVER (PARTITION BY sample, locus ORDER BY support_count DESC, r, allele) AS n FROM a),
+s AS (SELECT *, max(support_count) OVER (PARTITION BY sample, locus) >= 2 AS backed FROM t WHERE n <= 2),
+c AS (SELECT sample, locus, count(DISTINCT caller) AS caller_count FROM calls GROUP BY 1, 2)
+SELECT sample, locus, allele, CASE WHEN support_count >= 2 THEN 'CONSENSUS' WHEN caller_count <= 1 THEN 'SINGLE_CALLER' WHEN backed THEN 'LOW_SUPPORT' ELSE 'CONFLICT' END AS consensus_status, support_count, support_callers, caller_count, source_files FROM s JOIN c USING (sample, locus)""")
+def hla_consensus(spark, sf):
+    locus = F.element_at(F.array(*map(F.lit, "ABC")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    calls = read(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 9).alias("sample"), F.col("l_returnflag").alias("caller"), locus.alias("locus"), F.concat(F.lit("HLA-"), locus, F.lit("*0"), (F.col("l_partkey") % 5).cast("string"), F.lit(":01")).alias("allele"), F.col("l_linenumber").alias("rank"), F.col("l_linestatus").alias("source_file"))
+    return proteome.hla_consensus(calls)
+
+
+@query("hla_ranks", _CALLS + " SELECT sample, caller, locus, allele, rank() OVER (PARTITION BY sample, caller, locus ORDER BY m, allele) AS rank FROM (SELECT sample, caller, locus, allele, min(rank) AS m FROM calls GROUP BY 1, 2, 3, 4)")
+def hla_ranks(spark, sf):
+    locus = F.element_at(F.array(*map(F.lit, "ABC")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    calls = read(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 9).alias("sample"), F.col("l_returnflag").alias("caller"), locus.alias("locus"), F.concat(F.lit("HLA-"), locus, F.lit("*0"), (F.col("l_partkey") % 5).cast("string"), F.lit(":01")).alias("allele"), F.col("l_linenumber").alias("ord"))
+    return proteome.hla_ranks(calls).select("sample", "caller", "locus", "allele", "rank")
+
+
+@query("reconcile", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' WHEN a.v = b.v THEN 'shared' ELSE 'mismatched' END AS state FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_nationkey END AS v FROM customer WHERE c_custkey % 4 <> 0) b ON a.k = b.k")
+def reconcile(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
+    return proteome.reconcile(c.where("k % 3 <> 0"), c.where("k % 4 <> 0").withColumn("v", F.when(F.col("k") % 7 == 0, -1).otherwise(F.col("v"))), "k", "v")
+
+
+@query("frameshift_predicate", "SELECT o_orderkey, (length(o_orderpriority) - length(o_orderstatus)) % 3 <> 0 AS shift FROM orders WHERE (length(o_orderpriority) - length(o_orderstatus)) % 3 <> 0")
+def frameshift_predicate(spark, sf):
+    rows = read(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("ref"), F.col("o_orderpriority").alias("alt"))
+    return proteome.frameshift_variants(rows).select("o_orderkey", F.lit(True).alias("shift"))
+
+
+@query("verification", "SELECT 'orders' AS check, 'OK' AS status, count(*) || ' rows, 0 empty' AS message FROM orders UNION ALL SELECT 'none', 'ATTENTION', '0 rows, 0 empty'")
+def verification(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return proteome.verify({"orders": o, "none": o.where("o_orderkey < 0")})

@@ -1 +1,166 @@
-"""Queries of this family."""
+"""Sequence scoring, scans and descriptors over the documents' texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import descriptors as d
+from ..functions import sequence as fs
+from ..operators import scoring
+from ..schema import ALPHA, AROMATIC, BETA, CHARGE, CODONS, COMPOSITION_GROUPS, CTD, GROUPS, HYDROPATHY, RESIDUES
+from .registry import query
+from .standins import SEQ, read, rounded, sequences
+
+_DIGITS = "translate(s, '{}', '{}')".format("".join(GROUPS), "".join(str(i) * len(g) for i, g in enumerate(GROUPS)))
+_CODE = " + ".join(f"CAST(substr(m, {k + 1}, 1) AS INT) * {6 ** (5 - k)}" for k in range(6))
+_SCORED = f"""g AS MATERIALIZED (SELECT doc_id, {_DIGITS} AS g FROM seq),
+best AS (SELECT doc_id, length(g) AS clean_length, CASE WHEN length(g) >= 6 THEN list_max(list_transform(range(1, length(g) - 4), lambda i: substr(g, CAST(i AS INT), 6))) END AS m FROM g),
+scored AS MATERIALIZED (SELECT doc_id, clean_length, ({_CODE}) / 46655.0::DOUBLE AS prob, CASE WHEN clean_length = 0 THEN 'empty_after_cleaning' WHEN clean_length < 6 THEN 'shorter_than_6' ELSE 'ok' END AS status FROM best)"""
+_S = SEQ.strip() + ",\n" + _SCORED
+
+
+def _n(letters: str) -> str:
+    return f"(length(s) - length(translate(s, '{letters}', '')))"
+
+
+def _share(letters: str) -> str:
+    return f"{_n(letters)}::DOUBLE / nullif(length(s), 0)"
+
+
+def scored(spark, sf):
+    return scoring.predict(spark, sequences(spark, sf), scoring.surrogate_table(), "doc_id", "text")
+
+
+@query("sixmer_score", _S + "SELECT doc_id, clean_length, round(prob, 8) AS prob, CASE WHEN prob > 0.5 THEN 'AMYLOID' WHEN prob IS NOT NULL THEN 'Non-Amyloid' END AS label, status FROM scored")
+def sixmer_score(spark, sf):
+    return rounded(scored(spark, sf), 8)
+
+
+@query("sixmer_score_distinct", _S + "SELECT doc_id, round(prob, 8) AS prob FROM scored")
+def sixmer_score_distinct(spark, sf):
+    return rounded(scoring.predict_distinct(spark, sequences(spark, sf), scoring.surrogate_table(), "doc_id", "text").select("doc_id", "prob"), 8)
+
+
+@query("sixmer_topk", _S + "SELECT doc_id, round(prob, 8) AS prob, row_number() OVER (ORDER BY prob DESC, doc_id) AS rank FROM (SELECT * FROM scored WHERE status = 'ok' ORDER BY prob DESC, doc_id DESC LIMIT 20)")
+def sixmer_topk(spark, sf):
+    return rounded(scoring.top_hits(scored(spark, sf), 20, "doc_id").select("doc_id", "prob", "rank"), 8)
+
+
+@query("scoring_report", _S + "SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS predicted, count(*) FILTER (status <> 'ok') AS skipped, count(*) FILTER (prob > 0.5) AS positive, round(avg(prob), 6) AS mean_prob, round(max(prob), 6) AS max_prob, (SELECT doc_id FROM scored WHERE status = 'ok' ORDER BY prob DESC, doc_id LIMIT 1) AS max_id FROM scored")
+def scoring_report(spark, sf):
+    return rounded(scoring.run_report(scored(spark, sf), "doc_id"))
+
+
+@query("sixmer_codes", SEQ.strip() + f", g AS MATERIALIZED (SELECT doc_id, {_DIGITS} AS g FROM seq) SELECT doc_id, sum(c)::BIGINT AS total, count(*) AS n, max(c) AS top FROM (SELECT doc_id, {_CODE} AS c FROM (SELECT doc_id, unnest(list_transform(range(1, length(g) - 4), lambda i: substr(g, CAST(i AS INT), 6))) AS m FROM g WHERE length(g) >= 6)) GROUP BY doc_id")
+def sixmer_codes(spark, sf):
+    codes = sequences(spark, sf).select("doc_id", F.explode(fs.sixmer_codes(fs.clean(F.col("text")))).alias("c"))
+    return codes.groupBy("doc_id").agg(F.sum("c").alias("total"), F.count("*").alias("n"), F.max("c").alias("top"))
+
+
+@query("sixmer_round_trip", "SELECT CAST(i AS INT) AS code, " + " || ".join(f"((i // {6 ** (5 - k)}) % 6)::VARCHAR" for k in range(6)) + " AS six FROM range(46656) t(i)")
+def sixmer_round_trip(spark, sf):
+    six = fs.sixmer_text(F.col("id"))
+    return spark.range(46656).select(fs.sixmer_code(six).alias("code"), six.alias("six"))
+
+
+@query("scan_rejects", "WITH t AS (SELECT item, regexp_replace(upper(replace(item, 'ß', 'ss')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS s FROM (SELECT unnest(string_split(text, ' ')) AS item FROM documents)) SELECT CASE WHEN s = '' THEN 'empty_after_cleaning' WHEN length(s) < 6 THEN 'shorter_than_6' ELSE 'ok' END AS status, count(*) AS n, sum(length(item))::BIGINT AS letters FROM t GROUP BY 1")
+def scan_rejects(spark, sf):
+    items = sequences(spark, sf).select(F.explode(F.split("text", " ")).alias("item"))
+    return items.groupBy(fs.scan_status(fs.clean(F.col("item"))).alias("status")).agg(F.count("*").alias("n"), F.sum(F.length("item")).alias("letters"))
+
+
+@query("dashed_scan", "SELECT item_id, length(d) AS n, length(d) - length(replace(d, '-', '')) AS dashes FROM (SELECT item_id, regexp_replace(upper(replace(text, 'ß', 'ss')), '[^ACDEFGHIKLMNPQRSTVWY-]', '-', 'g') AS d FROM benchmark) WHERE length(d) >= 30")
+def dashed_scan(spark, sf):
+    rows = read(spark, sf, "benchmark").withColumn("d", fs.dashed(F.col("text"))).where(F.length("d") >= 30)
+    return rows.select("item_id", F.length("d").alias("n"), (F.length("d") - F.length(F.replace("d", F.lit("-")))).alias("dashes"))
+
+
+_DNA = "translate(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC')"
+_CODONS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in CODONS.items()) + "}"
+
+
+@query("translate_dna", f"WITH d AS (SELECT item_id, {_DNA} AS dna FROM benchmark), p AS (SELECT item_id, dna, list_aggregate(list_transform(range(0, length(dna) // 3), lambda i: {_CODONS}[substr(dna, CAST(3 * i + 1 AS INT), 3)]), 'string_agg', '') AS aa FROM d) SELECT item_id, split_part(aa, '*', 1) AS protein, reverse(translate(dna, 'ACGTN', 'TGCAN')) AS back FROM p")
+def translate_dna(spark, sf):
+    letters = F.regexp_replace(F.upper("text"), "[^A-Z]", "")
+    dna = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
+    return read(spark, sf, "benchmark").withColumn("dna", dna).select("item_id", fs.translate_dna(F.col("dna")).alias("protein"), fs.reverse_complement(F.col("dna")).alias("back"))
+
+
+@query("stop_cleaning", "SELECT doc_id, CASE WHEN length(l) - length(replace(l, '.', '')) <= 1 AND split_part(l, '.', 1) <> '' THEN split_part(l, '.', 1) END AS kept FROM (SELECT doc_id, split_part(text, ' ', 3) AS l FROM documents)")
+def stop_cleaning(spark, sf):
+    part = F.split_part(F.col("text"), F.lit(" "), F.lit(3))
+    return sequences(spark, sf).select("doc_id", fs.cut_stops(part).alias("kept"))
+
+
+@query("odd_letters", "SELECT item_id, list_aggregate(list_sort(list_distinct(regexp_extract_all(text, '[^ACDEFGHIKLMNPQRSTVWY]'))), 'string_agg', '') AS odd FROM (SELECT item_id, regexp_replace(upper(text), '[^A-Z ]', '', 'g') AS text FROM benchmark)")
+def odd_letters(spark, sf):
+    return read(spark, sf, "benchmark").select("item_id", F.array_join(fs.odd_residues(F.regexp_replace(F.upper("text"), "[^A-Z ]", "")), "").alias("odd"))
+
+
+_KD = "(" + " + ".join(f"({v}) * {_n(k)}" for k, v in sorted(HYDROPATHY.items())) + ")::DOUBLE / nullif(length(s), 0)"
+_KD2 = "(" + " + ".join(f"({v * v}) * {_n(k)}" for k, v in sorted(HYDROPATHY.items())) + ")::DOUBLE / nullif(length(s), 0)"
+_NET = "(" + " + ".join(f"({v}) * {_n(k)}" for k, v in sorted(CHARGE.items())) + ")::DOUBLE"
+_TOP = "greatest(" + ", ".join(f"CASE WHEN {_n(k)} > 0 THEN {v} END" for k, v in HYDROPATHY.items()) + ")::DOUBLE"
+
+
+@query("light_features", SEQ + f"SELECT doc_id, length(s) AS protein_length, round({_KD}, 6) AS KD_mean, round({_TOP}, 6) AS KD_max, round(sqrt(greatest({_KD2} - ({_KD}) * ({_KD}), 0)), 6) AS KD_sd, round({_NET}, 6) AS charge, round({_NET} / nullif(length(s), 0), 6) AS charge_density, round({_share(AROMATIC)}, 6) AS aromaticity, round({_share(ALPHA)}, 6) AS alpha_propensity, round({_share(BETA)}, 6) AS beta_propensity, round(abs({_KD}) + sqrt(greatest({_KD2} - ({_KD}) * ({_KD}), 0)), 6) AS chameleon_score FROM seq")
+def light_features(spark, sf):
+    s = sequences(spark, sf).select("doc_id", fs.clean(F.coalesce("text", F.lit(""))).alias("s"))
+    return rounded(s.select("doc_id", *(e.alias(k) for k, e in d.light(F.col("s")).items())))
+
+
+@query("aac", SEQ + "SELECT doc_id, " + ", ".join(f"round({_share(r)}, 8) AS f_{r}" for r in RESIDUES) + " FROM seq")
+def aac(spark, sf):
+    s = sequences(spark, sf).select("doc_id", d.aac(fs.clean(F.col("text"))).alias("a"))
+    return rounded(s.select("doc_id", *(F.col("a")[i].alias(f"f_{r}") for i, r in enumerate(RESIDUES))), 8)
+
+
+@query("gaac", SEQ + "SELECT doc_id, " + ", ".join(f"round({_share(g)}, 8) AS {k}" for k, g in COMPOSITION_GROUPS.items()) + " FROM seq")
+def gaac(spark, sf):
+    s = sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s"))
+    return rounded(s.select("doc_id", *(e.alias(k) for k, e in d.gaac(F.col("s")).items())), 8)
+
+
+@query("ctdc", SEQ + "SELECT doc_id, " + ", ".join(f"round({_share(a)}, 8) AS {p}_1, round({_share(b)}, 8) AS {p}_2, round(1 - {_share(a)} - {_share(b)}, 8) AS {p}_3" for p, (a, b, _) in CTD.items()) + " FROM seq")
+def ctdc(spark, sf):
+    s = sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s"))
+    return rounded(s.select("doc_id", *(e.alias(k) for k, e in d.ctdc(F.col("s")).items())), 8)
+
+
+def _pairs(expr: str) -> str:
+    return f"unnest(list_transform(range(1, length(s)), lambda i: substr({expr}, CAST(i AS INT), 2)))"
+
+
+@query("ctdt", SEQ.strip() + ",\n" + ",\n".join(f"{p} AS (SELECT doc_id, " + ", ".join(f"round(count(*) FILTER (w IN ('{x}{y}', '{y}{x}'))::DOUBLE / count(*), 8) AS {p}_{x}{y}" for x, y in (("1", "2"), ("1", "3"), ("2", "3"))) + " FROM (SELECT doc_id, " + _pairs("s") + " AS w FROM (SELECT doc_id, " + "translate(s, '{}', '{}')".format("".join(parts), "".join(str(i + 1) * len(g) for i, g in enumerate(parts))) + " AS s FROM seq) WHERE length(s) > 1) GROUP BY doc_id)" for p, parts in CTD.items()) + " SELECT * FROM hydrophobicity JOIN charge USING (doc_id)")
+def ctdt(spark, sf):
+    s = sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s")).where(F.length("s") > 1)
+    return rounded(s.select("doc_id", *(e.alias(k) for k, e in d.ctdt(F.col("s")).items())), 8)
+
+
+@query("dpc", SEQ + f"SELECT doc_id, w AS pair, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY doc_id), 8) AS share FROM (SELECT doc_id, {_pairs('s')} AS w FROM seq WHERE length(s) > 1) GROUP BY 1, 2")
+def dpc(spark, sf):
+    """Counted by pair and text; the map-valued form serves row-wise use."""
+    from pyspark.sql import Window
+
+    pairs = sequences(spark, sf).select("doc_id", F.explode(fs.windows(fs.clean(F.col("text")), 2)).alias("pair")).groupBy("doc_id", "pair").agg(F.count("*").alias("n"))
+    return rounded(pairs.select("doc_id", "pair", (F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))).alias("share")), 8)
+
+
+@query("dde", SEQ + "SELECT doc_id, " + ", ".join("round((n{0}::DOUBLE / m - {1}) / sqrt({1} * (1 - {1}) / m), 6) AS {0}".format(p, repr(sum(v == p[0] for v in CODONS.values()) / 61 * sum(v == p[1] for v in CODONS.values()) / 61)) for p in ("AA", "VI", "KE")) + f" FROM (SELECT doc_id, count(*) AS m, " + ", ".join(f"count(*) FILTER (w = '{p}') AS n{p}" for p in ("AA", "VI", "KE")) + f" FROM (SELECT doc_id, {_pairs('s')} AS w FROM seq WHERE length(s) > 1) GROUP BY doc_id)")
+def dde(spark, sf):
+    s = sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s")).where(F.length("s") > 1)
+    return rounded(s.select("doc_id", *(d.dde(F.col("s"), p).alias(p) for p in ("AA", "VI", "KE"))))
+
+
+_KDMAP = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in HYDROPATHY.items()) + "}"
+
+
+@query("sliding_window_mean", f"WITH seq AS (SELECT item_id, regexp_replace(upper(replace(text, 'ß', 'ss')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS s FROM benchmark), r AS (SELECT item_id, i, {_KDMAP}[substr(s, CAST(i AS INT), 1)] AS v FROM (SELECT item_id, s, unnest(range(1, length(s) + 1)) AS i FROM seq)), w AS (SELECT item_id, avg(v) OVER f AS m, count(*) OVER f AS n FROM r WINDOW f AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) SELECT item_id, count(*) AS n_windows, round(max(m), 6) AS top, round(avg(m), 6) AS mean FROM w WHERE n = 7 GROUP BY item_id")
+def sliding_window_mean(spark, sf):
+    rows = read(spark, sf, "benchmark").select("item_id", F.explode(d.sliding_means(d.scale_values(fs.clean(F.col("text")), HYDROPATHY))).alias("m"))
+    return rounded(rows.groupBy("item_id").agg(F.count("*").alias("n_windows"), F.max("m").alias("top"), F.avg("m").alias("mean")))
+
+
+@query("json_extract_props", "SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def json_extract_props(spark, sf):
+    return read(spark, sf, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))

@@ -1 +1,123 @@
-"""Queries of this family."""
+"""Two-group statistics, corrections, permutations, enrichment and regression over the stand-in cohort."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import cohort, stats
+from .registry import query
+from .standins import SQL, expression, proteins, rounded, samples, transcripts
+
+#: Long metric table: per sample mean and maximum of p1 and kd.
+_LONG = SQL.strip() + """,
+m AS (SELECT sample, avg(p1) AS p1_mean, max(kd) AS kd_max FROM prot GROUP BY 1),
+long AS (SELECT sample, grp, subject, 'p1_mean' AS metric, p1_mean AS value FROM m JOIN samples USING (sample) UNION ALL SELECT sample, grp, subject, 'kd_max', kd_max FROM m JOIN samples USING (sample)),
+r AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2 AS rk FROM long),
+g AS (SELECT metric, count(*) FILTER (grp = 'AC') AS n_a, count(*) FILTER (grp = 'TOL') AS n_b, avg(value) FILTER (grp = 'AC') AS mean_a, avg(value) FILTER (grp = 'TOL') AS mean_b, median(value) FILTER (grp = 'AC') AS median_a, median(value) FILTER (grp = 'TOL') AS median_b, var_samp(value) FILTER (grp = 'AC') AS var_a, var_samp(value) FILTER (grp = 'TOL') AS var_b, sum(rk) FILTER (grp = 'TOL') AS rb FROM r GROUP BY 1)
+"""
+
+
+def long(spark, sf):
+    m = proteins(spark, sf).groupBy("sample").agg(F.avg("p1").alias("p1_mean"), F.max("kd").alias("kd_max"))
+    return m.join(F.broadcast(samples(spark, sf)), "sample").unpivot(["sample", "grp", "subject"], ["p1_mean", "kd_max"], "metric", "value")
+
+
+@query("two_group_stats", _LONG + "SELECT metric, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(median_a, 6) AS median_a, round(median_b, 6) AS median_b, round(mean_b - mean_a, 6) AS delta_mean, rb - n_b * (n_b + 1) / 2 AS U FROM g")
+def two_group(spark, sf):
+    out = stats.two_group(long(spark, sf), "AC", "TOL", ["metric"])
+    return rounded(out.select("metric", "n_a", "n_b", "mean_a", "mean_b", "median_a", "median_b", "delta_mean", "U"))
+
+
+@query("cliffs_delta", _LONG + "SELECT a.metric, round(avg(sign(b.value - a.value)), 8) AS cliffs_delta FROM long a JOIN long b ON a.metric = b.metric AND a.grp = 'AC' AND b.grp = 'TOL' GROUP BY 1")
+def cliffs(spark, sf):
+    return rounded(stats.two_group(long(spark, sf), "AC", "TOL", ["metric"]).select("metric", "cliffs_delta"), 8)
+
+
+@query("welch_stat", _LONG + "SELECT metric, round((mean_b - mean_a) / sqrt(var_a / n_a + var_b / n_b), 6) AS welch_t, round((var_a / n_a + var_b / n_b) ** 2 / ((var_a / n_a) ** 2 / (n_a - 1) + (var_b / n_b) ** 2 / (n_b - 1)), 6) AS welch_df, round((mean_b - mean_a) / sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2)), 6) AS cohens_d, round((mean_b - mean_a) / sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2)) * (1 - 3.0::DOUBLE / (4 * (n_a + n_b - 2) - 1)), 6) AS hedges_g FROM g")
+def welch(spark, sf):
+    return rounded(stats.two_group(long(spark, sf), "AC", "TOL", ["metric"]).select("metric", "welch_t", "welch_df", "cohens_d", "hedges_g"))
+
+
+@query("p_values")
+def p_values(spark, sf):
+    return stats.with_p_values(stats.two_group(long(spark, sf), "AC", "TOL", ["metric"]))
+
+
+@query("bh_fdr", SQL + "SELECT sample, tx, CASE WHEN p IS NULL THEN NULL ELSE round(least(1, min(p * m / rn) OVER (PARTITION BY sample, p IS NULL ORDER BY p DESC, tx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) END AS fdr FROM (SELECT sample, tx, p, count(*) OVER (PARTITION BY sample, p IS NULL) AS m, row_number() OVER (PARTITION BY sample, p IS NULL ORDER BY p, tx) AS rn FROM (SELECT sample, tx, CASE WHEN counts > 45 THEN NULL ELSE 1 / (1 + counts) END AS p FROM cnt))")
+def bh(spark, sf):
+    rows = expression(spark, sf).select("sample", "tx", F.when(F.col("counts") <= 45, 1 / (1 + F.col("counts"))).alias("p"))
+    return rounded(stats.with_fdr(rows, "p", ["sample"], "tx").select("sample", "tx", "fdr"), 8)
+
+
+_PERM = _LONG.strip() + """,
+few AS (SELECT metric, list(value ORDER BY sample) AS v, list(CASE WHEN grp = 'TOL' THEN 1 ELSE 0 END ORDER BY sample) AS b, count(*) AS n, count(*) FILTER (grp = 'TOL') AS k FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY sample) AS i FROM long) WHERE i <= 12 GROUP BY 1),
+d AS (SELECT metric, n, k, v, b, mask FROM few, range(4096) t(mask) WHERE bit_count(mask) = k AND mask < 2 ** n),
+s AS (SELECT metric, n, k, list_sum(list_transform(range(0, n), lambda i: CASE WHEN (mask >> CAST(i AS INT)) & 1 = 1 THEN v[i + 1] ELSE 0 END)) AS p, list_sum(v) AS total, list_sum(list_transform(range(0, n), lambda i: v[i + 1] * b[i + 1])) AS o FROM d),
+e AS (SELECT metric, p / k - (total - p) / (n - k) AS d, o / k - (total - o) / (n - k) AS obs FROM s)
+"""
+
+
+@query("exact_permutation", _PERM + "SELECT metric, count(*) AS n_permutations, round((count(*) FILTER (d >= obs - 1e-9) + 1)::DOUBLE / (count(*) + 1), 8) AS p_greater, round((count(*) FILTER (abs(d) >= abs(obs) - 1e-9) + 1)::DOUBLE / (count(*) + 1), 8) AS p_two_sided FROM e GROUP BY 1")
+def exact_permutation(spark, sf):
+    from pyspark.sql import Window
+
+    few = long(spark, sf).withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy("sample"))).where("i <= 12")
+    return rounded(stats.exact_permutation(spark, few, "AC", "TOL", ["metric"], tolerance=1e-9).drop("delta"), 8)
+
+
+@query("logcpm_de", SQL + "SELECT tx, round(avg(logcpm) FILTER (grp = 'TOL') - avg(logcpm) FILTER (grp = 'AC'), 6) AS log2fc, count(*) AS n FROM (SELECT tx, grp, log2(counts * 1e6 / sum(counts) OVER (PARTITION BY sample) + 1) AS logcpm, counts FROM cnt JOIN samples USING (sample)) GROUP BY 1 HAVING count(*) FILTER (counts >= 10) >= 3")
+def logcpm(spark, sf):
+    rows = stats.log_cpm(expression(spark, sf)).join(F.broadcast(samples(spark, sf)), "sample")
+    mean = lambda g: F.avg(F.when(F.col("grp") == g, F.col("logcpm")))
+    return rounded(rows.groupBy("tx").agg((mean("TOL") - mean("AC")).alias("log2fc"), F.count("*").alias("n"), F.count_if(F.col("counts") >= 10).alias("k")).where("k >= 3").drop("k"))
+
+
+@query("gsea_running_sum", SQL + "SELECT sample, round(CASE WHEN abs(max(run)) >= abs(min(run)) THEN max(run) ELSE min(run) END, 6) AS es, count(*) FILTER (hit) AS n_hits, count(*) AS n FROM (SELECT sample, hit, sum(CASE WHEN hit THEN counts / nullif(power, 0) ELSE -1.0::DOUBLE / misses END) OVER (PARTITION BY sample ORDER BY counts DESC, tx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT sample, tx, counts, tx % 7 = 0 AS hit, sum(counts) FILTER (tx % 7 = 0) OVER (PARTITION BY sample) AS power, count(*) FILTER (tx % 7 <> 0) OVER (PARTITION BY sample) AS misses FROM cnt)) GROUP BY 1")
+def gsea(spark, sf):
+    return rounded(stats.running_enrichment(expression(spark, sf).withColumn("hit", F.col("tx") % 7 == 0), ["sample"], "counts", "hit", "tx"))
+
+
+@query("spearman", SQL + "SELECT sample, count(*) AS n, round(corr(p1, kd), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM (SELECT *, rank() OVER (PARTITION BY sample ORDER BY p1) + (count(*) OVER (PARTITION BY sample, p1) - 1) / 2 AS rx, rank() OVER (PARTITION BY sample ORDER BY kd) + (count(*) OVER (PARTITION BY sample, kd) - 1) / 2 AS ry FROM prot) GROUP BY 1")
+def spearman(spark, sf):
+    return rounded(stats.rank_correlation(proteins(spark, sf), "p1", "kd", ["sample"]).drop("t"))
+
+
+@query("ols_interaction")
+def ols_interaction(spark, sf):
+    rows = proteins(spark, sf).join(F.broadcast(samples(spark, sf).select("sample", (F.col("grp") == "TOL").cast("double").alias("tol"))), "sample")
+    return stats.ols(spark, rows.withColumn("p1_tol", F.col("p1") * F.col("tol")), "kd", ["p1", "tol", "p1_tol"])
+
+
+@query("hc3_contrast", _LONG + "SELECT metric, round(max(mv) FILTER (grp = 'AC') - max(mv) FILTER (grp = 'TOL'), 6) AS contrast, round(sqrt(sum(vp * n / ((n - 1) * (n - 1)))), 6) AS se_hc3 FROM (SELECT metric, grp, count(*) AS n, avg(value) AS mv, var_pop(value) AS vp FROM long GROUP BY 1, 2) GROUP BY 1")
+def hc3(spark, sf):
+    return rounded(stats.hc3_contrast(long(spark, sf), "AC", "TOL", ["metric"]))
+
+
+@query("risk_votes", _LONG + "SELECT sample, grp, CAST(p1_mean > max(p1_mean) FILTER (grp = 'AC') OVER () AS INT) AS vote_p1_mean, CAST(kd_max > max(kd_max) FILTER (grp = 'AC') OVER () AS INT) AS vote_kd_max, CAST(p1_mean > max(p1_mean) FILTER (grp = 'AC') OVER () AS INT) + CAST(kd_max > max(kd_max) FILTER (grp = 'AC') OVER () AS INT) AS votes FROM m JOIN samples USING (sample)")
+def risk_votes(spark, sf):
+    m = proteins(spark, sf).groupBy("sample").agg(F.avg("p1").alias("p1_mean"), F.max("kd").alias("kd_max")).join(F.broadcast(samples(spark, sf)), "sample")
+    return stats.risk_votes(m, "AC", ["p1_mean", "kd_max"], []).drop("vote_fraction")
+
+
+@query("leave_one_out", _LONG + ", u AS (SELECT DISTINCT metric, subject FROM long) SELECT u.metric, u.subject, round(CASE WHEN count(*) FILTER (grp = 'AC') >= 2 AND count(*) FILTER (grp = 'TOL') >= 2 THEN avg(value) FILTER (grp = 'TOL') - avg(value) FILTER (grp = 'AC') END, 9) AS delta_without FROM u JOIN long l ON u.metric = l.metric AND u.subject <> l.subject GROUP BY 1, 2")
+def leave_one_out(spark, sf):
+    return rounded(stats.leave_one_out(long(spark, sf), "subject", "AC", "TOL", ["metric"]), 9)
+
+
+@query("directional_replication")
+def directional(spark, sf):
+    g = expression(spark, sf).join(F.broadcast(transcripts(spark, sf)), "tx").groupBy("sample", "gene").agg(F.sum("tpm").alias("value")).join(F.broadcast(samples(spark, sf)), "sample")
+    d = stats.two_group(g, "AC", "TOL", ["gene"]).withColumn("up", F.col("median_b") > F.col("median_a")).agg(F.count_if("up").alias("k"), F.count_if(F.col("median_b") != F.col("median_a")).alias("n"))
+    p, ci = stats.sign_test(spark, F.col("k"), F.col("n"))
+    return d.select("k", "n", p.alias("p"), ci.alias("ci")).select("k", "n", "p", "ci.low", "ci.high")
+
+
+@query("bootstrap_ci")
+def bootstrap(spark, sf):
+    return stats.resample(long(spark, sf), "AC", "TOL", ["metric"], n=2000)
+
+
+@query("within_bin_permutation")
+def within_bins(spark, sf):
+    rows = expression(spark, sf).join(F.broadcast(transcripts(spark, sf)), "tx").withColumns({"bin": cohort.quantile_bin("len", "sample", "tx"), "hot": F.col("tx") % 5 == 0})
+    return stats.permute_within(spark, rows, ["bin"], "hot", "tpm", "sample", 50)
