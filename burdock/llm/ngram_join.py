@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 FLUSH_DOCS = 32_767
 _MULTI = 0x8000
 #: Rows of a table that may be broadcast (16 to 40 bytes each).

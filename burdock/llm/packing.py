@@ -56,7 +56,7 @@ class Encoder(dict):
     for; any other chunk goes through the whole tokenizer. Holds about ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
