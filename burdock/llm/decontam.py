@@ -141,30 +141,32 @@ class Automaton:
         return np.flatnonzero(np.cumsum(cover[:-1]) > 0).astype(np.int32), found
 
 
-def _shards(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items, in lists of at most SHARD_CHARS characters (or one item), each read on its own."""
+def _shards(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[bool, list[tuple[str, list[bytes]]]]]:
+    """The items, in lists of about SHARD_CHARS characters at most, each read on its own; True with the last."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     chars = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     parts = max(1, -(-2 * chars // SHARD_CHARS))
     if parts == 1:
-        yield [(r.i, words(r.t)) for r in rows.collect()]
+        yield True, [(r.i, words(r.t)) for r in rows.collect()]
         return
     for k in range(parts):
-        yield [(r.i, words(r.t)) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect()]
+        yield k == parts - 1, [(r.i, words(r.t)) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect()]
 
 
-def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with __n_words, __hits (positions of hit words, int32) and __items (sorted ids)."""
+def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, finish=None) -> DataFrame:
+    """``docs`` with __n_words, __hits (positions of hit words, int32) and __items (sorted ids); or, if ``finish`` is
+    given, its rows made of each batch (columns of ``docs``, word counts, hits) in the same pass."""
     common.tune(spark)
-    base = [f.name for f in docs.schema]
+    base = docs.columns
     out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__hits": F.lit(b""), "__items": F.lit(None).cast("array<string>")})
     at, ws = base.index(text_col), common.Workspace(spark)
-    for k, items in enumerate(_shards(benchmark, item_col, item_text)):
+    for k, (last, items) in enumerate(_shards(benchmark, item_col, item_text)):
         held = spark.sparkContext.broadcast(Automaton(items, window))
         if k:
             out = ws.save(out, f"hits{k}")
+        done = finish if last else None
 
-        def run(batches, held=held):
+        def run(batches, held=held, done=done):
             a = held.value
             for b in batches:
                 counts, hits, items = [], [], []
@@ -172,12 +174,15 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: s
                     w = words(text)
                     where, found = a.matches(w)
                     counts.append(len(w))
-                    hits.append(np.union1d(np.frombuffer(old, np.int32), where).astype(np.int32).tobytes() if old else where.tobytes())
+                    hits.append(np.union1d(np.frombuffer(old, np.int32), where).astype(np.int32) if old else where)
                     items.append(sorted(found | set(had or ())))
+                if done:
+                    yield done(pa.RecordBatch.from_arrays(b.columns[: len(base)], names=base), counts, hits)
+                    continue
                 kinds = [b.schema.field(len(base) + j).type for j in range(3)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(base)], *(pa.array(x, t) for x, t in zip((counts, hits, items), kinds, strict=True))], names=b.schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(base)], *(pa.array(x, t) for x, t in zip((counts, [h.tobytes() for h in hits], items), kinds, strict=True))], names=b.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(run, docs.schema if done else out.schema)
     return out
 
 
@@ -211,25 +216,24 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col:
     """Contaminated documents go; in the others, spans that reach a window are cut out. Other rows stay as they are."""
     names = docs.columns
     at, counted = names.index(text_col), names.index(count_col) if count_col in names else None
-    kept = judged(scan(spark, docs, benchmark, text_col)).where("not __contaminated").select(*names, "__hits")
-
-    def run(batches):
-        for b in batches:
-            cols, hits = list(b.columns[:-1]), b.column(len(names)).to_pylist()
-            changed = [i for i, h in enumerate(hits) if h]
-            if changed:
-                texts = b.column(at).to_pylist()
+
+    def finish(b, counts, hits):
+        keep = [not (len(h) and SHARE * len(h) >= n) for n, h in zip(counts, hits, strict=True)]
+        changed = [i for i, h in enumerate(hits) if len(h) and keep[i]]
+        cols = list(b.columns)
+        if changed:
+            texts = b.column(at).to_pylist()
+            for i in changed:
+                texts[i] = without(texts[i], hits[i])
+            cols[at] = pa.array(texts, b.schema.field(at).type)
+            if counted is not None:
+                n = b.column(counted).to_pylist()
                 for i in changed:
-                    texts[i] = without(texts[i], np.frombuffer(hits[i], np.int32))
-                cols[at] = pa.array(texts, b.schema.field(at).type)
-                if counted is not None:
-                    n = b.column(counted).to_pylist()
-                    for i in changed:
-                        n[i] = len(texts[i])
-                    cols[counted] = pa.array(n, b.schema.field(counted).type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return kept.mapInArrow(run, docs.schema)
+                    n[i] = len(texts[i])
+                cols[counted] = pa.array(n, b.schema.field(counted).type)
+        return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return scan(spark, docs, benchmark, text_col, finish=finish)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
