@@ -56,7 +56,7 @@ class Encoder(dict):
     for; any other chunk goes through the whole tokenizer. Holds about ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -163,18 +163,18 @@ class Packer:
         self.reserve, self.waiting, self.open = [], [], {}
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int) -> Encoder:
     """This Python worker's encoder; its cache of words outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
 
 
-def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 300_000) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``cached_words`` trades a worker's memory for time only."""
     common.tune(spark)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     kind = rows.schema[0].dataType
@@ -186,7 +186,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity
         return pa.RecordBatch.from_arrays([pa.array(cols[0], arrow), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[id_col, *_COLUMNS])
 
     def run(batches):
-        encode, end, arrow = encoder(file), np.array([END], np.uint32), None
+        encode, end, arrow = encoder(file, cached_words), np.array([END], np.uint32), None
         packer = Packer(capacity, TaskContext.get().partitionId() << 32)
         for b in batches:
             arrow = b.schema.field(0).type
@@ -205,5 +205,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: pieces of packed sequences."""
-    return pack(spark, docs)
+    """Pipeline stage: pieces of packed sequences. A smaller cache, as other stages' workers share the executor."""
+    return pack(spark, docs, cached_words=150_000)
