@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import descriptors as d
+from ..functions import profiles
 from ..functions import sequence as fs
 from ..operators import scoring
-from ..schema import ALPHA, AROMATIC, BETA, CHARGE, CODONS, COMPOSITION_GROUPS, CTD, GROUPS, HYDROPATHY, RESIDUES
+from ..schema import ALPHA, AROMATIC, BETA, CHARGE, CODONS, COMPOSITION_GROUPS, CTD, GROUPS, HELIX, HYDROPATHY, PK_EMBOSS, PK_LEHNINGER, PSEUDO, PSEUDO_ORDER, RESIDUES, SHEET
 from .registry import query
 from .standins import SEQ, read, rounded, sequences
 
@@ -131,10 +132,10 @@ def _pairs(expr: str) -> str:
     return f"unnest(list_transform(range(1, length(s)), lambda i: substr({expr}, CAST(i AS INT), 2)))"
 
 
-@query("ctdt", SEQ.strip() + ",\n" + ",\n".join(f"{p} AS (SELECT doc_id, " + ", ".join(f"round(count(*) FILTER (w IN ('{x}{y}', '{y}{x}'))::DOUBLE / count(*), 8) AS {p}_{x}{y}" for x, y in (("1", "2"), ("1", "3"), ("2", "3"))) + " FROM (SELECT doc_id, " + _pairs("s") + " AS w FROM (SELECT doc_id, " + "translate(s, '{}', '{}')".format("".join(parts), "".join(str(i + 1) * len(g) for i, g in enumerate(parts))) + " AS s FROM seq) WHERE length(s) > 1) GROUP BY doc_id)" for p, parts in CTD.items()) + " SELECT * FROM hydrophobicity JOIN charge USING (doc_id)")
+@query("ctdt", SEQ.strip() + ",\n" + ",\n".join(f"{p} AS (SELECT doc_id, " + ", ".join(f"round(count(*) FILTER (w IN ('{x}{y}', '{y}{x}'))::DOUBLE / count(*), 8) AS {p}_{x}{y}" for x, y in (("1", "2"), ("1", "3"), ("2", "3"))) + " FROM (SELECT doc_id, " + _pairs("s") + " AS w FROM (SELECT doc_id, " + "translate(s, '{}', '{}')".format("".join(parts), "".join(str(i + 1) * len(g) for i, g in enumerate(parts))) + " AS s FROM seq) WHERE length(s) > 1) GROUP BY doc_id)" for p, parts in CTD.items()) + " SELECT * FROM " + " JOIN ".join(f"{p} USING (doc_id)" if i else p for i, p in enumerate(CTD)))
 def ctdt(spark, sf):
-    s = sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s")).where(F.length("s") > 1)
-    return rounded(s.select("doc_id", *(e.alias(k) for k, e in d.ctdt(F.col("s")).items())), 8)
+    s = profiles.blocks(sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s")).where(F.length("s") > 1), "s", ["CTDT"]).drop("s")
+    return rounded(s.select("doc_id", *(F.col("CTDT")[i].alias(k) for i, k in enumerate(profiles.names("CTDT")))), 8)
 
 
 @query("dpc", SEQ + f"SELECT doc_id, w AS pair, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY doc_id), 8) AS share FROM (SELECT doc_id, {_pairs('s')} AS w FROM seq WHERE length(s) > 1) GROUP BY 1, 2")
@@ -164,3 +165,88 @@ def sliding_window_mean(spark, sf):
 @query("json_extract_props", "SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2")
 def json_extract_props(spark, sf):
     return read(spark, sf, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+def _standard(name: str) -> str:
+    v = PSEUDO[name]
+    m = sum(v) / 20
+    sd = (sum((x - m) ** 2 for x in v) / 20) ** 0.5
+    return "MAP {" + ", ".join(f"'{c}': ({(x - m) / sd!r})::DOUBLE" for c, x in zip(PSEUDO_ORDER, v, strict=True)) + "}"
+
+
+_RESIDUE_ROWS = SEQ.strip() + ", c AS (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM seq), r AS (SELECT doc_id, i, substr(s, CAST(i AS INT), 1) AS x FROM c), v AS (SELECT doc_id, i, x, {} FROM r)"
+_COUNTS = ", ".join(f"count(*) FILTER (x = '{c}') AS n_{c}" for c in PSEUDO_ORDER)
+_LAG = "lead({0}, {1}) OVER (PARTITION BY doc_id ORDER BY i)"
+
+
+def _pseudo_sql(scales: tuple[str, ...], terms: list[str], most: int, names: list[str]) -> str:
+    values = ", ".join(f"{_standard(k)}[x] AS v{j}" for j, k in enumerate(scales))
+    lagged = ", ".join(f"{_LAG.format(f'v{j}', n)} AS v{j}_{n}" for n in range(1, most + 1) for j in range(len(scales)))
+    thetas = ", ".join(f"avg({t}) AS t{k}" for k, t in enumerate(terms))
+    total = "(1 + 0.05::DOUBLE * (" + " + ".join(f"t{k}" for k in range(len(terms))) + "))"
+    cells = [f"n_{c} / {total}" for c in PSEUDO_ORDER] + [f"0.05::DOUBLE * t{k} / {total}" for k in range(len(terms))]
+    return _RESIDUE_ROWS.format(values) + f", l AS (SELECT *, {lagged} FROM v), t AS (SELECT doc_id, {_COUNTS}, {thetas} FROM l GROUP BY doc_id HAVING count(*) > {most}) SELECT doc_id, " + ", ".join(f"round({e}, 6) AS {n}" for e, n in zip(cells, names, strict=True)) + " FROM t"
+
+
+def _pseudo(spark, sf, block: str, most: int):
+    s = sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s")).where(F.length("s") > most)
+    return rounded(profiles.blocks(s, "s", [block]).select("doc_id", *(F.col(block)[i].alias(k) for i, k in enumerate(profiles.names(block)))))
+
+
+@query("paac", _pseudo_sql(tuple(PSEUDO), [f"((v0 - v0_{n}) ** 2 + (v1 - v1_{n}) ** 2 + (v2 - v2_{n}) ** 2) / 3" for n in range(1, 6)], 5, profiles.names("PAAC")))
+def paac(spark, sf):
+    return _pseudo(spark, sf, "PAAC", 5)
+
+
+@query("apaac", _pseudo_sql(tuple(PSEUDO)[:2], [f"v{j} * v{j}_{n}" for n in range(1, 11) for j in (0, 1)], 10, profiles.names("APAAC")))
+def apaac(spark, sf):
+    return _pseudo(spark, sf, "APAAC", 10)
+
+
+def _ctdd_sql() -> str:
+    """Long form: doc_id, property, class, quarter, place."""
+    cls = "SELECT doc_id, i, p, CASE " + " ".join(f"WHEN p = '{p}' AND contains('{g}', x) THEN {k + 1}" for p, parts in CTD.items() for k, g in enumerate(parts)) + " END AS k FROM r, (SELECT unnest([" + ", ".join(f"'{p}'" for p in CTD) + "]) AS p)"
+    return SEQ.strip() + f", c AS (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM seq), r AS (SELECT doc_id, i, substr(s, CAST(i AS INT), 1) AS x FROM c), k AS ({cls}), o AS (SELECT doc_id, p, k, i, row_number() OVER (PARTITION BY doc_id, p, k ORDER BY i) AS o, count(*) OVER (PARTITION BY doc_id, p, k) AS n FROM k) SELECT doc_id, p AS property, k::INT AS class, q::INT AS q, round(i * 100.0::DOUBLE / length(s), 8) AS place FROM o JOIN seq USING (doc_id), (SELECT unnest([0, 25, 50, 75, 100]) AS q) WHERE o = greatest(1, (n * q) // 100)"
+
+
+@query("ctdd", _ctdd_sql())
+def ctdd(spark, sf):
+    """Places of the classes that occur."""
+    s = profiles.blocks(sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s")), "s", ["CTDD"])
+    keys = F.array(*(F.struct(F.lit(p).alias("property"), F.lit(k).alias("class"), F.lit(q).alias("q")) for p in CTD for k in (1, 2, 3) for q in (0, 25, 50, 75, 100)))
+    rows = s.select("doc_id", F.explode(F.arrays_zip(keys.alias("k"), F.col("CTDD").alias("place"))).alias("z"))
+    return rounded(rows.where("z.place > 0").select("doc_id", "z.k.property", "z.k.class", "z.k.q", "z.place"), 8)
+
+
+@query("feature_vector", SEQ + f"SELECT doc_id, 1849::INT AS width, round({_share('A')}, 8) AS first, round(CASE WHEN length(s) > 1 THEN 1.0::DOUBLE ELSE 0 END, 6) AS pairs, round(CASE WHEN length(s) > 0 THEN 13.0::DOUBLE ELSE NULL END, 6) AS classes FROM seq")
+def feature_vector(spark, sf):
+    """The assembled vector by its width, its first column and the sums that its pair and class blocks must have."""
+    rows = profiles.assemble(sequences(spark, sf).select("doc_id", fs.clean(F.coalesce("text", F.lit(""))).alias("s")), "s")
+    total = lambda b: F.aggregate(F.slice("features", profiles.spans()[b][0] + 1, len(profiles.names(b))), F.lit(0.0), lambda a, x: a + x)
+    out = rows.select("doc_id", F.size("features").alias("width"), F.round(F.nanvl(F.col("features")[0], F.lit(None)), 8).alias("first"), F.round(total("DPC"), 6).alias("pairs"), F.round(F.nanvl(total("CTDC"), F.lit(None)), 6).alias("classes"))
+    return out
+
+
+def _charge(ph: str, pk: dict[str, float]) -> str:
+    plus = [f"{'1' if k == 'n' else 'n_' + k} / (1 + 10 ** ({ph} - {pk[k]}::DOUBLE))" for k in "nHKR"]
+    return "(" + " + ".join(plus) + " - " + " - ".join(f"{'1' if k == 'c' else 'n_' + k} / (1 + 10 ** ({pk[k]}::DOUBLE - {ph}))" for k in "cCDEY") + ")"
+
+
+def _scale(scale: dict[str, float]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in scale.items()) + "}[x]"
+
+
+_FULL = (
+    "WITH RECURSIVE " + (_RESIDUE_ROWS.removeprefix("WITH ").format(f"{_scale(HYDROPATHY)} AS kd, {_scale(HELIX)} AS h, {_scale(SHEET)} AS b"))
+    + ", w AS (SELECT doc_id, " + ", ".join(f"avg({c}) OVER f AS {c}" for c in ("kd", "h", "b")) + ", count(*) OVER f AS n FROM v WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))"
+    + ", win AS (SELECT doc_id, avg(kd) AS m, max(kd) AS t, stddev_samp(kd) AS sd, avg(h) AS h, avg(b) AS b, avg(1 - abs(h - b) / (h + b)) AS ch FROM w WHERE n = 7 GROUP BY doc_id)"
+    + f", cnt AS MATERIALIZED (SELECT doc_id, count(*) AS n, {_COUNTS} FROM r GROUP BY doc_id)"
+    + ", pi AS (SELECT doc_id, n_H, n_K, n_R, n_C, n_D, n_E, n_Y, 0.0::DOUBLE AS lo, 14.0::DOUBLE AS hi, 0 AS k FROM cnt UNION ALL SELECT doc_id, n_H, n_K, n_R, n_C, n_D, n_E, n_Y, CASE WHEN q > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN q > 0 THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM (SELECT *, " + _charge("(lo + hi) / 2", PK_EMBOSS) + " AS q FROM pi WHERE k < 40))"
+    + f" SELECT doc_id, n::DOUBLE AS protein_length, round(m, 6) AS KD_mean, round(t, 6) AS KD_max, round(sd, 6) AS KD_sd, round({_charge('7.0', PK_LEHNINGER)}, 6) AS charge, round({_charge('7.0', PK_LEHNINGER)} / n, 6) AS charge_density, round(100 * (n_A + 2.9::DOUBLE * n_V + 3.9::DOUBLE * (n_I + n_L)) / n, 6) AS aromaticity, round(win.h, 6) AS alpha_propensity, round(win.b, 6) AS beta_propensity, round(ch, 6) AS chameleon_score, round(pI.pI, 6) AS pI FROM cnt LEFT JOIN win USING (doc_id) JOIN (SELECT doc_id, (lo + hi) / 2 AS pI FROM pi WHERE k = 40) pI USING (doc_id)"
+)
+
+
+@query("full_features", _FULL)
+def full_features(spark, sf):
+    s = sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s")).where(F.length("s") > 0)
+    return rounded(profiles.full_features(s, "s").drop("s"))

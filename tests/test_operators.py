@@ -172,3 +172,43 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 200 and set(e.oracle_sql()) <= set(e.queries()) and math.isfinite(len(e.queries()))
+
+
+def test_profiles(spark):
+    from burdock.functions import profiles
+
+    seq = "FLPVLAGLTPSIVPKLVCLLTKKC"
+    counts = profiles.Residues([seq]).tally(profiles.Residues([seq]).code, 20)
+    assert profiles.net_charge(counts, 7.0, profiles.PK_EMBOSS)[0] == pytest.approx(2.914112, abs=1e-6)
+    assert profiles.net_charge(counts, profiles.isoelectric_point(counts), profiles.PK_EMBOSS)[0] == pytest.approx(0, abs=1e-9)
+    assert [b - a for a, b in profiles.spans().values()] == [20, 400, 40, 39, 195, 39, 5, 343, 343, 400, 25]
+    texts = ["MKVLAAGIVYWRKDECHNQPSTFMKV", "", None, "zz-1", "A", "RKAAC"]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, t string, AAC string").repartition(2)
+    got = {r.id: r for r in profiles.blocks(rows.select("id", "t"), "t", ["DPC", "CTDD", "CTDT", "KSCTriad", "DDE"]).collect()}
+    for native, block in ((descriptors.ctdt, "CTDT"), (descriptors.ctdd, "CTDD")):
+        want = {r.id: r for r in rows.where("id in (0, 5)").select("id", *(e.alias(k) for k, e in native(F.col("t")).items())).collect()}
+        for i in want:
+            assert list(got[i][block]) == pytest.approx(list(want[i])[1:])
+    triads = one(spark, descriptors.triads(F.lit(texts[0])))
+    assert {k: v for k, v in zip(profiles.BLOCKS["CTriad"][1], got[0].KSCTriad, strict=True) if v} == pytest.approx(triads)
+    assert got[0].DDE[profiles._TWO.index("KV")] == pytest.approx(one(spark, descriptors.dde(F.lit(texts[0]), "KV")))
+    assert all(x == 0 for i in (1, 2, 3, 4) for x in got[i].DPC) and all(x is None for x in got[4].CTDT)
+    whole = {r.id: r.features for r in profiles.assemble(rows, "t").collect()}
+    assert all(len(v) == 1849 for v in whole.values()) and all(x is None for x in whole[5][1824:]) and whole[4][1824] is None
+    full = {r.id: r for r in profiles.full_features(rows, "t").collect()}
+    assert full[1].pI is None and full[4].protein_length == 1 and full[4].KD_mean is None and full[0].KD_sd > 0 and full[0].aromaticity > 0
+    assert profiles.blocks(rows.where("false"), "t", ["PAAC"]).count() == 0
+
+
+def test_pseudo_composition_against_loops():
+    from burdock.functions import profiles
+    from burdock.schema import PSEUDO_ORDER
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), n)) for n in (11, 30, 77)]
+    v = {k: dict(zip("ACDEFGHIKLMNPQRSTVWY", profiles._standard(k), strict=True)) for k in profiles.PSEUDO}
+    for t, row, amph in zip(texts, profiles.matrix(texts, "PAAC"), profiles.matrix(texts, "APAAC"), strict=True):
+        theta = [sum(sum((m[a] - m[b]) ** 2 for m in v.values()) / 3 for a, b in zip(t, t[n:])) / (len(t) - n) for n in range(1, 6)]
+        assert list(row) == pytest.approx([t.count(c) / (1 + 0.05 * sum(theta)) for c in PSEUDO_ORDER] + [0.05 * x / (1 + 0.05 * sum(theta)) for x in theta])
+        pairs = [sum(v[k][a] * v[k][b] for a, b in zip(t, t[n:])) / (len(t) - n) for n in range(1, 11) for k in ("Hydrophobicity", "Hydrophilicity")]
+        assert list(amph)[20:] == pytest.approx([0.05 * x / (1 + 0.05 * sum(pairs)) for x in pairs])
