@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -19,6 +20,28 @@ def tune(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def release() -> None:
+    """Give memory that this Python worker holds but no longer uses back to the system: workers outlive their tasks, and
+    all stages' workers share an executor."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run`` of a pass over Arrow batches, with a release at the end of each task, also of one that fails."""
+
+    def each(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return each
+
+
 def fold(col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod

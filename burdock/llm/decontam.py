@@ -182,7 +182,7 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: s
                 kinds = [b.schema.field(len(base) + j).type for j in range(3)]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(base)], *(pa.array(x, t) for x, t in zip((counts, [h.tobytes() for h in hits], items), kinds, strict=True))], names=b.schema.names)
 
-        out = out.mapInArrow(run, docs.schema if done else out.schema)
+        out = out.mapInArrow(common.lean(run), docs.schema if done else out.schema)
     return out
 
 

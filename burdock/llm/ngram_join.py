@@ -161,6 +161,8 @@ def profile(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
         flush_at, doc = (code >> np.uint64(16)).astype(np.int64), (code & np.uint64(0xFFFF)).astype(np.uint16)
         cuts = np.searchsorted(flush_at, np.arange(len(full) + 1))
         got = [(int(flushes[i]), doc[cuts[j] : cuts[j + 1]].tobytes() + n[cuts[j] : cuts[j + 1]].astype(np.uint32).tobytes()) for j, i in enumerate(full) if cuts[j] < cuts[j + 1]]
+        del rest, where, tag, order, same, twice, pick
+        common.release()
         more = pa.table([pa.array([g[0] for g in got], pa.int64()), pa.array([None] * len(got), pa.binary()), pa.array([None] * len(got), pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.binary())], names=["flush", "meta", "ids", "hits"])
         return pa.concat_tables([out, more.cast(out.schema)])
 
@@ -176,7 +178,7 @@ def profile(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
         alive = (counts * den >= lens.astype(np.int64) * num) & (lens > 0)
         return pa.table([pa.array(ids, pa.int64()), pa.array(lens.astype(np.int32)), pa.array(fps, pa.binary()), pa.array(alive)], names=["id", "n", "fp", "alive"])
 
-    posted = rows.mapInArrow(emit, "bucket int, flush long, tokens binary, tags binary, meta binary, ids array<long>")
+    posted = rows.mapInArrow(common.lean(emit), "bucket int, flush long, tokens binary, tags binary, meta binary, ids array<long>")
     found = posted.groupBy("bucket").applyInArrow(shared, "flush long, meta binary, ids array<long>, hits binary")
     return found.groupBy("flush").applyInArrow(settle, "id long, n int, fp binary, alive boolean")
 
@@ -191,7 +193,7 @@ def token_sets(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col:
             sets = [shingles(t, k) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "n", "tokens"])
 
-    found = rows.mapInArrow(run, "fp binary, n int, tokens array<long>")
+    found = rows.mapInArrow(common.lean(run), "fp binary, n int, tokens array<long>")
     return found.join(nodes.select("fp", "rep"), "fp").where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("rep").alias("rep"), F.first("tokens").alias("tokens"))
 
 
@@ -240,7 +242,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left, right = sets.select(F.col("nid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("nid").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(common.lean(run), "a long, b long")
 
 
 def components(ws: common.Workspace, edges: DataFrame, name: str) -> DataFrame:

@@ -197,7 +197,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity
         if packer.out:
             yield emit(packer, arrow)
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, " + ", ".join(f"{c} long" for c in _COLUMNS))
+    return rows.mapInArrow(common.lean(run), f"`{id_col}` {kind.simpleString()}, " + ", ".join(f"{c} long" for c in _COLUMNS))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

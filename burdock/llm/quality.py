@@ -156,7 +156,7 @@ def score(spark: SparkSession, docs: DataFrame, model: dict, id_col: str = "doc_
             s = 1 / (1 + np.exp(-np.clip(raw_score(shared.value, *features(b.column(len(cols)).to_pylist())), -30, 30))) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s.astype(np.float64))], names=[*cols, score_col])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(score_col, T.DoubleType())]))
+    return rows.mapInArrow(common.lean(run), T.StructType([*rows.schema.fields[:-1], T.StructField(score_col, T.DoubleType())]))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             digest = [hashlib.sha256(joined(f).encode()).hexdigest() for f in base]
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(digest, pa.string()), pa.array([joined(f) for f in found], pa.string())], names=[id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(common.lean(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_rows(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
@@ -143,7 +143,7 @@ def redact_rows(docs: DataFrame, text_col: str = "text", count_col: str | None =
                     cols[counted] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(n)], b.schema.field(counted).type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
