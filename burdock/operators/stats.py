@@ -125,17 +125,6 @@ def permute_within(spark: SparkSession, rows: DataFrame, bins: list[str], label:
     return stats.join(more, sample)
 
 
-def running_enrichment(ranked: DataFrame, keys: list[str], score: str, hit: str, tie: str) -> DataFrame:
-    """Enrichment score: the extreme of the running sum of normalised |score| at hits less equal steps at misses."""
-    w = Window.partitionBy(*keys)
-    power = F.sum(F.when(F.col(hit), F.abs(score))).over(w)
-    misses = F.count_if(~F.col(hit)).over(w)
-    step = F.when(F.col(hit), F.abs(score) / F.nullif(power, F.lit(0.0))).otherwise(-1.0 / misses)
-    run = ranked.withColumn("__step", step).withColumn("__run", F.sum("__step").over(w.orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)))
-    up, down = F.max("__run"), F.min("__run")
-    return run.groupBy(*keys).agg(F.when(F.abs(up) >= F.abs(down), up).otherwise(down).alias("es"), F.count_if(F.col(hit)).alias("n_hits"), F.count("*").alias("n"))
-
-
 def rank_correlation(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Pearson and Spearman (Pearson of average ranks) per key; null under 3 rows or 2 distinct values."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cohort, stats
+from ..operators import cohort, enrichment, stats
 from .registry import query
 from .standins import SQL, expression, proteins, rounded, samples, transcripts
 
@@ -74,7 +74,7 @@ def logcpm(spark, sf):
 
 @query("gsea_running_sum", SQL + "SELECT sample, round(CASE WHEN abs(max(run)) >= abs(min(run)) THEN max(run) ELSE min(run) END, 6) AS es, count(*) FILTER (hit) AS n_hits, count(*) AS n FROM (SELECT sample, hit, sum(CASE WHEN hit THEN counts / nullif(power, 0) ELSE -1.0::DOUBLE / misses END) OVER (PARTITION BY sample ORDER BY counts DESC, tx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT sample, tx, counts, tx % 7 = 0 AS hit, sum(counts) FILTER (tx % 7 = 0) OVER (PARTITION BY sample) AS power, count(*) FILTER (tx % 7 <> 0) OVER (PARTITION BY sample) AS misses FROM cnt)) GROUP BY 1")
 def gsea(spark, sf):
-    return rounded(stats.running_enrichment(expression(spark, sf).withColumn("hit", F.col("tx") % 7 == 0), ["sample"], "counts", "hit", "tx"))
+    return rounded(enrichment.enrichment_scores(expression(spark, sf).withColumn("hit", F.col("tx") % 7 == 0), ["sample"], "counts", "hit", "tx"))
 
 
 @query("spearman", SQL + "SELECT sample, count(*) AS n, round(corr(p1, kd), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM (SELECT *, rank() OVER (PARTITION BY sample ORDER BY p1) + (count(*) OVER (PARTITION BY sample, p1) - 1) / 2 AS rx, rank() OVER (PARTITION BY sample ORDER BY kd) + (count(*) OVER (PARTITION BY sample, kd) - 1) / 2 AS ry FROM prot) GROUP BY 1")
@@ -121,3 +121,30 @@ def bootstrap(spark, sf):
 def within_bins(spark, sf):
     rows = expression(spark, sf).join(F.broadcast(transcripts(spark, sf)), "tx").withColumns({"bin": cohort.quantile_bin("len", "sample", "tx"), "hot": F.col("tx") % 5 == 0})
     return stats.permute_within(spark, rows, ["bin"], "hot", "tpm", "sample", 50)
+
+
+def _genes(spark, sf):
+    """Log expression of genes by sample, and sets of genes by their last digit."""
+    tx = transcripts(spark, sf)
+    rows = expression(spark, sf).join(F.broadcast(tx), "tx").groupBy("sample", "gene").agg(F.log2(F.sum("tpm") + 1).alias("value"))
+    return rows, tx.select(F.concat(F.lit("set"), F.expr("right(gene, 1)")).alias("signature"), "gene").distinct()
+
+
+_GENES = SQL.strip() + ", ge AS (SELECT sample, gene, round(log2(sum(tpm) + 1), 9) AS value FROM expr JOIN tx USING (tx) GROUP BY 1, 2), sets AS (SELECT DISTINCT 'set' || substr(gene, length(gene), 1) AS signature, gene FROM tx)"
+
+
+@query("single_sample_enrichment", _GENES + ", k AS (SELECT sample, gene, row_number() OVER (PARTITION BY sample ORDER BY value DESC, gene) AS pos, count(*) OVER (PARTITION BY sample) AS n FROM ge), f AS (SELECT k.*, s.signature, EXISTS (SELECT 1 FROM sets z WHERE z.signature = s.signature AND z.gene = k.gene) AS hit FROM k, (SELECT DISTINCT signature FROM sets) s), st AS (SELECT *, CASE WHEN hit THEN (n - pos + 1)::DOUBLE ** 0.25 / sum(CASE WHEN hit THEN (n - pos + 1)::DOUBLE ** 0.25 END) OVER (PARTITION BY sample, signature) ELSE -1.0::DOUBLE / count(*) FILTER (NOT hit) OVER (PARTITION BY sample, signature) END AS step FROM f), run AS (SELECT *, sum(step) OVER (PARTITION BY sample, signature ORDER BY pos) AS r FROM st), es AS (SELECT sample, signature, count(*) FILTER (hit) AS n_genes, sum(r) AS es FROM run GROUP BY 1, 2) SELECT sample, signature, n_genes, round(es, 5) AS es, round(es / (max(es) OVER () - min(es) OVER ()), 5) AS nes FROM es WHERE n_genes > 0")
+def single_sample_enrichment(spark, sf):
+    rows, sets = _genes(spark, sf)
+    return rounded(enrichment.single_sample(rows.withColumn("value", F.round("value", 9)), sets), 5)
+
+
+@query("gene_set_variation")
+def gene_set_variation(spark, sf):
+    return rounded(enrichment.variation(*_genes(spark, sf)), 5)
+
+
+@query("enrichment_test")
+def enrichment_test(spark, sf):
+    rows, sets = _genes(spark, sf)
+    return rounded(enrichment.enrichment_test(spark, rows, samples(spark, sf), sets, "AC", "TOL", 200))

@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 from burdock.functions import descriptors, labels, sequence, special
-from burdock.operators import cohort, proteome, scoring, stats
+from burdock.operators import cohort, enrichment, proteome, scoring, stats
 from burdock.sources import readers, writers
 from burdock.streaming.scoring import event_counts, score_landing
 from pyspark.sql import functions as F
@@ -212,3 +212,55 @@ def test_pseudo_composition_against_loops():
         assert list(row) == pytest.approx([t.count(c) / (1 + 0.05 * sum(theta)) for c in PSEUDO_ORDER] + [0.05 * x / (1 + 0.05 * sum(theta)) for x in theta])
         pairs = [sum(v[k][a] * v[k][b] for a, b in zip(t, t[n:])) / (len(t) - n) for n in range(1, 11) for k in ("Hydrophobicity", "Hydrophilicity")]
         assert list(amph)[20:] == pytest.approx([0.05 * x / (1 + 0.05 * sum(pairs)) for x in pairs])
+
+
+def _running(w, hit):
+    """Plain running sum of an ordered list."""
+    share = w * hit / (w * hit).sum() if (w * hit).sum() else hit / hit.sum()
+    return np.cumsum(share - ~hit / (~hit).sum())
+
+
+def test_enrichment_against_running_sums(spark):
+    rng = np.random.default_rng(5)
+    genes, names = [f"g{i:02}" for i in range(40)], [f"s{i}" for i in range(7)]
+    x = rng.normal(size=(40, 7)).round(6)
+    rows = spark.createDataFrame([(g, s, float(x[i, j])) for i, g in enumerate(genes) for j, s in enumerate(names)], "gene string, sample string, value double").repartition(5)
+    sets = {"a": genes[3:11], "b": genes[::5], "top": genes[:1]}
+    members = spark.createDataFrame([(k, g) for k, v in sets.items() for g in [*v, "absent"]], "signature string, gene string")
+    hits = {k: np.isin(genes, v) for k, v in sets.items()}
+    ends = lambda r: (max(r.max(), 0), min(r.min(), 0))
+    extreme = lambda r: max(ends(r), key=abs)
+
+    single = {(r.sample, r.signature): r.es for r in enrichment.single_sample(rows, members).collect()}
+    varied = {(r.sample, r.signature): r.es for r in enrichment.variation(rows, members).collect()}
+    h = x.std(1, ddof=1) / 4
+    p = np.array([[np.mean([(1 + math.erf((x[i, j] - v) / h[i] / math.sqrt(2))) / 2 for v in x[i]]) for j in range(7)] for i in range(40)])
+    for j, s in enumerate(names):
+        order = np.argsort(-x[:, j])
+        smooth = np.argsort(-p[:, j].round(12), kind="stable")
+        for k, hit in hits.items():
+            assert single[s, k] == pytest.approx(_running(np.arange(40, 0, -1.0) ** 0.25, hit[order]).sum())
+            assert varied[s, k] == pytest.approx(sum(ends(_running(np.abs(20 - np.arange(40, 0, -1.0)), hit[smooth]))))
+
+    side = np.array([True, True, True, False, False, False, False])
+    groups = spark.createDataFrame([(s, "b" if t else "a") for s, t in zip(names, side, strict=True)] + [("other", "c")], "sample string, grp string")
+    got = {r.signature: r for r in enrichment.enrichment_test(spark, rows, groups, members, "a", "b", 60, 9).collect()}
+    gen = np.random.default_rng(9)
+    deals = [side, *(gen.permutation(side) for _ in range(60))]
+    for k, hit in hits.items():
+        es = []
+        for d in deals:
+            fc = x[:, d].mean(1) - x[:, ~d].mean(1)
+            o = np.argsort(-fc)
+            es.append(extreme(_running(np.abs(fc[o]), hit[o])))
+        obs, null = es[0], np.array(es[1:])
+        assert got[k].es == pytest.approx(obs) and got[k].nes == pytest.approx(obs / abs(null[(null >= 0) == (obs >= 0)].mean()))
+        assert got[k].p_greater == pytest.approx(((null >= obs - 1e-12).sum() + 1) / 61, abs=0.02)
+    assert enrichment.enrichment_test(spark, rows, groups.where("grp = 'a'"), members, "a", "b", 5).count() == 0
+    assert enrichment.single_sample(rows.where("false"), members).count() == 0 and enrichment.variation(rows.where("false"), members).count() == 0
+
+
+def test_enrichment_edges(spark):
+    rows = spark.createDataFrame([("k", f"g{i}", 0.0, i < 2) for i in range(4)] + [("all", "g", 1.0, True)], "k string, gene string, s double, hit boolean")
+    got = {r.k: r.es for r in enrichment.enrichment_scores(rows, ["k"], "s", "hit", "gene").collect()}
+    assert got == {"k": 1.0, "all": None}
