@@ -264,3 +264,15 @@ def test_enrichment_edges(spark):
     rows = spark.createDataFrame([("k", f"g{i}", 0.0, i < 2) for i in range(4)] + [("all", "g", 1.0, True)], "k string, gene string, s double, hit boolean")
     got = {r.k: r.es for r in enrichment.enrichment_scores(rows, ["k"], "s", "hit", "gene").collect()}
     assert got == {"k": 1.0, "all": None}
+
+
+def test_registered_functions(spark):
+    from burdock.functions.register import register
+
+    assert "translate_dna" in register(spark)
+    df = spark.createDataFrame([("atgAAATAAGGG", "mka* zz", 0.9), ("ATGNNNA", "MA.B", 0.5), ("", "a.b.c", None)], "dna string, s string, p double")
+    df.createOrReplaceTempView("registered_input")
+    got = spark.sql("SELECT translate_dna(dna) t, reverse_complement(dna) r, clean_seq(s) c, cut_stops(s) k, probability_label(p, 0.5) l, probability_class(p, 0.1, 0.9) q, sixmer_code(sixmer_text(77)) n FROM registered_input")
+    assert "BatchEvalPython" not in got._jdf.queryExecution().toString()
+    want = df.select(sequence.translate_dna(F.col("dna")).alias("t"), sequence.reverse_complement(F.col("dna")).alias("r"), sequence.clean(F.col("s")).alias("c"), sequence.cut_stops(F.col("s")).alias("k"), labels.label(F.col("p")).alias("l"), labels.by_cuts(F.col("p"), (0.1, 0.9)).alias("q"), F.lit(77).alias("n"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
