@@ -65,20 +65,70 @@ def with_fdr(rows: DataFrame, p: str, part: list[str], tie: str, out: str = "fdr
     return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__q").over(back)))).drop("__q")
 
 
-def exact_permutation(spark: SparkSession, rows: DataFrame, a: str, b: str, keys: list[str], grp: str = "grp", value: str = "value", plus_one: bool = True, tolerance: float = 1e-15, most: int = 22) -> DataFrame:
-    """p of the difference of means (b - a) over all ways to deal out the labels; at most ``most`` samples a key."""
-    held = rows.where(F.col(value).isNotNull() & F.col(grp).isin(a, b)).groupBy(*keys).agg(F.collect_list(F.struct(F.col(value).alias("v"), (F.col(grp) == b).alias("b"))).alias("x"))
-    held = held.withColumns({"v": F.transform("x", lambda x: x["v"].cast("double")), "k": F.size(F.filter("x", lambda x: x["b"])), "n": F.size("x")})
+#: Permutations or resamples of one task.
+BLOCK = 500
+#: Cells of a table of permuted or drawn values that a task holds at once: 16 MB of doubles.
+CELLS = 2_000_000
+
+
+def _blocks(spark: SparkSession, rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` once for every block of ``n`` resamples, with the block's number."""
+    return rows.crossJoin(F.broadcast(spark.range(-(-n // BLOCK)).withColumnRenamed("id", "__block")))
+
+
+def _seeds(seed: int, head: dict, block: int) -> np.random.Generator:
+    return np.random.default_rng([seed, block, *map(ord, "|".join(str(v) for v in head.values()))])
+
+
+def _runs(n: int, block: int, size: int):
+    """Resamples of a block, in runs whose tables of ``size`` values a row stay under ``CELLS``."""
+    left, most = min(BLOCK, n - block * BLOCK), max(1, CELLS // max(size, 1))
+    while left > 0:
+        yield min(most, left)
+        left -= most
+
+
+def exact_permutation(spark: SparkSession, rows: DataFrame, a: str, b: str, keys: list[str], grp: str = "grp", value: str = "value", plus_one: bool = True, tolerance: float = 1e-15, most: int = 22, n: int = 10_000, seed: int = 20260604) -> DataFrame:
+    """p of the difference of means (b - a) over the ways to deal out the labels, from all samples of a key.
+
+    Keys of at most ``most`` samples: all ways (``exact``). Larger keys: ``n`` seeded random ways, p with one added to
+    both counts; blocks of them are shared out over tasks.
+    """
+    held = rows.where(F.col(value).isNotNull() & F.col(grp).isin(a, b)).select(*keys, F.col(value).cast("double").alias("v"), (F.col(grp) == b).alias("b"))
+    held = held.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    kinds = dict(rows.dtypes)
+
+    def one(pdf):
+        pdf = pdf.sort_values(["b", "v"])
+        head, block = pdf.iloc[0][keys].to_dict(), int(pdf["__block"].iloc[0])
+        v, hot = pdf["v"].to_numpy(float), pdf["b"].to_numpy(bool)
+        k = int(hot.sum())
+        if not 0 < k < len(v):
+            return pd.DataFrame(columns=[*keys, "n_permutations", "delta", "more", "two"])
+        rng, diff = _seeds(seed, head, block), lambda s: s / k - (v.sum() - s) / (len(v) - k)
+        obs, total, more, two = diff(v[hot].sum()), 0, 0, 0
+        for m in _runs(n, block, len(v)):
+            d = diff(rng.permuted(np.tile(v, (m, 1)), axis=1)[:, :k].sum(1))
+            total, more, two = total + m, more + int((d >= obs - tolerance).sum()), two + int((np.abs(d) >= abs(obs) - tolerance).sum())
+        return pd.DataFrame([head | {"n_permutations": total, "delta": obs, "more": more, "two": two}])
+
+    parts = _blocks(spark, held.where(F.col("n") > most), n).groupBy(*keys, "__block").applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_permutations long, delta double, more long, two long")
+    total = F.sum("n_permutations")
+    drawn = parts.groupBy(*keys).agg(total.alias("n_permutations"), F.max("delta").alias("delta"), ((F.sum("more") + 1) / (total + 1)).alias("p_greater"), ((F.sum("two") + 1) / (total + 1)).alias("p_two_sided"), F.lit(False).alias("exact"))
+
+    held = held.where(F.col("n") <= most).groupBy(*keys).agg(F.collect_list(F.struct("v", "b")).alias("x"))
+    held = held.withColumns({"v": F.transform("x", lambda x: x["v"]), "k": F.size(F.filter("x", lambda x: x["b"])), "n": F.size("x")})
     sum_b = F.aggregate(F.filter("x", lambda x: x["b"]), F.lit(0.0), lambda s, x: s + x["v"])
-    held = held.withColumns({"total": F.aggregate("v", F.lit(0.0), lambda s, x: s + x), "sum_b": sum_b}).where((F.col("n") <= most) & (F.col("k") > 0) & (F.col("k") < F.col("n")))
-    masks = spark.range(1 << min(most, int(held.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]))).withColumnRenamed("id", "mask")
+    held = held.withColumns({"total": F.aggregate("v", F.lit(0.0), lambda s, x: s + x), "sum_b": sum_b}).where((F.col("k") > 0) & (F.col("k") < F.col("n")))
+    masks = spark.range(1 << int(held.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])).withColumnRenamed("id", "mask")
     each = held.drop("x").join(masks, (F.bit_count("mask") == F.col("k")) & (F.col("mask") < F.pow(F.lit(2.0), F.col("n"))))
     picked = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda s, i: s + F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) != 0, F.element_at("v", i + 1)).otherwise(0.0))
     diff = lambda s: s / F.col("k") - (F.col("total") - s) / (F.col("n") - F.col("k"))
     each = each.withColumns({"d": diff(picked), "obs": diff(F.col("sum_b"))})
     more, total, add = F.count_if(F.col("d") >= F.col("obs") - tolerance), F.count("*"), int(plus_one)
     two = F.count_if(F.abs("d") >= F.abs("obs") - tolerance)
-    return each.groupBy(*keys).agg(total.alias("n_permutations"), F.max("obs").alias("delta"), ((more + add) / (total + add)).alias("p_greater"), ((two + add) / (total + add)).alias("p_two_sided"))
+    full = each.groupBy(*keys).agg(total.alias("n_permutations"), F.max("obs").alias("delta"), ((more + add) / (total + add)).alias("p_greater"), ((two + add) / (total + add)).alias("p_two_sided"), F.lit(True).alias("exact"))
+    return full.unionByName(drawn)
 
 
 def resample(rows: DataFrame, a: str, b: str, keys: list[str], n: int = 10_000, seed: int = 20260604, grp: str = "grp", value: str = "value") -> DataFrame:

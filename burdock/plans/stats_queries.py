@@ -62,7 +62,13 @@ def exact_permutation(spark, sf):
     from pyspark.sql import Window
 
     few = long(spark, sf).withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy("sample"))).where("i <= 12")
-    return rounded(stats.exact_permutation(spark, few, "AC", "TOL", ["metric"], tolerance=1e-9).drop("delta"), 8)
+    return rounded(stats.exact_permutation(spark, few, "AC", "TOL", ["metric"], tolerance=1e-9).drop("delta", "exact"), 8)
+
+
+@query("label_permutation")
+def label_permutation(spark, sf):
+    """All samples; ``exact_permutation`` and its SQL read the first 12 of each metric."""
+    return rounded(stats.exact_permutation(spark, long(spark, sf), "AC", "TOL", ["metric"], tolerance=1e-9), 8)
 
 
 @query("logcpm_de", SQL + "SELECT tx, round(avg(logcpm) FILTER (grp = 'TOL') - avg(logcpm) FILTER (grp = 'AC'), 6) AS log2fc, count(*) AS n FROM (SELECT tx, grp, log2(counts * 1e6 / sum(counts) OVER (PARTITION BY sample) + 1) AS logcpm, counts FROM cnt JOIN samples USING (sample)) GROUP BY 1 HAVING count(*) FILTER (counts >= 10) >= 3")

@@ -142,6 +142,20 @@ def test_permutation_and_ols(spark):
     assert coef["x"] == pytest.approx(want[0]) and coef["intercept"] == pytest.approx(want[1])
 
 
+def test_permutation_of_large_keys_uses_all_samples(spark):
+    rng = np.random.default_rng(3)
+    rows = [(m, "TOL" if i < 5 else "AC", float(v)) for m, shift in (("even", 0), ("up", 1.5)) for i, v in enumerate(rng.normal(size=12) + shift * (np.arange(12) < 5))]
+    df = spark.createDataFrame([*rows, ("one", "AC", 1.0), *(("lone", "AC", float(i)) for i in range(30))], "metric string, grp string, value double").repartition(4)
+    want = {r.metric: r for r in stats.exact_permutation(spark, df, "AC", "TOL", ["metric"]).collect()}
+    runs = [{r.metric: r for r in stats.exact_permutation(spark, df, "AC", "TOL", ["metric"], most=11, n=10_250).collect()} for _ in range(2)]
+    assert set(want) == set(runs[0]) == {"even", "up"} and runs[0] == runs[1] and {r.exact for r in want.values()} == {True}
+    for m, r in runs[0].items():
+        v = [x[2] for x in rows if x[0] == m]
+        obs, all_d = np.mean(v[:5]) - np.mean(v[5:]), np.array([np.mean(c) - (sum(v) - sum(c)) / 7 for c in itertools.combinations(v, 5)])
+        assert not r.exact and r.n_permutations == 10_250 and r.delta == pytest.approx(obs)
+        assert r.p_greater == pytest.approx((all_d >= obs - 1e-12).mean(), abs=0.02) and r.p_two_sided == pytest.approx((np.abs(all_d) >= abs(obs) - 1e-12).mean(), abs=0.02)
+
+
 def test_range_join_equals_all_pairs(spark):
     rng = np.random.default_rng(1)
     pts = [(int(k), int(x)) for k, x in zip(rng.integers(0, 3, 200), rng.integers(0, 500, 200), strict=True)]
