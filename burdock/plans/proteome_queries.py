@@ -38,24 +38,44 @@ def nonsense_pivot(spark, sf):
 
 
 _CALLS = "WITH calls AS (SELECT l_suppkey % 9 AS sample, l_returnflag AS caller, ['A', 'B', 'C'][l_linenumber % 3 + 1] AS locus, 'HLA-' || ['A', 'B', 'C'][l_linenumber % 3 + 1] || '*0' || (l_partkey % 5) || ':01' AS allele, l_linenumber AS rank, l_linestatus AS source_file FROM lineitem WHERE l_orderkey % 50 = 0)"
-
-
-@query("hla_consensus", _CALLS + """, a AS (SELECT sample, locus, allele, count(DISTINCT caller) AS support_count, min(rank) AS r, string_agg(DISTINCT caller, ',' ORDER BY caller) AS support_callers, string_agg(DISTINCT source_file, ',' ORDER BY source_file) AS source_files FROM calls GROUP BY 1, 2, 3),
+_ALL_CALLS = _CALLS.replace(" WHERE l_orderkey % 50 = 0", "")
+_CONSENSUS = """, a AS (SELECT sample, locus, allele, count(DISTINCT caller) AS support_count, min(rank) AS r, string_agg(DISTINCT caller, ',' ORDER BY caller) AS support_callers, string_agg(DISTINCT source_file, ',' ORDER BY source_file) AS source_files FROM calls GROUP BY 1, 2, 3),
 t AS (SELECT *, row_number() OVER (PARTITION BY sample, locus ORDER BY support_count DESC, r, allele) AS n FROM a),
 s AS (SELECT *, max(support_count) OVER (PARTITION BY sample, locus) >= 2 AS backed FROM t WHERE n <= 2),
 c AS (SELECT sample, locus, count(DISTINCT caller) AS caller_count FROM calls GROUP BY 1, 2)
-SELECT sample, locus, allele, CASE WHEN support_count >= 2 THEN 'CONSENSUS' WHEN caller_count <= 1 THEN 'SINGLE_CALLER' WHEN backed THEN 'LOW_SUPPORT' ELSE 'CONFLICT' END AS consensus_status, support_count, support_callers, caller_count, source_files FROM s JOIN c USING (sample, locus)""")
-def hla_consensus(spark, sf):
+SELECT sample, locus, allele, CASE WHEN support_count >= 2 THEN 'CONSENSUS' WHEN caller_count <= 1 THEN 'SINGLE_CALLER' WHEN backed THEN 'LOW_SUPPORT' ELSE 'CONFLICT' END AS consensus_status, support_count, support_callers, caller_count, source_files FROM s JOIN c USING (sample, locus)"""
+_RANKS = " SELECT sample, caller, locus, allele, rank() OVER (PARTITION BY sample, caller, locus ORDER BY m, allele) AS rank FROM (SELECT sample, caller, locus, allele, min(rank) AS m FROM calls GROUP BY 1, 2, 3, 4)"
+
+
+def _calls(lines):
     locus = F.element_at(F.array(*map(F.lit, "ABC")), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    calls = read(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 9).alias("sample"), F.col("l_returnflag").alias("caller"), locus.alias("locus"), F.concat(F.lit("HLA-"), locus, F.lit("*0"), (F.col("l_partkey") % 5).cast("string"), F.lit(":01")).alias("allele"), F.col("l_linenumber").alias("rank"), F.col("l_linestatus").alias("source_file"))
-    return proteome.hla_consensus(calls)
+    return lines.select((F.col("l_suppkey") % 9).alias("sample"), F.col("l_returnflag").alias("caller"), locus.alias("locus"), F.concat(F.lit("HLA-"), locus, F.lit("*0"), (F.col("l_partkey") % 5).cast("string"), F.lit(":01")).alias("allele"), F.col("l_linenumber").alias("rank"), F.col("l_linestatus").alias("source_file"))
+
 
+def _ranked(calls):
+    return proteome.hla_ranks(calls.withColumnRenamed("rank", "ord")).select("sample", "caller", "locus", "allele", "rank")
 
-@query("hla_ranks", _CALLS + " SELECT sample, caller, locus, allele, rank() OVER (PARTITION BY sample, caller, locus ORDER BY m, allele) AS rank FROM (SELECT sample, caller, locus, allele, min(rank) AS m FROM calls GROUP BY 1, 2, 3, 4)")
+
+@query("hla_consensus", _CALLS + _CONSENSUS)
+def hla_consensus(spark, sf):
+    return proteome.hla_consensus(_calls(read(spark, sf, "lineitem").where("l_orderkey % 50 = 0")))
+
+
+@query("hla_consensus_all", _ALL_CALLS + _CONSENSUS)
+def hla_consensus_all(spark, sf):
+    """Calls of all rows."""
+    return proteome.hla_consensus(_calls(read(spark, sf, "lineitem")))
+
+
+@query("hla_ranks", _CALLS + _RANKS)
 def hla_ranks(spark, sf):
-    locus = F.element_at(F.array(*map(F.lit, "ABC")), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    calls = read(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 9).alias("sample"), F.col("l_returnflag").alias("caller"), locus.alias("locus"), F.concat(F.lit("HLA-"), locus, F.lit("*0"), (F.col("l_partkey") % 5).cast("string"), F.lit(":01")).alias("allele"), F.col("l_linenumber").alias("ord"))
-    return proteome.hla_ranks(calls).select("sample", "caller", "locus", "allele", "rank")
+    return _ranked(_calls(read(spark, sf, "lineitem").where("l_orderkey % 50 = 0")))
+
+
+@query("hla_ranks_all", _ALL_CALLS + _RANKS)
+def hla_ranks_all(spark, sf):
+    """Calls of all rows."""
+    return _ranked(_calls(read(spark, sf, "lineitem")))
 
 
 @query("reconcile", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' WHEN a.v = b.v THEN 'shared' ELSE 'mismatched' END AS state FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_nationkey END AS v FROM customer WHERE c_custkey % 4 <> 0) b ON a.k = b.k")

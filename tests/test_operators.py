@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from burdock.functions import descriptors, labels, sequence, special
 from burdock.operators import cohort, enrichment, proteome, scoring, stats
+from burdock.plans import registry
 from burdock.sources import readers, writers
 from burdock.streaming.scoring import event_counts, score_landing
 from pyspark.sql import functions as F
@@ -119,6 +120,16 @@ def test_hla_readers_and_consensus(spark, tmp_path):
     assert [r.consensus_status for r in got] == ["CONSENSUS", "LOW_SUPPORT", "CONFLICT", "CONFLICT"] and got[0].support_callers == "x,y"
 
 
+def test_hla_queries_read_every_row(spark, tmp_path):
+    lines = [(k, 9, "RAN"[k % 3], 1 + k % 2, k, "F") for k in range(1, 31)]  # no order key is a multiple of 50
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_returnflag string, l_linenumber int, l_partkey long, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    queries = registry.load()[0]
+    ranks = {(r.caller, r.locus, r.allele) for r in queries["hla_ranks_all"](spark, str(tmp_path)).collect()}
+    assert ranks == {(c, "BC"[n - 1], f"HLA-{'BC'[n - 1]}*0{k % 5}:01") for k, _, c, n, _, _ in lines}
+    top = queries["hla_consensus_all"](spark, str(tmp_path)).collect()
+    assert sorted(r.locus for r in top) == ["B", "B", "C", "C"] and {(r.caller_count, r.support_count, r.consensus_status) for r in top} == {(3, 3, "CONSENSUS")}
+
+
 def test_distributions_against_direct_sums():
     assert special.t_two_sided(2.0, 10) == pytest.approx(0.07338803477074, abs=1e-12) and special.t_two_sided(1.0, 1) == pytest.approx(0.5, abs=1e-13)
     for n, m in ((2, 3), (4, 5), (1, 6)):
