@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Cells of the permutation table (samples x permutations) that may be broadcast: 160 MB of doubles.
-MOST_CELLS = 20_000_000
+#: Cells of a table of weights (samples x permutations) or values (genes x samples) that a task holds at once: 32 MB of doubles.
+CELLS = 4_000_000
 
 
 def enrichment_scores(ranked: DataFrame, keys: list[str], score: str, hit: str, tie: str) -> DataFrame:
@@ -29,33 +29,39 @@ def enrichment_test(spark: SparkSession, rows: DataFrame, groups: DataFrame, mem
     """signature, es, nes, null_mean, p_greater, p_less, p_two_sided of the fold change (b - a) against permuted labels.
 
     ``rows``: gene, sample, value (log scale); ``groups``: sample, grp; ``members``: signature, gene. A gene's fold change
-    under every permutation is one product of its values with a broadcast weight table (checked: ``MOST_CELLS``), and
-    each permutation is ranked as a key of its own, so no task holds more than one ranking. The normalised score divides
-    by the mean of null scores of the same sign. Samples without a value count as 0.
+    under every permutation is a product of its values with the permutations' weights, which each task deals out anew in
+    blocks of at most ``CELLS``, and each permutation is ranked as a key of its own, so no task holds more than one
+    ranking. The normalised score divides by the mean of null scores of the same sign. Samples without a value count as 0.
     """
     held = groups.where(F.col("grp").isin(a, b)).select("sample", "grp").dropDuplicates(["sample"])
-    if held.count() * (n + 1) > MOST_CELLS:
-        raise ValueError("too many samples for this number of permutations")
     found = sorted((r.sample, r.grp) for r in held.collect())
     names, side = [s for s, _ in found], np.array([g == b for _, g in found])
     empty = "signature string, es double, nes double, null_mean double, n_null long, p_greater double, p_less double, p_two_sided double"
     if not side.any() or side.all():
         return spark.createDataFrame([], empty)
-    rng = np.random.default_rng(seed)
-    deals = np.stack([side, *(rng.permutation(side) for _ in range(n))])
-    weights = spark.sparkContext.broadcast(np.where(deals, 1 / side.sum(), -1 / (~side).sum()).T)
-    place = spark.sparkContext.broadcast({s: i for i, s in enumerate(names)})
-
-    @F.pandas_udf("array<double>")
-    def changes(samples: pd.Series, values: pd.Series) -> pd.Series:
-        x = np.zeros((len(samples), len(place.value)))
-        for i, (s, v) in enumerate(zip(samples, values, strict=True)):
-            x[i, [place.value[k] for k in s]] = np.asarray(v, float)
-        return pd.Series(list(x @ weights.value), dtype=object)
+    shared = spark.sparkContext.broadcast(({s: i for i, s in enumerate(names)}, side))
+
+    def changes(batches):
+        place, side = shared.value
+        size, most = max(1, CELLS // len(side)), max(1, CELLS // len(side))
+        for pdf in batches:
+            for lo in range(0, len(pdf), most):
+                part = pdf.iloc[lo : lo + most]
+                x = np.zeros((len(part), len(side)))
+                for i, (s, v) in enumerate(zip(part["s"], part["v"], strict=True)):
+                    x[i, [place[k] for k in s]] = np.asarray(v, float)
+                rng = np.random.default_rng(seed)
+                for at in range(0, n + 1, size):
+                    deals = np.stack([side if k == 0 else rng.permutation(side) for k in range(at, min(at + size, n + 1))])
+                    fc = x @ np.where(deals, 1 / side.sum(), -1 / (~side).sum()).T
+                    step = max(1, CELLS // len(deals))
+                    for k in range(0, len(part), step):
+                        yield pd.DataFrame({"gene": part["gene"].to_numpy()[k : k + step], "first": at, "fc": list(fc[k : k + step])})
 
     in_set = rows.join(held.select("sample"), "sample", "left_semi").where("value is not null").groupBy("gene", "sample").agg(F.sum("value").alias("value"))
     genes = in_set.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("sample", "value"))).alias("x"))
-    fold = genes.select("gene", F.posexplode(changes("x.sample", "x.value")).alias("perm", "fc"))
+    dealt = genes.select("gene", F.col("x.sample").alias("s"), F.col("x.value").alias("v")).mapInPandas(changes, f"gene {dict(rows.dtypes)['gene']}, first long, fc array<double>")
+    fold = dealt.select("gene", "first", F.posexplode("fc").alias("k", "fc")).select("gene", (F.col("first") + F.col("k")).alias("perm"), "fc")
     sets = members.select("signature", "gene").distinct()
     # one ranking per permutation; the sets' rows alone go on from there
     w = Window.partitionBy("perm")

@@ -132,47 +132,56 @@ def exact_permutation(spark: SparkSession, rows: DataFrame, a: str, b: str, keys
 
 
 def resample(rows: DataFrame, a: str, b: str, keys: list[str], n: int = 10_000, seed: int = 20260604, grp: str = "grp", value: str = "value") -> DataFrame:
-    """Bootstrap interval of the difference of means, and a label-permutation p, per key (a seeded generator each)."""
+    """Bootstrap interval of the difference of means, and a label-permutation p, per key.
+
+    Blocks of resamples, each with a generator of its own, are shared out over tasks; a task draws ``CELLS`` values at a time.
+    """
 
     def one(pdf):
         pdf = pdf.sort_values([grp, value])
+        head, block = pdf.iloc[0][keys].to_dict(), int(pdf["__block"].iloc[0])
         x, y = (pdf.loc[pdf[grp] == g, value].dropna().to_numpy(float) for g in (a, b))
-        head = pdf.iloc[0][keys].to_dict()
         if not len(x) or not len(y):
-            return pd.DataFrame([head | {"delta": None, "low": None, "median": None, "high": None, "p_permutation": None}])
-        rng = np.random.default_rng(seed)
-        boot = rng.choice(y, (n, len(y))).mean(1) - rng.choice(x, (n, len(x))).mean(1)
-        pool, k, obs = np.concatenate([y, x]), len(y), y.mean() - x.mean()
-        mixed = rng.permuted(np.tile(pool, (n, 1)), axis=1)
-        null = mixed[:, :k].mean(1) - mixed[:, k:].mean(1)
-        low, mid, high = np.quantile(boot, (0.025, 0.5, 0.975))
-        return pd.DataFrame([head | {"delta": obs, "low": low, "median": mid, "high": high, "p_permutation": ((np.abs(null) >= abs(obs)).sum() + 1) / (n + 1)}])
+            return pd.DataFrame([head | {"obs": None, "boot": None, "null": None}])
+        rng, k, pool = _seeds(seed, head, block), len(y), np.concatenate([y, x])
+        boot, null = [], []
+        for m in _runs(n, block, len(pool)):
+            boot.append(rng.choice(y, (m, k)).mean(1) - rng.choice(x, (m, len(x))).mean(1))
+            mixed = rng.permuted(np.tile(pool, (m, 1)), axis=1)
+            null.append(mixed[:, :k].mean(1) - mixed[:, k:].mean(1))
+        boot = np.concatenate(boot)
+        return pd.DataFrame({**{c: [v] * len(boot) for c, v in head.items()}, "obs": y.mean() - x.mean(), "boot": boot, "null": np.concatenate(null)})
 
     kinds = dict(rows.dtypes)
-    return rows.select(*keys, grp, value).groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", delta double, low double, median double, high double, p_permutation double")
+    parts = _blocks(rows.sparkSession, rows.select(*keys, grp, value), n).groupBy(*keys, "__block").applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", obs double, boot double, null double")
+    at = lambda q: F.percentile("boot", F.lit(q))
+    p = F.when(F.max("obs").isNotNull(), (F.count_if(F.abs("null") >= F.abs("obs")) + 1) / (n + 1))
+    return parts.groupBy(*keys).agg(F.max("obs").alias("delta"), at(0.025).alias("low"), at(0.5).alias("median"), at(0.975).alias("high"), p.alias("p_permutation"))
 
 
 def permute_within(spark: SparkSession, rows: DataFrame, bins: list[str], label: str, weight: str, sample: str, n: int = 200, seed: int = 20260606) -> DataFrame:
     """Null of the labelled weight per sample when labels are permuted inside bins: mean, sd and p of the observed sum.
 
-    Work is split by bin, each with a generator of its own; partial sums per permutation are added up by Spark.
+    Work is split by bin and block of permutations, each with a generator of its own; a block's sums are one array per
+    sample and bin, with the observed sum in front, and are added up over the bins where they are compared with it.
     """
 
     def one(pdf):
         pdf = pdf.sort_values([sample, weight])
-        rng = np.random.default_rng([seed, *map(ord, "|".join(str(pdf[b].iloc[0]) for b in bins))])
+        block = int(pdf["__block"].iloc[0])
+        rng = _seeds(seed, pdf.iloc[0][bins].to_dict(), block)
         hot, w = pdf[label].to_numpy(bool), pdf[weight].to_numpy(float)
         names, code = np.unique(pdf[sample].to_numpy(), return_inverse=True)
-        out = [np.bincount(code, w * (hot if k == 0 else rng.permutation(hot)), len(names)) for k in range(n + 1)]
-        return pd.DataFrame({sample: np.tile(names, n + 1), "perm": np.repeat(np.arange(n + 1), len(names)), "s": np.concatenate(out)})
+        out = [np.bincount(code, w * (hot if k == 0 else rng.permutation(hot)), len(names)) for k in range(min(BLOCK, n - block * BLOCK) + 1)]
+        return pd.DataFrame({sample: names, "block": block, "s": list(np.stack(out, 1))})
 
     kinds = dict(rows.dtypes)
-    parts = rows.select(*{*bins, label, weight, sample}).groupBy(*bins).applyInPandas(one, f"{sample} {kinds[sample]}, perm int, s double")
-    sums = parts.groupBy(sample, "perm").agg(F.sum("s").alias("s"))
-    null, obs = F.when(F.col("perm") > 0, F.col("s")), F.max(F.when(F.col("perm") == 0, F.col("s")))
-    stats = sums.groupBy(sample).agg(obs.alias("observed"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"))
-    more = sums.where("perm > 0").join(stats.select(sample, "observed"), sample).groupBy(sample).agg(((F.count_if(F.col("s") >= F.col("observed")) + 1) / (n + 1)).alias("p_greater"))
-    return stats.join(more, sample)
+    parts = _blocks(spark, rows.select(*{*bins, label, weight, sample}), n).groupBy(*bins, "__block").applyInPandas(one, f"{sample} {kinds[sample]}, block long, s array<double>")
+    each = parts.repartition(sample, "block").select(sample, "block", F.posexplode("s").alias("perm", "s"))
+    sums = each.groupBy(sample, "block", "perm").agg(F.sum("s").alias("s"))
+    sums = sums.withColumn("obs", F.max(F.when(F.col("perm") == 0, F.col("s"))).over(Window.partitionBy(sample, "block")))
+    null = F.when(F.col("perm") > 0, F.col("s"))
+    return sums.groupBy(sample).agg(F.max("obs").alias("observed"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"), ((F.count_if((F.col("perm") > 0) & (F.col("s") >= F.col("obs"))) + 1) / (n + 1)).alias("p_greater"))
 
 
 def rank_correlation(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:

@@ -120,13 +120,13 @@ def directional(spark, sf):
 
 @query("bootstrap_ci")
 def bootstrap(spark, sf):
-    return stats.resample(long(spark, sf), "AC", "TOL", ["metric"], n=2000)
+    return stats.resample(long(spark, sf), "AC", "TOL", ["metric"])
 
 
 @query("within_bin_permutation")
 def within_bins(spark, sf):
     rows = expression(spark, sf).join(F.broadcast(transcripts(spark, sf)), "tx").withColumns({"bin": cohort.quantile_bin("len", "sample", "tx"), "hot": F.col("tx") % 5 == 0})
-    return stats.permute_within(spark, rows, ["bin"], "hot", "tpm", "sample", 50)
+    return stats.permute_within(spark, rows, ["bin"], "hot", "tpm", "sample", 10_000)
 
 
 def _genes(spark, sf):
@@ -153,4 +153,4 @@ def gene_set_variation(spark, sf):
 @query("enrichment_test")
 def enrichment_test(spark, sf):
     rows, sets = _genes(spark, sf)
-    return rounded(enrichment.enrichment_test(spark, rows, samples(spark, sf), sets, "AC", "TOL", 200))
+    return rounded(enrichment.enrichment_test(spark, rows, samples(spark, sf), sets, "AC", "TOL", 10_000))

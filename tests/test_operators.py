@@ -1,5 +1,6 @@
 """Operators on small hand-made inputs with known results."""
 
+import inspect
 import itertools
 import math
 
@@ -167,6 +168,41 @@ def test_permutation_of_large_keys_uses_all_samples(spark):
         assert r.p_greater == pytest.approx((all_d >= obs - 1e-12).mean(), abs=0.02) and r.p_two_sided == pytest.approx((np.abs(all_d) >= abs(obs) - 1e-12).mean(), abs=0.02)
 
 
+def test_resampling_queries_run_the_reference_counts(spark, sf, monkeypatch):
+    calls = []
+    for mod, name in ((stats, "permute_within"), (stats, "resample"), (enrichment, "enrichment_test")):
+        monkeypatch.setattr(mod, name, lambda *a, _f=getattr(mod, name), _n=name, **k: (calls.append((_n, inspect.signature(_f).bind(*a, **k))), calls[-1][1].apply_defaults(), a[0] if _n == "resample" else a[1])[-1])
+    queries = registry.load()[0]
+    for q in ("within_bin_permutation", "bootstrap_ci", "enrichment_test"):
+        queries[q](spark, sf)
+    assert [(k, c.arguments["n"]) for k, c in calls] == [("permute_within", 10_000), ("resample", 10_000), ("enrichment_test", 10_000)]
+
+
+def test_blocks_of_resamples(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=30), rng.normal(size=20) + 0.5
+    df = spark.createDataFrame([("m", "AC", float(v)) for v in x] + [("m", "TOL", float(v)) for v in y] + [("lone", "AC", 1.0)], "metric string, grp string, value double")
+    got = {r.metric: r for r in stats.resample(df, "AC", "TOL", ["metric"], n=4_100).collect()}
+    se = math.sqrt(x.var() / 30 + y.var() / 20)
+    assert got["lone"].delta is None and got["lone"].p_permutation is None and got["m"].delta == pytest.approx(y.mean() - x.mean())
+    assert got["m"].low == pytest.approx(got["m"].delta - 1.96 * se, abs=0.1 * se + 0.02) and got["m"].high == pytest.approx(got["m"].delta + 1.96 * se, abs=0.1 * se + 0.02)
+
+    rows = [(s, b, w, h) for b, items in (("p", [("s", 1.0, True), ("s", 2.0, False), ("t", 4.0, False)]), ("q", [("s", 8.0, True), ("t", 16.0, False)])) for s, w, h in items]
+    null = stats.permute_within(spark, spark.createDataFrame(rows, "sample string, bin string, w double, hot boolean"), ["bin"], "hot", "w", "sample", 4_100)
+    got = {r["sample"]: r for r in null.collect()}
+    sums = [(a + c) for a in (1, 2, 0) for c in (8, 0)]  # of s, over the places of both labels
+    assert got["s"].observed == 9 and got["s"].null_mean == pytest.approx(np.mean(sums), abs=0.2) and got["s"].null_sd == pytest.approx(np.std(sums), abs=0.1)
+    assert got["s"].p_greater == pytest.approx(2 / 6, abs=0.04) and got["t"].observed == 0 and got["t"].p_greater == 1
+
+    # more samples x permutations than the former ceiling
+    genes = spark.range(4).select(F.format_string("g%d", "id").alias("gene"))
+    n = 2_100
+    names = spark.range(n).select(F.format_string("s%04d", "id").alias("sample"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("grp"))
+    vals = genes.crossJoin(names).select("gene", "sample", (F.xxhash64("gene", "sample") % 1000 / 1000 + F.when((F.col("gene") == "g1") & (F.col("grp") == "b"), 5.0).otherwise(0.0)).alias("value"))
+    out = enrichment.enrichment_test(spark, vals, names, spark.createDataFrame([("set", "g1")], "signature string, gene string"), "a", "b", 9_999).first()
+    assert out.n_null == 9_999 and out.es == 1.0
+
+
 def test_range_join_equals_all_pairs(spark):
     rng = np.random.default_rng(1)
     pts = [(int(k), int(x)) for k, x in zip(rng.integers(0, 3, 200), rng.integers(0, 500, 200), strict=True)]
