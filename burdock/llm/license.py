@@ -11,6 +11,7 @@ templates: it is refused beyond ``MAX_WORDS`` words.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import defaultdict
 
@@ -96,9 +97,10 @@ class Index:
         return {k: sorted(v) for k, v in out.items()}
 
 
-def align(text: list[bytes], template: list[bytes], low: int, high: int) -> tuple[int, int, int]:
-    """Most words matched in order with the text position minus the template position in [low, high]: (matched, first
-    and last matched text word); of equal alignments the one that ends first, then the latest start."""
+def align(text: list[bytes], template: list[bytes], low: int, high: int, start: int = 0, stop: int | None = None) -> tuple[int, int, int]:
+    """Most words of text[start:stop] matched in order with the text position minus the template position in [low, high]:
+    (matched, first and last matched text word); of equal alignments the latest start, then the one that ends first."""
+    stop = len(text) if stop is None else stop
     best = (0, 0, 0)
     width = high - low + 1
     row = [(0, 0, 0)] * width  # of the template word before: (matched, -first, -last), by diagonal
@@ -107,7 +109,7 @@ def align(text: list[bytes], template: list[bytes], low: int, high: int) -> tupl
         for d in range(width):
             i = j + low + d
             cell = row[d]
-            if 0 <= i < len(text) and text[i] == word:
+            if start <= i < stop and text[i] == word:
                 cell = (cell[0] + 1, cell[1] if cell[0] else i, -i)
             if d + 1 < width:
                 cell = max(cell, row[d + 1])  # a template word without a partner
@@ -120,7 +122,9 @@ def align(text: list[bytes], template: list[bytes], low: int, high: int) -> tupl
 
 
 def matches(index: Index, text: list[bytes], by_template: dict[int, list[int]], least: float) -> list[tuple]:
-    """(template, matched, first word, last word) of every match that covers at least ``least`` of its template."""
+    """(template, matched, first word, last word) of every match that covers at least ``least`` of its template.
+
+    Of each window of diagonals the words before and behind a match are aligned again, until none reaches ``least``."""
     out = []
     for t, diagonals in sorted(by_template.items()):
         size, groups = len(index.words[t]), []
@@ -129,13 +133,26 @@ def matches(index: Index, text: list[bytes], by_template: dict[int, list[int]],
                 groups[-1][1] = d
             else:
                 groups.append([d, d])
-        last = -1
+        found: list[tuple[int, int, int]] = []  # (first, last, matched), apart from each other and in order
         for a, b in groups:
             for lo in range(a, b + 1, 4 * BAND + 1):
-                n, first, end = align(text, index.words[t], lo - BAND, min(b, lo + 4 * BAND) + BAND)
-                if n >= least * size and first > last:
-                    out.append((t, n, first, end))
-                    last = end
+                low, high = lo - BAND, min(b, lo + 4 * BAND) + BAND
+                start, stop, free = max(low, 0), min(high + size, len(text)), []
+                for x, y, _ in found[max(bisect.bisect(found, (start,)) - 1, 0) :]:  # the words no match has taken
+                    if x >= stop:
+                        break
+                    free.append((start, x))
+                    start = max(start, y + 1)
+                free.append((start, stop))
+                while free:
+                    start, stop = free.pop()
+                    if stop - start < max(least * size, 1):
+                        continue
+                    n, first, end = align(text, index.words[t], low, high, start, stop)
+                    if n and n >= least * size:
+                        bisect.insort(found, (first, end, n))
+                        free += [(start, first), (end + 1, stop)]
+        out += [(t, n, first, end) for first, end, n in found]
     return out
 
 

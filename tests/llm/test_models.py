@@ -88,6 +88,26 @@ def test_planted_licenses_are_found_with_their_spans(spark, odd, empty):
     assert license.scan(odd).count() == 0 and license.scan(empty).count() == 0
 
 
+def test_adjacent_short_notices_are_all_found(spark):
+    rng = np.random.default_rng(12)
+    short = {"MIT-line": license.TEMPLATES["MIT-line"], "CC-BY-NC-4.0-line": license.TEMPLATES["CC-BY-NC-4.0-line"], "three": "provided as is"}
+    texts = ["\n".join([short["MIT-line"]] * 100), "\n".join([short["CC-BY-NC-4.0-line"]] * 2)]
+    for _ in range(30):  # copies with up to seven words between them
+        parts = [p for _ in range(rng.integers(2, 30)) for p in (*["qq"] * int(rng.integers(0, 8)), short[str(rng.choice(list(short)))])]
+        texts.append(" ".join(parts))
+    want = []
+    for i, text in enumerate(texts):
+        for name, t in short.items():
+            at, k = text.find(t), 0
+            while at >= 0:
+                want.append((i, name, k, at, at + len(t.rstrip("."))))
+                at, k = text.find(t, at + len(t)), k + 1
+    got = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), short, least=1.0).collect()
+    assert sorted((r.doc_id, r.template, r.occurrence, r.start, r.end) for r in got) == sorted(want)
+    loose = [r for r in license.scan(spark.createDataFrame([(0, texts[0])], "doc_id long, text string")).collect() if r.template == "MIT-line"]
+    assert len(loose) == 100 and {r.coverage for r in loose} == {1.0}
+
+
 def test_license_lines_of_the_corpus(spark, docs, sf):
     got = {(r.doc_id, r.template) for r in llm.QUERIES["op1_license_scan"](spark, sf).collect()}
     for name in ("Apache-2.0-line", "MIT-line", "GPL-3.0-line", "CC-BY-NC-4.0-line"):
