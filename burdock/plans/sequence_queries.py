@@ -93,6 +93,13 @@ def stop_cleaning(spark, sf):
     return sequences(spark, sf).select("doc_id", fs.cut_stops(part).alias("kept"))
 
 
+@query("stop_cleaning_words", "SELECT doc_id, pos, CASE WHEN length(l) - length(replace(l, '.', '')) <= 1 AND split_part(l, '.', 1) <> '' THEN split_part(l, '.', 1) END AS kept FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS l, unnest(range(0, len(string_split(text, ' ')))) AS pos FROM documents)")
+def stop_cleaning_words(spark, sf):
+    """Every word of a text; ``stop_cleaning`` and its SQL read the third."""
+    rows = sequences(spark, sf).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "l"))
+    return rows.select("doc_id", "pos", fs.cut_stops(F.col("l")).alias("kept"))
+
+
 @query("odd_letters", "SELECT item_id, list_aggregate(list_sort(list_distinct(regexp_extract_all(text, '[^ACDEFGHIKLMNPQRSTVWY]'))), 'string_agg', '') AS odd FROM (SELECT item_id, regexp_replace(upper(text), '[^A-Z ]', '', 'g') AS text FROM benchmark)")
 def odd_letters(spark, sf):
     return read(spark, sf, "benchmark").select("item_id", F.array_join(fs.odd_residues(F.regexp_replace(F.upper("text"), "[^A-Z ]", "")), "").alias("odd"))

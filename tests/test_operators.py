@@ -35,6 +35,12 @@ def test_scalar_functions(spark):
     assert one(spark, writers.ten_digits(lit(0.887344))) == "0.887344" and one(spark, writers.ten_digits(lit(2.0))) == "2"
 
 
+def test_stops_of_every_word(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d.e f.g.h .i"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.load()[0]["stop_cleaning_words"](spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.kept) for r in sorted(got, key=lambda r: r.pos)] == [(1, k) for k in ("a", "b", "c", "d", None, None)]
+
+
 def test_labels(spark):
     assert [one(spark, labels.label(F.lit(p))) for p in (0.50001, 0.5)] == ["AMYLOID", "Non-Amyloid"]
     assert [one(spark, labels.normal(F.lit(x))) for x in (" AMYL", "non_amyloid", "", None, "Odd")] == ["Amyloid", "Non-Amyloid", "NA", "NA", "odd"]
