@@ -101,9 +101,12 @@ def signature_scores(rows: DataFrame, members: DataFrame, sample: str = "sample"
     return scored.join(members, gene).groupBy(sample, "signature").agg(F.avg("z").alias("mean_z"), F.avg("pct").alias("rank_score"), F.count("*").alias("n_genes"))
 
 
-def match_controls(rows: DataFrame, part: str, treated: str, order: list[str], features: list[str], id_col: str) -> DataFrame:
-    """Greedy nearest control without replacement within ``part``: treated rows in ``order`` (descending, then id), Euclid over z-scored features."""
+def match_controls(rows: DataFrame, part: str, treated: str, order: list[str], features: list[str], id_col: str, same: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Greedy nearest control without replacement within ``part``: treated rows in ``order`` (descending, then id), Euclid
+    over z-scored features, plus 2 for each column of ``same`` that differs (a control without a value differs; a treated
+    row without one, or free controls all without one, add nothing)."""
     import numpy as np
+    import pandas as pd
 
     def match(pdf):
         x = pdf[features].to_numpy(float)
@@ -118,15 +121,17 @@ def match_controls(rows: DataFrame, part: str, treated: str, order: list[str], f
             if not len(free):
                 break
             d = np.sqrt(((x[free] - x[place[k]]) ** 2).sum(1))
+            for c in same:
+                mine, theirs = pdf.loc[k, c], pdf[c].iloc[free]
+                if not pd.isna(mine) and theirs.notna().any():
+                    d = d + np.where(theirs.eq(mine).fillna(False).to_numpy(bool), 0, 2)
             j = int(d.argmin())
             out.append((pdf[part].iloc[0], pdf.loc[k, id_col], pdf[id_col].iloc[free[j]], float(d[j])))
             free = np.delete(free, j)
-        import pandas as pd
-
         return pd.DataFrame(out, columns=[part, "treated_id", "control_id", "distance"])
 
     kinds = dict(rows.dtypes)
-    return rows.select(part, treated, id_col, *{*order, *features}).groupBy(part).applyInPandas(match, f"{part} {kinds[part]}, treated_id {kinds[id_col]}, control_id {kinds[id_col]}, distance double")
+    return rows.select(part, treated, id_col, *{*order, *features, *same}).groupBy(part).applyInPandas(match, f"{part} {kinds[part]}, treated_id {kinds[id_col]}, control_id {kinds[id_col]}, distance double")
 
 
 def sample_per_class(rows: DataFrame, cls: str, n: int, id_col: str, seed: int = 17) -> DataFrame:

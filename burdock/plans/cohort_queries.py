@@ -184,8 +184,8 @@ def quantile_thresholds(spark, sf):
 
 @query("matched_controls")
 def matched_controls(spark, sf):
-    rows = predicted(spark, sf).withColumn("hot", F.col("consensus") == "Amyloid")
-    return cohort.match_controls(rows, "sample", "hot", ["kd"], ["p2", "kd"], "protein_id")
+    rows = predicted(spark, sf).withColumn("hot", F.col("consensus") == "Amyloid").join(F.broadcast(transcripts(spark, sf).select("tx", "biotype")), "tx", "left")
+    return cohort.match_controls(rows, "sample", "hot", ["kd"], ["p2", "kd"], "protein_id", ["biotype"])
 
 
 @query("downsample_per_class")

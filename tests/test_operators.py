@@ -223,6 +223,16 @@ def test_matching_uses_each_control_once(spark):
     assert len(got) == 10 and len({r.control_id for r in got}) == 10
 
 
+def test_matching_adds_two_for_each_mismatch(spark):
+    rows = [("s", True, 1.0, 1, "x", "in"), ("s", False, 1.0, 2, "y", None), ("s", False, 2.0, 3, "x", None), ("t", True, 1.0, 4, None, "in"), ("t", False, 1.0, 5, "y", None)]
+    df = spark.createDataFrame(rows, "sample string, hot boolean, a double, id int, biotype string, place string")
+    run = lambda same: {r.treated_id: (r.control_id, r.distance) for r in cohort.match_controls(df, "sample", "hot", ["a"], ["a"], "id", same).collect()}
+    z = 1 / np.std([1.0, 1.0, 2.0])
+    assert run([]) == {1: (2, 0.0), 4: (5, 0.0)}
+    assert run(["biotype"]) == {1: (2, 2.0), 4: (5, 0.0)}  # z is 2.12: the other control is still farther
+    assert run(["place"]) == {1: (2, 0.0), 4: (5, 0.0)} and run(["biotype", "biotype"])[1] == (3, pytest.approx(z))
+
+
 def test_streaming_scores_new_files_once(spark, tmp_path):
     table, land = scoring.surrogate_table(), str(tmp_path / "in")
     schema = "id string, sequence string"
