@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tune(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound an Arrow batch, so that a worker holds a few MB of text however long the documents are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+#: Rows and bytes of an Arrow batch, at most.
+ROWS, BYTES = 1000, 16 << 20
+
+
+def tune(spark: SparkSession) -> None:
+    """Bound Arrow batches, so that a worker holds a few MB of text however long the documents are. Spark reads these
+    two settings when a plan runs, not when it is made, so they hold for the session; a lower setting stays."""
+    for key, most in (("maxRecordsPerBatch", ROWS), ("maxBytesPerBatch", BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(key).removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
 
 
 def release() -> None:
@@ -52,29 +62,60 @@ def bounded(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+_opened: list[Workspace] = []
+
+
 class Workspace:
     """Tables written to the folder that ``spark.checkpoint.dir`` names, which every executor can read.
 
-    Only where that setting is absent (single-machine tests) is a folder of our own used.
+    Only where that setting is absent on a single machine (tests) a folder of our own is used; a cluster must name one.
+    Tables that nothing reads any more are dropped at once, those that a lazy result still reads when the session ends,
+    or when the caller that has written the result closes the workspace.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not root and held.isDefined():
+            root = held.get()
         if not root:
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-            if held.isDefined():
-                root = held.get()
-            else:
-                root = "file://" + tempfile.mkdtemp(prefix="burdock-")
-                spark.sparkContext.setCheckpointDir(root)
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="burdock-")
+            spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/burdock-{uuid.uuid4().hex}"
+        path, fs = self._at("")
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _opened.append(self)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path, fs = self._at(name)
+            fs.delete(path, True)
+
+    def close(self) -> None:
+        self.drop("")
+        if self in _opened:
+            _opened.remove(self)
+
+
+@contextmanager
+def passing():
+    """Workspaces opened inside are closed at the end: what is still wanted of them has been written elsewhere by then."""
+    before = list(_opened)
+    try:
+        yield
+    finally:
+        for ws in [w for w in _opened if w not in before]:
+            ws.close()

@@ -3,34 +3,43 @@
 A document's set: its distinct k-word shingles (fewer words: the whole sequence as one; no words: the empty set, which
 links with nothing). Two sets link when |A n B| / |A u B| >= num / den. A partner shares at least need(n) =
 ceil(num n / den) tokens of a set of n, so under *any* total order of the tokens two partners share one of their first
-n - need(n) + 1 tokens. The join intersects that filter for three orders:
+n - need(n) + 1 tokens. The join intersects that filter for three orders, before any whole set is joined:
 
 1. rare first: tokens by the number of sets that hold them, so passages that many documents share come last. A set
    with over n - need(n) tokens of its own has a prefix nobody shares; this alone dismisses most documents
    (``profile``), before any pair is thought of.
-2. and 3. by two hashes: of the pairs that pass order 1, those without a common prefix token here go unverified.
+2. and 3. by two hashes: each node carries its prefixes under these orders as 32-bit numbers beside a sketch (parity of
+   its tokens in ``BITS`` cells: two sets differ by at least as many tokens as their sketches by bits, and partners
+   differ by few). Pairs that fail the sketch or share no prefix token under one of the orders go here.
 
 Equal sets are one node, however many copies there are. Pairs are not listed within a group: in
 rounds, each node is verified against one leader (a node drawn from a list and size class), the one it shares most
 prefix tokens with, and the verified links are contracted to components. Nodes whose lists hold several components are
 then ordered anew, tokens that one component alone has first, which dismisses most of them. When few pairs are left,
-or after STARS rounds, all pairs *between* components are listed and verified. The components are those of the full
-link graph: every pair left out lies in one component already.
+when few nodes find a link, or after STARS rounds, the pairs *between* components that are left are looked for list by
+list, by size classes and in cells of at most ``CELL`` x ``CELL`` nodes: a pair costs a look at two sketches there, and
+only those that pass are written. The components are those of the full link graph: every pair left out lies in one
+component already or has failed a filter that no link fails. A node with many pairs is dealt over several keys wherever
+its set is joined.
 
 Rows: a null id stays null and a component of null ids only has a null id; repeated rows and equal ids are fine; null
-and empty texts have empty sets; extra columns are ignored. Tokens are 64-bit hashes of shingles, sets are told apart
-by 128 bits.
+and empty texts have empty sets; very long texts are taken whole, a set must fit an Arrow batch; an empty table gives no
+rows; extra columns are ignored. Ties between leaders go by hash. Tokens are 64-bit hashes of shingles, sets are told
+apart by 128 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -44,6 +53,12 @@ SMALL = 1_000_000
 STARS = 6
 FEW = 6
 RARE = 50
+#: Bits of a sketch; nodes of one side of a cell of the closing join; pairs of a node that go to one key.
+BITS = 512
+CELL = 2048
+FAN = 512
+#: Salts of the second and third order.
+SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
 def need(n: Column, num: int, den: int) -> Column:
@@ -183,18 +198,35 @@ def profile(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     return found.groupBy("flush").applyInArrow(settle, "id long, n int, fp binary, alive boolean")
 
 
-def token_sets(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """fp, n, tokens of each node, from the text of one document that has it."""
+def prefix(tokens: np.ndarray, salt: int, num: int, den: int) -> np.ndarray:
+    """The prefix of a set under the order of a hash, as 32 bits of each token's hash."""
+    m = len(tokens) - -(-num * len(tokens) // den) + 1
+    h = _mix(tokens ^ np.uint64(salt))
+    return (h if m >= len(h) else np.partition(h, m - 1)[:m]).astype(np.uint32).view(np.int32)
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each of BITS cells, as 64-bit words."""
+    odd = np.bincount((_mix(tokens) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def token_sets(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """fp, n, rep, tokens, sketch, p2, p3 (prefixes under the hash orders) of each node, from the text of one document that has it."""
     wanted = common.bounded(nodes.select("rep").distinct(), SMALL)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t, k) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "n", "tokens"])
+            sets = [s for t in b.column(0).to_pylist() if len(s := shingles(t, k))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                 pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), *(pa.array([prefix(s, x, num, den) for s in sets], pa.list_(pa.int32())) for x in SALTS)],
+                names=["fp", "n", "tokens", "sketch", "p2", "p3"],
+            )
 
-    found = rows.mapInArrow(common.lean(run), "fp binary, n int, tokens array<long>")
-    return found.join(nodes.select("fp", "rep"), "fp").where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("rep").alias("rep"), F.first("tokens").alias("tokens"))
+    found = rows.mapInArrow(common.lean(run), "fp binary, n int, tokens array<long>, sketch array<long>, p2 array<int>, p3 array<int>")
+    return found.join(nodes.select("fp", "rep"), "fp").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "rep", "tokens", "sketch", "p2", "p3")))
 
 
 def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -213,36 +245,88 @@ def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
 def star(post: DataFrame, step: int, num: int, den: int) -> DataFrame:
     """(a, b): for each node of ``post`` the leader of another root it shares most listed tokens with. A list's leaders
     are one node a size class: by turns the one with fewest tokens of its own, and one drawn by a hash."""
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
-    lists = post.select("token", "nid", "root", "own", band.alias("band"))
+    lists = post.select("token", "nid", "root", "own", band(F.col("n"), num, den).alias("band"))
     typical = F.col("own") if step % 2 else F.lit(0)  # an original has fewer tokens of its own than its edited copies
     lead = lists.groupBy("token", "band").agg(F.min(F.struct(typical, F.xxhash64("nid", F.lit(step)), "nid", "root")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("token", "band", F.col("lead.nid").alias("lead"), F.col("lead.root").alias("lead_root"))
     votes = lists.join(lead, ["token", "band"]).where("lead_root <> root").groupBy("nid", "lead").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("nid").agg(F.min_by("lead", F.struct(-F.col("votes"), F.xxhash64("lead", F.lit(step)), F.col("lead"))).alias("lead"))
-    return best.select(F.greatest("nid", "lead").alias("a"), F.least("nid", "lead").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by their whole sets; pairs without common prefix tokens under the two hash
-    orders are dismissed first."""
-
-    def prefix(t: np.ndarray, salt: int) -> np.ndarray:
-        m = len(t) - -(-num * len(t) // den) + 1
-        h = _mix(t ^ np.uint64(salt))
-        return h if m >= len(h) else np.partition(h, m - 1)[:m]
+    return votes.groupBy("nid").agg(F.min_by("lead", F.struct(-F.col("votes"), F.xxhash64("lead", F.lit(step)), F.col("lead"))).alias("b")).select(F.col("nid").alias("a"), "b")
+
+
+def band(n: Column, num: int, den: int) -> Column:
+    """Size class; partners lie in one or in neighbouring ones (a class is a little wider than the ratio of partners)."""
+    return F.floor(F.log(n.cast("double")) / (float(np.log(den / num)) * 1.0001))
+
+
+def fits(a_n: Column, b_n: Column, a_sketch: Column, b_sketch: Column, num: int, den: int) -> Column:
+    """Whether sets of these sizes and sketches may link: partners differ by a_n + b_n - 2 x their common tokens at most."""
+    both = F.ceil(num * (a_n + b_n) / F.lit(num + den))
+    apart = reduce(add, (F.bit_count(F.get(a_sketch, F.lit(i)).bitwiseXOR(F.get(b_sketch, F.lit(i)))) for i in range(BITS // 64)))
+    return (F.least(a_n, b_n) >= both) & (apart <= a_n + b_n - 2 * both)
+
+
+def between(post: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): the pairs of different roots that share a listed token and may link by place, size and sketch.
+
+    A list's nodes meet in cells (size class, block, block): a node goes to the cells of its class and, as the larger
+    partner, of the class below."""
+    lists = post.withColumn("band", band(F.col("n"), num, den))
+    blocks = lists.groupBy("token", "band").agg(F.count("*").alias("k")).select("token", "band", F.ceil(F.col("k") / CELL).cast("int").alias("blocks"))
+    placed = lists.join(blocks, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    placed = placed.join(sets.select("nid", "sketch"), "nid")
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    cols = ("nid", "n", "root", "at", "sketch")
+    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in cols]
+    larger = blocks.select("token", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    left = placed.join(larger, ["token", "band"], "left")
+    own = left.select("token", "band", F.lit(0).alias("up"), F.col("block").alias("i"), F.explode(span(F.col("blocks"))).alias("j"), *named("a"))
+    up = left.where("above is not null").select("token", "band", F.lit(1).alias("up"), F.col("block").alias("i"), F.explode(span(F.col("above"))).alias("j"), *named("a"))
+    lower = blocks.select("token", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    right = placed.join(lower, ["token", "band"], "left")
+    same = right.select("token", "band", F.lit(0).alias("up"), F.explode(span(F.col("blocks"))).alias("i"), F.col("block").alias("j"), *named("b"))
+    down = right.where("below is not null").select("token", (F.col("band") - 1).alias("band"), F.lit(1).alias("up"), F.explode(span(F.col("below"))).alias("i"), F.col("block").alias("j"), *named("b"))
+    key = ["token", "band", "up", "i", "j"]
+    once = (F.col("up") == 1) | (F.col("a_nid") < F.col("b_nid"))  # a class meets itself in both orders
+    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= F.ceil(num * (F.col("a_n") + F.col("b_n")) / F.lit(num + den))
+    met = own.unionByName(up).join(same.unionByName(down), key)
+    may = fits(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch"), num, den)
+    return met.where(once & (F.col("a_root") != F.col("b_root")) & room & may).select(F.col("a_nid").alias("a"), F.col("b_nid").alias("b")).distinct()
+
+
+def attach(pairs: DataFrame, key: str, side: DataFrame) -> DataFrame:
+    """``pairs`` with the columns of ``side`` for node ``key``; a node with over FAN pairs is dealt over several keys."""
+    fan = pairs.groupBy(key).agg(F.ceil(F.count("*") / FAN).cast("int").alias("__parts")).where("__parts > 1")
+    left = pairs.join(fan, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    right = side.join(fan, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
+def verified(ws: common.Workspace, pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str, seen: list | None = None) -> DataFrame:
+    """The pairs (a, b) of nodes that link. Those that fail the sketch or have no common prefix token under one of the
+    hash orders go first; the whole sets are joined to the rest alone. ``seen`` gets the pairs left after each filter."""
 
     def run(batches):
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = (z.values.to_numpy().view(np.uint64) for z in (x, y))
-                common_ = all(len(np.intersect1d(prefix(x, s), prefix(y, s), assume_unique=True)) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if common_ else 0
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = sets.select(F.col("nid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("nid").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(common.lean(run), "a long, b long")
+    light = lambda x: sets.select(F.col("nid").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "sketch", "p2", "p3")))
+    held = ws.save(pairs, f"pairs-{name}")
+    rows = attach(attach(held, "a", light("a")), "b", light("b"))
+    rows = rows.withColumn("o1", fits(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch"), num, den))
+    rows = rows.withColumn("o2", F.when(F.col("o1"), F.arrays_overlap("a_p2", "b_p2")).otherwise(False))
+    rows = rows.withColumn("o3", F.when(F.col("o2"), F.arrays_overlap("a_p3", "b_p3")).otherwise(False))
+    watch = Observation() if seen is not None else None
+    if watch:
+        rows = rows.observe(watch, F.count("*").alias("pairs"), *(F.count_if(o).alias(k) for o, k in (("o1", "sketch"), ("o2", "order_2"), ("o3", "order_3"))))
+    kept = ws.save(rows.where("o3").select("a", "b"), f"kept-{name}")
+    if watch:
+        seen.append(dict(watch.get) | {"step": name})
+    whole = lambda x: sets.select(F.col("nid").alias(x), F.col("tokens").alias(f"{x}_tokens"))
+    return attach(attach(kept, "a", whole("a")), "b", whole("b")).select("a", "b", "a_tokens", "b_tokens").mapInArrow(common.lean(run), "a long, b long")
 
 
 def components(ws: common.Workspace, edges: DataFrame, name: str) -> DataFrame:
@@ -263,43 +347,46 @@ def components(ws: common.Workspace, edges: DataFrame, name: str) -> DataFrame:
             ws.drop(f"{name}-{step - 2}")
 
 
-def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, n (shingles), component (smallest id reachable by links, itself included)."""
+def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, seen: list | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, n (shingles), fp (which set), component (smallest id reachable by links, itself
+    included) and group (key of the component, also where it has no id). ``seen``: see ``verified``."""
     ws = common.Workspace(spark)
     info = ws.save(profile(docs, k, num, den, id_col, text_col, buckets), "info")
     nodes = ws.save(info.where("alive").groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
-    sets = ws.save(ws.save(token_sets(docs, nodes, k, id_col, text_col), "found").withColumn("nid", F.monotonically_increasing_id()), "sets")
+    sets = ws.save(ws.save(token_sets(docs, nodes, k, num, den, id_col, text_col), "found").withColumn("nid", F.monotonically_increasing_id()), "sets")
     ws.drop("found")
 
     # order 1: rare tokens first; tokens of one set only come before all and are counted, not listed
     post = ws.save(prefixes(sets.withColumn("root", F.col("nid")), num, den), "prefixes-0")
-    roots = None
+    roots, left = None, ["prefixes-0"]
     for step in range(1, STARS + 1):
         # each node against the leader, of another component, that it shares most prefix tokens with
-        links = ws.save(verified(star(post, step, num, den), sets, num, den), f"links-{step}")
-        roots = ws.save(components(ws, links if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), f"star-{step}"), f"roots-{step}")
+        links = ws.save(verified(ws, star(post, step, num, den), sets, num, den, str(step), seen), f"links-{step}")
+        before = links if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
+        roots = ws.save(components(ws, before, f"star-{step}"), f"roots-{step}")
         # the nodes of lists that hold several components are ordered anew, tokens of one component first
         rooted = post.drop("root").join(common.bounded(roots.withColumnRenamed("node", "nid"), SMALL), "nid", "left").select("token", "nid", F.coalesce("root", "nid").alias("root"))
         mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
         open_ = ws.save(rooted.join(mixed, "token").select("nid", "root").distinct(), f"open-{step}")
         post = ws.save(prefixes(sets.join(common.bounded(open_, SMALL), "nid"), num, den), f"prefixes-{step}")
         n = post.groupBy("token").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0))).first()[0]
-        if n <= FEW * open_.count() or RARE * links.count() <= open_.count():
+        ended = n <= FEW * open_.count() or RARE * links.count() <= open_.count()
+        ws.drop(*left, f"pairs-{step}", f"kept-{step}", f"open-{step}")
+        left = [f"links-{step}", f"roots-{step}", f"prefixes-{step}"]
+        if ended:
             break
 
-    # all pairs between components that are left
-    side = lambda x: post.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("nid", "n", "root", "at")))
-    both = F.ceil(num * (F.col("a_n") + F.col("b_n")) / F.lit(num + den))  # tokens that sets of these sizes must share
-    fits = (F.col("a_nid") < F.col("b_nid")) & (F.col("a_root") != F.col("b_root")) & (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= both)
-    pairs = side("a").join(side("b"), "token").where(fits).select(F.col("a_nid").alias("a"), F.col("b_nid").alias("b")).distinct()
-    more = verified(pairs, sets, num, den)
+    more = verified(ws, between(post, sets, num, den), sets, num, den, "between", seen)
     roots = ws.save(components(ws, ws.save(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "edges"), "all"), "roots")
 
     named = sets.select("nid", "fp", "rep").join(roots, F.col("nid") == F.col("node")).select("fp", "root", "rep")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    by_set = nodes.join(named.join(smallest, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = info.join(common.bounded(ws.save(by_set, "components"), SMALL), "fp", "left")
-    return out.select("id", "n", "fp", F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id")).alias("component"))
+    by_set = nodes.join(named.join(smallest, "root").select("fp", "root", "component"), "fp", "left").select("fp", F.coalesce("component", "rep").alias("component"), "root")
+    by_set = ws.save(by_set, "components")
+    ws.drop(*left, "nodes", "sets", "edges", "roots", "pairs-between", "kept-between")
+    out = info.join(common.bounded(by_set, SMALL), "fp", "left")
+    group = F.coalesce(F.concat(F.lit("r"), F.col("root").cast("string")), F.hex("fp"))
+    return out.select("id", "n", "fp", F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id")).alias("component"), group.alias("group"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,14 +394,32 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def _with_set(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
+    """``docs`` with __fp and __n of each row's set."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, k) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())], names=[*b.schema.names, "__fp", "__n"])
+
+    return docs.mapInArrow(common.lean(run), T.StructType([*docs.schema.fields, T.StructField("__fp", T.BinaryType()), T.StructField("__n", T.IntegerType())]))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id stays (of its repeated rows, one). Documents
-    without words or without an id stay: the former link with nothing, the latter cannot be told apart by id."""
-    got = common.Workspace(spark).save(join_components(spark, docs, k, num, den).where("n > 0 and id is not null"), "groups")
-    gone = got.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(common.bounded(gone, SMALL), "doc_id", "left_anti")
-    again = got.where("id = component").groupBy("id", "fp").count().where("count > 1").select(F.col("id").alias("doc_id")).distinct()
-    if again.limit(1).count() == 0:
-        return kept
-    again = common.bounded(again, SMALL)
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Pipeline stage: of each group one document stays, the one with the smallest id; documents without words stay.
+
+    Rows that share an id, or have none, are told apart by their sets: of a group's rows with its smallest id (of its
+    rows, if none has one) those with the first set are taken, and of these one row."""
+    got = common.Workspace(spark).save(join_components(spark, docs, k, num, den), "groups")
+    shared = got.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias("doc_id"))
+    gone = got.where("n > 0 and id is not null and id <> component").select(F.col("id").alias("doc_id"))
+    if shared.limit(1).count() == 0:
+        return docs.join(common.bounded(gone, SMALL), "doc_id", "left_anti")
+    shared = common.bounded(shared.where("doc_id is not null"), SMALL)
+    plain = docs.where("doc_id is not null").join(shared, "doc_id", "left_anti").join(common.bounded(gone.distinct(), SMALL), "doc_id", "left_anti")
+    odd = docs.where("doc_id is null").unionByName(docs.join(shared, "doc_id", "left_semi").select(*docs.columns))
+    odd = _with_set(odd, k)
+    first = got.where("n > 0 and id <=> component").groupBy("group").agg(F.first("id").alias("__id"), F.min("fp").alias("__first"))
+    one = odd.where("__n > 0").join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__first")), "left_semi").dropDuplicates(["doc_id", "__fp"])
+    return plain.unionByName(odd.where("__n = 0").unionByName(one).drop("__fp", "__n"))

@@ -104,6 +104,60 @@ def test_stage_keeps_one_of_each_group(spark, odd, docs, sf):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "6", "7", "None"] and kept.columns == odd.columns
 
 
+def test_stage_tells_rows_of_one_id_apart(spark):
+    """A text that shares its id with a copy stays; of a group without ids one row stays."""
+    w = [f"w{i}" for i in range(60)]
+    text, other, third = " ".join(w), " ".join(f"v{i}" for i in range(40)), " ".join(f"z{i}" for i in range(30))
+    rows = [(1, text), (2, text + " more"), (2, other), (3, other + " b c"), (None, third), (None, third), (None, third + " x"), (None, "alone here"), (4, ""), (4, ""), (5, text), (1, text)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, __n int").withColumnRenamed("__n", "n")
+    out = sorted(((r.doc_id, r.text) for r in ngram_join.stage(spark, df, "").collect()), key=str)
+    assert [r for r in out if r[0]] == [(1, text), (2, other), (4, ""), (4, "")]
+    assert len([r for r in out if r[0] is None]) == 2 and (None, "alone here") in out
+
+
+def test_orders_cut_pairs_before_sets_are_joined(spark):
+    """Texts of 12 of 24 stock passages: nearly all pairs share passages, hardly any links. Pairs that reach the whole
+    sets grow with the texts, not with their square; and the result is that of all pairs."""
+    rng = np.random.default_rng(1)
+    stock = [" ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(40)) for _ in range(24)]
+    texts = [" ".join(stock[j] for j in sorted(rng.choice(24, 12, replace=False))) for _ in range(240)]
+    docs = list(enumerate([*texts, *(t + " end" for t in texts[:30])]))
+    seen = []
+    out = ngram_join.join_components(spark, spark.createDataFrame(docs, "doc_id long, text string"), seen=seen)
+    assert got(out) == plain_components(docs)
+    assert all(x["pairs"] >= x["sketch"] >= x["order_2"] >= x["order_3"] for x in seen)
+    assert sum(x["order_3"] for x in seen) < 2 * len(docs)
+
+
+def test_sketch_and_prefixes_lose_no_link():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(0.7, 1)], rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 6)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if not len(b) or 100 * both < 85 * (len(a) + len(b) - both):
+            continue
+        apart = sum(int(x).bit_count() for x in (ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64))
+        assert apart <= len(a) + len(b) - 2 * both
+        for salt in ngram_join.SALTS:
+            assert set(ngram_join.prefix(a, salt, 85, 100).tolist()) & set(ngram_join.prefix(b, salt, 85, 100).tolist())
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, sf, tmp_path):
+    import shutil
+
+    for name, rows in (("odd", odd), ("empty", empty)):
+        at = tmp_path / name
+        shutil.copytree(sf, at)
+        shutil.rmtree(at / "documents.parquet", ignore_errors=True)
+        (at / "documents.parquet").unlink(missing_ok=True)
+        rows.write.parquet(str(at / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(at)).collect()
+        assert (out == []) == (name == "empty")
+        assert {r.doc_id for r in out} <= {1, 2, 3, None, 5, 6, 7}
+
+
 def test_pipeline(spark, sf):
     """Each stage's decisions hold in what the next one gets."""
     from .test_documents import check_pieces, plain_hits, plain_spans
