@@ -193,6 +193,37 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(spark, df.limit(0), df, 20).count() == 0 and ann.search(spark, df, df.limit(0), 20).count() == 0
 
 
+def test_neighbours_equal_their_sql(spark, sf):
+    import duckdb
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = duckdb.sql(ann.ORACLE).df().sort_values(["query_id", "rank"]).reset_index(drop=True)
+    got = llm.QUERIES["op10_block_neighbours"](spark, sf).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
+    assert got[want.columns].values.tolist() == want.values.tolist()
+
+
+def test_neighbours_keep_doubles(spark):
+    """Vectors that are the same as floats are told apart, and scores are those of the doubles."""
+    rows = [(20, [0.1, 1.0]), (1, [0.1, 1.0]), (2, [0.1 + 1e-10, 1.0]), (3, [1e300, 1.0]), (4, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r.vec_id: (r.rank, r.score) for r in ann.search(spark, df.where("vec_id = 20"), df).collect()}
+    assert [out[i][0] for i in (3, 2, 1, 4)] == [1, 2, 3, 4]
+    assert out[1][1] == 0.1 * 0.1 + 1.0 and out[2][1] == 0.1 * (0.1 + 1e-10) + 1.0 and out[3][1] == 0.1 * 1e300 + 1.0
+
+
+def test_products_of_many_dimensions_are_exact(spark):
+    rng = np.random.default_rng(11)
+    a, b = (rng.integers(100, 128, (3, 4096)).astype(np.int8) for _ in range(2))
+    assert (ann.product(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
+    x = rng.uniform(0.99, 1.0, (60, 4096)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(spark, df.where("vec_id % 20 = 0"), df, 5).collect()
+    real = x.astype(float) @ x.T.astype(float)
+    for q in (0, 20, 40):
+        want = sorted((i for i in range(60) if i != q), key=lambda i: (-real[q, i], i))[:5]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(8)
     x = (rng.normal(size=(50, 64)) * rng.uniform(0.01, 100, (50, 1))).astype(np.float32)
