@@ -2,16 +2,22 @@
 
 A document is cut into whole sequences of C ids and a rest r < C. The rest belongs to class k = floor(C / r) (at most
 ``CLASSES``), whose bins take k documents each: k rests of class k always fit. Each worker fills the bins of its own
-partition, one open bin a class, without a shuffle or a word with other workers. Since documents may be cut, the slack
-of a full bin is topped up from a reserve (rests of class 1); a bin that finds the reserve spent waits for more, and
-what has waited too long, or is still open when the partition ends, is laid end to end. The last, short sequence is cut at powers of two, lengths that need no padding.
-
-Null text is the empty text, which has one id (the end id). Repeated rows are packed one by one. Sequence ids are
-partition number x 2^32 + a counter: distinct, and the same when a lost task runs again.
+partition, one open bin a class, without a shuffle or a word with other workers. The slack of a full bin is filled with
+whole rests from the open bins of smaller classes that surely fit, the largest first; what is then left of it, with the
+front of one rest that is cut, taken from the open bin with the largest rests, or from the next document where no bin
+holds any. So every sequence but the last of a partition is a class's bin with its fixed count of whole documents and
+its filling, and about one document a sequence is cut. What is open when the partition ends is laid end to end; the
+last, short sequence is cut at powers of two, lengths that need no padding.
+
+Null text is the empty text, which has one id (the end id); a very long text fills whole sequences; repeated rows and
+ties are packed one by one, in the order of the partition; an empty table gives no pieces; extra columns are ignored.
+Sequence ids are partition number x 2^32 + a counter: distinct, and the same when a lost task runs again. A worker holds
+under C ids in the bin of each class.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -26,8 +32,9 @@ from pyspark.sql import functions as F
 from . import common
 
 CLASSES = 64
-WAIT = 64
 END = 2
+#: Words of more characters are not kept, so a cache of words is bounded in bytes, too.
+LONG = 64
 #: Latin-1 letters, then ASCII signs other than the apostrophe.
 _PIECES = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 _COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -46,6 +53,20 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(odd)}
 
 
+#: What a tokenizer file must say for words to be encoded one by one: the fixed values of the public file's head.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def by_words(spec: dict) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and merges within letters, digits or signs, as ``Encoder`` takes for granted."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    steps = pre.get("pretokenizers") or [{}, {}]
+    level = steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex")
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+    return (spec.get("normalizer") or {}).get("normalizers") == _NORMAL and steps[:-1] == [_SPLIT] and level and plain
+
+
 class Encoder(dict):
     """Ids of whole texts; the dictionary holds the ids (bytes of unsigned 32-bit numbers) of words seen before.
 
@@ -53,7 +74,8 @@ class Encoder(dict):
     order. Chunks are cut at the space and the newline only (white space under any definition); other white space
     stays inside a chunk, where the tokenizer itself deals with it. Of a chunk made of Latin-1 letters, perhaps with
     ASCII signs behind, the lower-cased letters are one piece and the signs another, so the merges alone are asked
-    for; any other chunk goes through the whole tokenizer. Holds about ``most`` words.
+    for; any other chunk goes through the whole tokenizer. Holds about ``most`` words of at most LONG characters.
+    A tokenizer file of another make gets whole texts and no cache.
     """
 
     def __init__(self, path: str, most: int = 300_000):
@@ -63,6 +85,8 @@ class Encoder(dict):
         super().__init__({"": b""})
         self.tok, self.most = Tokenizer.from_file(path), most
         self.merge, self.letters = self.tok.model.tokenize, _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            self.words = by_words(json.load(f))
 
     def __missing__(self, word: str) -> bytes:
         if m := _PIECES.fullmatch(word):
@@ -76,10 +100,13 @@ class Encoder(dict):
                 ids = array("I", [t.id for t in self.merge(text)]).tobytes()
         else:
             ids = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
+        if len(word) <= LONG:
+            self[word] = ids
         return ids
 
     def __call__(self, text: str | None) -> np.ndarray:
+        if not self.words:
+            return np.array(self.tok.encode(text or "", add_special_tokens=False).ids, np.uint32)
         if len(self) > self.most:
             self.clear()
             self[""] = b""
@@ -87,13 +114,12 @@ class Encoder(dict):
 
 
 class Packer:
-    """The bins of one worker. Pieces are (document, start, ids); ``out`` gets a tuple for each placed piece."""
+    """The bins of one worker. Pieces are (document, its length, start, ids); ``out`` gets a tuple for each placed piece."""
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.sequence = capacity, first_id
         self.open: dict[int, list] = {}
-        self.reserve: list = []
-        self.waiting: list[list] = []
+        self.waiting: tuple[list, int] | None = None  # a full bin without anything to fill its slack with, and the slack
         self.out: list[tuple] = []
 
     def place(self, pieces: list) -> None:
@@ -103,31 +129,50 @@ class Packer:
             at += len(ids)
         self.sequence += 1
 
+    def take(self, k: int) -> tuple:
+        held = self.open[k]
+        piece = held.pop()
+        if not held:
+            del self.open[k]
+        return piece
+
     def settle(self, pieces: list) -> None:
-        """Place a bin that the reserve can top up; let it wait where the reserve is spent."""
+        """Fill a bin's slack and place it; it waits for the next rest where no bin is open."""
         room = self.capacity - sum(len(p[3]) for p in pieces)
-        while room and self.reserve:
-            doc, total, start, ids = self.reserve.pop()
-            pieces.append((doc, total, start, ids[:room]))
-            if len(ids) > room:
+        while room:
+            sure = -(-self.capacity // room)  # rests of this class and of smaller ones fit
+            if (k := min((k for k in self.open if k >= sure), default=0)) or (k := self.fitting(room)):
+                pieces.append(piece := self.take(k))
+                room -= len(piece[3])
+            elif self.open:
+                doc, total, start, ids = self.take(min(self.open))
+                pieces.append((doc, total, start, ids[:room]))
+                self.place(pieces)
                 self.add_rest((doc, total, start + room, ids[room:]))
-            room -= min(room, len(ids))
-        if not room:
-            self.place(pieces)
-            return
-        self.waiting.append(pieces)
-        if len(self.waiting) > WAIT:
-            held, self.waiting = [p for b in self.waiting for p in b], []
-            if left := self.lay(held):
-                self.waiting.append(left)
+                return
+            else:
+                self.waiting = pieces, room
+                return
+        self.place(pieces)
+
+    def fitting(self, room: int) -> int:
+        """The smallest class, where its last rest fits: rests beyond the last class have no least length."""
+        k = max(self.open, default=0)
+        return k if k and len(self.open[k][-1][3]) <= room else 0
 
     def add_rest(self, piece: tuple) -> None:
+        if self.waiting:
+            (pieces, room), self.waiting = self.waiting, None
+            doc, total, start, ids = piece
+            pieces.append((doc, total, start, ids[:room]))
+            if len(ids) < room:
+                self.waiting = pieces, room - len(ids)
+                return
+            self.place(pieces)
+            if len(ids) == room:
+                return
+            piece = doc, total, start + room, ids[room:]
         k = min(self.capacity // len(piece[3]), CLASSES)
-        if k == 1:
-            self.reserve.append(piece)
-            if self.waiting or len(self.reserve) > WAIT:
-                self.settle(self.waiting.pop() if self.waiting else [self.reserve.pop(0)])
-            return
         held = self.open.setdefault(k, [])
         held.append(piece)
         if len(held) == k:
@@ -141,11 +186,12 @@ class Packer:
         if whole < len(ids):
             self.add_rest((doc, len(ids), whole, ids[whole:]))
 
-    def lay(self, rest: list, last: bool = False) -> list:
-        """Place pieces end to end in whole sequences; what is left over is returned or, at last, cut at powers of two."""
-        rest = rest[::-1]
+    def close(self) -> None:
+        """Lay what is left end to end: whole sequences, then powers of two."""
+        rest = [*(self.waiting[0] if self.waiting else ()), *(p for k in sorted(self.open) for p in self.open[k])][::-1]
+        self.open, self.waiting = {}, None
         left = sum(len(p[3]) for p in rest)
-        while left >= (1 if last else self.capacity):
+        while left:
             size = self.capacity if left >= self.capacity else 1 << left.bit_length() - 1
             left -= size
             pieces = []
@@ -156,11 +202,6 @@ class Packer:
                     rest.append((doc, total, start + size, ids[size:]))
                 size -= min(size, len(ids))
             self.place(pieces)
-        return rest[::-1]
-
-    def close(self) -> None:
-        self.lay([*(p for b in self.waiting for p in b), *self.reserve, *(p for k in sorted(self.open) for p in self.open[k])], last=True)
-        self.reserve, self.waiting, self.open = [], [], {}
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}

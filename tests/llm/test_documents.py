@@ -99,6 +99,38 @@ def test_packing_takes_odd_rows(spark, odd, empty):
     assert packing.pack(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("low, high", [(1, 2048), (100, 700), (2049, 4096), (1, 9000), (1366, 2048), (5, 9)])
+def test_sequences_come_from_bins_of_a_fixed_count(low, high):
+    """Whatever the lengths: each sequence but a partition's last few holds k whole rests of one class k, all ids lie in
+    one piece, nothing is padded, and little more than one document a sequence is cut."""
+    rng = np.random.default_rng(low)
+    p, size = packing.Packer(4096, 0), {}
+    for d in range(3000):
+        size[d] = int(rng.integers(low, high))
+        p.add(d, np.full(size[d], d, np.uint32))
+        assert sum(len(x[3]) for held in p.open.values() for x in held) < 4096 * packing.CLASSES
+    p.close()
+    by_seq, by_doc = {}, {}
+    for doc, start, n, _, total, seq, at in p.out:
+        assert total == size[doc]
+        by_seq.setdefault(seq, []).append((at, n, doc, start))
+        by_doc.setdefault(doc, []).append((start, n))
+    for doc, pieces in by_doc.items():
+        assert np.cumsum([0, *(n for _, n in sorted(pieces))]).tolist() == [*(s for s, _ in sorted(pieces)), size[doc]]
+    bins, lengths = 0, []
+    for pieces in by_seq.values():
+        lengths.append(sum(n for _, n, *_ in pieces))
+        counts = {}
+        for _, n, doc, start in pieces:
+            if n < 4096 and start + n == size[doc]:
+                k = min(4096 // n, packing.CLASSES)
+                counts[k] = counts.get(k, 0) + 1
+        bins += lengths[-1] == 4096 and (len(pieces) == 1 or any(v >= k for k, v in counts.items()))
+    assert all(n == 4096 or n & (n - 1) == 0 for n in lengths)
+    assert bins >= 0.9 * len(by_seq) - 70
+    assert sum(len(v) - 1 for v in by_doc.values()) <= sum(v // 4096 for v in size.values()) + 1.1 * len(by_seq)
+
+
 def test_packer_bins_take_k_of_class_k():
     p = packing.Packer(64, 0)
     for d in range(90):
@@ -107,7 +139,35 @@ def test_packer_bins_take_k_of_class_k():
     sizes = {}
     for doc, _, n, *_, seq, _ in p.out:
         sizes.setdefault(seq, []).append(n)
-    assert [10] * 6 + [4] in sizes.values() and all(sum(v) == 64 for v in list(sizes.values())[:-6])
+    assert [10] * 6 in [v[:6] for v in sizes.values()] and all(sum(v) == 64 for v in list(sizes.values())[:-6])
+
+
+def test_encoder_holds_no_long_words_and_takes_other_files(tmp_path):
+    import json
+
+    path = packing.tokenizer_path("word_bpe_49k.json")
+    enc = packing.Encoder(path)
+    assert enc.words
+    texts = ["word " + "x" * 5000, "日本語" * 3000, "QUJD" * 2000 + " end", None]
+    for t in texts:
+        assert enc(t).tolist() == enc.tok.encode(t or "", add_special_tokens=False).ids
+    assert all(len(w) <= packing.LONG for w in enc)
+    other = packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json"))
+    text = "Upper  Case\nand\t spaces"
+    assert not other.words and other(text).tolist() == other.tok.encode(text, add_special_tokens=False).ids
+    spec = json.load(open(path, encoding="utf-8"))
+    spec["normalizer"] = None
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    assert not packing.Encoder(str(tmp_path / "t.json")).words
+
+
+def test_pieces_of_short_documents(spark, docs):
+    """Documents under 2,048 ids through the whole operator."""
+    enc = packing.Encoder(packing.tokenizer_path("word_bpe_49k.json"))
+    short = [(r.doc_id, r.text) for r in docs.collect() if len(enc(r.text)) < 2047]
+    rows = packing.pack(spark, spark.createDataFrame(short, "doc_id long, text string").coalesce(1)).collect()
+    texts = dict(short)
+    assert check_pieces(rows, lambda d: [*enc(texts[d]).tolist(), 2]) == 0
 
 
 # secrets
