@@ -285,6 +285,32 @@ def test_decontamination_odd_rows_and_shards(spark, odd, empty, docs, sf, monkey
     assert sorted(decontam.report(decontam.scan(spark, docs, bench)).collect()) == sorted(one)
 
 
+def test_decontamination_equals_its_sql(spark, sf):
+    import duckdb
+
+    for t in ("documents", "benchmark"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = duckdb.sql(decontam.ORACLE).fetchall()
+    got = llm.QUERIES["op9_decontamination"](spark, sf)
+    assert got.columns == [c[0] for c in duckdb.sql(decontam.ORACLE).description]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_pieces_of_long_items_hold_every_window():
+    ws = [str(i).encode() for i in range(500)]
+    for most in (1, 40, 333, 10_000):
+        cut = list(decontam.pieces(ws, most))
+        assert {tuple(p[i : i + 13]) for p in cut for i in range(len(p) - 12)} == {tuple(ws[i : i + 13]) for i in range(488)}
+    assert list(decontam.pieces([], 5)) == [[]] and list(decontam.pieces(ws[:5], 1)) == [ws[:5]]
+
+
+def test_shards_clean_as_one_automaton_does(spark, docs, sf, monkeypatch):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    one = sorted(decontam.clean(spark, docs, bench).collect())
+    monkeypatch.setattr(decontam, "SHARD_CHARS", 3000)
+    assert sorted(decontam.clean(spark, docs, bench).collect()) == one
+
+
 def test_decontamination_stage(spark, docs, sf):
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     out = {r.doc_id: r for r in decontam.stage(spark, docs, sf).collect()}
