@@ -5,11 +5,14 @@ sum-of-squares form of all pairwise interactions, so a document costs time linea
 
 Features of a text: every distinct lower-cased word, hashed to ``WORDS`` buckets and weighted by tf / |tf|; a one-hot
 bin for each structure statistic (upper case, symbols, digits, pipes, distinct words, adjacent repeats, word length,
-line length) and for the length. Null and empty texts have the statistic bins of the empty text only. Labels, lang,
-source and ids are not features. Repeated rows are scored one by one; extra columns are ignored.
-
-The model is fitted on at most ``max_train`` labelled rows (a documented bound; rows with the smallest hash of the id),
-and its size is fixed: (WORDS + bins) x (rank + 1) floats.
+line length) and for the length. Null and empty texts have the statistic bins of the empty text only; very long texts
+are read whole. Labels, lang, source and ids are not features. Repeated rows, and ties with them, are scored one by one;
+an empty table gives no rows, empty labels a score of one half; extra columns are ignored.
+
+The model is fitted on at most ``max_train`` labelled ids (a documented bound; the ids with the smallest hash) with one
+text each, so at most that many feature rows reach the driver: of an id that repeats, the text that sorts first. Ids
+whose labels contradict each other, null ids and labels other than 0 and 1 teach nothing. The model's size is fixed:
+(WORDS + bins) x (rank + 1) floats.
 """
 
 from __future__ import annotations
@@ -113,15 +116,15 @@ def fit(offsets: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, rank
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_out: int = 0, max_train: int = 6000) -> dict:
-    """Fit on labelled rows outside the held-out fold; at most ``max_train`` of them, so the driver's share is bounded."""
+    """Fit on labelled ids outside the held-out fold; at most ``max_train`` of them with one text each, so the driver's share is bounded."""
     common.tune(spark)
     chosen = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
         .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (common.fold("_id", folds) != held_out))
-        .groupBy("_id").agg(F.min("_y").alias("_y"))
+        .groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).where("_y = _most").drop("_most")
         .orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
 
     def encode(batches):
         for b in batches:
