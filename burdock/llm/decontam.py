@@ -35,7 +35,7 @@ from . import common
 
 WINDOW = 13
 SHARE = 20
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 8_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -62,14 +62,20 @@ class Automaton:
                 last = self._extend(last, w)
         #: The state that holds the suffix of ``window`` words, for each state that is long enough.
         self.full = array("i", (self._up(s) if self.size[s] >= window else -1 for s in range(len(self.size))))
-        self.items: dict[int, set] = {}
+        #: Items by the state of a window: the first one's number, and all of them where there are several.
+        self.names = [name for name, _ in coded]
+        self.owner, self.shared = array("i", [-1]) * len(self.size), {}
         shorts: dict[int, set] = {}
-        for name, ws in coded:
+        for k, (name, ws) in enumerate(coded):
             s = 0
             for i, w in enumerate(ws):
                 s = self._go(s, w)
                 if i + 1 >= window:
-                    self.items.setdefault(self.full[s], set()).add(name)
+                    f = self.full[s]
+                    if self.owner[f] < 0:
+                        self.owner[f] = k
+                    elif self.owner[f] != k:
+                        self.shared.setdefault(f, {self.names[self.owner[f]]}).add(name)
             if len(ws) < window:
                 while self.size[self.link[s]] >= len(ws):
                     s = self.link[s]
@@ -155,7 +161,9 @@ class Automaton:
                     cover = np.zeros(n + 1, np.int32) if cover is None else cover
                     cover[i + 1 - window] += 1
                     cover[i + 1] -= 1
-                    found |= self.items.get(full[s], set())
+                    found.add(self.names[self.owner[full[s]]])
+                    if full[s] in self.shared:
+                        found |= self.shared[full[s]]
                 for length, name in self.shorts.get(s, ()):
                     if length <= have:
                         cover = np.zeros(n + 1, np.int32) if cover is None else cover

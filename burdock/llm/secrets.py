@@ -6,7 +6,8 @@ Kinds: assign (a password-like name, a sign and a value of 6 or more characters)
 directly), and with an embedded CRC32: github (gh?_ and 36 characters), npm (npm_ and 36 characters).
 
 Matches of a kind are leftmost and do not overlap; one that is too short still uses up its characters. Spans are code
-points, end exclusive. Null text is the empty text. Repeated rows are scanned one by one.
+points, end exclusive. Null text is the empty text; very long texts are scanned whole. Repeated rows are scanned one by
+one; spans that start together come in the order of the kinds; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,6 +151,38 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"))
 
 
+def _sql() -> str:
+    """The scan in SQL. A match's place is what the text's pieces between the matches before it, and these, are long;
+    the checksum is computed bit by bit."""
+    hits = {
+        "assign": (rf"({_NAMES})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, "length(g) >= 6", "length(m)"),
+        "access": (r"AKIA[A-Z0-9]+", 0, "length(m) >= 20", "length(m)"),
+        "hex": (r"[0-9a-f]{24,}", 0, "true", "length(m)"),
+        "github": (r"gh[pousr]_([A-Za-z0-9]{36})(?:[^A-Za-z0-9]|$)", 1, "sound", "40"),
+        "npm": (r"npm_([A-Za-z0-9]{36})(?:[^A-Za-z0-9]|$)", 1, "sound", "40"),
+    }
+    raw = " UNION ALL ".join(f"SELECT r, {k} AS k, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {g}) AS g, string_split_regex(t, '{p}') AS s FROM d" for k, (p, g, _, _) in enumerate(hits.values()))
+    bits = "flatten(list_transform(range(1, 31), lambda i: [ascii(substr(g, i::INT, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, o: CASE WHEN o < 0 THEN xor(c >> 1, (c & 1) * 3988292384::BIGINT) ELSE xor(c, o) END), 4294967295::BIGINT)"
+    check = " || ".join(f"substr('{_DIGITS}', ((crc // {62**k}) % 62 + 1)::INT, 1)" for k in range(5, -1, -1))
+    keep = " ".join(f"WHEN k = {k} THEN {rule}" for k, (_, _, rule, _) in enumerate(hits.values()))
+    size = " ".join(f"WHEN k = {k} THEN {n}" for k, (*_, n) in enumerate(hits.values()))
+    name = " ".join(f"WHEN k = {k} THEN '{kind}'" for k, kind in enumerate(hits))
+    count = ", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, kind in enumerate(BASE))
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+raw AS ({raw}),
+each AS (SELECT r, k, m[i] AS m, g[i] AS g, list_sum(list_transform(s[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS a FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw)),
+sums AS (SELECT *, CASE WHEN k > 2 THEN {crc} END AS crc FROM each),
+kept AS (SELECT r, k, CASE {name} END || ':' || a::BIGINT || ':' || (a + CASE {size} END)::BIGINT AS span, a FROM (SELECT *, substr(g, 31) = {check} AS sound FROM sums) WHERE CASE {keep} END),
+found AS (SELECT r, {count}, string_agg(span, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM kept GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN found USING (r)
+"""
+
+
+ORACLE = _sql()
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets are replaced in the texts; every document stays."""
     return redact_rows(docs)

@@ -5,7 +5,8 @@ to the sections of the text (lines, each with its line end, or blocks between em
 a token that crosses a boundary lies in several; the rule decides who counts it: ``first`` (the section of its first
 byte), ``last`` (of its last byte) or ``most`` (of most of its bytes, the earlier on a tie).
 
-Null and empty texts have one empty section without tokens; repeated rows are counted one by one.
+Null and empty texts have one empty section without tokens; very long texts are encoded whole; repeated rows are counted
+one by one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -53,6 +53,38 @@ def test_spans_of_mixed_texts_and_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_labels_of_many_languages():
+    """Labels are numbers of any size: 200 languages, each with a letter run of its own."""
+    names = [f"l{i:03d}" for i in range(200)]
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3)) * 3
+    m = langid.model({n: langid.counts([f"{word(7 * i)} " * 40]) for i, n in enumerate(names)})
+    for i in (0, 126, 127, 128, 129, 199):
+        got = langid.label(m, [f"{word(7 * i)} " * 12])[0]
+        assert got[0] == names[i] and got[2] == [(0, 11, names[i])]
+
+
+def test_grams_and_model_equal_plain_loops():
+    texts = ["Die Katze und der Hund", "x é", "", "кот"]
+
+    def bucket(g):
+        h = 0
+        for c in g:
+            h = ((h ^ c) * 0x01000193) % 2**32
+        return (h ^ h >> 15) % langid.BUCKETS
+
+    want = np.zeros(langid.SIZE, np.int64)
+    for t in texts:
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).encode().split():
+            w = b" " + w + b" "
+            for k, n in enumerate(langid.ORDERS):
+                for i in range(len(w) - n + 1):
+                    want[k * langid.BUCKETS + bucket(w[i : i + n])] += 1
+    assert (langid.counts(texts)[: 2 * langid.BUCKETS] == want[: 2 * langid.BUCKETS]).all()
+    m = langid.model({"a": langid.counts(texts[:1]), "b": langid.counts(texts[3:])})
+    raw = [[np.log((c + 0.5) / (n + 0.5 * langid.BUCKETS)) for c, n in zip(row, np.sum([langid.counts(texts[:1])[: langid.BUCKETS], langid.counts(texts[3:])[: langid.BUCKETS]], 1), strict=True)] for row in zip(langid.counts(texts[:1])[:50], langid.counts(texts[3:])[:50], strict=True)]
+    assert np.allclose(m["logs"][0][:50], [[(v - sum(r) / 2) / 2 for v in r] for r in raw], atol=1e-5)
+
+
 # licenses
 
 
