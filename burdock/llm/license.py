@@ -4,9 +4,13 @@ words, the coverage of the template and the span.
 
 Texts are lower-cased and cut into words of letters and digits. Any run of K + W - 1 = 4 template words in a text gives
 a common fingerprint. Winnowing keeps the smallest of every W neighbouring hashes of K words; a text or template with
-fewer words than K has one fingerprint of all its words. Null and empty texts have none. Matches of one template are
-reported apart from each other, in order; repeated rows are scanned one by one. The index is as large as the
-templates: it is refused beyond ``MAX_WORDS`` words.
+fewer words than K has one fingerprint of all its words. Around such a run, every alignment within BAND diagonals that
+covers enough of the template on words that no other match has taken is reported.
+
+Null and empty texts have no matches; very long texts are scanned whole; matches of one template are apart from each
+other and numbered in order, ties go to the later start; repeated rows are scanned one by one; an empty table gives no
+rows; extra columns are ignored. Templates come as a dictionary or as a table (``templates``); the index is as large as
+they are and is refused beyond ``MAX_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -27,21 +31,44 @@ K = 3
 W = 2
 BAND = 6
 MAX_WORDS = 5_000_000
-#: Short public notices; full license texts can be passed as further templates.
+_WARRANTY = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {2}"
+_BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. If not, see https://www.gnu.org/licenses/."
+#: Whole public license texts (of the long licenses the notice that files carry) and one-line notices. More can be passed.
 TEMPLATES = {
+    "0BSD": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "AGPL-3.0-or-later": _GNU.format("Affero General Public License"),
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "MIT-line": "Released under the MIT License.",
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD-2-Clause": f"{_BSD.format('1. ', '2. ', '')}{_BSD_WARRANTY}",
+    "BSD-3-Clause": f"{_BSD.format('1. ', '2. ', '3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ')}{_BSD_WARRANTY}",
+    "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
     "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-or-later": _GNU.format("General Public License"),
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "LGPL-3.0-or-later": _GNU.format("Lesser General Public License"),
+    "MIT": f"{_GRANT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_WARRANTY}",
+    "MIT-0": f"{_GRANT}. {_WARRANTY}",
+    "MIT-line": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": f'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. {_WARRANTY.replace(" OR COPYRIGHT HOLDERS", "")} For more information, please refer to https://unlicense.org/',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 
 
+def templates(rows: DataFrame, name_col: str = "name", text_col: str = "text") -> dict[str, str]:
+    """Templates from a table; its size is checked before anything is collected. Of a repeated name the text that sorts first."""
+    held = rows.where(F.col(name_col).isNotNull() & F.col(text_col).isNotNull())
+    if held.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0] > 8 * MAX_WORDS:
+        raise ValueError("too much template text for one index; scan in several calls")
+    return {r[0]: r[1] for r in held.groupBy(name_col).agg(F.min(text_col)).collect()}
+
+
 def fingerprints(hashes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chosen fingerprints of word-hash sequences laid end to end: value, sequence, position of the first word."""
     total = len(hashes)
@@ -156,11 +183,11 @@ def matches(index: Index, text: list[bytes], by_template: dict[int, list[int]],
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, found_by: dict[str, str] | DataFrame = TEMPLATES, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per match: id, template, occurrence, matched_words, template_words, coverage, start, end (code points)."""
     spark = docs.sparkSession
     common.tune(spark)
-    held = spark.sparkContext.broadcast(Index(templates))
+    held = spark.sparkContext.broadcast(Index(templates(found_by) if isinstance(found_by, DataFrame) else found_by))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     names = [id_col, "template", "occurrence", "matched_words", "template_words", "coverage", "start", "end"]
 

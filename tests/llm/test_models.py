@@ -140,6 +140,58 @@ def test_adjacent_short_notices_are_all_found(spark):
     assert len(loose) == 100 and {r.coverage for r in loose} == {1.0}
 
 
+def banded(a, b, low, high):
+    """Longest common subsequence of pairs (i, j) with low <= i - j <= high, by the plain table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + 1 if x == y and low <= i - j <= high else 0)
+    return best[-1][-1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matches_are_those_of_all_alignments(seed):
+    """On random texts with edited copies: each match is worth what it says, matches of a template are apart, and around
+    no run of four template words an alignment on free words is left that covers enough. No document is skipped."""
+    rng = np.random.default_rng(seed)
+    draw = lambda n, k: [f"w{i}" for i in rng.integers(0, k, n)]
+    for _ in range(40):
+        table = {f"t{i}": " ".join(draw(rng.integers(4, 22), 12)) for i in range(3)}
+        text = draw(rng.integers(0, 20), 40)
+        for _ in range(rng.integers(1, 5)):
+            copy = table[f"t{rng.integers(0, 3)}"].split()
+            for _ in range(rng.integers(0, 4)):
+                copy[rng.integers(0, len(copy))] = "zz"
+            text += copy[int(rng.integers(0, 2)) :] + draw(rng.integers(0, 6), 40)
+        ws, index, least = license.words(" ".join(text)), license.Index(table), 0.7
+        hits = {}
+        for (_, t), diagonals in index.candidates(*license.word_hashes([ws])).items():
+            hits[t] = diagonals
+        got = license.matches(index, ws, hits, least)
+        for t, template in enumerate(index.words):
+            own = [g for g in got if g[0] == t]
+            free = [True] * len(ws)
+            for _, n, first, last in own:
+                assert n >= least * len(template) and n <= plain_lcs(ws[first : last + 1], template)
+                assert all(free[first : last + 1])
+                free[first : last + 1] = [False] * (last + 1 - first)
+            runs = [(i, j) for i in range(len(ws) - 3) for j in range(len(template) - 3) if ws[i : i + 4] == template[j : j + 4]]
+            for i, j in runs:
+                d, edge = i - j, [k for k in range(len(ws) + 1) if k == len(ws) or not free[k]]
+                start = max([0, *(k + 1 for k in edge if k < i)])
+                stop = min([k for k in edge if k >= i])
+                if free[i]:
+                    assert banded(ws[start:stop], template, d - license.BAND - start, d + license.BAND - start) < least * len(template), (ws, template, own)
+
+
+def test_templates_come_from_a_table(spark):
+    rows = spark.createDataFrame([("a", "one two three four five"), ("a", "zz"), (None, "x y z"), ("b", None)], "name string, text string")
+    assert license.templates(rows) == {"a": "one two three four five"}
+    docs = spark.createDataFrame([(1, "so: One two three, four five!")], "doc_id long, text string")
+    assert [(r.template, r.matched_words, r.start, r.end) for r in license.scan(docs, rows).collect()] == [("a", 5, 4, 28)]
+    assert all(len(t.split()) > 3 for t in license.TEMPLATES.values())
+
+
 def test_license_lines_of_the_corpus(spark, docs, sf):
     got = {(r.doc_id, r.template) for r in llm.QUERIES["op1_license_scan"](spark, sf).collect()}
     for name in ("Apache-2.0-line", "MIT-line", "GPL-3.0-line", "CC-BY-NC-4.0-line"):
