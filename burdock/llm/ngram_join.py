@@ -394,6 +394,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, hash(g) AS h, g FROM (SELECT r, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0))),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+t AS (SELECT r, r AS o FROM d UNION SELECT t.r, e.y FROM t JOIN e ON t.o = e.x),
+c AS (SELECT t.r, min(d.doc_id) AS component_id FROM t JOIN d ON d.r = t.o GROUP BY t.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN c USING (r)
+"""
+
+
 def _with_set(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
     """``docs`` with __fp and __n of each row's set."""
     at = docs.columns.index(text_col)

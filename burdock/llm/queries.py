@@ -16,4 +16,4 @@ QUERIES = {
     "op9_decontamination": decontam.op9,
     "op10_block_neighbours": ann.op10,
 }
-ORACLES: dict[str, str] = {"op5_chat_format": chat.ORACLE, "op8_secret_scan": secrets.ORACLE, "op9_decontamination": decontam.ORACLE, "op10_block_neighbours": ann.ORACLE}
+ORACLES: dict[str, str] = {"op5_chat_format": chat.ORACLE, "op6_ngram_jaccard": ngram_join.ORACLE, "op8_secret_scan": secrets.ORACLE, "op9_decontamination": decontam.ORACLE, "op10_block_neighbours": ann.ORACLE}
