@@ -37,7 +37,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,7 @@ RARE = 50
 BITS = 512
 CELL = 2048
 FAN = 512
+BETWEEN = "between"
 #: Salts of the second and third order.
 SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
@@ -270,33 +271,33 @@ def between(post: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     A list's nodes meet in cells (size class, block, block): a node goes to the cells of its class and, as the larger
     partner, of the class below."""
     lists = post.withColumn("band", band(F.col("n"), num, den))
-    blocks = lists.groupBy("token", "band").agg(F.count("*").alias("k")).select("token", "band", F.ceil(F.col("k") / CELL).cast("int").alias("blocks"))
+    blocks = lists.groupBy("token", "band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    w = Window.partitionBy("token").orderBy("band")
+    near = lambda c, k: F.when(c(F.col("band"), 1).over(w) == F.col("band") + k, c(F.col("blocks"), 1).over(w)).otherwise(0)
+    blocks = blocks.select("token", "band", "blocks", near(F.lead, 1).alias("above"), near(F.lag, -1).alias("below"))
     placed = lists.join(blocks, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     placed = placed.join(sets.select("nid", "sketch"), "nid")
-    span = lambda n: F.sequence(F.lit(0), n - 1)
-    cols = ("nid", "n", "root", "at", "sketch")
-    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in cols]
-    larger = blocks.select("token", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    left = placed.join(larger, ["token", "band"], "left")
-    own = left.select("token", "band", F.lit(0).alias("up"), F.col("block").alias("i"), F.explode(span(F.col("blocks"))).alias("j"), *named("a"))
-    up = left.where("above is not null").select("token", "band", F.lit(1).alias("up"), F.col("block").alias("i"), F.explode(span(F.col("above"))).alias("j"), *named("a"))
-    lower = blocks.select("token", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    right = placed.join(lower, ["token", "band"], "left")
-    same = right.select("token", "band", F.lit(0).alias("up"), F.explode(span(F.col("blocks"))).alias("i"), F.col("block").alias("j"), *named("b"))
-    down = right.where("below is not null").select("token", (F.col("band") - 1).alias("band"), F.lit(1).alias("up"), F.explode(span(F.col("below"))).alias("i"), F.col("block").alias("j"), *named("b"))
+    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("nid", "n", "root", "at", "sketch")]
+    span = lambda n, cell: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), cell)).otherwise(F.array().cast("array<struct<band:bigint,up:int,i:int,j:int>>"))
+    at = lambda band_, up, i, j: F.struct(band_.cast("long").alias("band"), F.lit(up).alias("up"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own, mine = F.col("block"), F.col("band")
+    as_a = F.concat(span(F.col("blocks"), lambda k: at(mine, 0, own, k)), span(F.col("above"), lambda k: at(mine, 1, own, k)))
+    as_b = F.concat(span(F.col("blocks"), lambda k: at(mine, 0, k, own)), span(F.col("below"), lambda k: at(mine - 1, 1, k, own)))
+    left = placed.select("token", F.explode(as_a).alias("c"), *named("a")).select("*", "c.*").drop("c")
+    right = placed.select("token", F.explode(as_b).alias("c"), *named("b")).select("*", "c.*").drop("c")
     key = ["token", "band", "up", "i", "j"]
     once = (F.col("up") == 1) | (F.col("a_nid") < F.col("b_nid"))  # a class meets itself in both orders
     room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= F.ceil(num * (F.col("a_n") + F.col("b_n")) / F.lit(num + den))
-    met = own.unionByName(up).join(same.unionByName(down), key)
+    met = left.join(right, key)
     may = fits(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch"), num, den)
     return met.where(once & (F.col("a_root") != F.col("b_root")) & room & may).select(F.col("a_nid").alias("a"), F.col("b_nid").alias("b")).distinct()
 
 
-def attach(pairs: DataFrame, key: str, side: DataFrame) -> DataFrame:
-    """``pairs`` with the columns of ``side`` for node ``key``; a node with over FAN pairs is dealt over several keys."""
-    fan = pairs.groupBy(key).agg(F.ceil(F.count("*") / FAN).cast("int").alias("__parts")).where("__parts > 1")
-    left = pairs.join(fan, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
-    right = side.join(fan, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+def attach(rows: DataFrame, key: str, side: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``side`` for node ``key``; a node with over FAN of the ``pairs`` is dealt over several keys."""
+    fan = pairs.groupBy(key).agg(F.ceil(F.count("*") / FAN).cast("int").alias("__parts"))
+    left = rows.join(fan.where("__parts > 1"), key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    right = side.join(fan, key).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 
@@ -314,8 +315,7 @@ def verified(ws: common.Workspace, pairs: DataFrame, sets: DataFrame, num: int,
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     light = lambda x: sets.select(F.col("nid").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "sketch", "p2", "p3")))
-    held = ws.save(pairs, f"pairs-{name}")
-    rows = attach(attach(held, "a", light("a")), "b", light("b"))
+    rows = pairs.join(light("a"), "a").join(light("b"), "b")
     rows = rows.withColumn("o1", fits(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch"), num, den))
     rows = rows.withColumn("o2", F.when(F.col("o1"), F.arrays_overlap("a_p2", "b_p2")).otherwise(False))
     rows = rows.withColumn("o3", F.when(F.col("o2"), F.arrays_overlap("a_p3", "b_p3")).otherwise(False))
@@ -326,15 +326,21 @@ def verified(ws: common.Workspace, pairs: DataFrame, sets: DataFrame, num: int,
     if watch:
         seen.append(dict(watch.get) | {"step": name})
     whole = lambda x: sets.select(F.col("nid").alias(x), F.col("tokens").alias(f"{x}_tokens"))
-    return attach(attach(kept, "a", whole("a")), "b", whole("b")).select("a", "b", "a_tokens", "b_tokens").mapInArrow(common.lean(run), "a long, b long")
+    # a node has one leader at most, so ``a`` is only dealt out where ``b`` is no leader
+    held = kept.join(whole("a"), "a") if name != BETWEEN else attach(kept, "a", whole("a"), kept)
+    return attach(held, "b", whole("b"), kept).select("a", "b", "a_tokens", "b_tokens").mapInArrow(common.lean(run), "a long, b long")
 
 
 def components(ws: common.Workspace, edges: DataFrame, name: str) -> DataFrame:
     """node, root (smallest node reachable) of every node with an edge; large-star and small-star rounds until nothing moves."""
-    cur, before, step = ws.save(edges.select("a", "b").where("a <> b").distinct(), f"{name}-0"), None, 0
+    def put(rows: DataFrame, to: str) -> tuple[DataFrame, dict]:
+        watch = Observation()
+        rows = rows.observe(watch, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        return ws.save(rows, to), watch.get
+
+    (cur, state), before, step = put(edges.select("a", "b").where("a <> b").distinct(), f"{name}-0"), None, 0
     while True:
-        state = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
+        if state == before or state["n"] == 0:
             return cur.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).unionByName(cur.select(F.least("a", "b").alias("node")).distinct().withColumn("root", F.col("node")))
         before, step = state, step + 1
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -342,7 +348,7 @@ def components(ws: common.Workspace, edges: DataFrame, name: str) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        cur = ws.save(small, f"{name}-{step}")
+        cur, state = put(small, f"{name}-{step}")
         if step > 1:
             ws.drop(f"{name}-{step - 2}")
 
@@ -365,25 +371,25 @@ def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: int =
         before = links if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
         roots = ws.save(components(ws, before, f"star-{step}"), f"roots-{step}")
         # the nodes of lists that hold several components are ordered anew, tokens of one component first
-        rooted = post.drop("root").join(common.bounded(roots.withColumnRenamed("node", "nid"), SMALL), "nid", "left").select("token", "nid", F.coalesce("root", "nid").alias("root"))
+        rooted = post.drop("root").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("token", "nid", F.coalesce("root", "nid").alias("root"))
         mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
         open_ = ws.save(rooted.join(mixed, "token").select("nid", "root").distinct(), f"open-{step}")
-        post = ws.save(prefixes(sets.join(common.bounded(open_, SMALL), "nid"), num, den), f"prefixes-{step}")
+        post = ws.save(prefixes(sets.drop("sketch", "p2", "p3").join(open_, "nid"), num, den), f"prefixes-{step}")
         n = post.groupBy("token").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0))).first()[0]
         ended = n <= FEW * open_.count() or RARE * links.count() <= open_.count()
-        ws.drop(*left, f"pairs-{step}", f"kept-{step}", f"open-{step}")
+        ws.drop(*left, f"kept-{step}", f"open-{step}")
         left = [f"links-{step}", f"roots-{step}", f"prefixes-{step}"]
         if ended:
             break
 
-    more = verified(ws, between(post, sets, num, den), sets, num, den, "between", seen)
+    more = verified(ws, between(post, sets, num, den), sets, num, den, BETWEEN, seen)
     roots = ws.save(components(ws, ws.save(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "edges"), "all"), "roots")
 
     named = sets.select("nid", "fp", "rep").join(roots, F.col("nid") == F.col("node")).select("fp", "root", "rep")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
     by_set = nodes.join(named.join(smallest, "root").select("fp", "root", "component"), "fp", "left").select("fp", F.coalesce("component", "rep").alias("component"), "root")
     by_set = ws.save(by_set, "components")
-    ws.drop(*left, "nodes", "sets", "edges", "roots", "pairs-between", "kept-between")
+    ws.drop(*left, "nodes", "sets", "edges", "roots", f"kept-{BETWEEN}")
     out = info.join(common.bounded(by_set, SMALL), "fp", "left")
     group = F.coalesce(F.concat(F.lit("r"), F.col("root").cast("string")), F.hex("fp"))
     return out.select("id", "n", "fp", F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id")).alias("component"), group.alias("group"))
