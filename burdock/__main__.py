@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schema
 from .functions import sequence
 from .operators import proteome, scoring
 from .sources import models, readers, writers
@@ -40,13 +39,15 @@ def parser() -> argparse.ArgumentParser:
     p = command("predict", "input", "sixmer-table")
     p.add_argument("--threshold", type=float, default=0.5)
     p.add_argument("--top-k", type=int, default=0)
-    for extra in ("top-tsv", "skipped-tsv", "report-json"):
+    for extra in ("top-tsv", "skipped-tsv", "report-json", "report-md"):
         p.add_argument(f"--{extra}")
     p = command("build-table", "model")
     p.add_argument("--magic", help="write the binary form with this first line")
     p.add_argument("--features", type=int, default=models.FEATURES)
     p = command("hla-normalize", "sample", "input")
     p.add_argument("--caller", required=True, choices=["json", "wide", "log"])
+    p = command("verify-outputs", "dir")
+    p = command("annotation", "gtf")
     p = command("hla-consensus")
     p.add_argument("--min-support", type=int, default=2)
     p.add_argument("--ploidy", type=int, default=2)
@@ -98,7 +99,28 @@ def verify(spark, a) -> int:
     rows += [spark.createDataFrame([(p, "ATTENTION", "missing")], "check string, status string, message string") for p in missing]
     checks = reduce(DataFrame.unionByName, rows).cache()
     writers.table(checks, a.out)
-    return 2 if checks.where("status <> 'OK'").limit(1).count() else 0
+    bad = checks.where("status <> 'OK'").limit(1).count()
+    checks.unpersist()  # the same files may be checked again after a change
+    return 2 if bad else 0
+
+
+#: Names of the outputs of a sample's folder.
+OUTPUTS = {"clean_ids": "clean_ids.txt", "protein": "protein.fasta", "frameshift": "frameshift_unique.fasta", "combined": "combine_proteome.fasta", "nonsense": "nonsense_candidates.txt"}
+
+
+def verify_outputs(spark, a) -> int:
+    """2 where an output of a sample's folder is missing, empty or too small for its parts."""
+    read = lambda name, p: readers.fasta(spark, p) if p.endswith(".fasta") else spark.read.text(p).where("trim(value) <> ''")  # noqa: E731, ARG005
+    held = {n: f"{a.dir}/{f}" for n, f in OUTPUTS.items()}
+    checks = proteome.verify_outputs(spark, {n: read(n, p) if readers.first_existing(spark, p) else None for n, p in held.items()}).cache()
+    writers.table(checks.select("status", "check", "message"), a.out)
+    bad = checks.where("status <> 'OK'").limit(1).count()
+    checks.unpersist()  # the same files may be checked again after a change
+    return 2 if bad else 0
+
+
+def annotation(spark, a) -> None:
+    writers.table(readers.annotation(spark, a.gtf), a.out)
 
 
 def predict(spark, a) -> None:
@@ -117,6 +139,10 @@ def predict(spark, a) -> None:
         writers.table(scoring.top_hits(found, a.top_k).select(F.col("rank").alias("Rank"), *named).orderBy("Rank"), a.top_tsv)
     if a.report_json:
         writers.report(scoring.run_report(found)).write.mode("overwrite").text(a.report_json)
+    if a.report_md:
+        digests = {r.path: r.sha256 for p in (a.input, a.sixmer_table) for r in readers.file_digests(spark, p).collect()}
+        inputs = {"Input": a.input, "Output": a.out, "Six-mer table": a.sixmer_table, "Threshold": a.threshold} | {f"SHA256 of {p.rsplit('/', 1)[-1]}": d for p, d in digests.items()}
+        writers.markdown(scoring.run_report(found), "Prediction report", inputs).coalesce(1).write.mode("overwrite").text(a.report_md)
 
 
 def build_table(spark, a) -> None:
@@ -128,15 +154,15 @@ def hla_normalize(spark, a) -> None:
     if a.caller == "json":
         calls = readers.hla_json(spark.read.text(a.input, wholetext=True), a.sample, a.caller)
     elif a.caller == "wide":
-        calls = readers.hla_wide(spark.read.csv(a.input, sep="," if a.input.endswith(".csv") else "\t", header=True), a.sample, a.caller)
+        calls = readers.hla_table(spark, a.input, a.sample, a.caller)
     else:
         calls = readers.hla_log(spark.read.text(a.input), a.sample, a.caller)
-    ranked = proteome.hla_ranks(calls.withColumn("ord", F.monotonically_increasing_id()))
+    ranked = calls if "rank" in calls.columns else proteome.hla_ranks(calls.withColumn("ord", F.monotonically_increasing_id()))
     writers.table(ranked.select("sample", "caller", "locus", "allele", "rank", F.lit(a.input).alias("source_file")), a.out)
 
 
 def hla_consensus(spark, a) -> None:
-    calls = spark.read.csv(a.inputs, sep="\t", header=True, schema=schema.HLA).where("sample is not null and allele is not null")
+    calls = readers.normalized_hla(spark, *a.inputs)
     writers.table(proteome.hla_consensus(calls, a.min_support, a.ploidy).orderBy("sample", "locus", "allele"), a.out)
 
 

@@ -45,3 +45,29 @@ def first_of(values: Column, order: tuple[str, ...] = CONSENSUS_ORDER) -> Column
 
 def as_bool(x: Column) -> Column:
     return F.coalesce(F.lower(F.trim(x.cast("string"))).isin("true", "1", "yes", "y"), F.lit(False))
+
+
+def keyword_flags(cols: list[str], flags: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """By flag, whether any of its words occurs in any of the texts, in either case; a null text holds none."""
+    text = F.lower(F.concat_ws(";", *cols))
+    found = lambda words: F.exists(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(text, w))
+    return {k: found(words) for k, words in flags.items()}
+
+
+def clip(x: Column, low: float | None = None, high: float | None = None) -> Column:
+    """``x`` kept between the bounds; null stays null."""
+    out = x if low is None else F.greatest(x, F.lit(low))
+    out = out if high is None else F.least(out, F.lit(high))
+    return F.when(x.isNotNull(), out)
+
+
+def coding_only(value: Column, biotype: Column, fill: str | None = None) -> Column:
+    """A class of protein-coding transcripts; null for others, ``fill`` where a coding one has none."""
+    return F.when(biotype == "protein_coding", value if fill is None else F.coalesce(value, F.lit(fill)))
+
+
+def with_fallback(new: Column, old: Column, other: Column, both_missing: str = "Partial") -> Column:
+    """Consensus of a predictor (its older call where it has none) and another: agreed, Discordant, or Partial."""
+    a = F.coalesce(F.nullif(new, F.lit("NA")), F.nullif(old, F.lit("NA")))
+    b = F.nullif(other, F.lit("NA"))
+    return F.when(a.isNull() & b.isNull(), F.lit(both_missing)).when(a.isNull() | b.isNull(), "Partial").when(a == b, a).otherwise("Discordant")

@@ -111,3 +111,13 @@ def normal_allele(s: Column) -> Column:
 
 def allele_locus(allele: Column) -> Column:
     return F.regexp_extract(allele, r"^HLA-([A-Z0-9]+)\*", 1)
+
+
+def odd_share(s: Column) -> Column:
+    """Share of letters outside the standard alphabet; null for an empty text."""
+    return 1 - F.length(F.regexp_replace(F.upper(s), f"[^{RESIDUES}]", "")) / F.nullif(F.length(F.upper(s)), F.lit(0))
+
+
+def exploded(s: Column, most: float = 0.05) -> Column:
+    """Whether over ``most`` of a sequence's letters are not residues."""
+    return F.coalesce(odd_share(s) > most, F.lit(False))

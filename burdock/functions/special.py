@@ -62,8 +62,12 @@ def mann_whitney(u: float, n: int, m: int, ties: float, side: str = "two-sided")
 
 
 def binomial_tail(k: int, n: int, p: float = 0.5) -> float:
-    """P(X >= k)."""
-    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+    """P(X >= k); by logarithms, so that no count is too large."""
+    if k <= 0 or p >= 1:
+        return 1.0
+    if p <= 0:
+        return 0.0
+    return min(1.0, math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1)))
 
 
 def beta_quantile(q: float, a: float, b: float) -> float:

@@ -94,6 +94,97 @@ def z_scores(rows: DataFrame, cols: list[str]) -> DataFrame:
     return rows.join(F.broadcast(stats)).withColumns({f"z_{c}": (F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)) for c in cols}).drop(*stats.columns)
 
 
+def integrative_index(rows: DataFrame) -> DataFrame:
+    """Mean of the z-scores of sheet propensity, largest hydropathy and aromaticity less those of the distance of the
+    charge density from 0 and of the isoelectric point from 7, over all rows; the z columns stay."""
+    odd = rows.withColumns({"abs_charge_density": F.abs("charge_density"), "pI_distance": F.abs(F.col("pI") - 7)})
+    plus, minus = ["beta_propensity", "KD_max", "aromaticity"], ["abs_charge_density", "pI_distance"]
+    out = z_scores(odd, plus + minus)
+    return out.withColumn("integrative_index", (sum(F.col(f"z_{c}") for c in plus) - sum(F.col(f"z_{c}") for c in minus)) / 5)
+
+
+def describe(rows: DataFrame, value: str, keys: list[str], percents: tuple[int, ...] = (1, 5, 10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
+    """n, mean, sd, least, percentiles and largest value by key."""
+    at = F.percentile(value, F.array(*(F.lit(k / 100) for k in percents)))
+    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), at.alias("__p"), F.max(value).alias("max"))
+    return out.select(*keys, "n", "mean", "sd", "min", *(F.col("__p")[i].alias(f"p{k:02d}") for i, k in enumerate(percents)), "max")
+
+
+def stacked_counts(rows: DataFrame, predictors: list[str], keys: list[str]) -> DataFrame:
+    """Rows by predictor, key and prediction."""
+    return rows.unpivot(keys, predictors, "predictor", "prediction").groupBy("predictor", *keys, "prediction").agg(F.count("*").alias("n"))
+
+
+def burden_metrics(rows: DataFrame, sample: str = "sample") -> DataFrame:
+    """Burden of the positive rows by TPM, by log2(TPM + 1) and by that times the largest hydropathy, and the mean score
+    weighted by TPM. ``rows``: tpm, score, positive, kd_max."""
+    w = F.log2(F.col("tpm") + 1)
+    hot = lambda e: F.sum(F.when(F.col("positive"), e))
+    known = F.sum(F.when(F.col("score").isNotNull(), F.col("tpm")))
+    return rows.groupBy(sample).agg(hot(F.col("tpm")).alias("tpm_burden"), hot(w).alias("log2_burden"), hot(w * F.col("kd_max")).alias("hydropathy_burden"), share(F.sum(F.col("tpm") * F.col("score")), known).alias("weighted_score"))
+
+
+def panel_rollup(rows: DataFrame, gene: str, value: str, least: float = 1.0, sample: str = "sample") -> DataFrame:
+    """Sums by sample and gene, rolled up by sample."""
+    by = rows.groupBy(sample, gene).agg(F.sum(value).alias("g"))
+    return by.groupBy(sample).agg(F.count("*").alias("n_genes"), F.count_if(F.col("g") > least).alias("n_expressed"), F.sum("g").alias("total"), F.avg("g").alias("mean"), F.max("g").alias("most"))
+
+
+def signature_coverage(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Genes of each signature that are among ``found`` (gene), and those that are not, as sorted lists."""
+    both = members.distinct().join(found.select("gene", F.lit(True).alias("on")).distinct(), "gene", "left")
+    names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("gene")))), ",")
+    return both.groupBy("signature").agg(F.count("*").alias("n_genes"), F.count("on").alias("n_present"), names(F.col("on")).alias("present"), names(F.col("on").isNull()).alias("missing"))
+
+
+def pair_summary(pairs: DataFrame, samples: DataFrame, sample: str = "sample") -> DataFrame:
+    """Matched pairs of every sample: number, shifts, share of pairs above 0 and distances; samples without pairs have 0.
+    ``pairs``: shift, distance."""
+    own = pairs.groupBy(sample).agg(
+        F.count("shift").alias("n_pairs"), F.avg("shift").alias("mean_shift"), F.median("shift").alias("median_shift"),
+        F.avg((F.col("shift") > 0).cast("int")).alias("fraction_up"), F.avg("distance").alias("mean_distance"), F.median("distance").alias("median_distance"),
+    )
+    return samples.join(own, sample, "left").na.fill(0, ["n_pairs"])
+
+
+def stability(rows: DataFrame, keys: list[str], flag: str, value: str) -> DataFrame:
+    """Rows, rows with the flag, and least, median and largest value by key."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(flag)).alias("n_true"), F.min(value).alias("min"), F.median(value).alias("median"), F.max(value).alias("max"))
+
+
+def first_known(value: str, order: str) -> Column:
+    """Aggregate: the first value, in ``order``, that is not null."""
+    return F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
+
+
+def by_list(col: str, order: list[str]) -> Column:
+    """Place of a category in a given order; others last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(col)), F.lit(0)), F.lit(len(order) + 1))
+
+
+def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Rows with their place in a total order, from 1: ranges are sorted, each task numbers its own, and the ranges' sizes
+    (one row a partition) are summed up, so no task sees all rows."""
+    held = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()})
+    sizes = held.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    return held.join(F.broadcast(starts), "__part").withColumn(out, F.col("__id") - F.col("__first") + F.col("__before") + 1).drop("__part", "__id", "__first", "__before")
+
+
+def matrix_slice(table: DataFrame, samples: list[str] | None = None, ids: list[str] | None = None, sample: str = "sample", id_col: str = "id") -> DataFrame:
+    """Cells of chosen samples and ids of a long matrix; on a store by sample both choices reach the scan."""
+    for col, wanted in ((sample, samples), (id_col, ids)):
+        table = table if wanted is None else table.where(F.col(col).isin(list(wanted)))
+    return table
+
+
+def dense(table: DataFrame, axis: list[str], sample: str = "sample", id_col: str = "id", value: str = "value", order: str = "ord") -> DataFrame:
+    """One row per id and one column per sample of ``axis``; of repeated cells the last, null where there is none."""
+    last = table.where(F.col(sample).isin(axis)).groupBy(id_col, sample).agg(F.max_by(value, order).alias("v"))
+    return last.groupBy(id_col).pivot(sample, axis).agg(F.first("v"))
+
+
 def signature_scores(rows: DataFrame, members: DataFrame, sample: str = "sample", gene: str = "gene", value: str = "tpm") -> DataFrame:
     """Mean of the genes' z-scores across samples, and mean rank percentile within the sample, of each gene set."""
     z = Window.partitionBy(gene)

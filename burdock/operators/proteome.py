@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence
@@ -20,11 +20,17 @@ def transcripts(features: DataFrame) -> DataFrame:
     return out.withColumn("clean_id", sequence.strip_version(F.col("transcript_id")))
 
 
-def expressed_ids(tx: DataFrame, abundance: DataFrame, min_tpm: float = 1.0, min_cds: int = 30) -> DataFrame:
-    """Sorted ids of transcripts with exons, enough coding length and TPM above ``min_tpm`` under the full or version-free id."""
-    on = abundance.where(F.col("tpm") > min_tpm).select(F.col("transcript_id").alias("k")).distinct()
+def expressed_ids(tx: DataFrame, abundance: DataFrame, min_tpm: float = 1.0, min_cds: int = 30, allowed: DataFrame | None = None) -> DataFrame:
+    """Sorted ids of transcripts with exons, enough coding length and TPM above ``min_tpm`` under the full or version-free
+    id; with ``allowed`` (id), only those on the list under either id."""
+
+    def either(rows, keys):
+        return rows.join(keys, F.col("transcript_id") == F.col("k"), "left_semi").unionByName(rows.join(keys, F.col("clean_id") == F.col("k"), "left_semi"))
+
     fit = tx.where((F.col("cds_bp") >= min_cds) & (F.size("exons") > 0))
-    both = fit.join(on, F.col("transcript_id") == F.col("k"), "left_semi").unionByName(fit.join(on, F.col("clean_id") == F.col("k"), "left_semi"))
+    both = either(fit, abundance.where(F.col("tpm") > min_tpm).select(F.col("transcript_id").alias("k")).distinct())
+    if allowed is not None:
+        both = either(both, allowed.select(F.col("id").alias("k")).distinct())
     return both.select(F.col("transcript_id").alias("id")).distinct().orderBy("id")
 
 
@@ -113,6 +119,43 @@ def verify(outputs: dict[str, DataFrame]) -> DataFrame:
     return rows
 
 
+def verify_outputs(spark: SparkSession, outputs: dict[str, DataFrame | None]) -> DataFrame:
+    """check, status, message of the outputs clean_ids, protein, frameshift, combined and nonsense (None: missing):
+    each exists and has rows, and the combined set holds at least as many records as each of its parts."""
+    counts = None
+    for name, df in outputs.items():
+        one = (spark.range(1).select(F.lit(None).cast("long").alias("n")) if df is None else df.agg(F.count("*").alias("n"))).select(F.lit(name).alias("name"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    row = lambda check, ok, text: F.struct(check.alias("check"), F.when(ok, "OK").otherwise("ATTENTION").alias("status"), text.alias("message"))
+    named = lambda kind: F.concat(F.lit(f"{kind}:"), F.col("name"))
+    there, some = F.col("n").isNotNull(), F.col("n") > 0
+    kinds = F.filter(
+        F.array(
+            row(named("exists"), there, F.when(there, "output exists").otherwise("output is missing")),
+            row(named("nonempty"), some, F.when(some, "output has content").otherwise("output is empty")),
+            F.when(F.col("name") != "nonsense", row(named("content"), some, F.format_string("%d records", "n"))),
+        ),
+        lambda x: x.isNotNull() & (there | x["check"].startswith("exists")),
+    )
+    each = counts.select(F.explode(kinds).alias("x")).select("x.*")
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("n")))
+    whole = counts.agg(*(of(k).alias(k) for k in ("protein", "frameshift", "combined")))
+    pairs = [row(F.lit(f"consistency:combined_contains_{k}"), F.col("combined") >= F.col(k), F.format_string(f"combined=%d {k}=%d", "combined", k)) for k in ("protein", "frameshift")]
+    held = F.filter(F.array(*(F.when(F.col("combined").isNotNull() & F.col(k).isNotNull(), p) for k, p in zip(("protein", "frameshift"), pairs, strict=True))), lambda x: x.isNotNull())
+    return each.unionByName(whole.select(F.explode(held).alias("x")).select("x.*"))
+
+
+def allele_counts(calls: DataFrame, groups: DataFrame) -> DataFrame:
+    """Samples with an allele, by group; ``groups``: sample, grp. Samples without a group count under null."""
+    return calls.select("sample", "locus", "allele").distinct().join(groups, "sample", "left").groupBy("grp", "locus", "allele").agg(F.countDistinct("sample").alias("n_samples"))
+
+
+def truncation_counts(rows: DataFrame, samples: DataFrame, transcript: str = "TRANSCRIPT_ID") -> DataFrame:
+    """Rows and distinct version-free transcripts of truncations for every row of ``samples``; zero where there is none."""
+    own = rows.groupBy("sample").agg(F.count("*").alias("n_rows"), F.countDistinct(sequence.strip_version(F.col(transcript))).alias("n_transcripts"))
+    return samples.join(own, "sample", "left").na.fill(0, ["n_rows", "n_transcripts"])
+
+
 def reconcile(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Each key with shared, mismatched, left_only or right_only."""
     both = a.select(key, F.col(value).alias("x"), F.lit(True).alias("l")).join(b.select(key, F.col(value).alias("y"), F.lit(True).alias("r")), key, "full_outer")

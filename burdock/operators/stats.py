@@ -6,6 +6,7 @@ run in Python, group by group.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -73,7 +74,7 @@ CELLS = 2_000_000
 
 def _blocks(spark: SparkSession, rows: DataFrame, n: int) -> DataFrame:
     """``rows`` once for every block of ``n`` resamples, with the block's number."""
-    return rows.crossJoin(F.broadcast(spark.range(-(-n // BLOCK)).withColumnRenamed("id", "__block")))
+    return rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-n // BLOCK) - 1).cast("long"))))
 
 
 def _seeds(seed: int, head: dict, block: int) -> np.random.Generator:
@@ -88,47 +89,204 @@ def _runs(n: int, block: int, size: int):
         left -= most
 
 
-def exact_permutation(spark: SparkSession, rows: DataFrame, a: str, b: str, keys: list[str], grp: str = "grp", value: str = "value", plus_one: bool = True, tolerance: float = 1e-15, most: int = 22, n: int = 10_000, seed: int = 20260604) -> DataFrame:
-    """p of the difference of means (b - a) over the ways to deal out the labels, from all samples of a key.
+def _half(v: np.ndarray) -> list[np.ndarray]:
+    """Sums of all subsets of ``v``, by size."""
+    sums = [np.zeros(1)]
+    for x in v:
+        longer = [*sums, np.zeros(0)]
+        sums = [np.concatenate([s, t + x]) for s, t in zip(longer, [np.zeros(0), *sums], strict=True)]
+    return sums
 
-    Keys of at most ``most`` samples: all ways (``exact``). Larger keys: ``n`` seeded random ways, p with one added to
-    both counts; blocks of them are shared out over tasks.
+
+def subsets_at_least(v: np.ndarray, k: int, bound: float) -> int:
+    """Number of subsets of ``k`` of the values whose sum reaches ``bound``: the sums of one half of the values, sorted,
+    are searched for what each sum of the other half lacks, so 2^(n/2) sums are held and no subset is listed."""
+    left, right = _half(v[: len(v) // 2]), _half(v[len(v) // 2 :])
+    found = 0
+    for j in range(max(0, k - len(right) + 1), min(k, len(left) - 1) + 1):
+        held = np.sort(right[k - j])
+        found += int((len(held) - np.searchsorted(held, bound - left[j], "left")).sum())
+    return found
+
+
+def dealt(units: list[str], k: int, deal: int) -> np.ndarray:
+    """Which ``k`` of the units a random deal picks: those whose digest with the deal's number comes first."""
+    h = np.array([int.from_bytes(hashlib.md5(f"{deal}:{u}".encode()).digest()[:8], "big") for u in units], np.uint64)
+    out = np.zeros(len(units), bool)
+    out[np.argsort(h, kind="stable")[:k]] = True
+    return out
+
+
+def exact_permutation(spark: SparkSession, rows: DataFrame, a: str, b: str, keys: list[str], unit: str | None = None, grp: str = "grp", value: str = "value", plus_one: bool = True, tolerance: float = 1e-15, most: int = 40, n: int = 10_000) -> DataFrame:
+    """p of the difference of means (b - a) over the ways to deal out the labels, from all units of a key.
+
+    Keys of at most ``most`` units: all ways (``exact``), counted by halves. Larger keys: ``n`` random ways, each fixed by
+    its number and the units' names (without ``unit``, their places by label and value), p with one added to both counts; blocks of them are shared out over tasks. A
+    difference counts as reached within ``tolerance`` (at least what sums of doubles may be off).
     """
-    held = rows.where(F.col(value).isNotNull() & F.col(grp).isin(a, b)).select(*keys, F.col(value).cast("double").alias("v"), (F.col(grp) == b).alias("b"))
+    held = rows.where(F.col(value).isNotNull() & F.col(grp).isin(a, b)).select(*keys, (F.col(unit).cast("string") if unit else F.lit("")).alias("u"), F.col(value).cast("double").alias("v"), (F.col(grp) == b).alias("b"))
     held = held.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
     kinds = dict(rows.dtypes)
+    head_kind = ", ".join(f"{k} {kinds[k]}" for k in keys)
 
-    def one(pdf):
-        pdf = pdf.sort_values(["b", "v"])
-        head, block = pdf.iloc[0][keys].to_dict(), int(pdf["__block"].iloc[0])
+    def start(pdf):
+        pdf = pdf.sort_values(["u", "b", "v"])
         v, hot = pdf["v"].to_numpy(float), pdf["b"].to_numpy(bool)
         k = int(hot.sum())
+        tol = max(tolerance, 1e-13 * len(v) * float(np.abs(v).max(initial=0)))
+        return pdf.iloc[0][keys].to_dict(), (pdf["u"].tolist() if unit else list(range(len(v)))), v, hot, k, tol, (lambda s: s / k - (v.sum() - s) / (len(v) - k))
+
+    def whole(pdf):
+        head, _, v, hot, k, tol, diff = start(pdf)
+        if not 0 < k < len(v):
+            return pd.DataFrame(columns=[*keys, "n_permutations", "delta", "more", "two"])
+        obs, slope, shift = diff(v[hot].sum()), 1 / k + 1 / (len(v) - k), v.sum() / (len(v) - k)
+        reach = lambda d: subsets_at_least(v, k, (d + shift) / slope)
+        total, far = math.comb(len(v), k), abs(obs) - tol
+        two = total if far <= 0 else reach(far) + subsets_at_least(-v, k, -(-far + shift) / slope)
+        return pd.DataFrame([head | {"n_permutations": total, "delta": obs, "more": reach(obs - tol), "two": two}])
+
+    def some(pdf):
+        block = int(pdf["__block"].iloc[0])
+        head, units, v, hot, k, tol, diff = start(pdf)
         if not 0 < k < len(v):
             return pd.DataFrame(columns=[*keys, "n_permutations", "delta", "more", "two"])
-        rng, diff = _seeds(seed, head, block), lambda s: s / k - (v.sum() - s) / (len(v) - k)
-        obs, total, more, two = diff(v[hot].sum()), 0, 0, 0
-        for m in _runs(n, block, len(v)):
-            d = diff(rng.permuted(np.tile(v, (m, 1)), axis=1)[:, :k].sum(1))
-            total, more, two = total + m, more + int((d >= obs - tolerance).sum()), two + int((np.abs(d) >= abs(obs) - tolerance).sum())
-        return pd.DataFrame([head | {"n_permutations": total, "delta": obs, "more": more, "two": two}])
-
-    parts = _blocks(spark, held.where(F.col("n") > most), n).groupBy(*keys, "__block").applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_permutations long, delta double, more long, two long")
-    total = F.sum("n_permutations")
-    drawn = parts.groupBy(*keys).agg(total.alias("n_permutations"), F.max("delta").alias("delta"), ((F.sum("more") + 1) / (total + 1)).alias("p_greater"), ((F.sum("two") + 1) / (total + 1)).alias("p_two_sided"), F.lit(False).alias("exact"))
-
-    held = held.where(F.col("n") <= most).groupBy(*keys).agg(F.collect_list(F.struct("v", "b")).alias("x"))
-    held = held.withColumns({"v": F.transform("x", lambda x: x["v"]), "k": F.size(F.filter("x", lambda x: x["b"])), "n": F.size("x")})
-    sum_b = F.aggregate(F.filter("x", lambda x: x["b"]), F.lit(0.0), lambda s, x: s + x["v"])
-    held = held.withColumns({"total": F.aggregate("v", F.lit(0.0), lambda s, x: s + x), "sum_b": sum_b}).where((F.col("k") > 0) & (F.col("k") < F.col("n")))
-    masks = spark.range(1 << int(held.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])).withColumnRenamed("id", "mask")
-    each = held.drop("x").join(masks, (F.bit_count("mask") == F.col("k")) & (F.col("mask") < F.pow(F.lit(2.0), F.col("n"))))
-    picked = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda s, i: s + F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) != 0, F.element_at("v", i + 1)).otherwise(0.0))
-    diff = lambda s: s / F.col("k") - (F.col("total") - s) / (F.col("n") - F.col("k"))
-    each = each.withColumns({"d": diff(picked), "obs": diff(F.col("sum_b"))})
-    more, total, add = F.count_if(F.col("d") >= F.col("obs") - tolerance), F.count("*"), int(plus_one)
-    two = F.count_if(F.abs("d") >= F.abs("obs") - tolerance)
-    full = each.groupBy(*keys).agg(total.alias("n_permutations"), F.max("obs").alias("delta"), ((more + add) / (total + add)).alias("p_greater"), ((two + add) / (total + add)).alias("p_two_sided"), F.lit(True).alias("exact"))
-    return full.unionByName(drawn)
+        obs = diff(v[hot].sum())
+        d = np.array([diff(v[dealt(units, k, deal)].sum()) for deal in range(block * BLOCK, min(n, (block + 1) * BLOCK))])
+        return pd.DataFrame([head | {"n_permutations": len(d), "delta": obs, "more": int((d >= obs - tol).sum()), "two": int((np.abs(d) >= abs(obs) - tol).sum())}])
+
+    shape = f"{head_kind}, n_permutations long, delta double, more long, two long"
+    parts = _blocks(spark, held.where(F.col("n") > most), n).groupBy(*keys, "__block").applyInPandas(some, shape)
+    drawn = parts.groupBy(*keys).agg(F.sum("n_permutations").alias("n_permutations"), F.max("delta").alias("delta"), F.sum("more").alias("more"), F.sum("two").alias("two")).withColumn("exact", F.lit(False))
+    full = held.where(F.col("n") <= most).groupBy(*keys).applyInPandas(whole, shape).withColumn("exact", F.lit(True))
+    add = F.when(F.col("exact"), int(plus_one)).otherwise(1)
+    p = lambda c: (F.col(c) + add) / (F.col("n_permutations") + add)
+    return full.unionByName(drawn).select(*keys, "n_permutations", "delta", p("more").alias("p_greater"), p("two").alias("p_two_sided"), "exact")
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks of each row of a table."""
+    order = np.argsort(x, axis=1, kind="stable")
+    held = np.take_along_axis(x, order, 1)
+    new = np.concatenate([np.ones((len(x), 1), bool), held[:, 1:] != held[:, :-1]], 1)
+    first = np.maximum.accumulate(np.where(new, np.arange(x.shape[1]), 0), 1)
+    last = np.minimum.accumulate(np.where(np.concatenate([new[:, 1:], np.ones((len(x), 1), bool)], 1), np.arange(x.shape[1]), x.shape[1])[:, ::-1], 1)[:, ::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, 1)
+    return out
+
+
+def _corr(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+
+
+def hedges(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hedges' g (y - x) of each row of two tables; NaN without spread."""
+    n, m = x.shape[1], y.shape[1]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sd = np.sqrt(((n - 1) * x.var(1, ddof=1) + (m - 1) * y.var(1, ddof=1)) / (n + m - 2))
+        return np.where(sd > 0, (y.mean(1) - x.mean(1)) / sd, np.nan) * (1 - 3 / (4 * (n + m - 2) - 1))
+
+
+def bootstrap_effects(rows: DataFrame, a: str, b: str, keys: list[str], x: str | None = None, y: str = "value", n: int = 10_000, seed: int = 20260604, grp: str = "grp") -> DataFrame:
+    """effect, observed, low, high (95 %) by key, both groups drawn anew with replacement.
+
+    Without ``x``: hedges_g of ``y`` (2 values a group at least) and mean_b, the mean of group b. With ``x``: the
+    differences (b - a) of Pearson and Spearman correlations of x and y, and the interaction, the difference of the
+    slopes of y on x (3 pairs a group at least). Draws without a value are left out. Blocks of draws are shared out over
+    tasks, each with a generator of its own and at most CELLS values at a time.
+    """
+    names = ["hedges_g", "mean_b"] if x is None else ["pearson_diff", "spearman_diff", "interaction"]
+    least = 2 if x is None else 3
+    cols = [y] if x is None else [x, y]
+
+    def effects(p, q):
+        if x is None:
+            return [hedges(p[0], q[0]), q[0].mean(1)]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            slope = lambda u, v: ((u - u.mean(1, keepdims=True)) * (v - v.mean(1, keepdims=True))).sum(1) / ((u - u.mean(1, keepdims=True)) ** 2).sum(1)
+            return [_corr(*q) - _corr(*p), _corr(*map(_ranks, q)) - _corr(*map(_ranks, p)), slope(*q) - slope(*p)]
+
+    def one(pdf):
+        pdf = pdf.dropna(subset=cols).sort_values([grp, *cols])
+        if not len(pdf):
+            return pd.DataFrame(columns=[*keys, "effect", "obs", "v"])
+        head, block = pdf.iloc[0][keys].to_dict(), int(pdf["__block"].iloc[0])
+        p, q = ([pdf.loc[pdf[grp] == g, c].to_numpy(float)[None] for c in cols] for g in (a, b))
+        if min(p[0].size, q[0].size) < least:
+            return pd.DataFrame(columns=[*keys, "effect", "obs", "v"])
+        rng, obs, out = _seeds(seed, head, block), effects(p, q), []
+        for m in _runs(n, block, p[0].size + q[0].size):
+            i, j = rng.integers(0, p[0].size, (m, p[0].size)), rng.integers(0, q[0].size, (m, q[0].size))
+            out.append(np.stack(effects([c[0][i] for c in p], [c[0][j] for c in q])))
+        out = np.concatenate(out, 1)
+        return pd.concat([pd.DataFrame({**{k: [v] * out.shape[1] for k, v in head.items()}, "effect": e, "obs": o[0], "v": v}) for e, o, v in zip(names, obs, out, strict=True)])
+
+    kinds = dict(rows.dtypes)
+    parts = _blocks(rows.sparkSession, rows.where(F.col(grp).isin(a, b)).select(*keys, grp, *cols), n).groupBy(*keys, "__block").applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", effect string, obs double, v double")
+    held = parts.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return held.groupBy(*keys, "effect").agg(F.max("obs").alias("observed"), F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
+
+
+def competitive_set(rows: DataFrame, in_set: str, keys: list[str], value: str = "value") -> DataFrame:
+    """Values of a set against all others, by key: counts, means and their difference, U and the chance that a set's value
+    is the larger, one-sided rank-sum statistics by average ranks from one window."""
+    w = Window.partitionBy(*keys)
+    held = rows.where(F.col(value).isNotNull())
+    same = F.count("*").over(Window.partitionBy(*keys, value))
+    held = held.withColumns({"__rank": F.rank().over(w.orderBy(value)) + (same - 1) / 2, "__tie": same * same - 1})
+    hot = lambda e: F.when(F.col(in_set), e)
+    n, m = F.count_if(F.col(in_set)), F.count_if(~F.col(in_set))
+    out = held.groupBy(*keys).agg(n.alias("n_set"), m.alias("n_background"), F.avg(hot(F.col(value))).alias("mean_set"), F.avg(F.when(~F.col(in_set), F.col(value))).alias("mean_background"), (F.sum(hot(F.col("__rank"))) - n * (n + 1) / 2).alias("U"), F.sum("__tie").cast("double").alias("ties"))
+    return out.withColumns({"mean_difference": F.col("mean_set") - F.col("mean_background"), "auc": F.try_divide(F.col("U"), F.col("n_set") * F.col("n_background"))})
+
+
+def random_sets(rows: DataFrame, in_set: str, keys: list[str], value: str = "value", n: int = 10_000, seed: int = 20260608) -> DataFrame:
+    """Adds to ``competitive_set`` the one-sided rank-sum p, and the p of the set's mean among ``n`` sets of its size that are
+    drawn without replacement; blocks of draws are shared out over tasks."""
+
+    @F.pandas_udf("double")
+    def ranks(u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([special.mann_whitney(x, int(i), int(j), t, "greater") if i and j else None for x, i, j, t in zip(u, a, b, ties, strict=True)], dtype="Float64")
+
+    def one(pdf):
+        pdf = pdf.sort_values(["v", "hot"])
+        head, block = pdf.iloc[0][keys].to_dict(), int(pdf["__block"].iloc[0])
+        v, hot = pdf["v"].to_numpy(float), pdf["hot"].to_numpy(bool)
+        k = int(hot.sum())
+        rng, more, total = _seeds(seed, head, block), 0, 0
+        for m in _runs(n, block, len(v)) if k else ():
+            sums = np.array([v[rng.choice(len(v), k, replace=False)].mean() for _ in range(m)])
+            more, total = more + int((sums >= v[hot].mean() - 1e-12).sum()), total + m
+        return pd.DataFrame([head | {"more": more, "total": total}])
+
+    kinds = dict(rows.dtypes)
+    held = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.col(in_set).alias("hot"))
+    parts = _blocks(rows.sparkSession, held, n).groupBy(*keys, "__block").applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", more long, total long")
+    p = parts.groupBy(*keys).agg(((F.sum("more") + 1) / (F.sum("total") + 1)).alias("p_random_sets"))
+    return competitive_set(rows, in_set, keys, value).withColumn("p_rank_sum", ranks("U", "n_set", "n_background", "ties")).join(p, keys, "left")
+
+
+def correlation_difference(rows: DataFrame, x: str, y: str, a: str, b: str, keys: list[str], grp: str = "grp") -> DataFrame:
+    """Pearson and Spearman of both groups, their differences (b - a) and that of Fisher's z, by key."""
+    each = rank_correlation(rows.where(F.col(grp).isin(a, b)), x, y, [*keys, grp])
+    pick = lambda c, g: F.max(F.when(F.col(grp) == g, F.col(c)))
+    out = each.groupBy(*keys).agg(*(pick(c, g).alias(f"{c}_{s}") for c in ("pearson", "spearman") for g, s in ((a, "a"), (b, "b"))))
+    z = lambda c: F.when(F.abs(c) < 1, F.atanh(c))
+    return out.withColumns({"pearson_diff": F.col("pearson_b") - F.col("pearson_a"), "spearman_diff": F.col("spearman_b") - F.col("spearman_a"), "fisher_z_diff": z(F.col("pearson_b")) - z(F.col("pearson_a"))})
+
+
+def with_correlation_p(out: DataFrame) -> DataFrame:
+    """Adds the two-sided p of Pearson's and Spearman's coefficients of ``rank_correlation`` (t with n - 2 degrees)."""
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        one = lambda c, k: None if c != c or c is None else 0.0 if abs(c) >= 1 else special.t_two_sided(c * math.sqrt((k - 2) / (1 - c * c)), k - 2)
+        return pd.Series([one(c, k) for c, k in zip(r, n, strict=True)], dtype="Float64")
+
+    return out.withColumns({"pearson_p": p("pearson", "n"), "spearman_p": p("spearman", "n")})
 
 
 def resample(rows: DataFrame, a: str, b: str, keys: list[str], n: int = 10_000, seed: int = 20260604, grp: str = "grp", value: str = "value") -> DataFrame:
@@ -197,21 +355,23 @@ def rank_correlation(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFr
 
 
 def ols(spark: SparkSession, rows: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """term, coef, se, t, p of y on an intercept and ``xs``, from sums of products (one row reaches the driver)."""
+    """term, coef, se, t, p, r2 of y on an intercept and ``xs``, from sums of products (one row reaches the driver)."""
     held = rows.select(F.col(y).cast("double").alias("y"), F.lit(1.0).alias("x0"), *(F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(xs))).na.drop()
     k = len(xs) + 1
     cells = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(F.col(f"x{i}") * F.col("y")).alias(f"b{i}") for i in range(k)]
     r = held.agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), *cells).first()
     if r.n <= k:
-        return spark.createDataFrame([], "term string, coef double, se double, t double, p double")
+        return spark.createDataFrame([], "term string, coef double, se double, t double, p double, r2 double")
     a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
     b = np.array([r[f"b{i}"] for i in range(k)])
     inv = np.linalg.pinv(a)
     coef = inv @ b
     s2 = (r.yy - coef @ b) / (r.n - k)
+    spread = r.yy - r.b0**2 / r.n
+    r2 = float(1 - (r.yy - coef @ b) / spread) if spread > 0 else None
     se = np.sqrt(np.maximum(np.diag(inv) * s2, 0))
     t = [c / e if e > 0 else math.nan for c, e in zip(coef, se, strict=True)]
-    return spark.createDataFrame([(n, float(c), float(e), float(v), float(special.t_two_sided(float(v), r.n - k)) if v == v else None) for n, c, e, v in zip(["intercept", *xs], coef, se, t, strict=True)], "term string, coef double, se double, t double, p double")
+    return spark.createDataFrame([(n, float(c), float(e), float(v), float(special.t_two_sided(float(v), r.n - k)) if v == v else None, r2) for n, c, e, v in zip(["intercept", *xs], coef, se, t, strict=True)], "term string, coef double, se double, t double, p double, r2 double")
 
 
 def hc3_contrast(rows: DataFrame, a: str, b: str, keys: list[str], grp: str = "grp", value: str = "value") -> DataFrame:
@@ -222,6 +382,17 @@ def hc3_contrast(rows: DataFrame, a: str, b: str, keys: list[str], grp: str = "g
     return part.groupBy(*keys).agg((pick("m", a) - pick("m", b)).alias("contrast"), F.sqrt(pick("var", a) + pick("var", b)).alias("se_hc3"))
 
 
+def with_normal_interval(rows: DataFrame, effect: str = "contrast", se: str = "se_hc3", z: float = 1.959963984540054) -> DataFrame:
+    """Adds z, two-sided normal p and the 95 % interval of an effect with a robust error."""
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v != v or v is None else 2 * special.normal_sf(abs(v)) for v in x], dtype="Float64")
+
+    out = rows.withColumn("z", F.try_divide(F.col(effect), F.nullif(F.col(se), F.lit(0.0))))
+    return out.withColumns({"p": p("z"), "low": F.col(effect) - z * F.col(se), "high": F.col(effect) + z * F.col(se)})
+
+
 def leave_one_out(rows: DataFrame, unit: str, a: str, b: str, keys: list[str], grp: str = "grp", value: str = "value") -> DataFrame:
     """Difference of means (b - a) without each unit, from the totals less the unit's own sums; null under 2 rows a group."""
     held = rows.where(F.col(value).isNotNull() & F.col(grp).isin(a, b))
@@ -243,14 +414,32 @@ def signed_p(effect: Column, p: Column) -> Column:
 
 
 def risk_votes(rows: DataFrame, control: str, metrics: list[str], keys: list[str], sample: str = "sample", grp: str = "grp") -> DataFrame:
-    """Votes of each sample: metrics above the largest control value of their key."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    votes = {f"vote_{m}": F.coalesce((F.col(m) > F.max(F.when(F.col(grp) == control, F.col(m))).over(w)).cast("int"), F.lit(0)) for m in metrics}
-    out = rows.select(*keys, sample, grp, *(e.alias(k) for k, e in votes.items()))
+    """Votes of each sample: metrics above the largest control value of their key; the maxima are joined back, by key or,
+    without keys, as one row."""
+    most = rows.groupBy(*keys).agg(*(F.max(F.when(F.col(grp) == control, F.col(m))).alias(f"__{m}") for m in metrics))
+    held = rows.join(most, keys, "left") if keys else rows.join(F.broadcast(most))
+    votes = {f"vote_{m}": F.coalesce((F.col(m) > F.col(f"__{m}")).cast("int"), F.lit(0)) for m in metrics}
+    out = held.select(*keys, sample, grp, *(e.alias(k) for k, e in votes.items()))
     total = sum((F.col(k) for k in votes), F.lit(0))
     return out.withColumns({"votes": total, "vote_fraction": total / len(votes)})
 
 
+def average_sd_d(stats: DataFrame) -> DataFrame:
+    """Adds cohens_d_average to rows of ``two_group``: difference (a - b) over the root of the mean of both variances."""
+    sd = F.sqrt((F.col("var_a") + F.col("var_b")) / 2)
+    return stats.withColumn("cohens_d_average", F.try_divide(F.col("mean_a") - F.col("mean_b"), F.nullif(sd, F.lit(0.0))))
+
+
+def de_table(rows: DataFrame, a: str, b: str, gene: str, sample: str = "sample", grp: str = "grp", counts: str = "counts", least: float = 10, least_samples: int = 3) -> DataFrame:
+    """Differential expression by gene: log2 fold change (b - a) of log2(CPM + 1), Welch t and p, FDR over all tested genes.
+    Tested are genes with ``least`` counts in ``least_samples`` samples; ``rows`` hold a sample's group."""
+    held = log_cpm(rows, sample, counts)
+    tested = held.groupBy(gene).agg(F.count_if(F.col(counts) >= least).alias("__k"), F.avg(counts).alias("mean_counts")).where(F.col("__k") >= least_samples).drop("__k")
+    stats = two_group(held.withColumnRenamed("logcpm", "value"), a, b, [gene], grp)
+    out = with_p_values(stats.join(tested, gene)).withColumn("__all", F.lit(1))
+    return with_fdr(out, "welch_p", ["__all"], gene).select(gene, "mean_counts", F.col("delta_mean").alias("log2fc"), "welch_t", F.col("welch_p").alias("p"), "fdr")
+
+
 def sign_test(spark: SparkSession, wins: Column, trials: Column) -> tuple[Column, Column]:
     """Upper binomial tail and Clopper-Pearson interval of aggregate counts."""
 

@@ -28,7 +28,7 @@ def collapsed(spark, sf):
 
 
 def burdened(spark, sf):
-    rows = expression(spark, sf).join(F.broadcast(transcripts(spark, sf)), "tx").join(collapsed(spark, sf), ["sample", "tx"], "left")
+    rows = expression(spark, sf).join(transcripts(spark, sf), "tx").join(collapsed(spark, sf), ["sample", "tx"], "left")
     coding = F.col("biotype") == "protein_coding"
     return rows.withColumns({"score": F.when(coding, F.col("p1_max")), "positive": coding & (F.col("consensus") == "Amyloid")})
 
@@ -82,7 +82,7 @@ def class_burden(spark, sf):
 
 @query("gene_sum", SQL + "SELECT gene, round(sum(tpm), 4) AS tpm, count(DISTINCT tx) AS n FROM expr JOIN tx USING (tx) GROUP BY 1")
 def gene_sum(spark, sf):
-    return rounded(expression(spark, sf).join(F.broadcast(transcripts(spark, sf)), "tx").groupBy("gene").agg(F.sum("tpm").alias("tpm"), F.countDistinct("tx").alias("n")), 4)
+    return rounded(expression(spark, sf).join(transcripts(spark, sf), "tx").groupBy("gene").agg(F.sum("tpm").alias("tpm"), F.countDistinct("tx").alias("n")), 4)
 
 
 @query("top_contributors", SQL + "SELECT sample, tx, round(tpm, 4) AS tpm, rank FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY counts DESC, tx) AS rank FROM expr) WHERE rank <= 5")
@@ -110,14 +110,19 @@ def qcut_bins(spark, sf):
     return expression(spark, sf).select("sample", "tx", cohort.quantile_bin("counts", "sample", "tx").alias("bin"))
 
 
-@query("zscore_integrative_index", SQL + "SELECT protein_id, round((p1 - avg(p1) OVER ()) / nullif(stddev_pop(p1) OVER (), 0), 6) AS z_p1, round((kd - avg(kd) OVER ()) / nullif(stddev_pop(kd) OVER (), 0), 6) AS z_kd FROM prot")
+_Z = lambda x: f"(({x}) - avg({x}) OVER ()) / nullif(stddev_pop({x}) OVER (), 0)"
+
+
+@query("zscore_integrative_index", SQL + f"SELECT protein_id, round({_Z('p1')}, 6) AS z_p1, round({_Z('kd')}, 6) AS z_kd, round(({_Z('p1')} + {_Z('kd')} + {_Z('p2')} - {_Z('abs(p2 - 0.4)')} - {_Z('abs(kd - 7)')}) / 5, 6) AS integrative_index FROM prot")
 def zscore_index(spark, sf):
-    return rounded(cohort.z_scores(proteins(spark, sf).select("protein_id", "p1", "kd"), ["p1", "kd"]).select("protein_id", "z_p1", "z_kd"))
+    rows = proteins(spark, sf).select("protein_id", F.col("p1").alias("beta_propensity"), F.col("kd").alias("KD_max"), F.col("p2").alias("aromaticity"), (F.col("p2") - 0.4).alias("charge_density"), F.col("kd").alias("pI"))
+    out = cohort.integrative_index(rows)
+    return rounded(out.select("protein_id", F.col("z_beta_propensity").alias("z_p1"), F.col("z_KD_max").alias("z_kd"), "integrative_index"))
 
 
 @query("signature_scores", SQL + ", g AS (SELECT sample, gene, sum(counts) AS tpm FROM cnt JOIN tx USING (tx) GROUP BY 1, 2), z AS (SELECT *, (tpm - avg(tpm) OVER (PARTITION BY gene)) / nullif(stddev_pop(tpm) OVER (PARTITION BY gene), 0) AS z, (rank() OVER (PARTITION BY sample ORDER BY tpm) + (count(*) OVER (PARTITION BY sample, tpm) - 1) / 2 - 1) / nullif(count(*) OVER (PARTITION BY sample) - 1, 0) AS pct FROM g) SELECT sample, 'set' || substr(gene, length(gene), 1) AS signature, round(avg(z), 5) AS mean_z, round(avg(pct), 5) AS rank_score, count(*) AS n_genes FROM z GROUP BY 1, 2")
 def signature_scores(spark, sf):
-    g = expression(spark, sf).join(F.broadcast(transcripts(spark, sf)), "tx").groupBy("sample", "gene").agg(F.sum("counts").alias("tpm"))
+    g = expression(spark, sf).join(transcripts(spark, sf), "tx").groupBy("sample", "gene").agg(F.sum("counts").alias("tpm"))
     members = transcripts(spark, sf).select("gene", F.concat(F.lit("set"), F.expr("right(gene, 1)")).alias("signature")).distinct()
     return rounded(cohort.signature_scores(g, members), 5)
 
@@ -151,7 +156,7 @@ def unpivot_long(spark, sf):
 
 @query("coverage_qc", SQL + "SELECT sample, round(sum(tpm) FILTER (tx IN (SELECT tx FROM prot WHERE p1 > 0.5)) / nullif(sum(tpm), 0), 6) AS coverage FROM expr JOIN (SELECT tx FROM tx WHERE biotype = 'protein_coding') USING (tx) GROUP BY 1")
 def coverage_qc(spark, sf):
-    coding = expression(spark, sf).join(F.broadcast(transcripts(spark, sf).where("biotype = 'protein_coding'").select("tx")), "tx")
+    coding = expression(spark, sf).join(transcripts(spark, sf).where("biotype = 'protein_coding'").select("tx"), "tx")
     known = proteins(spark, sf).where("p1 > 0.5").select("tx", F.lit(True).alias("k")).distinct()
     rows = coding.join(known, "tx", "left")
     return rounded(rows.groupBy("sample").agg(cohort.share(F.sum(F.when(F.col("k"), F.col("tpm"))), F.sum("tpm")).alias("coverage")))
@@ -159,11 +164,12 @@ def coverage_qc(spark, sf):
 
 @query("cross_panel_presence", SQL + ", panel AS (SELECT tx FROM tx WHERE len <= 5), grid AS (SELECT sample, tx FROM samples CROSS JOIN panel) SELECT grp, tx, avg(CASE WHEN counts > 0 THEN 1.0 ELSE 0 END)::DOUBLE AS presence FROM grid JOIN samples USING (sample) LEFT JOIN cnt USING (sample, tx) GROUP BY 1, 2")
 def cross_panel(spark, sf):
-    """Every sample with every transcript of a small panel: the panel's rows ride along as an array, no join makes them."""
-    panel = transcripts(spark, sf).where("len <= 5").agg(F.collect_list("tx").alias("panel"))
-    grid = samples(spark, sf).join(F.broadcast(panel)).select("sample", "grp", F.explode("panel").alias("tx"))
-    rows = grid.join(expression(spark, sf).select("sample", "tx", "counts"), ["sample", "tx"], "left")
-    return rows.groupBy("grp", "tx").agg(F.avg(F.when(F.col("counts") > 0, 1.0).otherwise(0.0)).alias("presence"))
+    """Every group with every transcript of the panel: the groups and their sizes (a few rows) ride along as one array,
+    and only samples that express a transcript are counted, so no pair of a sample and a transcript is made."""
+    sizes = samples(spark, sf).groupBy("grp").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("grp", "n")).alias("groups"))
+    grid = transcripts(spark, sf).where("len <= 5").select("tx").join(F.broadcast(sizes)).select("tx", F.explode("groups").alias("g")).select("tx", "g.grp", "g.n")
+    on = expression(spark, sf).where("counts > 0").select("sample", "tx").join(samples(spark, sf).select("sample", "grp"), "sample").groupBy("grp", "tx").agg(F.count("*").alias("k"))
+    return grid.join(on, ["grp", "tx"], "left").select("grp", "tx", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("presence"))
 
 
 @query("id_intersect", SQL + "SELECT tx FROM prot WHERE p1 > 0.8 INTERSECT SELECT tx FROM prot WHERE p2 > 0.8")
@@ -182,9 +188,75 @@ def quantile_thresholds(spark, sf):
     return rounded(proteins(spark, sf).agg(F.percentile("p1", F.lit(0.17)).alias("q17"), F.percentile("p1", F.lit(0.83)).alias("q83"), F.avg("p1").alias("mean"), F.stddev_samp("p1").alias("sd"), F.median("p1").alias("med")))
 
 
+_PCT = (1, 5, 10, 25, 50, 75, 90, 95, 99)
+
+
+@query("describe_scores", SQL + "SELECT sample, count(p1) AS n, round(avg(p1), 6) AS mean, round(stddev_samp(p1), 6) AS sd, min(p1) AS min, " + ", ".join(f"round(quantile_cont(p1, {k / 100}), 6) AS p{k:02d}" for k in _PCT) + ", max(p1) AS max FROM prot GROUP BY 1")
+def describe_scores(spark, sf):
+    return rounded(cohort.describe(proteins(spark, sf), "p1", ["sample"]))
+
+
+@query("predictor_counts", SQL + "SELECT predictor, biotype, prediction, count(*) AS n FROM (SELECT 'a' AS predictor, biotype, l1 AS prediction FROM pred LEFT JOIN tx USING (tx) UNION ALL SELECT 'b', biotype, l2 FROM pred LEFT JOIN tx USING (tx)) GROUP BY 1, 2, 3")
+def predictor_counts(spark, sf):
+    rows = predicted(spark, sf).join(transcripts(spark, sf).select("tx", "biotype"), "tx", "left")
+    return cohort.stacked_counts(rows.select("biotype", F.col("l1").alias("a"), F.col("l2").alias("b")), ["a", "b"], ["biotype"])
+
+
+@query("burden_metrics", _COLLAPSED + ", kd AS (SELECT sample, tx, max(kd) AS kd_max FROM prot GROUP BY 1, 2), b AS (SELECT sample, tpm, score, positive, kd_max FROM joined JOIN kd USING (sample, tx)) SELECT sample, round(sum(tpm) FILTER (positive), 4) AS tpm_burden, round(sum(log2(tpm + 1)) FILTER (positive), 4) AS log2_burden, round(sum(log2(tpm + 1) * kd_max) FILTER (positive), 4) AS hydropathy_burden, round(sum(tpm * score) / nullif(sum(tpm) FILTER (score IS NOT NULL), 0), 6) AS weighted_score FROM b GROUP BY 1")
+def burden_metrics(spark, sf):
+    kd = proteins(spark, sf).groupBy("sample", "tx").agg(F.max("kd").alias("kd_max"))
+    rows = burdened(spark, sf).select("sample", "tx", "tpm", "score", "positive").join(kd, ["sample", "tx"])
+    out = cohort.burden_metrics(rows)
+    return out.select("sample", *(F.round(c, 4).alias(c) for c in ("tpm_burden", "log2_burden", "hydropathy_burden")), F.round("weighted_score", 6).alias("weighted_score"))
+
+
+@query("panel_rollup", SQL + "SELECT sample, count(*) AS n_genes, count(*) FILTER (g > 1000) AS n_expressed, round(sum(g), 4) AS total, round(avg(g), 4) AS mean, round(max(g), 4) AS most FROM (SELECT sample, gene, sum(tpm) AS g FROM expr JOIN tx USING (tx) GROUP BY 1, 2) GROUP BY 1")
+def panel_rollup(spark, sf):
+    rows = expression(spark, sf).join(transcripts(spark, sf), "tx")
+    return rounded(cohort.panel_rollup(rows, "gene", "tpm", least=1000), 4)
+
+
+@query("signature_coverage", SQL + ", s AS (SELECT DISTINCT 'set' || substr(gene, length(gene), 1) AS signature, gene FROM tx), u AS (SELECT DISTINCT gene FROM expr JOIN tx USING (tx) WHERE tpm > 3000) SELECT signature, count(*) AS n_genes, count(u.gene) AS n_present, coalesce(string_agg(s.gene, ',' ORDER BY s.gene) FILTER (u.gene IS NOT NULL), '') AS present, coalesce(string_agg(s.gene, ',' ORDER BY s.gene) FILTER (u.gene IS NULL), '') AS missing FROM s LEFT JOIN u USING (gene) GROUP BY 1")
+def signature_coverage(spark, sf):
+    tx = transcripts(spark, sf)
+    members = tx.select(F.concat(F.lit("set"), F.expr("right(gene, 1)")).alias("signature"), "gene").distinct()
+    found = expression(spark, sf).where("tpm > 3000").join(tx, "tx").select("gene")
+    return cohort.signature_coverage(members, found)
+
+
+@query("pair_summary", SQL + ", pairs AS (SELECT sample, p1 - p2 AS shift, kd AS distance FROM prot WHERE tx % 4 = 0 AND sample % 5 <> 0) SELECT sample, count(shift) AS n_pairs, round(avg(shift), 6) AS mean_shift, round(median(shift), 6) AS median_shift, round(avg(CASE WHEN shift IS NOT NULL THEN (shift > 0)::INT END), 6) AS fraction_up, round(avg(distance), 6) AS mean_distance, round(median(distance), 6) AS median_distance FROM samples LEFT JOIN pairs USING (sample) GROUP BY 1")
+def pair_summary(spark, sf):
+    pairs = proteins(spark, sf).where("tx % 4 = 0 and sample % 5 <> 0").select("sample", (F.col("p1") - F.col("p2")).alias("shift"), F.col("kd").alias("distance"))
+    return rounded(cohort.pair_summary(pairs, samples(spark, sf).select("sample")))
+
+
+@query("keyword_flags", "SELECT p_partkey, contains(lower(p_type), 'steel') OR contains(lower(p_type), 'tin') AS metal, contains(lower(p_type), 'plated') AS plated FROM part")
+def keyword_flags(spark, sf):
+    rows = read(spark, sf, "part").select("p_partkey", F.col("p_type").alias("where"))
+    return rows.select("p_partkey", *(e.alias(k) for k, e in labels.keyword_flags(["where"], {"metal": ("Steel", "tin"), "plated": ("PLATED",)}).items()))
+
+
+@query("stability_summary", SQL + "SELECT grp, count(*) AS n, count(*) FILTER (age > 0) AS n_true, min(age) AS min, round(median(age), 6) AS median, max(age) AS max FROM samples GROUP BY 1")
+def stability_summary(spark, sf):
+    return rounded(cohort.stability(samples(spark, sf).withColumn("up", F.col("age") > 0), ["grp"], "up", "age"))
+
+
+@query("first_known", "SELECT o_custkey, arg_min(nullif(o_orderpriority, '3-MEDIUM'), o_orderkey) FILTER (o_orderpriority <> '3-MEDIUM') AS first FROM orders GROUP BY 1")
+def first_known(spark, sf):
+    o = read(spark, sf, "orders").withColumn("p", F.nullif("o_orderpriority", F.lit("3-MEDIUM")))
+    return o.groupBy("o_custkey").agg(cohort.first_known("p", "o_orderkey").alias("first"))
+
+
+@query("ordered_samples", "SELECT s_suppkey, rank() OVER (ORDER BY o, s_acctbal DESC, s_suppkey) AS place FROM supplier JOIN (VALUES (2, 0), (0, 1), (1, 2)) v(k, o) ON s_nationkey % 3 = k")
+def ordered_samples(spark, sf):
+    """Rows in the order of a list of categories, then of a number: a wide rank by sorted ranges, no one-task window."""
+    rows = read(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 3).cast("string").alias("k"), "s_acctbal")
+    return cohort.numbered(rows, [cohort.by_list("k", ["2", "0", "1"]), F.desc("s_acctbal"), F.asc("s_suppkey")], "place").select("s_suppkey", "place")
+
+
 @query("matched_controls")
 def matched_controls(spark, sf):
-    rows = predicted(spark, sf).withColumn("hot", F.col("consensus") == "Amyloid").join(F.broadcast(transcripts(spark, sf).select("tx", "biotype")), "tx", "left")
+    rows = predicted(spark, sf).withColumn("hot", F.col("consensus") == "Amyloid").join(transcripts(spark, sf).select("tx", "biotype"), "tx", "left")
     return cohort.match_controls(rows, "sample", "hot", ["kd"], ["p2", "kd"], "protein_id", ["biotype"])
 
 

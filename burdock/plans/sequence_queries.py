@@ -87,15 +87,9 @@ def translate_dna(spark, sf):
     return read(spark, sf, "benchmark").withColumn("dna", dna).select("item_id", fs.translate_dna(F.col("dna")).alias("protein"), fs.reverse_complement(F.col("dna")).alias("back"))
 
 
-@query("stop_cleaning", "SELECT doc_id, CASE WHEN length(l) - length(replace(l, '.', '')) <= 1 AND split_part(l, '.', 1) <> '' THEN split_part(l, '.', 1) END AS kept FROM (SELECT doc_id, split_part(text, ' ', 3) AS l FROM documents)")
+@query("stop_cleaning", "SELECT doc_id, pos, CASE WHEN length(l) - length(replace(l, '.', '')) <= 1 AND split_part(l, '.', 1) <> '' THEN split_part(l, '.', 1) END AS kept FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS l, unnest(range(0, len(string_split(text, ' ')))) AS pos FROM documents)")
 def stop_cleaning(spark, sf):
-    part = F.split_part(F.col("text"), F.lit(" "), F.lit(3))
-    return sequences(spark, sf).select("doc_id", fs.cut_stops(part).alias("kept"))
-
-
-@query("stop_cleaning_words", "SELECT doc_id, pos, CASE WHEN length(l) - length(replace(l, '.', '')) <= 1 AND split_part(l, '.', 1) <> '' THEN split_part(l, '.', 1) END AS kept FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS l, unnest(range(0, len(string_split(text, ' ')))) AS pos FROM documents)")
-def stop_cleaning_words(spark, sf):
-    """Every word of a text; ``stop_cleaning`` and its SQL read the third."""
+    """Every word of a text."""
     rows = sequences(spark, sf).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "l"))
     return rows.select("doc_id", "pos", fs.cut_stops(F.col("l")).alias("kept"))
 
@@ -113,26 +107,28 @@ _TOP = "greatest(" + ", ".join(f"CASE WHEN {_n(k)} > 0 THEN {v} END" for k, v in
 
 @query("light_features", SEQ + f"SELECT doc_id, length(s) AS protein_length, round({_KD}, 6) AS KD_mean, round({_TOP}, 6) AS KD_max, round(sqrt(greatest({_KD2} - ({_KD}) * ({_KD}), 0)), 6) AS KD_sd, round({_NET}, 6) AS charge, round({_NET} / nullif(length(s), 0), 6) AS charge_density, round({_share(AROMATIC)}, 6) AS aromaticity, round({_share(ALPHA)}, 6) AS alpha_propensity, round({_share(BETA)}, 6) AS beta_propensity, round(abs({_KD}) + sqrt(greatest({_KD2} - ({_KD}) * ({_KD}), 0)), 6) AS chameleon_score FROM seq")
 def light_features(spark, sf):
-    s = sequences(spark, sf).select("doc_id", fs.clean(F.coalesce("text", F.lit(""))).alias("s"))
-    return rounded(s.select("doc_id", *(e.alias(k) for k, e in d.light(F.col("s")).items())))
+    return rounded(profiles.light_features(sequences(spark, sf), "text").drop("text"))
 
 
 @query("aac", SEQ + "SELECT doc_id, " + ", ".join(f"round({_share(r)}, 8) AS f_{r}" for r in RESIDUES) + " FROM seq")
 def aac(spark, sf):
-    s = sequences(spark, sf).select("doc_id", d.aac(fs.clean(F.col("text"))).alias("a"))
-    return rounded(s.select("doc_id", *(F.col("a")[i].alias(f"f_{r}") for i, r in enumerate(RESIDUES))), 8)
+    return _wide(spark, sf, "AAC", [f"f_{r}" for r in RESIDUES])
+
+
+def _wide(spark, sf, block: str, names: list[str]):
+    """A block's columns over the texts as they are (the pass cleans them itself)."""
+    s = profiles.blocks(sequences(spark, sf), "text", [block])
+    return s.select("doc_id", *(F.round(F.nanvl(F.col(block)[i], F.lit(None)), 8).alias(n) for i, n in enumerate(names)))
 
 
 @query("gaac", SEQ + "SELECT doc_id, " + ", ".join(f"round({_share(g)}, 8) AS {k}" for k, g in COMPOSITION_GROUPS.items()) + " FROM seq")
 def gaac(spark, sf):
-    s = sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s"))
-    return rounded(s.select("doc_id", *(e.alias(k) for k, e in d.gaac(F.col("s")).items())), 8)
+    return _wide(spark, sf, "GAAC", list(COMPOSITION_GROUPS))
 
 
 @query("ctdc", SEQ + "SELECT doc_id, " + ", ".join(f"round({_share(a)}, 8) AS {p}_1, round({_share(b)}, 8) AS {p}_2, round(1 - {_share(a)} - {_share(b)}, 8) AS {p}_3" for p, (a, b, _) in CTD.items()) + " FROM seq")
 def ctdc(spark, sf):
-    s = sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s"))
-    return rounded(s.select("doc_id", *(e.alias(k) for k, e in d.ctdc(F.col("s")).items())), 8)
+    return _wide(spark, sf, "CTDC", profiles.names("CTDC"))
 
 
 def _pairs(expr: str) -> str:
@@ -154,10 +150,15 @@ def dpc(spark, sf):
     return rounded(pairs.select("doc_id", "pair", (F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))).alias("share")), 8)
 
 
-@query("dde", SEQ + "SELECT doc_id, " + ", ".join("round((n{0}::DOUBLE / m - {1}) / sqrt({1} * (1 - {1}) / m), 6) AS {0}".format(p, repr(sum(v == p[0] for v in CODONS.values()) / 61 * sum(v == p[1] for v in CODONS.values()) / 61)) for p in ("AA", "VI", "KE")) + f" FROM (SELECT doc_id, count(*) AS m, " + ", ".join(f"count(*) FILTER (w = '{p}') AS n{p}" for p in ("AA", "VI", "KE")) + f" FROM (SELECT doc_id, {_pairs('s')} AS w FROM seq WHERE length(s) > 1) GROUP BY doc_id)")
+_TM = "MAP {" + ", ".join(f"'{r}': {sum(v == r for v in CODONS.values()) / 61!r}::DOUBLE" for r in RESIDUES) + "}"
+
+
+@query("dde", SEQ + f", n AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, {_pairs('s')} AS w FROM seq WHERE length(s) > 1) GROUP BY 1, 2), g AS (SELECT doc_id, length(s) - 1 AS m, a || b AS pair, {_TM}[a] * {_TM}[b] AS tm FROM seq, (SELECT unnest(string_split('{' '.join(RESIDUES)}', ' ')) AS a), (SELECT unnest(string_split('{' '.join(RESIDUES)}', ' ')) AS b) WHERE length(s) > 1) SELECT g.doc_id, pair, round(CASE WHEN tm * (1 - tm) / m > 1e-9 THEN (coalesce(n, 0)::DOUBLE / m - tm) / sqrt(tm * (1 - tm) / m) ELSE 0 END, 6) AS dde FROM g LEFT JOIN n ON n.doc_id = g.doc_id AND n.w = g.pair".replace("\n, n AS", ", n AS"))
 def dde(spark, sf):
+    """All 400 pairs, long form."""
     s = sequences(spark, sf).select("doc_id", fs.clean(F.col("text")).alias("s")).where(F.length("s") > 1)
-    return rounded(s.select("doc_id", *(d.dde(F.col("s"), p).alias(p) for p in ("AA", "VI", "KE"))))
+    rows = profiles.blocks(s, "s", ["DDE"]).select("doc_id", F.explode(F.arrays_zip(F.array(*(F.lit(n.removeprefix("DDE_")) for n in profiles.names("DDE"))).alias("pair"), F.col("DDE").alias("dde"))).alias("z"))
+    return rounded(rows.select("doc_id", "z.pair", "z.dde"))
 
 
 _KDMAP = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in HYDROPATHY.items()) + "}"

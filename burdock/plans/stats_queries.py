@@ -19,7 +19,7 @@ g AS (SELECT metric, count(*) FILTER (grp = 'AC') AS n_a, count(*) FILTER (grp =
 
 def long(spark, sf):
     m = proteins(spark, sf).groupBy("sample").agg(F.avg("p1").alias("p1_mean"), F.max("kd").alias("kd_max"))
-    return m.join(F.broadcast(samples(spark, sf)), "sample").unpivot(["sample", "grp", "subject"], ["p1_mean", "kd_max"], "metric", "value")
+    return m.join(samples(spark, sf), "sample").unpivot(["sample", "grp", "subject"], ["p1_mean", "kd_max"], "metric", "value")
 
 
 @query("two_group_stats", _LONG + "SELECT metric, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(median_a, 6) AS median_a, round(median_b, 6) AS median_b, round(mean_b - mean_a, 6) AS delta_mean, rb - n_b * (n_b + 1) / 2 AS U FROM g")
@@ -49,31 +49,38 @@ def bh(spark, sf):
     return rounded(stats.with_fdr(rows, "p", ["sample"], "tx").select("sample", "tx", "fdr"), 8)
 
 
-_PERM = _LONG.strip() + """,
-few AS (SELECT metric, list(value ORDER BY sample) AS v, list(CASE WHEN grp = 'TOL' THEN 1 ELSE 0 END ORDER BY sample) AS b, count(*) AS n, count(*) FILTER (grp = 'TOL') AS k FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY sample) AS i FROM long) WHERE i <= 12 GROUP BY 1),
-d AS (SELECT metric, n, k, v, b, mask FROM few, range(4096) t(mask) WHERE bit_count(mask) = k AND mask < 2 ** n),
-s AS (SELECT metric, n, k, list_sum(list_transform(range(0, n), lambda i: CASE WHEN (mask >> CAST(i AS INT)) & 1 = 1 THEN v[i + 1] ELSE 0 END)) AS p, list_sum(v) AS total, list_sum(list_transform(range(0, n), lambda i: v[i + 1] * b[i + 1])) AS o FROM d),
-e AS (SELECT metric, p / k - (total - p) / (n - k) AS d, o / k - (total - o) / (n - k) AS obs FROM s)
+#: Metrics by subject: all samples of a subject are averaged, and labels are dealt out to subjects.
+_BY_SUBJECT = _LONG.strip() + """,
+subj AS (SELECT metric, subject, grp, avg(value) AS value FROM long GROUP BY 1, 2, 3),
+few AS (SELECT metric, list(value ORDER BY subject) AS v, sum(value) AS total, sum(value) FILTER (grp = 'TOL') AS o, count(*) AS n, count(*) FILTER (grp = 'TOL') AS k FROM subj GROUP BY 1),
+d AS (SELECT metric, n, k, total, o, """ + " + ".join(f"coalesce(v[{i + 1}], 0) * ((mask >> {i}) & 1)" for i in range(25)) + """ AS p FROM few, range(33554432) t(mask) WHERE bit_count(mask) = k AND mask < 2 ** n),
+e AS (SELECT metric, p / k - (total - p) / (n - k) AS d, o / k - (total - o) / (n - k) AS obs FROM d)
 """
 
 
-@query("exact_permutation", _PERM + "SELECT metric, count(*) AS n_permutations, round((count(*) FILTER (d >= obs - 1e-9) + 1)::DOUBLE / (count(*) + 1), 8) AS p_greater, round((count(*) FILTER (abs(d) >= abs(obs) - 1e-9) + 1)::DOUBLE / (count(*) + 1), 8) AS p_two_sided FROM e GROUP BY 1")
+@query("exact_permutation", _BY_SUBJECT + "SELECT metric, count(*) AS n_permutations, round((count(*) FILTER (d >= obs - 1e-9) + 1)::DOUBLE / (count(*) + 1), 8) AS p_greater, round((count(*) FILTER (abs(d) >= abs(obs) - 1e-9) + 1)::DOUBLE / (count(*) + 1), 8) AS p_two_sided FROM e GROUP BY 1")
 def exact_permutation(spark, sf):
-    from pyspark.sql import Window
+    """All samples, averaged by subject: few enough units for every way to deal out the labels."""
+    units = long(spark, sf).groupBy("metric", "subject", "grp").agg(F.avg("value").alias("value"))
+    return rounded(stats.exact_permutation(spark, units, "AC", "TOL", ["metric"], "subject", tolerance=1e-9).drop("delta", "exact"), 8)
 
-    few = long(spark, sf).withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy("sample"))).where("i <= 12")
-    return rounded(stats.exact_permutation(spark, few, "AC", "TOL", ["metric"], tolerance=1e-9).drop("delta", "exact"), 8)
+
+_DEALT = _LONG.strip() + """,
+size AS (SELECT metric, count(*) FILTER (grp = 'TOL') AS k, avg(value) FILTER (grp = 'TOL') - avg(value) FILTER (grp = 'AC') AS obs, count(*) AS n FROM long GROUP BY 1),
+dealt AS (SELECT metric, deal, value, row_number() OVER (PARTITION BY metric, deal ORDER BY md5(deal || ':' || sample)) AS r FROM long, range(10000) t(deal)),
+e AS (SELECT metric, deal, avg(value) FILTER (r <= k) - avg(value) FILTER (r > k) AS d, any_value(obs) AS obs FROM dealt JOIN size USING (metric) GROUP BY 1, 2)
+"""
 
 
-@query("label_permutation")
+@query("label_permutation", _DEALT + "SELECT metric, count(*) AS n_permutations, round(any_value(obs), 8) AS delta, round((count(*) FILTER (d >= obs - 1e-9) + 1)::DOUBLE / (count(*) + 1), 8) AS p_greater, round((count(*) FILTER (abs(d) >= abs(obs) - 1e-9) + 1)::DOUBLE / (count(*) + 1), 8) AS p_two_sided FROM e GROUP BY 1")
 def label_permutation(spark, sf):
-    """All samples; ``exact_permutation`` and its SQL read the first 12 of each metric."""
-    return rounded(stats.exact_permutation(spark, long(spark, sf), "AC", "TOL", ["metric"], tolerance=1e-9), 8)
+    """All samples, by random deals at every size."""
+    return rounded(stats.exact_permutation(spark, long(spark, sf), "AC", "TOL", ["metric"], "sample", tolerance=1e-9, most=0).drop("exact"), 8)
 
 
 @query("logcpm_de", SQL + "SELECT tx, round(avg(logcpm) FILTER (grp = 'TOL') - avg(logcpm) FILTER (grp = 'AC'), 6) AS log2fc, count(*) AS n FROM (SELECT tx, grp, log2(counts * 1e6 / sum(counts) OVER (PARTITION BY sample) + 1) AS logcpm, counts FROM cnt JOIN samples USING (sample)) GROUP BY 1 HAVING count(*) FILTER (counts >= 10) >= 3")
 def logcpm(spark, sf):
-    rows = stats.log_cpm(expression(spark, sf)).join(F.broadcast(samples(spark, sf)), "sample")
+    rows = stats.log_cpm(expression(spark, sf)).join(samples(spark, sf), "sample")
     mean = lambda g: F.avg(F.when(F.col("grp") == g, F.col("logcpm")))
     return rounded(rows.groupBy("tx").agg((mean("TOL") - mean("AC")).alias("log2fc"), F.count("*").alias("n"), F.count_if(F.col("counts") >= 10).alias("k")).where("k >= 3").drop("k"))
 
@@ -88,12 +95,76 @@ def spearman(spark, sf):
     return rounded(stats.rank_correlation(proteins(spark, sf), "p1", "kd", ["sample"]).drop("t"))
 
 
-@query("ols_interaction")
-def ols_interaction(spark, sf):
-    rows = proteins(spark, sf).join(F.broadcast(samples(spark, sf).select("sample", (F.col("grp") == "TOL").cast("double").alias("tol"))), "sample")
+_OLS = SQL.strip() + """,
+g AS (SELECT grp, count(*) AS n, regr_slope(kd, p1) AS b, regr_intercept(kd, p1) AS a, regr_sxx(kd, p1) AS sxx, regr_syy(kd, p1) - regr_sxy(kd, p1) ** 2 / regr_sxx(kd, p1) AS rss, avg(p1) AS mx FROM prot JOIN samples USING (sample) GROUP BY 1),
+s AS (SELECT sum(rss) / (sum(n) - 4) AS s2, sum(rss) AS rss, max(a) FILTER (grp = 'AC') AS a0, max(a) FILTER (grp = 'TOL') AS a1, max(b) FILTER (grp = 'AC') AS b0, max(b) FILTER (grp = 'TOL') AS b1,
+  max(1 / n + mx * mx / sxx) FILTER (grp = 'AC') AS va0, max(1 / n + mx * mx / sxx) FILTER (grp = 'TOL') AS va1, max(1 / sxx) FILTER (grp = 'AC') AS vb0, max(1 / sxx) FILTER (grp = 'TOL') AS vb1 FROM g),
+t AS (SELECT unnest(['intercept', 'p1', 'tol', 'p1_tol']) AS term, unnest([a0, b0, a1 - a0, b1 - b0]) AS coef, unnest([sqrt(s2 * va0), sqrt(s2 * vb0), sqrt(s2 * (va0 + va1)), sqrt(s2 * (vb0 + vb1))]) AS se FROM s)
+SELECT term, round(coef, 5) AS coef, round(se, 5) AS se, round(coef / se, 3) AS t, (SELECT round(1 - any_value(s.rss) / regr_syy(kd, p1), 6) FROM prot JOIN samples USING (sample), s) AS r2 FROM t"""
+
+
+def _fit(spark, sf):
+    rows = proteins(spark, sf).join(samples(spark, sf).select("sample", (F.col("grp") == "TOL").cast("double").alias("tol")), "sample")
     return stats.ols(spark, rows.withColumn("p1_tol", F.col("p1") * F.col("tol")), "kd", ["p1", "tol", "p1_tol"])
 
 
+@query("ols_interaction", _OLS)
+def ols_interaction(spark, sf):
+    return _fit(spark, sf).select("term", F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"), F.round("t", 3).alias("t"), F.round("r2", 6).alias("r2"))
+
+
+@query("ols_p_values")
+def ols_p_values(spark, sf):
+    return _fit(spark, sf).select("term", "p")
+
+
+@query("correlation_difference", SQL + ", r AS (SELECT grp, p1, kd, rank() OVER (PARTITION BY grp ORDER BY p1) + (count(*) OVER (PARTITION BY grp, p1) - 1) / 2 AS rx, rank() OVER (PARTITION BY grp ORDER BY kd) + (count(*) OVER (PARTITION BY grp, kd) - 1) / 2 AS ry FROM prot JOIN samples USING (sample)), c AS (SELECT corr(p1, kd) FILTER (grp = 'AC') AS pa, corr(p1, kd) FILTER (grp = 'TOL') AS pb, corr(rx, ry) FILTER (grp = 'AC') AS sa, corr(rx, ry) FILTER (grp = 'TOL') AS sb FROM r) SELECT round(pa, 6) AS pearson_a, round(pb, 6) AS pearson_b, round(sa, 6) AS spearman_a, round(sb, 6) AS spearman_b, round(pb - pa, 6) AS pearson_diff, round(sb - sa, 6) AS spearman_diff, round(atanh(pb) - atanh(pa), 6) AS fisher_z_diff FROM c")
+def correlation_difference(spark, sf):
+    rows = proteins(spark, sf).join(samples(spark, sf).select("sample", "grp"), "sample").withColumn("k", F.lit(1))
+    return rounded(stats.correlation_difference(rows, "p1", "kd", "AC", "TOL", ["k"]).drop("k"))
+
+
+@query("average_sd_d", _LONG + "SELECT metric, round((mean_a - mean_b) / sqrt((var_a + var_b) / 2), 6) AS cohens_d_average FROM g")
+def average_sd_d(spark, sf):
+    return rounded(stats.average_sd_d(stats.two_group(long(spark, sf), "AC", "TOL", ["metric"])).select("metric", "cohens_d_average"))
+
+
+@query("de_table", SQL + ", l AS (SELECT tx, grp, counts, log2(counts * 1e6 / sum(counts) OVER (PARTITION BY sample) + 1) AS x FROM cnt JOIN samples USING (sample)), s AS (SELECT tx, avg(counts) AS mean_counts, avg(x) FILTER (grp = 'TOL') - avg(x) FILTER (grp = 'AC') AS log2fc, var_samp(x) FILTER (grp = 'AC') / count(*) FILTER (grp = 'AC') + var_samp(x) FILTER (grp = 'TOL') / count(*) FILTER (grp = 'TOL') AS se2 FROM l GROUP BY 1 HAVING count(*) FILTER (counts >= 10) >= 3) SELECT tx, round(mean_counts, 6) AS mean_counts, round(log2fc, 6) AS log2fc, round(log2fc / nullif(sqrt(se2), 0), 6) AS welch_t FROM s")
+def de_table(spark, sf):
+    rows = expression(spark, sf).join(samples(spark, sf).select("sample", "grp"), "sample")
+    return rounded(stats.de_table(rows, "AC", "TOL", "tx").drop("p", "fdr"))
+
+
+_SETS = SQL + ", l AS (SELECT tx, grp, log2(counts * 1e6 / sum(counts) OVER (PARTITION BY sample) + 1) AS x FROM cnt JOIN samples USING (sample)), v AS (SELECT tx, round(avg(x) FILTER (grp = 'TOL') - avg(x) FILTER (grp = 'AC'), 9) AS value, tx % 7 = 0 AS hot FROM l GROUP BY 1 HAVING value IS NOT NULL), r AS (SELECT *, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS rk FROM v)"
+
+
+def _folds(spark, sf):
+    rows = stats.log_cpm(expression(spark, sf)).join(samples(spark, sf).select("sample", "grp"), "sample")
+    mean = lambda g: F.avg(F.when(F.col("grp") == g, F.col("logcpm")))
+    return rows.groupBy("tx").agg(F.round(mean("TOL") - mean("AC"), 9).alias("value")).withColumns({"hot": F.col("tx") % 7 == 0, "k": F.lit(1)})
+
+
+@query("competitive_set", _SETS + "SELECT count(*) FILTER (hot) AS n_set, count(*) FILTER (NOT hot) AS n_background, round(avg(value) FILTER (hot), 6) AS mean_set, round(avg(value) FILTER (NOT hot), 6) AS mean_background, round(avg(value) FILTER (hot) - avg(value) FILTER (NOT hot), 6) AS mean_difference, sum(rk) FILTER (hot) - count(*) FILTER (hot) * (count(*) FILTER (hot) + 1) / 2 AS U, round((sum(rk) FILTER (hot) - count(*) FILTER (hot) * (count(*) FILTER (hot) + 1) / 2) / (count(*) FILTER (hot) * count(*) FILTER (NOT hot)), 6) AS auc FROM r")
+def competitive_set(spark, sf):
+    return rounded(stats.competitive_set(_folds(spark, sf), "hot", ["k"]).drop("k", "ties"))
+
+
+@query("random_sets")
+def random_sets(spark, sf):
+    return stats.random_sets(_folds(spark, sf), "hot", ["k"]).drop("k")
+
+
+@query("bootstrap_effects")
+def bootstrap_effects(spark, sf):
+    return stats.bootstrap_effects(long(spark, sf), "AC", "TOL", ["metric"])
+
+
+@query("bootstrap_coupling")
+def bootstrap_coupling(spark, sf):
+    wide = long(spark, sf).groupBy("sample", "grp").pivot("metric", ["p1_mean", "kd_max"]).agg(F.first("value")).withColumn("k", F.lit(1))
+    return stats.bootstrap_effects(wide, "AC", "TOL", ["k"], "p1_mean", "kd_max").drop("k")
+
+
 @query("hc3_contrast", _LONG + "SELECT metric, round(max(mv) FILTER (grp = 'AC') - max(mv) FILTER (grp = 'TOL'), 6) AS contrast, round(sqrt(sum(vp * n / ((n - 1) * (n - 1)))), 6) AS se_hc3 FROM (SELECT metric, grp, count(*) AS n, avg(value) AS mv, var_pop(value) AS vp FROM long GROUP BY 1, 2) GROUP BY 1")
 def hc3(spark, sf):
     return rounded(stats.hc3_contrast(long(spark, sf), "AC", "TOL", ["metric"]))
@@ -101,7 +172,7 @@ def hc3(spark, sf):
 
 @query("risk_votes", _LONG + "SELECT sample, grp, CAST(p1_mean > max(p1_mean) FILTER (grp = 'AC') OVER () AS INT) AS vote_p1_mean, CAST(kd_max > max(kd_max) FILTER (grp = 'AC') OVER () AS INT) AS vote_kd_max, CAST(p1_mean > max(p1_mean) FILTER (grp = 'AC') OVER () AS INT) + CAST(kd_max > max(kd_max) FILTER (grp = 'AC') OVER () AS INT) AS votes FROM m JOIN samples USING (sample)")
 def risk_votes(spark, sf):
-    m = proteins(spark, sf).groupBy("sample").agg(F.avg("p1").alias("p1_mean"), F.max("kd").alias("kd_max")).join(F.broadcast(samples(spark, sf)), "sample")
+    m = proteins(spark, sf).groupBy("sample").agg(F.avg("p1").alias("p1_mean"), F.max("kd").alias("kd_max")).join(samples(spark, sf), "sample")
     return stats.risk_votes(m, "AC", ["p1_mean", "kd_max"], []).drop("vote_fraction")
 
 
@@ -110,12 +181,20 @@ def leave_one_out(spark, sf):
     return rounded(stats.leave_one_out(long(spark, sf), "subject", "AC", "TOL", ["metric"]), 9)
 
 
-@query("directional_replication")
+_TAIL = "list_sum(list_transform(range({k}, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))"
+_SIGNS = SQL + ", ge AS (SELECT sample, gene, sum(tpm) AS v FROM expr JOIN tx USING (tx) GROUP BY 1, 2), m AS (SELECT gene, median(v) FILTER (grp = 'TOL') AS b, median(v) FILTER (grp = 'AC') AS a FROM ge JOIN samples USING (sample) GROUP BY 1), c AS (SELECT count(*) FILTER (b > a) AS k, count(*) FILTER (b <> a) AS n FROM m)"
+_BISECT = (
+    _SIGNS.replace("WITH samples", "WITH RECURSIVE samples") + ", lo AS (SELECT k, n, 0.0::DOUBLE AS l, 1.0::DOUBLE AS h, 0 AS i FROM c UNION ALL SELECT k, n, CASE WHEN t < 0.025 THEN (l + h) / 2 ELSE l END, CASE WHEN t < 0.025 THEN h ELSE (l + h) / 2 END, i + 1 FROM (SELECT *, " + _TAIL.format(k="k", p="((l + h) / 2)") + " AS t FROM lo WHERE i < 50))"
+    + ", hi AS (SELECT k, n, 0.0::DOUBLE AS l, 1.0::DOUBLE AS h, 0 AS i FROM c UNION ALL SELECT k, n, CASE WHEN t < 0.975 THEN (l + h) / 2 ELSE l END, CASE WHEN t < 0.975 THEN h ELSE (l + h) / 2 END, i + 1 FROM (SELECT *, " + _TAIL.format(k="k + 1", p="((l + h) / 2)") + " AS t FROM hi WHERE i < 50))"
+)
+
+
+@query("directional_replication", _BISECT + " SELECT k, n, round(" + _TAIL.format(k="k", p="0.5") + ", 6) AS p, round(CASE WHEN k = 0 THEN 0 ELSE (SELECT l FROM lo WHERE i = 50) END, 6) AS low, round(CASE WHEN k = n THEN 1 ELSE (SELECT l FROM hi WHERE i = 50) END, 6) AS high FROM c")
 def directional(spark, sf):
-    g = expression(spark, sf).join(F.broadcast(transcripts(spark, sf)), "tx").groupBy("sample", "gene").agg(F.sum("tpm").alias("value")).join(F.broadcast(samples(spark, sf)), "sample")
+    g = expression(spark, sf).join(transcripts(spark, sf), "tx").groupBy("sample", "gene").agg(F.sum("tpm").alias("value")).join(samples(spark, sf), "sample")
     d = stats.two_group(g, "AC", "TOL", ["gene"]).withColumn("up", F.col("median_b") > F.col("median_a")).agg(F.count_if("up").alias("k"), F.count_if(F.col("median_b") != F.col("median_a")).alias("n"))
     p, ci = stats.sign_test(spark, F.col("k"), F.col("n"))
-    return d.select("k", "n", p.alias("p"), ci.alias("ci")).select("k", "n", "p", "ci.low", "ci.high")
+    return rounded(d.select("k", "n", p.alias("p"), ci.alias("ci")).select("k", "n", "p", "ci.low", "ci.high"))
 
 
 @query("bootstrap_ci")
@@ -125,14 +204,14 @@ def bootstrap(spark, sf):
 
 @query("within_bin_permutation")
 def within_bins(spark, sf):
-    rows = expression(spark, sf).join(F.broadcast(transcripts(spark, sf)), "tx").withColumns({"bin": cohort.quantile_bin("len", "sample", "tx"), "hot": F.col("tx") % 5 == 0})
+    rows = expression(spark, sf).join(transcripts(spark, sf), "tx").withColumns({"bin": cohort.quantile_bin("len", "sample", "tx"), "hot": F.col("tx") % 5 == 0})
     return stats.permute_within(spark, rows, ["bin"], "hot", "tpm", "sample", 10_000)
 
 
 def _genes(spark, sf):
     """Log expression of genes by sample, and sets of genes by their last digit."""
     tx = transcripts(spark, sf)
-    rows = expression(spark, sf).join(F.broadcast(tx), "tx").groupBy("sample", "gene").agg(F.log2(F.sum("tpm") + 1).alias("value"))
+    rows = expression(spark, sf).join(tx, "tx").groupBy("sample", "gene").agg(F.log2(F.sum("tpm") + 1).alias("value"))
     return rows, tx.select(F.concat(F.lit("set"), F.expr("right(gene, 1)")).alias("signature"), "gene").distinct()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -89,9 +89,108 @@ def hla_log(lines: DataFrame, sample: str, caller: str) -> DataFrame:
 
 
 def hla_json(text: DataFrame, sample: str, caller: str) -> DataFrame:
-    """Object of allele lists by locus."""
-    rows = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("locus", "list")).select("locus", F.posexplode("list").alias("rank", "a"))
-    return rows.select(F.lit(sample).alias("sample"), F.lit(caller).alias("caller"), sequence.normal_locus(F.col("locus")).alias("locus"), sequence.normal_allele(F.col("a")).alias("allele"), (F.col("rank") + 1).alias("rank")).where("allele is not null")
+    """Alleles in any string, keys included, at any depth below the top level of an object, in the order of the text;
+    a name that occurs again counts once. ``rank`` is the place among the locus's alleles."""
+    literal = F.regexp_extract_all("raw", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    top = text.select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("key", "e"))
+    raw = top.select("file", "key", F.col("e.value").alias("raw")).where("raw is not null")
+    each = raw.select("file", "key", F.posexplode(F.when(F.col("raw").rlike(r"^\s*[\[{]"), literal).otherwise(F.array("raw"))).alias("at", "s"))
+    allele = sequence.normal_allele(F.col("s"))
+    found = each.select(allele.alias("allele"), F.struct("file", "key", "at").alias("ord")).where("allele is not null")
+    first = found.groupBy(sequence.allele_locus(F.col("allele")).alias("locus"), "allele").agg(F.min("ord").alias("ord"))
+    return first.select(F.lit(sample).alias("sample"), F.lit(caller).alias("caller"), "locus", "allele", F.row_number().over(Window.partitionBy("locus").orderBy("ord")).alias("rank"))
+
+
+def delimiter(spark: SparkSession, path: str, candidates: str = "\t,") -> str:
+    """The candidate that the first line of a text file has most of; the first candidate if it has none."""
+    line = spark.read.text(path).limit(1).first()
+    return max(candidates, key=(line.value if line else "").count)
+
+
+def hla_table(spark: SparkSession, path: str, sample: str, caller: str) -> DataFrame:
+    """``hla_wide`` of a file separated by tabs or commas."""
+    return hla_wide(spark.read.csv(path, sep=delimiter(spark, path), header=True), sample, caller)
+
+
+def normalized_hla(spark: SparkSession, *paths: str) -> DataFrame:
+    """Calls of normalized tables; paths that do not exist are passed over, and so are rows without sample, caller, locus
+    or allele. A rank that is absent is 999, one that is no number drops its row; the file stands in for an absent source."""
+    there = [p for p in paths if first_existing(spark, p)]
+    names = [f.split()[0] for f in schema.HLA.split(", ")]
+    if not there:
+        return spark.createDataFrame([], schema.HLA)
+    rows = spark.read.csv(there, sep="\t", header=True, schema=", ".join(f"{n} string" for n in names)).withColumn("file", F.input_file_name())
+    rank = F.col("rank").try_cast("int")
+    kept = rows.where("sample is not null and caller is not null and locus is not null and allele is not null").where(F.col("rank").isNull() | rank.isNotNull())
+    return kept.select("sample", "caller", sequence.normal_locus(F.col("locus")).alias("locus"), "allele", F.coalesce(rank, F.lit(999)).alias("rank"), F.coalesce("source_file", "file").alias("source_file"))
+
+
+def manifest(spark: SparkSession, path: str, needed: tuple[str, ...] = ("sample_id", "abundance", "vcf")) -> DataFrame:
+    """Rows of a sample sheet that have all needed columns."""
+    rows = spark.read.csv(path, header=True)
+    return rows.where(" AND ".join(f"coalesce(trim({c}), '') <> ''" for c in needed))
+
+
+def sample_list(spark: SparkSession, path: str) -> DataFrame:
+    """id, ord: lines of a text file without comments and blanks, each once, in order of first appearance."""
+    line = F.trim("value")
+    rows = spark.read.text(path).select(line.alias("id"), F.monotonically_increasing_id().alias("ord")).where("id <> '' and not startswith(id, '#')")
+    return rows.groupBy("id").agg(F.min("ord").alias("ord"))
+
+
+def annotation(spark: SparkSession, path: str) -> DataFrame:
+    """transcript (version-free), gene_id, gene_name, biotype: the first row of each transcript in a GTF."""
+    rows = spark.read.csv(path, sep="\t", comment="#", schema=schema.GTF, quote="").where("feature = 'transcript' and attribute is not null").withColumn("ord", F.monotonically_increasing_id())
+    first = lambda key: F.nullif(F.regexp_extract("attribute", f'{key} "([^"]+)"', 1), F.lit(""))
+    named = rows.select(sequence.transcript_id(first("transcript_id")).alias("transcript"), F.struct("ord", first("gene_id").alias("gene_id"), first("gene_name").alias("gene_name"), first("transcript_type").alias("biotype")).alias("x"))
+    return named.groupBy("transcript").agg(F.min("x").alias("x")).select("transcript", "x.gene_id", "x.gene_name", "x.biotype")
+
+
+def _tolerant(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    if first_existing(spark, path) is None:
+        return spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
+    rows = spark.read.csv(path, sep="\t", header=True, encoding="UTF-8")
+    return rows.toDF(*(c.lstrip("\ufeff").strip() for c in rows.columns))
+
+
+def key_values(spark: SparkSession, path: str) -> DataFrame:
+    """(metric, value) rows of a report; of a repeated metric the last; none if the file is missing."""
+    rows = _tolerant(spark, path, ("metric", "value")).where("metric is not null and value is not null").withColumn("ord", F.monotonically_increasing_id())
+    return rows.groupBy("metric").agg(F.max_by("value", "ord").alias("value"))
+
+
+def skipped(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a table of skipped records; none if the file is missing."""
+    return _tolerant(spark, path, ("Sequence_ID", "Raw_Length", "Clean_Length", "Reason"))
+
+
+def report(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """A JSON report with the given columns; no row if the file is missing."""
+    return spark.read.json(path, schema=columns, multiLine=True) if first_existing(spark, path) else spark.createDataFrame([], columns)
+
+
+def slices(genome: DataFrame, spans: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """``spans`` (chrom, start, end, from 1) with ``seq``, cut from a genome stored in pieces of ``width`` (chrom, bin, seq):
+    a span meets the pieces it touches alone, so no chromosome travels."""
+    keyed = spans.withColumn("__span", F.monotonically_increasing_id())
+    first, last = (F.floor((F.col(c) - 1) / width).cast("int") for c in ("start", "end"))
+    parts = keyed.withColumn("bin", F.explode(F.sequence(first, last))).join(genome, ["chrom", "bin"])
+    low = F.greatest(F.col("start") - F.col("bin") * width, F.lit(1)).cast("int")
+    high = F.least(F.col("end") - F.col("bin") * width, F.lit(width)).cast("int")
+    cut = parts.withColumn("part", F.substring("seq", low, high - low + 1))
+    whole = cut.groupBy("__span").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "part"))), lambda x: x["part"]), "").alias("seq"))
+    return keyed.join(whole, "__span").drop("__span")
+
+
+def binned(genome: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(chrom, seq) as pieces (chrom, bin, seq) for ``slices``."""
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.length("seq") - 1) / width).cast("int"), F.lit(0))))
+    return genome.select("chrom", "seq", at.alias("bin")).select("chrom", "bin", F.expr(f"substring(seq, bin * {width} + 1, {width})").alias("seq"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes and sha256 of each file; a file must fit a row (2 GB)."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def lookup_table(spark: SparkSession, path: str) -> list[float]:

@@ -37,7 +37,7 @@ def test_scalar_functions(spark):
 
 def test_stops_of_every_word(spark, tmp_path):
     spark.createDataFrame([(1, "a b c d.e f.g.h .i"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = registry.load()[0]["stop_cleaning_words"](spark, str(tmp_path)).collect()
+    got = registry.load()[0]["stop_cleaning"](spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.kept) for r in sorted(got, key=lambda r: r.pos)] == [(1, k) for k in ("a", "b", "c", "d", None, None)]
 
 
@@ -120,6 +120,8 @@ def test_hla_readers_and_consensus(spark, tmp_path):
     assert [(r.locus, r.allele, r["rank"]) for r in readers.hla_json(text, "s", "j").orderBy("allele").collect()] == [("A", "HLA-A*02:01", 1), ("A", "HLA-A*24:02", 2), ("B", "HLA-B*07:02", 1)]
     wide = spark.createDataFrame([("A*01:01", "A*02:01", "B*07:02", "C*04:01"), ("x",) * 4], "A1 string, A2 string, B1 string, C1 string")
     assert readers.hla_wide(wide, "s", "w").count() == 4
+    deep = spark.createDataFrame([('{"A":{"calls":[{"allele":"A*02:01","score":1},"HLA-A*24:02"],"B*08:01":null},"B":"B*07:02","n":3,"C":["x \\"q\\" C*04:01",["C*04:01"]]}',)], "value string")
+    assert [(r.locus, r.allele, r["rank"]) for r in readers.hla_json(deep, "s", "j").orderBy("allele").collect()] == [("A", "HLA-A*02:01", 1), ("A", "HLA-A*24:02", 2), ("B", "HLA-B*07:02", 2), ("B", "HLA-B*08:01", 1), ("C", "HLA-C*04:01", 1)]
     log = spark.createDataFrame([("found HLA-DRB1*15:01 and DQB1*06:02",), ("none",)], "value string")
     assert sorted(r.allele for r in readers.hla_log(log, "s", "l").collect()) == ["HLA-DQB1*06:02", "HLA-DRB1*15:01"]
     calls = [("s", c, "A", "A*02:01", 1, "f") for c in ("x", "y")] + [("s", "x", "A", "A*24:02", 2, "f")] + [("s", c, "B", f"B*0{i}:01", 1, "f") for i, c in enumerate("xyz")]
@@ -131,9 +133,9 @@ def test_hla_queries_read_every_row(spark, tmp_path):
     lines = [(k, 9, "RAN"[k % 3], 1 + k % 2, k, "F") for k in range(1, 31)]  # no order key is a multiple of 50
     spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_returnflag string, l_linenumber int, l_partkey long, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     queries = registry.load()[0]
-    ranks = {(r.caller, r.locus, r.allele) for r in queries["hla_ranks_all"](spark, str(tmp_path)).collect()}
+    ranks = {(r.caller, r.locus, r.allele) for r in queries["hla_ranks"](spark, str(tmp_path)).collect()}
     assert ranks == {(c, "BC"[n - 1], f"HLA-{'BC'[n - 1]}*0{k % 5}:01") for k, _, c, n, _, _ in lines}
-    top = queries["hla_consensus_all"](spark, str(tmp_path)).collect()
+    top = queries["hla_consensus"](spark, str(tmp_path)).collect()
     assert sorted(r.locus for r in top) == ["B", "B", "C", "C"] and {(r.caller_count, r.support_count, r.consensus_status) for r in top} == {(3, 3, "CONSENSUS")}
 
 
@@ -142,7 +144,7 @@ def test_distributions_against_direct_sums():
     for n, m in ((2, 3), (4, 5), (1, 6)):
         us = [sum(r for r in c) - n * (n + 1) // 2 for c in itertools.combinations(range(1, n + m + 1), n)]
         assert special.rank_sum_counts(n, m).tolist() == [us.count(u) for u in range(n * m + 1)]
-    assert special.mann_whitney(6, 2, 3, 0.0) == pytest.approx(0.2) and special.binomial_tail(2, 3) == 0.5
+    assert special.mann_whitney(6, 2, 3, 0.0) == pytest.approx(0.2) and special.binomial_tail(2, 3) == pytest.approx(0.5, abs=1e-12)
     low, high = special.clopper_pearson(0, 10)
     assert low == 0 and high == pytest.approx(1 - 0.025**0.1, abs=1e-9)
 
@@ -160,6 +162,100 @@ def test_permutation_and_ols(spark):
     assert coef["x"] == pytest.approx(want[0]) and coef["intercept"] == pytest.approx(want[1])
 
 
+def test_subsets_are_counted_by_halves(spark):
+    rng = np.random.default_rng(1)
+    for n, k in ((1, 1), (7, 3), (10, 5), (11, 2), (12, 11)):
+        v = np.round(rng.normal(size=n), 1)
+        sums = np.array([sum(c) for c in itertools.combinations(v, k)])
+        for bound in (-9, -0.55, 0.05, 1.15, 99):
+            assert stats.subsets_at_least(v, k, bound) == (sums >= bound).sum()
+    rows = [("m", "TOL" if i % 3 else "AC", float(v)) for i, v in enumerate(rng.normal(size=30))]
+    df = spark.createDataFrame(rows, "metric string, grp string, value double")
+    got = stats.exact_permutation(spark, df, "AC", "TOL", ["metric"]).first()
+    deals = stats.exact_permutation(spark, df, "AC", "TOL", ["metric"], most=0).first()
+    assert got.exact and got.n_permutations == math.comb(30, 10) and not deals.exact and deals.n_permutations == 10_000
+    assert got.p_greater == pytest.approx(deals.p_greater, abs=0.02) and got.p_two_sided == pytest.approx(deals.p_two_sided, abs=0.02)
+
+
+def test_bootstrapped_effects_and_random_sets(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(1, 9)), np.round(rng.normal(size=(1, 14)) + 1, 1)
+    sd = math.sqrt((8 * x.var(ddof=1) + 13 * y.var(ddof=1)) / 21)
+    assert stats.hedges(x, y)[0] == pytest.approx((y.mean() - x.mean()) / sd * (1 - 3 / 83))
+    assert stats._ranks(np.array([[3.0, 1, 3, 2, 3], [1, 1, 1, 1, 1]])).tolist() == [[4, 1, 4, 2, 4], [3] * 5]
+    rows = [("m", "AC", float(a), float(b)) for a, b in zip(x[0], rng.normal(size=9), strict=True)] + [("m", "TOL", float(a), float(a + b)) for a, b in zip(y[0], rng.normal(size=14), strict=True)] + [("few", "AC", 1.0, 1.0), ("few", "TOL", 2.0, None)]
+    df = spark.createDataFrame(rows, "metric string, grp string, u double, v double")
+    got = {r.effect: r for r in stats.bootstrap_effects(df, "AC", "TOL", ["metric"], y="u", n=1500).collect()}
+    assert set(got) == {"hedges_g", "mean_b"} and got["hedges_g"].observed == pytest.approx(stats.hedges(x, y)[0])
+    assert got["mean_b"].low < y.mean() < got["mean_b"].high and got["hedges_g"].low < got["hedges_g"].observed < got["hedges_g"].high
+    got = {r.effect: r for r in stats.bootstrap_effects(df, "AC", "TOL", ["metric"], "u", "v", n=1500).collect()}
+    by = {g: np.array([r[2:] for r in rows if r[0] == "m" and r[1] == g]) for g in ("AC", "TOL")}
+    slope = {g: np.polyfit(*a.T, 1)[0] for g, a in by.items()}
+    assert got["interaction"].observed == pytest.approx(slope["TOL"] - slope["AC"])
+    assert got["pearson_diff"].observed == pytest.approx(np.corrcoef(by["TOL"].T)[0, 1] - np.corrcoef(by["AC"].T)[0, 1])
+    genes = [(1, float(v), i < 4) for i, v in enumerate([5, 6, 7, 8, 1, 2, 3, 4, 9, 0])]
+    one = stats.random_sets(spark.createDataFrame(genes, "k int, value double, hot boolean"), "hot", ["k"]).first()
+    means = [np.mean(c) for c in itertools.combinations([g[1] for g in genes], 4)]
+    assert one.U == 20 and one.auc == 20 / 24 and one.mean_difference == pytest.approx(6.5 - 19 / 6)
+    assert one.p_random_sets == pytest.approx(np.mean(np.array(means) >= 6.5), abs=0.02)
+    us = [sum(a > b for a in c for b in set(range(10)) - set(c)) for c in itertools.combinations(range(10), 4)]
+    assert one.p_rank_sum == pytest.approx(np.mean(np.array(us) >= 20))
+
+
+def test_p_values_of_correlations_and_tables(spark):
+    df = spark.createDataFrame([("k", float(x), float(y)) for x, y in zip(range(6), (1, 3, 2, 5, 4, 6), strict=True)], "k string, x double, y double")
+    r = stats.with_correlation_p(stats.rank_correlation(df, "x", "y", ["k"])).first()
+    t = r.pearson * math.sqrt(4 / (1 - r.pearson**2))
+    assert r.pearson_p == pytest.approx(special.t_two_sided(t, 4)) and r.pearson_p == r.spearman_p
+    c = stats.with_normal_interval(spark.createDataFrame([(2.0, 1.0)], "contrast double, se_hc3 double")).first()
+    assert c.p == pytest.approx(0.04550026389635842) and (c.low, c.high) == pytest.approx((2 - 1.959964, 2 + 1.959964), abs=1e-6)
+    rows = [(f"g{g}", f"s{s}", "AC" if s < 3 else "TOL", float(20 + g * s + (s * 7) % 3)) for g in range(4) for s in range(6)] + [("low", f"s{s}", "AC" if s < 3 else "TOL", 1.0) for s in range(6)]
+    out = {r.gene: r for r in stats.de_table(spark.createDataFrame(rows, "gene string, sample string, grp string, counts double"), "AC", "TOL", "gene").collect()}
+    assert set(out) == {"g0", "g1", "g2", "g3"} and all(r.p <= r.fdr <= 1 for r in out.values()) and out["g3"].log2fc > 0 > out["g0"].log2fc
+    assert special.binomial_tail(2500, 5000) == pytest.approx(0.5056, abs=1e-3)
+
+
+def test_sequential_numbers_and_dense_matrix(spark):
+    rows = spark.createDataFrame([(str(i % 3), i) for i in range(200)], "k string, v int").repartition(7)
+    got = sorted((r.place, r.k, r.v) for r in cohort.numbered(rows, [cohort.by_list("k", ["2", "0"]), F.desc("v")], "place").collect())
+    want = sorted(range(200), key=lambda i: ({2: 1, 0: 2, 1: 3}[i % 3], -i))
+    assert [(p, v) for p, _, v in got] == list(enumerate(want, 1))
+    cells = spark.createDataFrame([("a", "x", 1.0, 0), ("a", "x", 2.0, 1), ("b", "y", 3.0, 0), ("b", "z", 9.0, 0)], "sample string, id string, value double, ord int")
+    assert sorted(map(tuple, cohort.dense(cells, ["b", "a"]).collect())) == [("x", None, 2.0), ("y", 3.0, None), ("z", 9.0, None)]
+    assert cohort.matrix_slice(cells, ["a"], ["x"]).count() == 2
+
+
+def test_flags_clips_and_fallbacks(spark):
+    from burdock.functions import labels
+
+    df = spark.createDataFrame([("Plasma Membrane", None, 1.0, "Amyloid", None, "Amyloid", "protein_coding"), (None, None, None, None, "NA", None, "lncRNA"), ("x", "Nuclear speckle", 9.0, None, "Amyloid", "Non-Amyloid", "protein_coding")], "a string, b string, v double, new string, old string, other string, bio string")
+    flags = labels.keyword_flags(["a", "b"], {"membrane": ("plasma membrane", "cell junction"), "nucleus": ("nuclear",)})
+    got = df.select(*(e.alias(k) for k, e in flags.items()), labels.clip(F.col("v"), 2.0, 5.0).alias("c"), labels.with_fallback(F.col("new"), F.col("old"), F.col("other")).alias("f"), labels.coding_only(F.col("new"), F.col("bio"), "unannotated").alias("m")).collect()
+    assert [tuple(r) for r in got] == [(True, False, 2.0, "Amyloid", "Amyloid"), (False, False, None, "Partial", None), (False, True, 5.0, "Discordant", "unannotated")]
+    odd = spark.createDataFrame([("ACDX",), ("A" * 40 + "X",), ("",), (None,)], "s string")
+    assert [r[0] for r in odd.select(sequence.exploded(F.col("s"))).collect()] == [True, False, False, False]
+
+
+def test_light_profile_equals_the_expressions(spark):
+    from burdock.functions import descriptors, profiles
+
+    texts = ["ACDEFGHIKLMNPQRSTVWY", "mkv*x", "", None, "ß", "WWWW"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, s string")
+    want = df.select("id", sequence.clean(F.coalesce("s", F.lit(""))).alias("s")).select("id", *(e.alias(k) for k, e in descriptors.light(F.col("s")).items())).orderBy("id").collect()
+    got = profiles.light_features(df, "s").drop("s").orderBy("id").collect()
+    assert [r.asDict().keys() for r in got] == [r.asDict().keys() for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert [x if x is None else pytest.approx(x, abs=1e-9) for x in b][1:] == list(a)[1:]
+
+
+def test_variant_filters(spark):
+    from burdock.operators import variants
+
+    rows = [(0, "c", 100, "FS=31.5;QD=9"), (1, "c", 110, "FS=1;QD=1.5"), (2, "c", 134, "DP=3"), (3, "c", 200, "QD=x"), (4, "d", 100, None), (5, "d", 135, "FS=30.0;QD=2.0")]
+    got = {r.id: r["filter"] for r in variants.hard_filters(spark.createDataFrame(rows, "id int, chrom string, pos int, info string")).collect()}
+    assert got == {0: "SnpCluster;FS", 1: "SnpCluster;QD", 2: "SnpCluster", 3: "PASS", 4: "PASS", 5: "PASS"}
+
+
 def test_permutation_of_large_keys_uses_all_samples(spark):
     rng = np.random.default_rng(3)
     rows = [(m, "TOL" if i < 5 else "AC", float(v)) for m, shift in (("even", 0), ("up", 1.5)) for i, v in enumerate(rng.normal(size=12) + shift * (np.arange(12) < 5))]
