@@ -2,40 +2,67 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import labels
 from ..schema import GROUPS, SIXMERS
 
 _LUT = np.full(256, 255, np.uint8)
 for _i, _g in enumerate(GROUPS):
-    _LUT[[ord(c) for c in _g]] = _i
-
-
-def best_windows(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cleaned length and best probability (NaN without a window) of each text; one vectorised pass over all of them."""
-    raw = [(t or "").upper().encode("ascii", "ignore") for t in texts]
-    codes = _LUT[np.frombuffer(b"".join(raw), np.uint8)]
+    _LUT[[ord(c) for c in _g + _g.lower()]] = _i
+#: Other characters whose upper case holds ASCII letters, as UTF-8, with these letters.
+_LETTERS = {chr(c).encode(): up for c in range(128, 0x20000) if not 0xD800 <= c < 0xE000 and (up := chr(c).upper().encode("ascii", "ignore"))}
+_GROWS = re.compile(b"|".join(map(re.escape, _LETTERS)))
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts laid end to end as UTF-8, and where each begins; null counts as empty."""
+    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = texts.buffers()[2]
+    raw = memoryview(held)[edges[0] : edges[-1]] if held is not None else b""
+    edges = edges - edges[0]
+    found = list(_GROWS.finditer(raw))
+    if not found:
+        return np.frombuffer(raw, np.uint8), edges
+    longer = np.cumsum([0, *(len(_LETTERS[m[0]]) - len(m[0]) for m in found)])
+    return np.frombuffer(_GROWS.sub(lambda m: _LETTERS[m[0]], raw), np.uint8), edges + longer[np.searchsorted([m.start() for m in found], edges, "left")]
+
+
+def windows(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cleaned length and best probability (NaN without a window) of each text, from the buffer of the column itself."""
+    data, edges = _bytes(texts)
+    codes = _LUT[data]
     keep = codes < 6
-    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])[keep]
-    lens = np.bincount(owner, minlength=len(raw))
-    c = codes[keep].astype(np.int32)
-    best = np.full(len(raw), np.nan)
+    at = np.concatenate([[0], np.cumsum(keep)])[edges]
+    lens, c = np.diff(at), codes[keep].astype(np.uint16)
+    best = np.full(len(lens), np.nan)
     n = len(c) - 5
     if n > 0:
-        code = np.zeros(n, np.int32)
-        for k in range(6):
-            code = code * 6 + c[k : k + n]
-        p = np.where(owner[:n] == owner[5:], table[code], -np.inf)
+        code = c[:n].copy()
+        for k in range(1, 6):
+            code *= 6
+            code += c[k : k + n]
+        p = np.append(table[code], -np.inf)
         full = np.flatnonzero(lens >= 6)
         if len(full):
-            best[full] = np.maximum.reduceat(p, (np.cumsum(lens) - lens)[full])
+            first = at[full]
+            best[full] = np.maximum.reduceat(p, np.stack([first, first + lens[full] - 5], 1).ravel())[::2]
     return lens, best
 
 
+def best_windows(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``windows`` of a list."""
+    return windows(pa.array(texts, pa.string()), table)
+
+
 def surrogate_table() -> np.ndarray:
     """A stand-in for a fitted table: code / (codes - 1)."""
     return np.arange(SIXMERS) / (SIXMERS - 1)
@@ -54,8 +81,18 @@ def scorer(spark: SparkSession, table: np.ndarray):
 
 
 def predict(spark: SparkSession, records: DataFrame, table: np.ndarray, id_col: str = "id", text_col: str = "sequence", threshold: float = 0.5) -> DataFrame:
-    """id, clean_length, prob, label, status of every record; too short ones carry their reason instead of a label."""
-    out = records.select(F.col(id_col), scorer(spark, table)(F.col(text_col)).alias("s")).select(id_col, "s.clean_length", "s.prob")
+    """id, clean_length, prob, label, status of every record; too short ones carry their reason instead of a label.
+
+    One Arrow pass over id and text; the table (365 KB) is broadcast."""
+    held = spark.sparkContext.broadcast(np.asarray(table, np.float64))
+    rows = records.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text"))
+
+    def run(batches):
+        for b in batches:
+            lens, best = windows(b.column(1), held.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens.astype(np.int32)), pa.array(best, mask=np.isnan(best))], names=[id_col, "clean_length", "prob"])
+
+    out = rows.mapInArrow(run, T.StructType([rows.schema.fields[0], T.StructField("clean_length", T.IntegerType()), T.StructField("prob", T.DoubleType())]))
     status = F.when(F.col("clean_length") == 0, "empty_after_cleaning").when(F.col("clean_length") < 6, "shorter_than_6").otherwise("ok")
     return out.withColumns({"label": labels.label(F.col("prob"), threshold), "status": status})
 
