@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence
-from ..sources.readers import attribute
+from ..sources.readers import attribute, binned, slices
 
 
 def transcripts(features: DataFrame) -> DataFrame:
@@ -59,13 +59,13 @@ def _coding(exons: Column, edit: bool) -> Column:
 def frameshift_proteins(variants: DataFrame, tx: DataFrame, genome: DataFrame, min_aa: int = 6) -> DataFrame:
     """header, sequence of mutant proteins of indels inside exons; of equal proteins of a gene the first in variant order.
 
-    ``genome`` is (chrom, seq); exon slices are cut before anything is joined, so no chromosome travels with a variant.
+    ``genome`` is (chrom, seq); exons are cut from pieces of it, so no chromosome travels with an exon or a variant.
     """
     shifts = frameshift_variants(variants)
     spans = tx.select("transcript_id", "chrom", F.explode("exons").alias("e")).select("transcript_id", "chrom", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
     hit = range_join(shifts, spans, "chrom", "pos", "start", "end").select("transcript_id", "pos", "ref", "alt", "ord").distinct()
     wanted = spans.join(hit.select("transcript_id").distinct(), "transcript_id", "left_semi")
-    cut = wanted.join(genome, "chrom").withColumn("seq", F.expr("substring(seq, start, end - start + 1)"))
+    cut = slices(binned(genome), wanted.join(genome.select("chrom").distinct(), "chrom", "left_semi"))
     exons = cut.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "seq"))).alias("parts"))
     rows = hit.join(exons, "transcript_id").join(tx.select("transcript_id", "gene_id", "strand"), "transcript_id")
     rows = rows.withColumns({"wt": sequence.translate_dna(_coding(F.col("parts"), False)), "mut": sequence.translate_dna(_coding(F.col("parts"), True), min_aa)}).where("mut <> ''")

@@ -171,15 +171,14 @@ def report(spark: SparkSession, path: str, columns: str) -> DataFrame:
 
 def slices(genome: DataFrame, spans: DataFrame, width: int = 1 << 16) -> DataFrame:
     """``spans`` (chrom, start, end, from 1) with ``seq``, cut from a genome stored in pieces of ``width`` (chrom, bin, seq):
-    a span meets the pieces it touches alone, so no chromosome travels."""
-    keyed = spans.withColumn("__span", F.monotonically_increasing_id())
+    a span meets the pieces it touches alone, so no chromosome travels. What lies outside the genome is empty."""
     first, last = (F.floor((F.col(c) - 1) / width).cast("int") for c in ("start", "end"))
-    parts = keyed.withColumn("bin", F.explode(F.sequence(first, last))).join(genome, ["chrom", "bin"])
+    keyed = spans.withColumn("__span", F.monotonically_increasing_id()).withColumn("bin", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("start") - F.col("bin") * width, F.lit(1)).cast("int")
     high = F.least(F.col("end") - F.col("bin") * width, F.lit(width)).cast("int")
-    cut = parts.withColumn("part", F.substring("seq", low, high - low + 1))
-    whole = cut.groupBy("__span").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "part"))), lambda x: x["part"]), "").alias("seq"))
-    return keyed.join(whole, "__span").drop("__span")
+    cut = keyed.join(genome, ["chrom", "bin"], "left").withColumn("part", F.substring("seq", low, high - low + 1))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("bin", "part"))), lambda x: x["part"])
+    return cut.groupBy("__span", *spans.columns).agg(F.array_join(parts, "").alias("seq")).drop("__span")
 
 
 def binned(genome: DataFrame, width: int = 1 << 16) -> DataFrame:
