@@ -22,10 +22,10 @@ def long(spark, sf):
     return m.join(samples(spark, sf), "sample").unpivot(["sample", "grp", "subject"], ["p1_mean", "kd_max"], "metric", "value")
 
 
-@query("two_group_stats", _LONG + "SELECT metric, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(median_a, 6) AS median_a, round(median_b, 6) AS median_b, round(mean_b - mean_a, 6) AS delta_mean, rb - n_b * (n_b + 1) / 2 AS U FROM g")
+@query("two_group_stats", _LONG + "SELECT metric, n_a, n_b, round(mean_a, 9) AS mean_a, round(mean_b, 9) AS mean_b, round(median_a, 9) AS median_a, round(median_b, 9) AS median_b, round(mean_b - mean_a, 9) AS delta_mean, rb - n_b * (n_b + 1) / 2 AS U FROM g")
 def two_group(spark, sf):
     out = stats.two_group(long(spark, sf), "AC", "TOL", ["metric"])
-    return rounded(out.select("metric", "n_a", "n_b", "mean_a", "mean_b", "median_a", "median_b", "delta_mean", "U"))
+    return rounded(out.select("metric", "n_a", "n_b", "mean_a", "mean_b", "median_a", "median_b", "delta_mean", "U"), 9)
 
 
 @query("cliffs_delta", _LONG + "SELECT a.metric, round(avg(sign(b.value - a.value)), 8) AS cliffs_delta FROM long a JOIN long b ON a.metric = b.metric AND a.grp = 'AC' AND b.grp = 'TOL' GROUP BY 1")
