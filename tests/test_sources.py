@@ -47,6 +47,8 @@ def test_genome_slices(spark):
     spans = spark.createDataFrame([("c", a, b) for a, b in ((1, 1), (1, 1000), (64, 65), (65, 128), (900, 999))], "chrom string, start int, end int")
     pieces = readers.binned(spark.createDataFrame([("c", seq)], "chrom string, seq string"), 64)
     assert all(r.seq == seq[r.start - 1 : r.end] for r in readers.slices(pieces, spans, 64).collect()) and readers.slices(pieces, spans, 64).count() == 5
+    odd = spark.createDataFrame([("c", 5, 9), ("c", 5, 9), ("c", 990, 1200), ("c", 5000, 5009), ("none", 1, 9)], "chrom string, start int, end int")
+    assert sorted((r.chrom, r.start, r.seq) for r in readers.slices(pieces, odd, 64).collect()) == [("c", 5, seq[4:9]), ("c", 5, seq[4:9]), ("c", 990, seq[989:]), ("c", 5000, ""), ("none", 1, "")]
 
 
 def test_reports_and_run_tables(spark, tmp_path):
