@@ -7,9 +7,10 @@ vantage-point tree whose nodes know the least and largest distance of each half
 nodes nearest first, passes over those that lie outside the annulus, and ends where the next node is farther than the
 k-th best row found so far, in this block or those before it. The result is exact.
 
-Blocks are made of near rows: a tree over a sample of at most ``SAMPLE`` rows (those whose hashes come first) routes every
-row to one of ``CELLS`` cells, cells are cut into blocks of ``BLOCK`` rows in a sorted range of (cell, hash), so that no
-cell, however many equal vectors it holds, is one task's. Groups of ``GROUP`` anchors meet slices of the blocks; a task
+Blocks are made of near rows of few labels: labels are hashed to ``BUCKETS`` buckets, so that a search for the anchor's own
+label passes over most blocks, and a tree over a sample of at most ``SAMPLE`` rows (those whose hashes come first) routes
+every row to one of ``CELLS`` cells at most. Buckets and cells are cut into blocks of ``BLOCK`` rows in a sorted range of
+(bucket, cell, hash), so that none of them, however many equal vectors it holds, is one task's. Groups of ``GROUP`` anchors meet slices of the blocks; a task
 streams the blocks of a slice past one group. The number of slices follows the cores where groups are few.
 
 Rows take part with an id, a label and a vector without null or non-finite components; vectors of different lengths are
@@ -26,13 +27,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK, LEAF, GROUP = 1024, 32, 1024
-SAMPLE, CELLS = 2048, 64
+BLOCK, LEAF, GROUP = 1024, 64, 1024
+SAMPLE, CELLS, BUCKETS = 2048, 64, 16
 #: Of the two norms: what computed distances may be off.
 SLACK = 1e-6
 _INF = float("inf")
@@ -106,37 +107,59 @@ class Tree:
         """Of the anchor from every node's vantage point."""
         return np.sqrt(np.maximum(q2 + self.m2 - 2 * (self.points @ q), 0)).tolist()
 
-    def search(self, q: np.ndarray, q2: float, far: list[float], take: np.ndarray, low: float, high: float, k: int, best: list) -> list:
-        """``best`` (pairs of minus score and id, sorted, ``k`` at most) with the rows of this block that ``take`` marks and
-        whose scores lie in the window."""
-        slack = SLACK * math.sqrt(q2 + self.m2)
-        radius = lambda score: math.sqrt(max(q2 + self.m2 - 2 * float(score), 0.0)) if abs(score) < _INF else (_INF if score < 0 else 0.0)
-        inner, outer = radius(high) - slack, radius(low) + slack
-        if len(best) == k:
-            outer = min(outer, radius(-best[-1][0]) + slack)
-        ahead = [(0.0, 0)]
+    def search(self, q: np.ndarray, q2: float, far: list[float], take: np.ndarray, windows: Windows) -> None:
+        """Bring the windows of one anchor up to date with the rows of this block that ``take`` marks. A node is opened if
+        it may hold rows of any window, a leaf's scores are computed once for all of them."""
+        whole = q2 + self.m2
+        slack = SLACK * math.sqrt(whole)
+        radius = lambda score: math.sqrt(max(whole - 2 * score, 0.0)) if abs(score) < _INF else (_INF if score < 0 else 0.0)
+        inner, outer = radius(windows.most) - slack, radius(windows.least) + slack
+        ahead = [(0.0, 0, _INF)]
         while ahead:
-            near, at = heapq.heappop(ahead)
+            near, at, farthest_of_all = heapq.heappop(ahead)
             if near > outer:
                 break
             a, b, left, right, _, *shells = self.nodes[at]
             if left < 0:
                 a, b = int(a), int(b)
-                score = products(self.x[a:b], q)
-                ok = take[a:b] & (score >= low) & (score <= high)
-                if len(best) == k:
-                    ok &= score >= -best[-1][0]
-                if ok.any():
-                    best = sorted([*best, *zip((-score[ok]).tolist(), self.ids[a:b][ok].tolist(), strict=True)])[:k]
-                    if len(best) == k:
-                        outer = min(outer, radius(-best[-1][0]) + slack)
+                if windows.add(products(self.x[a:b], q), take[a:b], self.ids[a:b]):
+                    outer = radius(windows.least) + slack
                 continue
             d = far[at]
             for child, least, most in ((left, *shells[:2]), (right, *shells[2:])):
-                nearest = max(near, d - most - slack, least - d - slack)
-                if nearest <= outer and d + most + slack >= inner:
-                    heapq.heappush(ahead, (nearest, int(child)))
-        return best
+                nearest, farthest = max(near, d - most - slack, least - d - slack), min(farthest_of_all, d + most + slack)
+                if nearest <= outer and farthest >= inner:
+                    heapq.heappush(ahead, (nearest, int(child), farthest))
+
+
+class Windows:
+    """The score windows of one anchor, each with its ``k`` best rows so far: pairs of minus score and id, sorted."""
+
+    def __init__(self, low: list, high: list, k: int):
+        whole = max((abs(v) for v in (*low, *high) if abs(v) < _INF), default=0) >= 2**53
+        self.low, self.high = (np.array(v, object if whole else float)[:, None] for v in (low, high))
+        self.k, self.best = k, [[] for _ in low]
+        self.open = [a <= b for a, b in zip(low, high, strict=True)]
+        self.most = float(max((b for b, o in zip(high, self.open, strict=True) if o), default=-_INF))
+        self._level()
+
+    def _level(self) -> None:
+        """The least score that any window still takes."""
+        self.least = float(min((v for v, o in zip(self.low[:, 0], self.open, strict=True) if o), default=_INF))
+
+    def add(self, score: np.ndarray, take: np.ndarray, ids: np.ndarray) -> bool:
+        """Take over what fits; whether a window is full and its least score has gone up."""
+        fit = (take & (score >= self.low) & (score <= self.high)).astype(bool)
+        full = False
+        for w in np.flatnonzero(fit.any(1)).tolist():
+            ok = fit[w]
+            best = sorted([*self.best[w], *zip((-score[ok]).tolist(), ids[ok].tolist(), strict=True)])[: self.k]
+            self.best[w] = best
+            if len(best) == self.k:
+                self.low[w, 0], full = -best[-1][0], True
+        if full:
+            self._level()
+        return full
 
 
 def _whole(lists: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -181,10 +204,14 @@ def _cell(x: np.ndarray, router: list) -> np.ndarray:
     return cell
 
 
+def _bucket(label: str) -> Column:
+    return F.pmod(F.xxhash64(label), F.lit(BUCKETS))
+
+
 def blocks(ws: common.Workspace, rows: DataFrame, scale: float) -> DataFrame:
-    """Saved table of blocks: dim, block, ids, labels, x, nodes. ``rows`` as from ``usable``."""
+    """Saved table of blocks: block, dim, bucket, ids, labels, x, nodes. ``rows`` as from ``usable``."""
     spark = rows.sparkSession
-    cells = 1 << min(CELLS.bit_length() - 1, max(0, (rows.count() // BLOCK)).bit_length())
+    cells = 1 << min(CELLS.bit_length() - 1, (rows.count() // (BLOCK * BUCKETS)).bit_length())
     router = spark.sparkContext.broadcast(_router([r.v for r in rows.orderBy("h", "id").limit(SAMPLE).select("v").collect()], scale, cells))
 
     def route(batches):
@@ -195,7 +222,7 @@ def blocks(ws: common.Workspace, rows: DataFrame, scale: float) -> DataFrame:
                 if dim in router.value:
                     own = np.flatnonzero(dims == dim)
                     cell[own] = _cell(flat[(ends[own] - dim)[:, None] + np.arange(dim)], router.value[dim])
-            yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array(cell, pa.int32()), *b.columns], names=["dim", "cell", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array(b.column("bucket").to_numpy() * CELLS + cell, pa.int64()), *b.columns[:-1]], names=["dim", "cell", *b.schema.names[:-1]])
 
     def pack(batches):
         at, held, size = None, [], 0
@@ -203,7 +230,7 @@ def blocks(ws: common.Workspace, rows: DataFrame, scale: float) -> DataFrame:
         def block():
             ids, labels, x = (np.concatenate(z) for z in zip(*held, strict=True))
             cells_ = [pa.array([c], pa.binary()) for c in Tree.build(ids, labels, x).packed()]
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), *cells_], names=["dim", "ids", "labels", "x", "nodes"])
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1] // CELLS], pa.int64()), *cells_], names=["dim", "bucket", "ids", "labels", "x", "nodes"])
 
         for b in batches:
             key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
@@ -223,8 +250,8 @@ def blocks(ws: common.Workspace, rows: DataFrame, scale: float) -> DataFrame:
         if size:
             yield block()
 
-    routed = rows.mapInArrow(common.lean(route), "dim int, cell int, id long, label long, v array<double>, h long")
-    made = routed.repartitionByRange("dim", "cell", "h").sortWithinPartitions("dim", "cell", "h").mapInArrow(common.lean(pack), "dim int, ids binary, labels binary, x binary, nodes binary")
+    routed = rows.withColumn("bucket", _bucket("label")).mapInArrow(common.lean(route), "dim int, cell long, id long, label long, v array<double>, h long")
+    made = routed.repartitionByRange("dim", "cell", "h").sortWithinPartitions("dim", "cell", "h").mapInArrow(common.lean(pack), "dim int, bucket long, ids binary, labels binary, x binary, nodes binary")
     return ws.save(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
@@ -242,44 +269,44 @@ def _search(ws: common.Workspace, name: str, asked: DataFrame, table: DataFrame,
             out.write_table(part)
         return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "group": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    groups = ws.save(asked.select(F.pmod(F.xxhash64("id"), F.lit(n_groups)).alias("g"), "id", "label", "v", "asks").groupBy("g").applyInArrow(bundle, "g long, group binary"), name)
+    groups = ws.save(asked.select(F.pmod(F.xxhash64("id"), F.lit(n_groups)).alias("g"), "id", "label", _bucket("label").alias("bucket"), "v", "asks").groupBy("g").applyInArrow(bundle, "g long, group binary"), name)
     empty = F.lit(None).cast("binary")
-    left = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"), F.lit(-1).cast("long").alias("block"), F.lit(0).alias("dim"), F.col("group").alias("ids"), *(empty.alias(c) for c in ("labels", "x", "nodes")))
-    right = table.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("g"), F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int").alias("s"), "block", "dim", "ids", "labels", "x", "nodes")
-    cells = left.unionByName(right).repartition("g", "s").sortWithinPartitions("g", "s", "block")
+    left = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"), F.lit(-1).cast("long").alias("block"), F.lit(0).alias("dim"), F.lit(0).cast("long").alias("bucket"), F.col("group").alias("ids"), *(empty.alias(c) for c in ("labels", "x", "nodes")))
+    right = table.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("g"), F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int").alias("s"), "block", "dim", "bucket", "ids", "labels", "x", "nodes")
+    cells = left.unionByName(right).repartition(n_groups * slices, "g", "s").sortWithinPartitions("g", "s", "block")
     names = ["anchor_id", "place", "positive_id", "positive_score", "other_id", "score"]
 
     def run(batches):
-        group, best = [], {}
+        group: list[tuple] = []
 
         def found():
-            out = [(a[0], p["place"], p["positive_id"], p["positive_score"], i, int(-s)) for j, a in enumerate(group) for n, p in enumerate(a[3]) for s, i in best.get((j, n), ())]
+            out = [(own, p["place"], p["positive_id"], p["positive_score"], i, int(-s)) for own, _, _, _, asks, windows in group for p, best in zip(asks, windows.best, strict=True) for s, i in best]
             cols = list(zip(*out, strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
+        def opened(data):
+            part = pa.ipc.open_stream(data).read_all()
+            for i, label, bucket, v, asks in zip(*(part.column(c).to_pylist() for c in ("id", "label", "bucket", "v", "asks")), strict=True):
+                low, high = ([p[c] if p[c] is not None else far for p in asks] for c, far in (("low", -_INF), ("high", _INF)))
+                yield i, label, bucket, np.floor(scale * np.array(v, np.float64)), asks, Windows(low, high, k)
+
         for b in batches:
             for r in range(b.num_rows):
-                dim, *cols = (b.column(c)[r].as_py() for c in ("dim", "ids", "labels", "x", "nodes"))
+                dim, bucket, *cols = (b.column(c)[r].as_py() for c in ("dim", "bucket", "ids", "labels", "x", "nodes"))
                 if cols[1] is None:  # a group: what follows are its blocks
-                    if best:
+                    if group:
                         yield found()
-                    part, best = pa.ipc.open_stream(cols[0]).read_all(), {}
-                    group = [(i, y, np.floor(scale * np.array(v, np.float64)), asks) for i, y, v, asks in zip(*(part.column(c).to_pylist() for c in ("id", "label", "v", "asks")), strict=True)]
+                    group = list(opened(cols[0]))
                     continue
                 tree = Tree.opened(dim, *cols)
-                for j, (own, label, q, asks) in enumerate(group):
-                    if len(q) != dim:
+                for own, label, theirs, q, _, windows in group:
+                    if len(q) != dim or (same and theirs != bucket) or windows.most < windows.least:
                         continue
                     take = ((tree.labels == label) if same else (tree.labels != label)) & (tree.ids != own)
-                    if not take.any():
-                        continue
-                    q2 = float(q @ q)
-                    far = tree.distances(q, q2)
-                    for n, ask in enumerate(asks):
-                        low, high = (-_INF if ask["low"] is None else ask["low"]), (_INF if ask["high"] is None else ask["high"])
-                        if low <= high and (got := tree.search(q, q2, far, take, low, high, k, best.get((j, n), []))):
-                            best[j, n] = got
-        if best:
+                    if take.any():
+                        q2 = float(q @ q)
+                        tree.search(q, q2, tree.distances(q, q2), take, windows)
+        if group:
             yield found()
 
     return cells.mapInArrow(common.lean(run), ", ".join(f"{c} long" for c in names))
@@ -301,7 +328,7 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int
 
     like = _search(ws, "anchors", own.withColumn("asks", anyone), table, True, positives, scale)
     place = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("score"), "other_id"))
-    like = like.withColumn("place", place.cast("long")).where(F.col("place") <= positives)
+    like = ws.save(like.withColumn("place", place.cast("long")).where(F.col("place") <= positives), "positives")
     share = lambda p: F.col("score").cast("decimal(20)") * F.lit(p).cast("decimal(9)") * F.expr("0.01BD")  # noqa: E731  a percentage, exact
     each = F.struct("place", F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score"), F.ceil(share(low)).cast("long").alias("low"), F.floor(share(high)).cast("long").alias("high"))
     asks = like.groupBy("anchor_id").agg(F.collect_list(each).cast(ask).alias("asks"))

@@ -197,15 +197,16 @@ def test_tree_opens_fewer_leaves_in_an_annulus():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(16, 8)) * 40
     x = np.floor((centres[rng.integers(16, size=2048)] + rng.normal(size=(2048, 8))) * 16)
-    tree = hard_negatives.Tree.opened(8, *hard_negatives.Tree.build(np.arange(2048), np.zeros(2048, np.int64), x).packed())
+    tree = hard_negatives.Tree.opened(8, *hard_negatives.Tree.build(np.arange(2048), np.zeros(2048, np.int64), x, 16).packed())
     q = x[5]
     score = x @ q
     high = int(np.partition(score, -900)[-900])
     opened, plain = [], hard_negatives.products
     hard_negatives.products = lambda a, b: opened.append(len(a)) or plain(a, b)
     try:
-        got = tree.search(q, float(q @ q), tree.distances(q, float(q @ q)), np.ones(2048, bool), -float("inf"), high, 10, [])
+        windows = hard_negatives.Windows([-float("inf"), high + 1], [high, high], 10)
+        tree.search(q, float(q @ q), tree.distances(q, float(q @ q)), np.ones(2048, bool), windows)
     finally:
         hard_negatives.products = plain
     want = sorted((-s, i) for i, s in enumerate(score.tolist()) if s <= high)[:10]
-    assert got == want and sum(opened) < 1400
+    assert windows.best == [want, []] and sum(opened) < 1400
