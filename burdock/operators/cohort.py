@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..schema import CLASS_ORDER
+from . import ordered
 
 
 def merge_predictions(tables: dict[str, DataFrame], key: str = "id") -> DataFrame:
@@ -104,10 +105,10 @@ def integrative_index(rows: DataFrame) -> DataFrame:
 
 
 def describe(rows: DataFrame, value: str, keys: list[str], percents: tuple[int, ...] = (1, 5, 10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
-    """n, mean, sd, least, percentiles and largest value by key."""
-    at = F.percentile(value, F.array(*(F.lit(k / 100) for k in percents)))
-    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), at.alias("__p"), F.max(value).alias("max"))
-    return out.select(*keys, "n", "mean", "sd", "min", *(F.col("__p")[i].alias(f"p{k:02d}") for i, k in enumerate(percents)), "max")
+    """n, mean, sd, least, percentiles and largest value by key; percentiles come from sorted ranges, so a key may be large."""
+    cuts = ordered.quantiles(rows, keys, value, {f"p{k:02d}": k / 100 for k in percents})
+    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return out.join(cuts, keys, "left").select(*keys, "n", "mean", "sd", "min", *(f"p{k:02d}" for k in percents), "max")
 
 
 def stacked_counts(rows: DataFrame, predictors: list[str], keys: list[str]) -> DataFrame:
@@ -165,11 +166,11 @@ def by_list(col: str, order: list[str]) -> Column:
 def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Rows with their place in a total order, from 1: ranges are sorted, each task numbers its own, and the ranges' sizes
     (one row a partition) are summed up, so no task sees all rows."""
-    held = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()})
-    sizes = held.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__part", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
-    return held.join(F.broadcast(starts), "__part").withColumn(out, F.col("__id") - F.col("__first") + F.col("__before") + 1).drop("__part", "__id", "__first", "__before")
+    held = ordered.ranges(rows, order)
+    sizes = held.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return held.join(F.broadcast(starts), "__part").withColumn(out, F.col("__at") + F.col("__before") + 1).drop("__part", "__at", "__before")
 
 
 def matrix_slice(table: DataFrame, samples: list[str] | None = None, ids: list[str] | None = None, sample: str = "sample", id_col: str = "id") -> DataFrame:

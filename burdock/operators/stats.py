@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from . import ordered
 
 
 def two_group(rows: DataFrame, a: str, b: str, keys: list[str], grp: str = "grp", value: str = "value") -> DataFrame:
@@ -230,47 +231,80 @@ def bootstrap_effects(rows: DataFrame, a: str, b: str, keys: list[str], x: str |
     return held.groupBy(*keys, "effect").agg(F.max("obs").alias("observed"), F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
 
 
-def competitive_set(rows: DataFrame, in_set: str, keys: list[str], value: str = "value") -> DataFrame:
-    """Values of a set against all others, by key: counts, means and their difference, U and the chance that a set's value
-    is the larger, one-sided rank-sum statistics by average ranks from one window."""
-    w = Window.partitionBy(*keys)
-    held = rows.where(F.col(value).isNotNull())
-    same = F.count("*").over(Window.partitionBy(*keys, value))
-    held = held.withColumns({"__rank": F.rank().over(w.orderBy(value)) + (same - 1) / 2, "__tie": same * same - 1})
-    hot = lambda e: F.when(F.col(in_set), e)
-    n, m = F.count_if(F.col(in_set)), F.count_if(~F.col(in_set))
-    out = held.groupBy(*keys).agg(n.alias("n_set"), m.alias("n_background"), F.avg(hot(F.col(value))).alias("mean_set"), F.avg(F.when(~F.col(in_set), F.col(value))).alias("mean_background"), (F.sum(hot(F.col("__rank"))) - n * (n + 1) / 2).alias("U"), F.sum("__tie").cast("double").alias("ties"))
+def competitive_set(rows: DataFrame, in_set: str, keys: list[str] | None = None, value: str = "value") -> DataFrame:
+    """Values of a set against all others, by key (None: all rows): counts, means and their difference, U and the chance that
+    a set's value is the larger, from average ranks of distinct values in sorted ranges, so no task sees a whole key."""
+    keys = keys or []
+    ranked = ordered.value_ranks(rows, keys, value, {"hot": F.col(in_set)})
+    n, m, v = F.sum("hot"), F.sum("n") - F.sum("hot"), F.col(value)
+    out = ranked.groupBy(*keys).agg(
+        n.alias("n_set"), m.alias("n_background"), (F.sum(v * F.col("hot")) / F.nullif(n, F.lit(0))).alias("mean_set"), (F.sum(v * (F.col("n") - F.col("hot"))) / F.nullif(m, F.lit(0))).alias("mean_background"),
+        (F.sum(F.col("hot") * F.col("rank")) - n * (n + 1) / 2).alias("U"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"),
+    )
+    out = out.where(F.col("n_set").isNotNull())
     return out.withColumns({"mean_difference": F.col("mean_set") - F.col("mean_background"), "auc": F.try_divide(F.col("U"), F.col("n_set") * F.col("n_background"))})
 
 
-def random_sets(rows: DataFrame, in_set: str, keys: list[str], value: str = "value", n: int = 10_000, seed: int = 20260608) -> DataFrame:
-    """Adds to ``competitive_set`` the one-sided rank-sum p, and the p of the set's mean among ``n`` sets of its size that are
-    drawn without replacement; blocks of draws are shared out over tasks."""
+#: Values that a task of the random sets holds at most: 8 MB of doubles.
+SLICE = 1_000_000
+
+
+def allotted(sizes: list[int], k: int, draw: int, seed: int) -> np.ndarray:
+    """How many of ``k`` values drawn without replacement fall into slices of these sizes, fixed by the draw's number."""
+    return np.random.default_rng([seed, draw]).multivariate_hypergeometric(np.asarray(sizes, np.int64), k, method="marginals")
+
+
+def drawn(n: int, k: int, part: int, draw: int, seed: int) -> np.ndarray:
+    """Places of the ``k`` values of a slice of ``n`` that a draw takes."""
+    return np.random.default_rng([seed, draw, part]).choice(n, k, replace=False, shuffle=False)
+
+
+def random_sets(rows: DataFrame, in_set: str, value: str = "value", n: int = 10_000, seed: int = 20260608) -> DataFrame:
+    """Adds to ``competitive_set`` of all rows the one-sided rank-sum p, and the p of the set's mean among ``n`` sets of its
+    size drawn without replacement.
+
+    Values lie in sorted ranges, cut into slices of ``SLICE``. A hypergeometric draw says how many values of each slice a
+    random set takes; each slice then draws that many of its own values for every set and adds up one array of sums, and
+    the arrays are summed over the slices. No task sees all values, none are copied, and the result hangs on the slices
+    and the seed alone. Between tasks travel ``n`` sums a slice.
+    """
 
     @F.pandas_udf("double")
     def ranks(u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series) -> pd.Series:
         return pd.Series([special.mann_whitney(x, int(i), int(j), t, "greater") if i and j else None for x, i, j, t in zip(u, a, b, ties, strict=True)], dtype="Float64")
 
+    spark = rows.sparkSession
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).cast("double").alias("v"), F.col(in_set).alias("hot"))
+    held = ordered.ranges(known, ["v", "hot"]).withColumn("slice", F.floor(F.col("__at") / SLICE))
+    slices = held.groupBy("__part", "slice").agg(F.count("*").alias("size"), F.count_if("hot").alias("k")).orderBy("__part", "slice").collect()  # a row for each SLICE values
+    sizes, k = [r["size"] for r in slices], sum(r["k"] for r in slices)
+    base = competitive_set(rows, in_set, None, value).withColumn("p_rank_sum", ranks("U", "n_set", "n_background", "ties"))
+    if not k:
+        return base.withColumn("p_random_sets", F.lit(None).cast("double"))
+    place = spark.sparkContext.broadcast(({(r["__part"], r["slice"]): i for i, r in enumerate(slices)}, sizes))
+
     def one(pdf):
-        pdf = pdf.sort_values(["v", "hot"])
-        head, block = pdf.iloc[0][keys].to_dict(), int(pdf["__block"].iloc[0])
-        v, hot = pdf["v"].to_numpy(float), pdf["hot"].to_numpy(bool)
-        k = int(hot.sum())
-        rng, more, total = _seeds(seed, head, block), 0, 0
-        for m in _runs(n, block, len(v)) if k else ():
-            sums = np.array([v[rng.choice(len(v), k, replace=False)].mean() for _ in range(m)])
-            more, total = more + int((sums >= v[hot].mean() - 1e-12).sum()), total + m
-        return pd.DataFrame([head | {"more": more, "total": total}])
+        places, sizes = place.value
+        i = places[int(pdf["__part"].iloc[0]), int(pdf["slice"].iloc[0])]
+        v = np.sort(pdf["v"].to_numpy(float))
+        block = int(pdf["__block"].iloc[0])
+        sums = [float(v[drawn(len(v), c, i, d, seed)].sum()) for d in range(block * BLOCK, min(n, (block + 1) * BLOCK)) for c in [int(allotted(sizes, k, d, seed)[i])]]
+        return pd.DataFrame({"block": [block], "i": [i], "s": [sums]})
 
-    kinds = dict(rows.dtypes)
-    held = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.col(in_set).alias("hot"))
-    parts = _blocks(rows.sparkSession, held, n).groupBy(*keys, "__block").applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", more long, total long")
-    p = parts.groupBy(*keys).agg(((F.sum("more") + 1) / (F.sum("total") + 1)).alias("p_random_sets"))
-    return competitive_set(rows, in_set, keys, value).withColumn("p_rank_sum", ranks("U", "n_set", "n_background", "ties")).join(p, keys, "left")
+    def total(pdf):
+        s = np.stack(pdf.sort_values("i")["s"].to_list()).sum(0)
+        return pd.DataFrame({"draw": pdf["block"].iloc[0] * BLOCK + np.arange(len(s)), "mean": s / k})
+
+    parts = _blocks(spark, held.select("__part", "slice", "v"), n).groupBy("__part", "slice", "__block").applyInPandas(one, "block long, i int, s array<double>")
+    means = parts.groupBy("block").applyInPandas(total, "draw long, mean double")
+    observed = base.select(F.col("mean_set").alias("o"))  # one row
+    p = means.join(F.broadcast(observed)).agg(((F.count_if(F.col("mean") >= F.col("o") - 1e-12) + 1) / (F.count("*") + 1)).alias("p_random_sets"))
+    return base.join(F.broadcast(p))
 
 
-def correlation_difference(rows: DataFrame, x: str, y: str, a: str, b: str, keys: list[str], grp: str = "grp") -> DataFrame:
-    """Pearson and Spearman of both groups, their differences (b - a) and that of Fisher's z, by key."""
+def correlation_difference(rows: DataFrame, x: str, y: str, a: str, b: str, keys: list[str] | None = None, grp: str = "grp") -> DataFrame:
+    """Pearson and Spearman of both groups, their differences (b - a) and that of Fisher's z, by key (None: all rows)."""
+    keys = keys or []
     each = rank_correlation(rows.where(F.col(grp).isin(a, b)), x, y, [*keys, grp])
     pick = lambda c, g: F.max(F.when(F.col(grp) == g, F.col(c)))
     out = each.groupBy(*keys).agg(*(pick(c, g).alias(f"{c}_{s}") for c in ("pearson", "spearman") for g, s in ((a, "a"), (b, "b"))))
@@ -343,14 +377,27 @@ def permute_within(spark: SparkSession, rows: DataFrame, bins: list[str], label:
 
 
 def rank_correlation(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    """Pearson and Spearman (Pearson of average ranks) per key; null under 3 rows or 2 distinct values."""
+    """Pearson and Spearman (Pearson of average ranks) per key; null under 3 rows or 2 distinct values.
 
-    def avg_rank(c):
-        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
-
-    held = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"__x": avg_rank(x), "__y": avg_rank(y)})
-    fit = (F.count("*") >= 3) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    out = held.groupBy(*keys).agg(F.count("*").alias("n"), F.when(fit, F.corr(x, y)).alias("pearson"), F.when(fit, F.corr("__x", "__y")).alias("spearman"))
+    Rows are counted by (x, y), the distinct values are ranked in sorted ranges and their ranks joined to these counts; a
+    value that many pairs hold makes an uneven join, which Spark splits. No task sees a whole key.
+    """
+    known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    pairs = known.groupBy(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("n"))
+    for c in ("__x", "__y"):
+        placed = ordered.running(pairs.groupBy(*keys, c).agg(F.sum("n").alias("m")), keys, c, ["m"])
+        named = placed.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col(c).alias("__v"), (F.col("before_m") + (F.col("m") + 1) / 2).alias(f"r{c}"))
+        pairs = pairs.join(named, [F.col(c) == F.col("__v"), *(F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys)]).drop("__v", *(f"__k_{k}" for k in keys))
+    mean = pairs.groupBy(*keys).agg(*((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"m{c}") for c in ("__x", "__y", "r__x", "r__y")))
+    named = mean.select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(f"m{c}" for c in ("__x", "__y", "r__x", "r__y")))
+    centred = pairs.join(named, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] or F.lit(True)).drop(*(f"__k_{k}" for k in keys))
+
+    def corr(p, q):
+        u, v = F.col(p) - F.col(f"m{p}"), F.col(q) - F.col(f"m{q}")
+        return F.sum(F.col("n") * u * v) / F.sqrt(F.sum(F.col("n") * u * u) * F.sum(F.col("n") * v * v))
+
+    fit = (F.sum("n") >= 3) & (F.min("__x") < F.max("__x")) & (F.min("__y") < F.max("__y"))
+    out = centred.groupBy(*keys).agg(F.sum("n").alias("n"), F.when(fit, corr("__x", "__y")).alias("pearson"), F.when(fit, corr("r__x", "r__y")).alias("spearman"))
     return out.withColumn("t", F.col("spearman") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("spearman") ** 2, F.lit(0.0))))
 
 
@@ -436,8 +483,8 @@ def de_table(rows: DataFrame, a: str, b: str, gene: str, sample: str = "sample",
     held = log_cpm(rows, sample, counts)
     tested = held.groupBy(gene).agg(F.count_if(F.col(counts) >= least).alias("__k"), F.avg(counts).alias("mean_counts")).where(F.col("__k") >= least_samples).drop("__k")
     stats = two_group(held.withColumnRenamed("logcpm", "value"), a, b, [gene], grp)
-    out = with_p_values(stats.join(tested, gene)).withColumn("__all", F.lit(1))
-    return with_fdr(out, "welch_p", ["__all"], gene).select(gene, "mean_counts", F.col("delta_mean").alias("log2fc"), "welch_t", F.col("welch_p").alias("p"), "fdr")
+    out = ordered.step_up(with_p_values(stats.join(tested, gene)), "welch_p")
+    return out.select(gene, "mean_counts", F.col("delta_mean").alias("log2fc"), "welch_t", F.col("welch_p").alias("p"), "fdr")
 
 
 def sign_test(spark: SparkSession, wins: Column, trials: Column) -> tuple[Column, Column]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cohort, enrichment, stats
+from ..operators import cohort, counterfactual, enrichment, stats
+from .cohort_queries import _COLLAPSED, burdened
 from .registry import query
 from .standins import SQL, expression, proteins, rounded, samples, transcripts
 
@@ -120,8 +121,8 @@ def ols_p_values(spark, sf):
 
 @query("correlation_difference", SQL + ", r AS (SELECT grp, p1, kd, rank() OVER (PARTITION BY grp ORDER BY p1) + (count(*) OVER (PARTITION BY grp, p1) - 1) / 2 AS rx, rank() OVER (PARTITION BY grp ORDER BY kd) + (count(*) OVER (PARTITION BY grp, kd) - 1) / 2 AS ry FROM prot JOIN samples USING (sample)), c AS (SELECT corr(p1, kd) FILTER (grp = 'AC') AS pa, corr(p1, kd) FILTER (grp = 'TOL') AS pb, corr(rx, ry) FILTER (grp = 'AC') AS sa, corr(rx, ry) FILTER (grp = 'TOL') AS sb FROM r) SELECT round(pa, 6) AS pearson_a, round(pb, 6) AS pearson_b, round(sa, 6) AS spearman_a, round(sb, 6) AS spearman_b, round(pb - pa, 6) AS pearson_diff, round(sb - sa, 6) AS spearman_diff, round(atanh(pb) - atanh(pa), 6) AS fisher_z_diff FROM c")
 def correlation_difference(spark, sf):
-    rows = proteins(spark, sf).join(samples(spark, sf).select("sample", "grp"), "sample").withColumn("k", F.lit(1))
-    return rounded(stats.correlation_difference(rows, "p1", "kd", "AC", "TOL", ["k"]).drop("k"))
+    rows = proteins(spark, sf).join(samples(spark, sf).select("sample", "grp"), "sample")
+    return rounded(stats.correlation_difference(rows, "p1", "kd", "AC", "TOL"))
 
 
 @query("average_sd_d", _LONG + "SELECT metric, round((mean_a - mean_b) / sqrt((var_a + var_b) / 2), 6) AS cohens_d_average FROM g")
@@ -141,17 +142,17 @@ _SETS = SQL + ", l AS (SELECT tx, grp, log2(counts * 1e6 / sum(counts) OVER (PAR
 def _folds(spark, sf):
     rows = stats.log_cpm(expression(spark, sf)).join(samples(spark, sf).select("sample", "grp"), "sample")
     mean = lambda g: F.avg(F.when(F.col("grp") == g, F.col("logcpm")))
-    return rows.groupBy("tx").agg(F.round(mean("TOL") - mean("AC"), 9).alias("value")).withColumns({"hot": F.col("tx") % 7 == 0, "k": F.lit(1)})
+    return rows.groupBy("tx").agg(F.round(mean("TOL") - mean("AC"), 9).alias("value")).withColumn("hot", F.col("tx") % 7 == 0)
 
 
 @query("competitive_set", _SETS + "SELECT count(*) FILTER (hot) AS n_set, count(*) FILTER (NOT hot) AS n_background, round(avg(value) FILTER (hot), 6) AS mean_set, round(avg(value) FILTER (NOT hot), 6) AS mean_background, round(avg(value) FILTER (hot) - avg(value) FILTER (NOT hot), 6) AS mean_difference, sum(rk) FILTER (hot) - count(*) FILTER (hot) * (count(*) FILTER (hot) + 1) / 2 AS U, round((sum(rk) FILTER (hot) - count(*) FILTER (hot) * (count(*) FILTER (hot) + 1) / 2) / (count(*) FILTER (hot) * count(*) FILTER (NOT hot)), 6) AS auc FROM r")
 def competitive_set(spark, sf):
-    return rounded(stats.competitive_set(_folds(spark, sf), "hot", ["k"]).drop("k", "ties"))
+    return rounded(stats.competitive_set(_folds(spark, sf), "hot").drop("ties"))
 
 
 @query("random_sets")
 def random_sets(spark, sf):
-    return stats.random_sets(_folds(spark, sf), "hot", ["k"]).drop("k")
+    return stats.random_sets(_folds(spark, sf), "hot")
 
 
 @query("bootstrap_effects")
@@ -208,6 +209,41 @@ def within_bins(spark, sf):
     return stats.permute_within(spark, rows, ["bin"], "hot", "tpm", "sample", 10_000)
 
 
+def counterfactual_rows(spark, sf):
+    """Rows of all samples and transcripts with a known protein, and the samples with their coverage."""
+    whole = burdened(spark, sf)
+    covered = whole.groupBy("sample").agg((cohort.share(F.sum(F.when(F.col("score").isNotNull(), F.col("tpm"))), F.sum("tpm")) >= 0.5).alias("covered"))
+    known = whole.where("score is not null").select("sample", F.col("tx").alias("id"), "tpm", F.col("score").alias("index"), F.col("positive").alias("strict"), F.col("len").alias("length"))
+    mean = known.groupBy("id").agg(F.log2(F.avg("tpm") + 1e-6).alias("expression"))
+    who = samples(spark, sf).select("sample", "grp").join(covered, "sample").select("sample", "grp", F.lit(True).alias("all_samples"), F.coalesce("covered", F.lit(False)).alias("covered"))
+    return known.join(mean, "id"), who
+
+
+@query("counterfactual_null")
+def counterfactual_null(spark, sf):
+    """Five endpoints, bins of length and expression, 10,000 permutations of (index, label)."""
+    return rounded(counterfactual.counterfactual_null(*counterfactual_rows(spark, sf), ["all_samples", "covered"]), 9)
+
+
+_OBSERVED = _COLLAPSED + """, w AS (SELECT sample, coalesce(sum(tpm) FILTER (score IS NOT NULL), 0) / sum(tpm) >= 0.5 AS covered FROM joined GROUP BY 1),
+k AS (SELECT sample, tpm, score, positive::INT AS hot FROM joined WHERE score IS NOT NULL),
+e AS (SELECT sample, sum(tpm * hot) / sum(tpm) AS strict_fraction, sum(tpm * hot) AS strict_tpm, count(*) FILTER (hot = 1 AND tpm >= 1)::DOUBLE AS n_strict_expressed, sum(tpm * score * hot) AS strict_weighted_sum, sum(tpm * score) / sum(tpm) AS weighted_index FROM k GROUP BY 1),
+l AS (UNPIVOT (SELECT * FROM e) ON strict_fraction, strict_tpm, n_strict_expressed, strict_weighted_sum, weighted_index INTO NAME metric VALUE v),
+s AS (SELECT metric, v, grp, unnest(CASE WHEN covered THEN ['all_samples', 'covered'] ELSE ['all_samples'] END) AS analysis_set FROM l JOIN w USING (sample) JOIN samples USING (sample))
+SELECT analysis_set, metric, round(avg(v) FILTER (grp = 'TOL') - avg(v) FILTER (grp = 'AC'), 6) AS observed_delta FROM s GROUP BY 1, 2"""
+
+
+@query("counterfactual_observed", _OBSERVED)
+def counterfactual_observed(spark, sf):
+    """The differences that the permutations are held against, by the same weights and chunks."""
+    rows, who = counterfactual_rows(spark, sf)
+    keyed = counterfactual.first_rank_bin(counterfactual.first_rank_bin(rows, "length", ["sample", "id"], "lb", 5), "expression", ["sample", "id"], "eb", 5)
+    sets = ["all_samples", "covered"]
+    wide = counterfactual.null_differences(keyed, who, sets, "AC", "TOL", ["lb", "eb"], 0)
+    named = [F.struct(F.lit(s).alias("analysis_set"), F.lit(m).alias("metric"), F.round(F.col(f"d{5 * i + j}"), 6).alias("observed_delta")) for i, s in enumerate(sets) for j, m in enumerate(counterfactual.ENDPOINTS)]
+    return wide.select(F.explode(F.array(*named)).alias("x")).select("x.*")
+
+
 def _genes(spark, sf):
     """Log expression of genes by sample, and sets of genes by their last digit."""
     tx = transcripts(spark, sf)

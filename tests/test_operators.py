@@ -194,7 +194,7 @@ def test_bootstrapped_effects_and_random_sets(spark):
     assert got["interaction"].observed == pytest.approx(slope["TOL"] - slope["AC"])
     assert got["pearson_diff"].observed == pytest.approx(np.corrcoef(by["TOL"].T)[0, 1] - np.corrcoef(by["AC"].T)[0, 1])
     genes = [(1, float(v), i < 4) for i, v in enumerate([5, 6, 7, 8, 1, 2, 3, 4, 9, 0])]
-    one = stats.random_sets(spark.createDataFrame(genes, "k int, value double, hot boolean"), "hot", ["k"]).first()
+    one = stats.random_sets(spark.createDataFrame(genes, "k int, value double, hot boolean"), "hot").first()
     means = [np.mean(c) for c in itertools.combinations([g[1] for g in genes], 4)]
     assert one.U == 20 and one.auc == 20 / 24 and one.mean_difference == pytest.approx(6.5 - 19 / 6)
     assert one.p_random_sets == pytest.approx(np.mean(np.array(means) >= 6.5), abs=0.02)
