@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 from functools import reduce
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequence
-from .operators import proteome, scoring
+from .operators import proteome, runs, scoring
 from .sources import models, readers, writers
 
 
@@ -52,6 +53,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-support", type=int, default=2)
     p.add_argument("--ploidy", type=int, default=2)
     p.add_argument("inputs", nargs="+")
+    p = command("run", out=False)
+    p.add_argument("--resume", action="store_true", help="read steps that are complete and were made with the same parameters")
+    for f in dataclasses.fields(runs.Parameters):
+        kind = {"float": float, "int": int, "str": str, "bool": lambda v: v.lower() == "true"}[f.type]
+        p.add_argument(f"--{f.name.replace('_', '-')}", type=kind, **({"required": True} if f.default is dataclasses.MISSING else {"default": f.default}))
     return top
 
 
@@ -166,6 +172,13 @@ def hla_consensus(spark, a) -> None:
     writers.table(proteome.hla_consensus(calls, a.min_support, a.ploidy).orderBy("sample", "locus", "allele"), a.out)
 
 
+def run(spark, a) -> int:
+    """A run over a sample sheet; 2 where a sample needs attention or lacks an input."""
+    names = [f.name for f in dataclasses.fields(runs.Parameters)]
+    out = runs.run(spark, runs.Parameters(**{n: getattr(a, n) for n in names}), a.resume)
+    return 2 if out["states"].where("status <> 'OK'").limit(1).count() else 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     return globals()[args.command.replace("-", "_")](spark or SparkSession.builder.appName("burdock").getOrCreate(), args) or 0

@@ -56,23 +56,27 @@ def _coding(exons: Column, edit: bool) -> Column:
     return F.when(F.col("strand") == "-", sequence.reverse_complement(joined)).otherwise(joined)
 
 
-def frameshift_proteins(variants: DataFrame, tx: DataFrame, genome: DataFrame, min_aa: int = 6) -> DataFrame:
+def frameshift_proteins(variants: DataFrame, tx: DataFrame, genome: DataFrame, min_aa: int = 6, by: tuple[str, ...] = (), wanted: DataFrame | None = None) -> DataFrame:
     """header, sequence of mutant proteins of indels inside exons; of equal proteins of a gene the first in variant order.
 
     ``genome`` is (chrom, seq); exons are cut from pieces of it, so no chromosome travels with an exon or a variant.
+    ``by``: columns of the variants that keep apart what belongs to different samples; ``wanted`` (by, transcript_id):
+    the only transcripts that count.
     """
     shifts = frameshift_variants(variants)
     spans = tx.select("transcript_id", "chrom", F.explode("exons").alias("e")).select("transcript_id", "chrom", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
-    hit = range_join(shifts, spans, "chrom", "pos", "start", "end").select("transcript_id", "pos", "ref", "alt", "ord").distinct()
-    wanted = spans.join(hit.select("transcript_id").distinct(), "transcript_id", "left_semi")
-    cut = slices(binned(genome), wanted.join(genome.select("chrom").distinct(), "chrom", "left_semi"))
+    hit = range_join(shifts, spans, "chrom", "pos", "start", "end").select(*by, "transcript_id", "pos", "ref", "alt", "ord").distinct()
+    if wanted is not None:
+        hit = hit.join(wanted, [*by, "transcript_id"], "left_semi")
+    needed = hit.select("transcript_id").distinct()
+    cut = slices(binned(genome), spans.join(needed, "transcript_id", "left_semi").join(genome.select("chrom").distinct(), "chrom", "left_semi"))
     exons = cut.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "seq"))).alias("parts"))
     rows = hit.join(exons, "transcript_id").join(tx.select("transcript_id", "gene_id", "strand"), "transcript_id")
     rows = rows.withColumns({"wt": sequence.translate_dna(_coding(F.col("parts"), False)), "mut": sequence.translate_dna(_coding(F.col("parts"), True), min_aa)}).where("mut <> ''")
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("gene_id", "mut").orderBy("ord", "transcript_id"))).where("n = 1")
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by, "gene_id", "mut").orderBy("ord", "transcript_id"))).where("n = 1")
     shift = F.length("alt") - F.length("ref")
     header = F.format_string("FRAMESHIFT_%s_%s type=%s shift=%dbp WT=%d MUT=%d diff=%d", "gene_id", "transcript_id", F.when(shift < 0, "DEL").otherwise("INS"), shift, F.length("wt"), F.length("mut"), F.length("mut") - F.length("wt"))
-    return first.select(header.alias("header"), F.col("mut").alias("sequence"), "gene_id", "ord")
+    return first.select(*by, header.alias("header"), F.col("mut").alias("sequence"), "gene_id", "ord")
 
 
 def haplotype_proteins(snps: DataFrame, cds: DataFrame, haplotype: int) -> DataFrame:
@@ -102,12 +106,12 @@ def union_distinct(*sets: DataFrame) -> DataFrame:
     return rows.groupBy("id", "sequence").agg(F.min(F.struct("file_ord", "ord")).alias("o")).select("id", "sequence", "o.file_ord", "o.ord")
 
 
-def truncations(records: DataFrame, least: int = 10, share: float = 0.05) -> DataFrame:
+def truncations(records: DataFrame, least: int = 10, share: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
     """Transcripts whose two haplotype proteins differ by over ``least`` residues and over ``share`` of the longer; of a repeated id the last counts."""
-    named = records.where(F.instr("id", "_") > 0).select(F.substring_index("id", "_", 1).alias("h"), F.expr("substring(id, instr(id, '_') + 1)").alias("TRANSCRIPT_ID"), F.length("sequence").alias("n"), "ord")
-    wide = named.groupBy("TRANSCRIPT_ID").agg(*(F.max_by("n", F.when(F.col("h") == h, F.col("ord"))).alias(f"LEN_{h}") for h in ("H1", "H2")))
+    named = records.where(F.instr("id", "_") > 0).select(*by, F.substring_index("id", "_", 1).alias("h"), F.expr("substring(id, instr(id, '_') + 1)").alias("TRANSCRIPT_ID"), F.length("sequence").alias("n"), "ord")
+    wide = named.groupBy(*by, "TRANSCRIPT_ID").agg(*(F.max_by("n", F.when(F.col("h") == h, F.col("ord"))).alias(f"LEN_{h}") for h in ("H1", "H2")))
     gap, most = F.abs(F.col("LEN_H1") - F.col("LEN_H2")), F.greatest("LEN_H1", "LEN_H2")
-    return wide.where((gap > least) & (gap / most > share)).select("TRANSCRIPT_ID", "LEN_H1", "LEN_H2", F.concat(F.lit("-"), gap).alias("LOSS"), F.when(F.col("LEN_H1") > F.col("LEN_H2"), "H2_TRUNCATED").otherwise("H1_TRUNCATED").alias("STATUS"))
+    return wide.where((gap > least) & (gap / most > share)).select(*by, "TRANSCRIPT_ID", "LEN_H1", "LEN_H2", F.concat(F.lit("-"), gap).alias("LOSS"), F.when(F.col("LEN_H1") > F.col("LEN_H2"), "H2_TRUNCATED").otherwise("H1_TRUNCATED").alias("STATUS"))
 
 
 def verify(outputs: dict[str, DataFrame]) -> DataFrame:

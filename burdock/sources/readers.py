@@ -55,8 +55,19 @@ def alleles(rows: DataFrame, alt: str = "alt") -> DataFrame:
     return rows.withColumn(alt, F.explode(F.split(alt, ",")))
 
 
-def abundance(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.csv(path, sep="\t", header=True, schema=schema.ABUNDANCE)
+def calls(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """chrom, pos, ref, alts (comma-joined), gt (of the first sample), ord, file of the rows of one or many files."""
+    rows = spark.read.csv(paths, sep="\t", comment="#", schema=schema.VCF) if paths else spark.createDataFrame([], schema.VCF)
+    file = F.col("_metadata.file_path") if paths else F.lit(None).cast("string")
+    place = F.array_position(F.split("FORMAT", ":"), "GT").cast("int")
+    return rows.where("ALT is not null").select(F.col("CHROM").alias("chrom"), F.col("POS").alias("pos"), F.upper("REF").alias("ref"), F.upper("ALT").alias("alts"), F.when(place > 0, F.get(F.split("sample", ":"), place - 1)).alias("gt"), F.monotonically_increasing_id().alias("ord"), file.alias("file"))
+
+
+def abundance(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
+    """TPM by transcript of one or many files; ``with_file`` adds the file of each row."""
+    rows = spark.read.csv(path, sep="\t", header=True, schema=schema.ABUNDANCE) if path else spark.createDataFrame([], schema.ABUNDANCE)
+    if with_file:
+        rows = rows.withColumn("file", F.col("_metadata.file_path") if path else F.lit(None).cast("string"))
     part = F.split("target_id", r"\|")
     return rows.withColumn("tpm", F.expr("try_cast(tpm as double)")).where("tpm is not null").withColumns({"transcript_id": part[0], "gene_id": F.get(part, F.lit(1)), "gene_name": F.get(part, F.lit(5))})
 
