@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,33 +194,103 @@ def signature_scores(rows: DataFrame, members: DataFrame, sample: str = "sample"
     return scored.join(members, gene).groupBy(sample, "signature").agg(F.avg("z").alias("mean_z"), F.avg("pct").alias("rank_score"), F.count("*").alias("n_genes"))
 
 
+class Free:
+    """Controls that are still free, in the order of their first feature, so that a search looks outwards from a point and
+    ends where the first feature alone is farther than what it has found."""
+
+    def __init__(self, x: np.ndarray, rank: np.ndarray):
+        self.order = np.argsort(x[:, 0], kind="stable")
+        self.x, self.rank = x[self.order], rank[self.order]
+        self.free = np.ones(len(x), bool)
+        self.at = np.empty(len(x), int)
+        self.at[self.order] = np.arange(len(x))
+        self.left = len(x)
+
+    def take(self, i: int) -> None:
+        self.free[self.at[i]] = False
+        self.left -= 1
+
+    def nearest(self, q: np.ndarray, penalty, best: tuple[float, float, int], least: float = 0.0) -> tuple[float, float, int]:
+        """(distance, rank, control): the better of ``best`` and the nearest free control; ``penalty(places)`` is added to
+        the distance, ``least`` is the least it adds. Of equal distances the smaller rank counts."""
+        low = high = int(np.searchsorted(self.x[:, 0], q[0]))
+        step, n = 32, len(self.x)
+        while True:
+            reach, done = (best[0] - least) * (1 + 1e-12) + 1e-12, True
+            for right in (True, False):
+                if right and high < n and self.x[high, 0] - q[0] <= reach:
+                    a, b = high, min(n, high + step)
+                    high = b
+                elif not right and low > 0 and q[0] - self.x[low - 1, 0] <= reach:
+                    a, b = max(0, low - step), low
+                    low = a
+                else:
+                    continue
+                done = False
+                at = a + np.flatnonzero(self.free[a:b])
+                if len(at):
+                    d = np.sqrt(((self.x[at] - q) ** 2).sum(1))
+                    d = penalty(d, self.order[at])
+                    first = np.lexsort((self.rank[at], d))[0]
+                    best = min(best, (float(d[first]), float(self.rank[at[first]]), int(self.order[at[first]])))
+            if done:
+                return best
+            step *= 2
+
+
 def match_controls(rows: DataFrame, part: str, treated: str, order: list[str], features: list[str], id_col: str, same: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Greedy nearest control without replacement within ``part``: treated rows in ``order`` (descending, then id), Euclid
     over z-scored features, plus 2 for each column of ``same`` that differs (a control without a value differs; a treated
-    row without one, or free controls all without one, add nothing)."""
-    import numpy as np
+    row without one, or free controls all without one, add nothing). Rows without a feature take no part.
+
+    Each class of equal ``same`` values is a sorted table of its own, searched first; the table of all controls is then only
+    searched for what a mismatch could still win. The greedy order is a chain, so a part is one task's.
+    """
     import pandas as pd
 
     def match(pdf):
+        pdf = pdf.dropna(subset=features)
         x = pdf[features].to_numpy(float)
-        sd = x.std(0)
-        x = (x - x.mean(0)) / np.where(sd > 0, sd, 1)
+        sd = x.std(0) if len(x) else np.ones(len(features))
+        x = (x - (x.mean(0) if len(x) else 0)) / np.where(sd > 0, sd, 1)
         hot = pdf[treated].to_numpy(bool)
-        ranked = pdf[hot].sort_values([*order, id_col], ascending=[False] * len(order) + [True]).index
-        place = {k: i for i, k in enumerate(pdf.index)}
-        free = np.array(sorted(np.flatnonzero(~hot), key=lambda i: pdf[id_col].iloc[i]), dtype=int)
-        out = []
+        pdf = pdf.assign(__i=np.arange(len(pdf)))
+        ranked = pdf[hot].sort_values([*order, id_col], ascending=[False] * len(order) + [True])["__i"].to_numpy()
+        controls = pdf[~hot].sort_values(id_col)["__i"].to_numpy()
+        codes = np.stack([pd.factorize(pdf[c])[0] for c in same], 1) if same else np.zeros((len(pdf), 0), int)
+        held, own = codes[controls], x[controls]
+        known = (held >= 0).sum(0)
+        classes: dict[tuple, np.ndarray] = {}
+        for i, key in enumerate(map(tuple, held.tolist())):
+            classes.setdefault(key, []).append(i)
+        tables = {k: (np.array(v), Free(own[v], np.array(v, float))) for k, v in classes.items()}
+        place = {int(i): (k, j) for k, (v, _) in tables.items() for j, i in enumerate(v)}
+        everyone, out = Free(own, np.arange(len(own), dtype=float)), []
         for k in ranked:
-            if not len(free):
+            if not everyone.left:
                 break
-            d = np.sqrt(((x[free] - x[place[k]]) ** 2).sum(1))
-            for c in same:
-                mine, theirs = pdf.loc[k, c], pdf[c].iloc[free]
-                if not pd.isna(mine) and theirs.notna().any():
-                    d = d + np.where(theirs.eq(mine).fillna(False).to_numpy(bool), 0, 2)
-            j = int(d.argmin())
-            out.append((pdf[part].iloc[0], pdf.loc[k, id_col], pdf[id_col].iloc[free[j]], float(d[j])))
-            free = np.delete(free, j)
+            mine = codes[k]
+            counts = [c for c in range(len(same)) if mine[c] >= 0 and known[c] > 0]
+
+            def penalty(d, at, mine=mine, counts=counts):
+                for c in counts:
+                    d = d + np.where(held[at, c] == mine[c], 0, 2)
+                return d
+
+            best, least = (np.inf, np.inf, -1), 0.0
+            if counts and len(counts) == len(same):
+                if (key := tuple(mine.tolist())) in tables:
+                    members, table = tables[key]
+                    d, rank, j = table.nearest(x[k], lambda d, at: d, best)
+                    best = (d, rank, int(members[j])) if j >= 0 else best
+                least = 2.0  # for any other class
+            found = everyone.nearest(x[k], penalty, best, least)[2]
+            distance = penalty(np.sqrt(((own[[found]] - x[k]) ** 2).sum(1)), np.array([found]))[0]
+            out.append((pdf[part].iloc[0], pdf[id_col].iloc[k], pdf[id_col].iloc[controls[found]], float(distance)))
+            everyone.take(found)
+            cls, j = place[found]
+            tables[cls][1].take(j)
+            known = known - (held[found] >= 0)
         return pd.DataFrame(out, columns=[part, "treated_id", "control_id", "distance"])
 
     kinds = dict(rows.dtypes)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, sequence
 from ..operators import cohort, proteome
-from ..sources import models, readers, shared, writers
+from ..sources import arrays, models, readers, shared, writers
 from .proteome_queries import _CALLS, _calls
 from .registry import query
 from .sequence_queries import _CODONS, _DNA
@@ -205,6 +205,24 @@ def store_slice(spark, sf):
     return cohort.matrix_slice(spark.read.parquet(path), [1, 3, 5], list(range(1, 1000, 7)), id_col="tx").select(F.col("sample").cast("long").alias("sample"), "tx", "counts")
 
 
+@query("chunked_slice", SQL + "SELECT sample::VARCHAR AS sample, tx::VARCHAR AS tx, counts::DOUBLE AS counts FROM cnt WHERE sample IN (1, 3, 5) AND tx IN (SELECT unnest(range(1, 1000, 7)))")
+def chunked_slice(spark, sf):
+    """The expression matrix as a chunked array with two string axes, and chosen rows and columns of it read back."""
+    path = shared.folder(spark) + "/matrix"
+    arrays.write_matrix(expression(spark, sf), path, "tx", "sample", "counts", (256, 64))
+    cells = arrays.read(spark, path).where(F.col("col_id").isin("1", "3", "5") & F.col("row_id").isin([str(i) for i in range(1, 1000, 7)]))
+    return cells.where("value is not null").select(F.col("col_id").alias("sample"), F.col("row_id").alias("tx"), F.col("value").alias("counts"))
+
+
+@query("chunked_table", "SELECT c_custkey, c_name, c_acctbal::DOUBLE AS c_acctbal, c_acctbal > 0 AS positive FROM customer")
+def chunked_table(spark, sf):
+    """A table with strings, numbers and flags as a group of arrays, read back whole."""
+    path = shared.folder(spark) + "/table"
+    rows = read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), (F.col("c_acctbal") > 0).alias("positive"))
+    arrays.write_table(rows, path, [F.col("c_custkey")], 500)
+    return arrays.read(spark, path, "table")
+
+
 # genome, frameshifts, forest
 
 

@@ -195,3 +195,46 @@ def test_counterfactual_chunks_have_the_same_null(spark, burden, monkeypatch):
         assert a.n_permutations == b.n_permutations == 3000 and a.observed_delta == pytest.approx(b.observed_delta)
         assert abs(a.null_mean - b.null_mean) < 6 * a.null_sd / np.sqrt(3000) and b.null_sd == pytest.approx(a.null_sd, rel=0.1)
         assert abs(a.p_greater - b.p_greater) < 0.06 and b.p_two_sided == pytest.approx(min(1, 2 * min(b.p_greater, b.p_less)))
+
+
+# greedy matching
+
+
+def _plain_match(rows, order_cols, features, same):
+    """(treated, control, distance) by looking at every free control for every treated row."""
+    pdf = pd.DataFrame(rows)
+    x = pdf[features].to_numpy(float)
+    sd = x.std(0)
+    x = (x - x.mean(0)) / np.where(sd > 0, sd, 1)
+    free = sorted(np.flatnonzero(~pdf["hot"]).tolist(), key=lambda i: pdf["id"][i])
+    out = []
+    for k in sorted(np.flatnonzero(pdf["hot"]).tolist(), key=lambda i: (*(-pdf[c][i] for c in order_cols), pdf["id"][i])):
+        if not free:
+            break
+        d = np.sqrt(((x[free] - x[k]) ** 2).sum(1))
+        for c in same:
+            if pdf[c][k] is not None and any(pdf[c][i] is not None for i in free):
+                d = d + np.array([0 if pdf[c][i] == pdf[c][k] else 2 for i in free])
+        j = int(d.argmin())
+        out.append((pdf["id"][k], pdf["id"][free[j]], float(d[j])))
+        free.pop(j)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("same", [[], ["a"], ["a", "b"]])
+@pytest.mark.parametrize("grid", [False, True])
+def test_matching_equals_the_plain_loop(spark, same, grid):
+    rng = np.random.default_rng(len(same) + 10 * grid)
+    value = (lambda: float(rng.integers(4))) if grid else (lambda: float(rng.normal()))  # a grid: most distances tie
+    rows = [{"p": "s", "id": int(i), "hot": bool(rng.integers(3) == 0), "u": value(), "v": value(), "a": "xyz"[rng.integers(3)] if rng.integers(8) else None, "b": "mn"[rng.integers(2)] if rng.integers(3) else None} for i in rng.permutation(260)]
+    df = spark.createDataFrame(rows, "p string, id int, hot boolean, u double, v double, a string, b string")
+    got = cohort.match_controls(df, "p", "hot", ["u", "v"], ["u", "v"], "id", same)
+    got = sorted((r.treated_id, r.control_id, r.distance) for r in got.collect())
+    want = _plain_match(rows, ["u", "v"], ["u", "v"], same)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-12)
+
+
+def test_matching_runs_out_of_controls_and_leaves_odd_rows(spark):
+    rows = [("s", 1, True, 1.0), ("s", 2, True, 2.0), ("s", 3, False, 1.0), ("s", 4, False, None), ("t", 5, True, 1.0), ("u", 6, False, 1.0)]
+    got = cohort.match_controls(spark.createDataFrame(rows, "p string, id int, hot boolean, u double"), "p", "hot", ["u"], ["u"], "id").collect()
+    assert [(r.p, r.treated_id, r.control_id) for r in got] == [("s", 2, 3)]
