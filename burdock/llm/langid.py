@@ -89,10 +89,22 @@ def _sums(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held], pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["lang", "chunk", "n"])
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict:
-    """Counts over every row of ``docs`` with a text and a language."""
+#: Languages that a model learns at most (about half a MB each), and that a task holds before it passes them on.
+MAX_LANGS, HELD_LANGS = 128, 16
+
+
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_langs: int = MAX_LANGS) -> dict:
+    """Counts over every row of ``docs`` with a text and one of the ``max_langs`` languages that most rows have (of equal
+    ones, by name): a column of many odd values makes no model that neither driver nor workers can hold."""
     common.tune(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    rows = rows.join(F.broadcast(known.select("lang")), "lang", "left_semi")
+
+    def sums(held):
+        for lang, n in held.items():
+            chunks = [(k, c) for k, c in enumerate(n.reshape(-1, CHUNK)) if c.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(chunks)), pa.array([k for k, _ in chunks], pa.int32()), pa.array([c.tobytes() for _, c in chunks], pa.binary())], names=["lang", "chunk", "n"])
 
     def run(batches):
         held: dict[str, np.ndarray] = {}
@@ -102,9 +114,10 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
                 held[lang] = held.get(lang, 0) + counts(texts)
-        for lang, n in held.items():
-            chunks = [(k, c) for k, c in enumerate(n.reshape(-1, CHUNK)) if c.any()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(chunks)), pa.array([k for k, _ in chunks], pa.int32()), pa.array([c.tobytes() for _, c in chunks], pa.binary())], names=["lang", "chunk", "n"])
+                if len(held) > HELD_LANGS:
+                    yield from sums(held)
+                    held = {}
+        yield from sums(held)
 
     kind = "lang string, chunk int, n binary"
     total: dict[str, np.ndarray] = {}

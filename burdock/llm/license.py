@@ -5,7 +5,8 @@ words, the coverage of the template and the span.
 Texts are lower-cased and cut into words of letters and digits. Any run of K + W - 1 = 4 template words in a text gives
 a common fingerprint. Winnowing keeps the smallest of every W neighbouring hashes of K words; a text or template with
 fewer words than K has one fingerprint of all its words. Around such a run, every alignment within BAND diagonals that
-covers enough of the template on words that no other match has taken is reported.
+covers enough of the template on words that no other match has taken is reported. Licenses of one family hold each other's
+words; of matches that share their span the closest one is marked ``best`` and the others stay as runners-up.
 
 Null and empty texts have no matches; very long texts are scanned whole; matches of one template are apart from each
 other and numbered in order, ties go to the later start; repeated rows are scanned one by one; an empty table gives no
@@ -38,13 +39,13 @@ _BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBU
 _GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. If not, see https://www.gnu.org/licenses/."
 #: Whole public license texts (of the long licenses the notice that files carry) and one-line notices. More can be passed.
 TEMPLATES = {
-    "0BSD": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "0BSD": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "AGPL-3.0-or-later": _GNU.format("Affero General Public License"),
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "BSD-2-Clause": f"{_BSD.format('1. ', '2. ', '')}{_BSD_WARRANTY}",
     "BSD-3-Clause": f"{_BSD.format('1. ', '2. ', '3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ')}{_BSD_WARRANTY}",
-    "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
+    "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -109,10 +110,23 @@ class Index:
         self.words = [words(templates[n]) for n in self.names]
         if sum(map(len, self.words)) > MAX_WORDS:
             raise ValueError("too many template words for one index; scan in several calls")
+        self.number = {w: k for k, w in enumerate(sorted({w for t in self.words for w in t}))}
+        self.counts = [np.unique([self.number[w] for w in t], return_counts=True) for t in self.words]
         h, self.template, self.position = fingerprints(*word_hashes(self.words))
         order = np.argsort(h, kind="stable")
         self.hashes, self.template, self.position = h[order], self.template[order], self.position[order]
 
+    def numbers(self, text: list[bytes]) -> np.ndarray:
+        """The words' numbers; those of no template share the last one."""
+        return np.fromiter((self.number.get(w, len(self.number)) for w in text), np.int64, len(text))
+
+    def most(self, template: int, numbers: np.ndarray) -> int:
+        """Words of the template that stand anywhere in a stretch of text, each as often as in both: no alignment matches more."""
+        own, most = self.counts[template]
+        found, times = np.unique(numbers, return_counts=True)
+        at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+        return int(np.minimum(most[at], times)[own[at] == found].sum())
+
     def candidates(self, hashes: np.ndarray, lens: np.ndarray) -> dict[tuple[int, int], list[int]]:
         """Diagonals (text position minus template position) by (text, template)."""
         h, seq, at = fingerprints(hashes, lens)
@@ -151,8 +165,9 @@ def align(text: list[bytes], template: list[bytes], low: int, high: int, start:
 def matches(index: Index, text: list[bytes], by_template: dict[int, list[int]], least: float) -> list[tuple]:
     """(template, matched, first word, last word) of every match that covers at least ``least`` of its template.
 
-    Of each window of diagonals the words before and behind a match are aligned again, until none reaches ``least``."""
-    out = []
+    Of each window of diagonals the words before and behind a match are aligned again, until none reaches ``least``. A
+    stretch is aligned only if it holds enough of the template's words, in whatever order."""
+    out, numbers = [], index.numbers(text)
     for t, diagonals in sorted(by_template.items()):
         size, groups = len(index.words[t]), []
         for d in diagonals:
@@ -173,7 +188,7 @@ def matches(index: Index, text: list[bytes], by_template: dict[int, list[int]],
                 free.append((start, stop))
                 while free:
                     start, stop = free.pop()
-                    if stop - start < max(least * size, 1):
+                    if stop - start < max(least * size, 1) or index.most(t, numbers[start:stop]) < least * size:
                         continue
                     n, first, end = align(text, index.words[t], low, high, start, stop)
                     if n and n >= least * size:
@@ -183,13 +198,32 @@ def matches(index: Index, text: list[bytes], by_template: dict[int, list[int]],
     return out
 
 
+def ranked(index: Index, found: list[tuple]) -> list[tuple[float, bool]]:
+    """(share, best) of each match: the share of the span's words that match, and whether the match is the reading of its
+    span. Matches are taken from the closest one on, by matched words over the mean of template and span (of equal ones the
+    longer, then by name), and one that has more than half of its span in common with a match taken before is a runner-up:
+    a notice of one license that holds every word of another's is read as the one it is."""
+    close = lambda m: 2 * m[1] / (len(index.words[m[0]]) + m[3] - m[2] + 1)
+    taken: list[tuple[int, int]] = []
+    best = [False] * len(found)
+    for i in sorted(range(len(found)), key=lambda i: (-close(found[i]), -found[i][1], found[i][0], found[i][2])):
+        _, _, a, b = found[i]
+        at = bisect.bisect(taken, (a,))
+        shared = max((min(b, y) - max(a, x) + 1 for x, y in taken[max(at - 2, 0) : at + 2]), default=0)
+        if 2 * shared <= b - a + 1:
+            bisect.insort(taken, (a, b))
+            best[i] = True
+    return [(m[1] / (m[3] - m[2] + 1), x) for m, x in zip(found, best, strict=True)]
+
+
 def scan(docs: DataFrame, found_by: dict[str, str] | DataFrame = TEMPLATES, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per match: id, template, occurrence, matched_words, template_words, coverage, start, end (code points)."""
+    """One row per match: id, template, occurrence, matched_words, template_words, coverage, start, end (code points), share (of
+    the span's words) and best (the reading of its span; false for a runner-up)."""
     spark = docs.sparkSession
     common.tune(spark)
     held = spark.sparkContext.broadcast(Index(templates(found_by) if isinstance(found_by, DataFrame) else found_by))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    names = [id_col, "template", "occurrence", "matched_words", "template_words", "coverage", "start", "end"]
+    names = [id_col, "template", "occurrence", "matched_words", "template_words", "coverage", "start", "end", "share", "best"]
 
     def run(batches):
         index = held.value
@@ -202,17 +236,18 @@ def scan(docs: DataFrame, found_by: dict[str, str] | DataFrame = TEMPLATES, leas
             out, who = [], []
             for i, found in sorted(by_doc.items()):
                 spans, seen = None, defaultdict(int)
-                for t, n, first, last in matches(index, cut[i], found, least):
+                all_of = matches(index, cut[i], found, least)
+                for (t, n, first, last), (share, best) in zip(all_of, ranked(index, all_of), strict=True):
                     spans = spans or [m.span() for m in _WORD.finditer(texts[i])]
                     size = len(index.words[t])
-                    out.append((index.names[t], seen[t], n, size, n / size, spans[first][0], spans[last][1]))
+                    out.append((index.names[t], seen[t], n, size, n / size, spans[first][0], spans[last][1], share, best))
                     seen[t] += 1
                     who.append(i)
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+            cols = list(zip(*out, strict=True)) or [()] * 9
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, template string, occurrence int, matched_words int, template_words int, coverage double, start long, end long")
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, template string, occurrence int, matched_words int, template_words int, coverage double, start long, end long, share double, best boolean")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ last, short sequence is cut at powers of two, lengths that need no padding.
 Null text is the empty text, which has one id (the end id); a very long text fills whole sequences; repeated rows and
 ties are packed one by one, in the order of the partition; an empty table gives no pieces; extra columns are ignored.
 Sequence ids are partition number x 2^32 + a counter: distinct, and the same when a lost task runs again. A worker holds
-under C ids in the bin of each class.
+under C ids in the bin of each class, and of a document only its rest, not the ids before it.
 """
 
 from __future__ import annotations
@@ -148,7 +148,7 @@ class Packer:
                 doc, total, start, ids = self.take(min(self.open))
                 pieces.append((doc, total, start, ids[:room]))
                 self.place(pieces)
-                self.add_rest((doc, total, start + room, ids[room:]))
+                self.add_rest((doc, total, start + room, ids[room:].copy()))
                 return
             else:
                 self.waiting = pieces, room
@@ -171,7 +171,7 @@ class Packer:
             self.place(pieces)
             if len(ids) == room:
                 return
-            piece = doc, total, start + room, ids[room:]
+            piece = doc, total, start + room, ids[room:].copy()
         k = min(self.capacity // len(piece[3]), CLASSES)
         held = self.open.setdefault(k, [])
         held.append(piece)
@@ -184,7 +184,7 @@ class Packer:
         for start in range(0, whole, self.capacity):
             self.place([(doc, len(ids), start, ids[start : start + self.capacity])])
         if whole < len(ids):
-            self.add_rest((doc, len(ids), whole, ids[whole:]))
+            self.add_rest((doc, len(ids), whole, ids[whole:].copy()))  # a view would keep the whole document alive
 
     def close(self) -> None:
         """Lay what is left end to end: whole sequences, then powers of two."""

@@ -165,6 +165,16 @@ def test_sequences_come_from_bins_of_a_fixed_count(low, high):
     assert sum(len(v) - 1 for v in by_doc.values()) <= sum(v // 4096 for v in size.values()) + 1.1 * len(by_seq)
 
 
+def test_waiting_rests_do_not_keep_documents_alive():
+    p = packing.Packer(4096, 0)
+    rng = np.random.default_rng(2)
+    for d in range(300):
+        p.add(d, np.zeros(int(rng.integers(90_000, 110_000)), np.uint32))
+    waiting = [x[3] for held in p.open.values() for x in held] + [x[3] for x in (p.waiting[0] if p.waiting else ())]
+    alive = {id(b): b.nbytes for b in (x if x.base is None else x.base for x in waiting)}
+    assert sum(alive.values()) < 2 * 4096 * 4 * (len(p.open) + 1)
+
+
 def test_packer_bins_take_k_of_class_k():
     p = packing.Packer(64, 0)
     for d in range(90):

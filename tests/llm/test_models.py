@@ -192,6 +192,45 @@ def test_templates_come_from_a_table(spark):
     assert all(len(t.split()) > 3 for t in license.TEMPLATES.values())
 
 
+def test_families_are_told_apart(spark):
+    names = ["AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "LGPL-3.0-or-later", "MIT", "MIT-0", "0BSD", "ISC", "Apache-2.0"]
+    rows = [(i, f"some code {license.TEMPLATES[n]} and more") for i, n in enumerate(names)] + [(99, license.TEMPLATES["MIT"] + " x " * 9 + license.TEMPLATES["LGPL-3.0-or-later"])]
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    best = {i: [r.template for r in got if r.doc_id == i and r.best] for i, _ in rows}
+    assert {i: best[i] for i in range(len(names))} == {i: [n] for i, n in enumerate(names)} and sorted(best[99]) == ["LGPL-3.0-or-later", "MIT"]
+    lesser = {r.template: r for r in got if r.doc_id == names.index("LGPL-3.0-or-later")}
+    assert lesser["LGPL-3.0-or-later"].share == 1 > lesser["GPL-3.0-or-later"].share and not lesser["GPL-3.0-or-later"].best and lesser["GPL-3.0-or-later"].coverage == 1
+
+
+def test_common_phrases_are_not_aligned():
+    index, calls, plain = license.Index(license.TEMPLATES), [], license.align
+    text = license.words("the software is provided as is without warranty of any kind " * 2000)
+    ws = {t: d for (_, t), d in index.candidates(*license.word_hashes([text])).items()}
+    license.align = lambda *a: calls.append(1) or plain(*a)
+    try:
+        assert license.matches(index, text, ws, 0.7) == []
+    finally:
+        license.align = plain
+    assert not calls
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        words = rng.integers(0, 12, rng.integers(5, 40)).tolist()
+        text = [str(w).encode() for w in rng.integers(0, 15, 60)]
+        one = license.Index({"t": " ".join(map(str, words))})
+        n = license.align(text, one.words[0], -60, 60)[0]
+        assert n <= one.most(0, one.numbers(text)) <= len(words)
+
+
+def test_a_model_of_few_of_many_languages(spark, monkeypatch):
+    rows = [(f"{'abcd'[i % 4] * 3} word {'abcd'[i % 4]}x", "abcd"[i % 4]) for i in range(80)] + [("odd text", f"odd{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    monkeypatch.setattr(langid, "HELD_LANGS", 2)
+    m = langid.train(df, max_langs=4)
+    assert m["langs"] == ["a", "b", "c", "d"]
+    whole = langid.train(df.where("length(lang) = 1"))
+    assert all((x == y).all() for x, y in zip(m["logs"], whole["logs"], strict=True))
+
+
 def test_license_lines_of_the_corpus(spark, docs, sf):
     got = {(r.doc_id, r.template) for r in llm.QUERIES["op1_license_scan"](spark, sf).collect()}
     for name in ("Apache-2.0-line", "MIT-line", "GPL-3.0-line", "CC-BY-NC-4.0-line"):
