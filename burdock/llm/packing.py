@@ -74,21 +74,26 @@ class Encoder(dict):
     order. Chunks are cut at the space and the newline only (white space under any definition); other white space
     stays inside a chunk, where the tokenizer itself deals with it. Of a chunk made of Latin-1 letters, perhaps with
     ASCII signs behind, the lower-cased letters are one piece and the signs another, so the merges alone are asked
-    for; any other chunk goes through the whole tokenizer. Holds about ``most`` words of at most LONG characters.
+    for; any other chunk goes through the whole tokenizer. Holds about ``most`` words of at most LONG characters, in two
+    generations: when the young one is full it becomes the old one, from which words that are seen again move over.
     A tokenizer file of another make gets whole texts and no cache.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
+        self.old: dict[str, bytes] = {}
         self.tok, self.most = Tokenizer.from_file(path), most
         self.merge, self.letters = self.tok.model.tokenize, _byte_letters()
         with open(path, encoding="utf-8") as f:
             self.words = by_words(json.load(f))
 
     def __missing__(self, word: str) -> bytes:
+        if (ids := self.old.pop(word, None)) is not None:
+            self[word] = ids
+            return ids
         if m := _PIECES.fullmatch(word):
             low = m[1].lower()
             if m[2]:
@@ -107,7 +112,8 @@ class Encoder(dict):
     def __call__(self, text: str | None) -> np.ndarray:
         if not self.words:
             return np.array(self.tok.encode(text or "", add_special_tokens=False).ids, np.uint32)
-        if len(self) > self.most:
+        if len(self) > self.most // 2:
+            self.old = dict(self)
             self.clear()
             self[""] = b""
         return np.frombuffer(b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" "))), np.uint32)
@@ -214,7 +220,7 @@ def encoder(path: str, most: int) -> Encoder:
     return _encoders[path, most]
 
 
-def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 300_000) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 800_000) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``cached_words`` trades a worker's memory for time only."""
     common.tune(spark)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
