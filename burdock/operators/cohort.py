@@ -45,14 +45,18 @@ def sample_burden(rows: DataFrame, sample: str = "sample", least: float = 0.5) -
     return out.withColumn("keep_coverage", F.col("annotation_fraction") >= least)
 
 
-def class_burden(rows: DataFrame, classes: list[str], sample: str = "sample") -> DataFrame:
-    """Per sample, predictor and class: sum of log2(TPM + 1), its share of the sample and the number of rows; absent combinations are 0."""
-    long = rows.select(sample, F.log2(F.col("tpm") + 1).alias("w"), *classes).unpivot([sample, "w"], classes, "predictor", "class")
-    sums = long.where("class is not null").groupBy(sample, "predictor", "class").agg(F.sum("w").alias("burden"), F.count("*").alias("n"))
+def class_burden(rows: DataFrame, classes: list[str], sample: str = "sample", hydropathy: str | None = None) -> DataFrame:
+    """Per sample, predictor and class: sum of log2(TPM + 1), its share of the sample and the number of rows; absent
+    combinations are 0. With ``hydropathy``: also the share of the sums weighted by it, hydropathy_share."""
+    kd = F.col(hydropathy).cast("double") if hydropathy else F.lit(None).cast("double")
+    w = F.log2(F.col("tpm") + 1)
+    long = rows.select(sample, w.alias("w"), (w * kd).alias("k"), *classes).unpivot([sample, "w", "k"], classes, "predictor", "class")
+    sums = long.where("class is not null").groupBy(sample, "predictor", "class").agg(F.sum("w").alias("burden"), F.sum("k").alias("weighted"), F.count("*").alias("n"))
     cells = F.explode(F.array(*(F.struct(F.lit(p).alias("predictor"), F.lit(c).alias("class")) for p in classes for c in CLASS_ORDER)))
-    grid = rows.groupBy(sample).agg(F.sum(F.log2(F.col("tpm") + 1)).alias("whole")).select(sample, "whole", cells.alias("x")).select(sample, "whole", "x.*")
+    grid = rows.groupBy(sample).agg(F.sum(w).alias("whole"), F.sum(w * kd).alias("whole_k")).select(sample, "whole", "whole_k", cells.alias("x")).select(sample, "whole", "whole_k", "x.*")
     full = grid.join(sums, [sample, "predictor", "class"], "left")
-    return full.select(sample, "predictor", "class", F.coalesce("burden", F.lit(0.0)).alias("burden"), F.coalesce(share(F.col("burden"), F.col("whole")), F.lit(0.0)).alias("share"), F.coalesce("n", F.lit(0)).alias("n"))
+    more = [F.coalesce(share(F.col("weighted"), F.col("whole_k")), F.lit(0.0)).alias("hydropathy_share")] if hydropathy else []
+    return full.select(sample, "predictor", "class", F.coalesce("burden", F.lit(0.0)).alias("burden"), F.coalesce(share(F.col("burden"), F.col("whole")), F.lit(0.0)).alias("share"), F.coalesce("n", F.lit(0)).alias("n"), *more)
 
 
 def tails(rows: DataFrame, value: str, sample: str = "sample", top: float = 0.01) -> DataFrame:

@@ -457,7 +457,22 @@ def log_cpm(rows: DataFrame, sample: str = "sample", counts: str = "counts") ->
 
 
 def signed_p(effect: Column, p: Column) -> Column:
-    return F.signum(effect) * -F.log10(F.greatest(p, F.lit(4.9e-324)))
+    """Minus log10 of a p or an FDR with the sign of the effect; null counts as 1, 0 as the least positive double."""
+    return F.signum(effect) * -F.log10(F.greatest(F.coalesce(F.nanvl(p, F.lit(None).cast("double")), F.lit(1.0)), F.lit(4.9e-324)))
+
+
+def count_matrix(rows: DataFrame, samples: list[str], gene: str = "gene", sample: str = "sample", counts: str = "counts") -> DataFrame:
+    """Whole counts for an outside test: one row a gene, one column a sample in the given order, 0 where there is no count;
+    repeated cells are summed and rounded to whole numbers."""
+    wide = rows.where(F.col(sample).isin(samples)).groupBy(gene).pivot(sample, samples).agg(F.sum(counts))
+    return wide.select(gene, *(F.coalesce(F.round(F.col(f"`{s}`")).cast("long"), F.lit(0).cast("long")).alias(str(s)) for s in samples))
+
+
+def design(groups: DataFrame, samples: list[str], a: str, sample: str = "sample", grp: str = "grp") -> DataFrame:
+    """sample, group and place of the chosen samples, in the order of the count matrix's columns; ``a`` is the reference
+    level, marked 0."""
+    order = F.array_position(F.array(*map(F.lit, samples)), F.col(sample))
+    return groups.where(F.col(sample).isin(samples)).select(sample, grp, (F.col(grp) != a).cast("int").alias("level"), order.alias("place"))
 
 
 def risk_votes(rows: DataFrame, control: str, metrics: list[str], keys: list[str], sample: str = "sample", grp: str = "grp") -> DataFrame:

@@ -80,6 +80,14 @@ def class_burden(spark, sf):
     return out.withColumns({"burden": F.round("burden", 4), "share": F.round("share", 6)})
 
 
+@query("class_burden_hydropathy", _COLLAPSED + f", kd AS (SELECT sample, tx, max(kd) AS kd FROM prot GROUP BY 1, 2), cls AS (SELECT sample, log2(tpm + 1) AS w, log2(tpm + 1) * kd AS k, {_cut('p1_max', SIXMER_CUTS)} AS class FROM joined JOIN kd USING (sample, tx)), c AS (SELECT unnest(['Amyloidogenic', 'Intermediate', 'Non-Amyloidogenic']) AS class), g AS (SELECT sample, sum(k) AS whole FROM cls GROUP BY 1) SELECT g.sample, c.class, round(coalesce(sum(k) / any_value(whole), 0), 6) AS hydropathy_share FROM g CROSS JOIN c LEFT JOIN cls ON cls.sample = g.sample AND cls.class = c.class GROUP BY 1, 2")
+def class_burden_hydropathy(spark, sf):
+    """Shares of the classes, each row weighted by its transcript's largest hydropathy."""
+    kd = proteins(spark, sf).groupBy("sample", "tx").agg(F.max("kd").alias("kd"))
+    rows = burdened(spark, sf).join(kd, ["sample", "tx"]).select("sample", "tpm", "kd", labels.by_cuts(F.col("p1_max"), SIXMER_CUTS).alias("sixmer"))
+    return cohort.class_burden(rows, ["sixmer"], hydropathy="kd").select("sample", "class", F.round("hydropathy_share", 6).alias("hydropathy_share"))
+
+
 @query("gene_sum", SQL + "SELECT gene, round(sum(tpm), 4) AS tpm, count(DISTINCT tx) AS n FROM expr JOIN tx USING (tx) GROUP BY 1")
 def gene_sum(spark, sf):
     return rounded(expression(spark, sf).join(transcripts(spark, sf), "tx").groupBy("gene").agg(F.sum("tpm").alias("tpm"), F.countDistinct("tx").alias("n")), 4)

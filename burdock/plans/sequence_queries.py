@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import descriptors as d
 from ..functions import profiles
 from ..functions import sequence as fs
-from ..operators import scoring
+from ..operators import resilient, scoring
 from ..schema import ALPHA, AROMATIC, BETA, CHARGE, CODONS, COMPOSITION_GROUPS, CTD, GROUPS, HELIX, HYDROPATHY, PK_EMBOSS, PK_LEHNINGER, PSEUDO, PSEUDO_ORDER, RESIDUES, SHEET
+from ..sources import shared
 from .registry import query
 from .standins import SEQ, read, rounded, sequences
 
@@ -58,10 +61,28 @@ def sixmer_codes(spark, sf):
     return codes.groupBy("doc_id").agg(F.sum("c").alias("total"), F.count("*").alias("n"), F.max("c").alias("top"))
 
 
-@query("sixmer_round_trip", "SELECT CAST(i AS INT) AS code, " + " || ".join(f"((i // {6 ** (5 - k)}) % 6)::VARCHAR" for k in range(6)) + " AS six FROM range(46656) t(i)")
+@query("sixmer_round_trip", SEQ.strip() + f", g AS MATERIALIZED (SELECT doc_id, {_DIGITS} AS g FROM seq), w AS (SELECT unnest(list_transform(range(1, length(g) - 4), lambda i: substr(g, CAST(i AS INT), 6))) AS m FROM g WHERE length(g) >= 6) SELECT CAST({_CODE} AS INT) AS code, m AS six, count(*) AS n FROM w GROUP BY m")
 def sixmer_round_trip(spark, sf):
-    six = fs.sixmer_text(F.col("id"))
-    return spark.range(46656).select(fs.sixmer_code(six).alias("code"), six.alias("six"))
+    """The six-mers of all texts: code to digits and back to the code."""
+    codes = sequences(spark, sf).select(F.explode(fs.sixmer_codes(fs.clean(F.coalesce("text", F.lit(""))))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    six = fs.sixmer_text(F.col("c").cast("long"))
+    return codes.select(fs.sixmer_code(six).alias("code"), six.alias("six"), "n")
+
+
+@query("failing_records", _S + "SELECT doc_id, round(prob, 8) AS prob, CASE WHEN clean_length < 6 THEN 'ValueError: ' || clean_length || ' residues, 6 are needed' END AS error FROM scored")
+def failing_records(spark, sf):
+    """A step that refuses whole batches with a short text: the short ones alone are set apart."""
+    return rounded(resilient.predict_isolated(spark, sequences(spark, sf), scoring.surrogate_table(), "doc_id", "text"), 8)
+
+
+@query("resumed_chunks", _S + "SELECT doc_id, round(prob, 8) AS prob, 'SKIPPED' AS state FROM scored")
+def resumed_chunks(spark, sf):
+    """Scores by chunk of ids; a second run finds every chunk complete."""
+    out = shared.folder(spark) + "/chunks"
+    for _ in range(2):
+        states = resilient.score_chunks(spark, sequences(spark, sf), out, scoring.surrogate_table(), 16, "doc_id", "text")
+    rows = spark.read.parquet(out).select("doc_id", "prob", F.col("chunk").cast("int").alias("chunk"))
+    return rounded(rows.join(F.broadcast(states.select("chunk", "state")), "chunk").drop("chunk"), 8)
 
 
 @query("scan_rejects", "WITH t AS (SELECT item, regexp_replace(upper(replace(item, 'ß', 'ss')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS s FROM (SELECT unnest(string_split(text, ' ')) AS item FROM documents)) SELECT CASE WHEN s = '' THEN 'empty_after_cleaning' WHEN length(s) < 6 THEN 'shorter_than_6' ELSE 'ok' END AS status, count(*) AS n, sum(length(item))::BIGINT AS letters FROM t GROUP BY 1")
@@ -226,13 +247,29 @@ def ctdd(spark, sf):
     return rounded(rows.where("z.place > 0").select("doc_id", "z.k.property", "z.k.class", "z.k.q", "z.place"), 8)
 
 
-@query("feature_vector", SEQ + f"SELECT doc_id, 1849::INT AS width, round({_share('A')}, 8) AS first, round(CASE WHEN length(s) > 1 THEN 1.0::DOUBLE ELSE 0 END, 6) AS pairs, round(CASE WHEN length(s) > 0 THEN 13.0::DOUBLE ELSE NULL END, 6) AS classes FROM seq")
+def _feature_sql() -> str:
+    """The columns of three blocks and the pairs that occur, as (doc_id, place in the vector, value)."""
+    third = lambda a, b: f"1 - {_share(a)} - {_share(b)}"
+    values = {
+        "AAC": [_share(r) for r in RESIDUES], "GAAC": [_share(g) for g in COMPOSITION_GROUPS.values()],
+        "CTDC": [x for a, b, _ in CTD.values() for x in (_share(a), _share(b), third(a, b))],
+    }
+    at = profiles.spans()
+    cells = ", ".join(f"{{'place': {at[k][0] + i}, 'value': {x}}}" for k, xs in values.items() for i, x in enumerate(xs))
+    pairs = ", ".join(f"'{a}{b}'" for a in RESIDUES for b in RESIDUES)
+    return SEQ.strip() + f""", p AS (SELECT doc_id, w, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY doc_id) AS v FROM (SELECT doc_id, {_pairs("s")} AS w FROM seq WHERE length(s) > 1) GROUP BY 1, 2),
+a AS (SELECT doc_id, x.place AS place, x.value AS value FROM (SELECT doc_id, unnest([{cells}]) AS x FROM seq WHERE length(s) > 1) UNION ALL SELECT doc_id, {at["DPC"][0]} + list_position([{pairs}], w) - 1, v FROM p)
+SELECT doc_id, place::INT AS place, round(value, 8) AS value FROM a WHERE round(value, 8) > 0"""
+
+
+@query("feature_vector", _feature_sql())
 def feature_vector(spark, sf):
-    """The assembled vector by its width, its first column and the sums that its pair and class blocks must have."""
-    rows = profiles.assemble(sequences(spark, sf).select("doc_id", fs.clean(F.coalesce("text", F.lit(""))).alias("s")), "s")
-    total = lambda b: F.aggregate(F.slice("features", profiles.spans()[b][0] + 1, len(profiles.names(b))), F.lit(0.0), lambda a, x: a + x)
-    out = rows.select("doc_id", F.size("features").alias("width"), F.round(F.nanvl(F.col("features")[0], F.lit(None)), 8).alias("first"), F.round(total("DPC"), 6).alias("pairs"), F.round(F.nanvl(total("CTDC"), F.lit(None)), 6).alias("classes"))
-    return out
+    """Composition, grouped composition, classes and pairs by their places in the assembled vector, all values above 0."""
+    rows = profiles.assemble(sequences(spark, sf).select("doc_id", fs.clean(F.coalesce("text", F.lit(""))).alias("s")).where("length(s) > 1"), "s")
+    at = [profiles.spans()[b] for b in ("AAC", "GAAC", "CTDC", "DPC")]
+    cells = rows.where(F.size("features") == 1849).select("doc_id", F.posexplode("features").alias("place", "value"))
+    inside = functools.reduce(lambda x, y: x | y, [F.col("place").between(a, b - 1) for a, b in at])
+    return rounded(cells.where(inside), 8).where("value > 0")
 
 
 def _charge(ph: str, pk: dict[str, float]) -> str:

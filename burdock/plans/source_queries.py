@@ -238,9 +238,9 @@ def _protein(dna: str) -> str:
     return f"split_part(list_aggregate(list_transform(range(0, length({dna}) // 3), lambda i: {_CODONS}[substr({dna}, CAST(3 * i + 1 AS INT), 3)]), 'string_agg', ''), '*', 1)"
 
 
-_SHIFTS = f"""WITH d AS (SELECT doc_id, {_DNA} AS dna FROM documents), g AS (SELECT doc_id, dna, (doc_id % 7 + 1)::BIGINT AS s, 'G' || (doc_id % 100) AS gene, doc_id % 3 = 0 AS back, doc_id % 2 = 1 AS second FROM d WHERE length(dna) >= 400),
-e AS (SELECT *, substr(dna, s, 100) AS e1, substr(dna, s + 150, 150) AS e2, CASE WHEN second THEN 20 ELSE 40 END AS off FROM g),
-p AS (SELECT *, e1 || e2 AS w, CASE WHEN second THEN e1 || substr(e2, 1, off) || 'G' || substr(e2, off + 3) ELSE substr(e1, 1, off) || 'G' || substr(e1, off + 3) || e2 END AS m FROM e),
+_SHIFTS = f"""WITH d AS (SELECT doc_id, {_DNA} AS dna FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, dna, length(dna) // 3 AS h, length(dna) AS n, 'G' || (doc_id % 100) AS gene, doc_id % 3 = 0 AS back, doc_id % 2 = 1 AS second FROM d WHERE length(dna) >= 6),
+e AS (SELECT *, substr(dna, 1, h) AS e1, substr(dna, 2 * h + 1) AS e2, CASE WHEN second THEN (n - 2 * h) // 2 - 1 ELSE h // 2 - 1 END AS off FROM g),
+p AS (SELECT *, e1 || e2 AS w, CASE WHEN second THEN e1 || substr(e2, 1, off::INT) || 'G' || substr(e2, off::INT + 3) ELSE substr(e1, 1, off::INT) || 'G' || substr(e1, off::INT + 3) || e2 END AS m FROM e),
 r AS (SELECT *, CASE WHEN back THEN reverse(translate(w, 'ACGT', 'TGCA')) ELSE w END AS w2, CASE WHEN back THEN reverse(translate(m, 'ACGT', 'TGCA')) ELSE m END AS m2 FROM p),
 t AS (SELECT doc_id, gene, {_protein("w2")} AS wt, {_protein("m2")} AS mut FROM r),
 f AS (SELECT *, row_number() OVER (PARTITION BY gene, mut ORDER BY doc_id) AS n FROM t WHERE length(mut) >= 6)
@@ -249,30 +249,39 @@ SELECT 'FRAMESHIFT_' || gene || '_T' || doc_id || ' type=DEL shift=-1bp WT=' ||
 
 @query("frameshift_proteins", _SHIFTS)
 def frameshift_proteins(spark, sf):
-    """Every document of 400 letters as a chromosome with one transcript of two exons and a deletion in one of them."""
-    letters = F.regexp_replace(F.upper("text"), "[^A-Z]", "")
-    k = F.col("doc_id")
-    genome = read(spark, sf, "documents").select(k, F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC").alias("seq")).where("length(seq) >= 400").withColumn("chrom", k.cast("string"))
-    s = (k % 7 + 1).cast("int")
-    exon = lambda a, n: F.struct((s + a).alias("start"), (s + a + n - 1).alias("end"))
-    tx = genome.select(_text("T", k).alias("transcript_id"), "chrom", F.when(k % 3 == 0, "-").otherwise("+").alias("strand"), _text("G", k % 100).alias("gene_id"), F.array(exon(0, 100), exon(150, 150)).alias("exons"))
-    found = genome.select("chrom", (s + F.when(k % 2 == 1, 170).otherwise(40)).alias("pos"), F.lit("AC").alias("ref"), F.lit("G").alias("alt"), k.alias("ord"))
+    """Every document, whole, as a chromosome with one transcript of two exons (its first and its last third) and a deletion
+    in one of them."""
+    letters = F.regexp_replace(F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))), "[^A-Z]", "")
+    k, n = F.col("doc_id"), F.length("seq")
+    genome = read(spark, sf, "documents").where("text is not null").select(k, F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC").alias("seq")).where("length(seq) >= 6").withColumns({"chrom": k.cast("string"), "h": F.floor(n / 3).cast("int")})
+    h = F.col("h")
+    exons = F.array(F.struct(F.lit(1).alias("start"), h.alias("end")), F.struct((2 * h + 1).alias("start"), n.alias("end")))
+    tx = genome.select(_text("T", k).alias("transcript_id"), "chrom", F.when(k % 3 == 0, "-").otherwise("+").alias("strand"), _text("G", k % 100).alias("gene_id"), exons.alias("exons"))
+    pos = F.when(k % 2 == 1, 2 * h + F.floor((n - 2 * h) / 2)).otherwise(F.floor(h / 2)).cast("int")
+    found = genome.select("chrom", pos.alias("pos"), F.lit("AC").alias("ref"), F.lit("G").alias("alt"), k.alias("ord"))
     return proteome.frameshift_proteins(found, tx, genome.select("chrom", "seq")).select("header", "sequence")
 
 
-@query("forest_table", "WITH c AS (SELECT range AS code, concat(range // 7776 % 6, range // 1296 % 6, range // 216 % 6, range // 36 % 6, range // 6 % 6, range % 6) AS six FROM range(46656)) SELECT code, ((CASE WHEN contains(six, '0') THEN 0.75 ELSE 0.25 END) + (CASE WHEN contains(six, '12') THEN 0.8 ELSE 0.0 END))::DOUBLE / 2 AS prob FROM c")
+_LEAVES = "SELECT count(*) FILTER (p_size % 2 = 0) AS a, count(*) FILTER (p_size % 2 = 1) AS b, count(*) FILTER (p_size % 3 = 0) AS c, count(*) FILTER (p_size % 5 = 1) AS d FROM part"
+
+
+@query("forest_table", f"WITH l AS ({_LEAVES}), c AS (SELECT range AS code, concat(range // 7776 % 6, range // 1296 % 6, range // 216 % 6, range // 36 % 6, range // 6 % 6, range % 6) AS six FROM range(46656)) SELECT code, round(((CASE WHEN contains(six, '0') THEN b::DOUBLE / (a + b) ELSE a::DOUBLE / (a + b) END) + (CASE WHEN contains(six, '12') THEN d::DOUBLE / (c + d) ELSE c::DOUBLE / (c + d) END)) / 2, 9) AS prob FROM c, l")
 def forest_table(spark, sf):
-    """A forest of two trees as an export, tabulated over all six-mers, written in the binary form and read again."""
-    leaves = lambda var, a, b: ([[1, 0, 0], [2, 0, 0]], [var, 0, 0], [0.5, 0, 0], [[], a, b])
-    parts = list(zip(leaves(0, [3, 1], [1, 3]), leaves(1, [4, 0], [1, 4]), strict=True))
+    """A forest of two trees whose leaves are counts of a table, as an export; tabulated over all six-mers, written in the
+    binary form and read again."""
+    size = F.col("p_size")
+    a, b, c, d = read(spark, sf, "part").agg(*(F.count_if(x) for x in (size % 2 == 0, size % 2 == 1, size % 3 == 0, size % 5 == 1))).first()
+    leaves = lambda var, no, yes: ([[1, 0, 0], [2, 0, 0]], [var, 0, 0], [0.5, 0, 0], [[], no, yes])
+    parts = list(zip(leaves(0, [b, a], [a, b]), leaves(1, [d, c], [c, d]), strict=True))
     names = ["1_0", "2.3_0"]
     trees = dict(zip(("child_node_ids", "split_var_ids", "split_values", "terminal_class_counts"), parts, strict=True))
     export = {"imp_features": names, "independent_variable_names": ["X" + n for n in names], "enc": {str(i): [] for i in range(1, 7)}, "forest": {"num_trees": 2, **trees}}
     at = shared.folder(spark)
     models.write_bytes(spark, f"{at}/forest.json", json.dumps(export).encode())
     models.write_table(spark, models.tabulate(*models.load_forest(spark, f"{at}/forest.json", 2)), f"{at}/table.bin", b"TABLE_V1")
-    table = readers.lookup_table(spark, f"{at}/table.bin")
-    return spark.createDataFrame(list(enumerate(table)), "code long, prob double").withColumn("prob", F.round("prob", 9))
+    table = spark.sparkContext.broadcast(readers.lookup_table(spark, f"{at}/table.bin"))
+    of = F.pandas_udf(lambda code: code.map(table.value.__getitem__), "double")
+    return spark.range(46656).select(F.col("id").alias("code"), F.round(of("id"), 9).alias("prob"))
 
 
 @query("id_forms", "SELECT o_orderkey, 'ENST' || o_orderkey AS transcript, 'x|ENST' || o_orderkey AS stripped, ['haplotype_1', 'haplotype_2', 'frameshift', 'other'][o_orderkey % 4 + 1] AS kind, o_custkey % 3 = 0 AS flag, CASE WHEN o_custkey % 4 = 3 THEN NULL ELSE greatest(least(o_custkey % 4, 2), 1) END AS clipped, 'HLA-B*07:0' || (o_custkey % 5) AS allele, 'B' AS locus FROM orders")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cohort, counterfactual, enrichment, stats
+from ..operators import cohort, counterfactual, enrichment, ordered, stats
 from .cohort_queries import _COLLAPSED, burdened
 from .registry import query
 from .standins import SQL, expression, proteins, rounded, samples, transcripts
@@ -244,6 +244,20 @@ def counterfactual_observed(spark, sf):
     return wide.select(F.explode(F.array(*named)).alias("x")).select("x.*")
 
 
+@query("signed_fdr", SQL + ", p AS (SELECT sample, tx, CASE WHEN counts > 45 THEN NULL ELSE 1 / (1 + counts::DOUBLE) END AS p, counts - 25 AS effect FROM cnt), q AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, sample, tx) AS rn FROM p WHERE p IS NOT NULL), f AS (SELECT sample, tx, least(1, min(p * m / rn) OVER (ORDER BY rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS fdr FROM q) SELECT p.sample, p.tx, round(sign(effect) * -log10(coalesce(fdr, 1)), 8) + 0 AS signed FROM p LEFT JOIN f USING (sample, tx)")
+def signed_fdr(spark, sf):
+    """The step-up over the whole table at once, and its signed logarithm."""
+    rows = expression(spark, sf).select("sample", "tx", F.when(F.col("counts") <= 45, 1 / (1 + F.col("counts").cast("double"))).alias("p"), (F.col("counts") - 25).cast("double").alias("effect"))
+    out = ordered.step_up(rows, "p")
+    return out.select("sample", "tx", (F.round(stats.signed_p(F.col("effect"), F.col("fdr")), 8) + 0).alias("signed"))
+
+
+@query("count_matrix", SQL + "SELECT gene, " + ", ".join(f"coalesce(round(sum(counts) FILTER (sample = {s})), 0)::BIGINT AS \"{s}\"" for s in (5, 1, 3)) + " FROM cnt JOIN tx USING (tx) WHERE sample IN (5, 1, 3) GROUP BY 1")
+def count_matrix(spark, sf):
+    """Whole counts of genes by chosen samples, as an outside test reads them."""
+    return stats.count_matrix(expression(spark, sf).join(transcripts(spark, sf), "tx"), [5, 1, 3])
+
+
 def _genes(spark, sf):
     """Log expression of genes by sample, and sets of genes by their last digit."""
     tx = transcripts(spark, sf)
