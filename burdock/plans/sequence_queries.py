@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from ..functions import descriptors as d
-from ..functions import profiles
+from ..functions import profiles, register
 from ..functions import sequence as fs
 from ..operators import resilient, scoring
 from ..schema import ALPHA, AROMATIC, BETA, CHARGE, CODONS, COMPOSITION_GROUPS, CTD, GROUPS, HELIX, HYDROPATHY, PK_EMBOSS, PK_LEHNINGER, PSEUDO, PSEUDO_ORDER, RESIDUES, SHEET
@@ -196,6 +196,19 @@ def json_extract_props(spark, sf):
     return read(spark, sf, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
 
 
+@query("table_functions", "WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events), w AS (SELECT p_name, unnest(range(1, length(p_name) - 3)) AS i FROM part), m AS (SELECT unnest(regexp_extract_all(p_name, '[aeiou]{2}')) AS part FROM part) SELECT 'leaf' AS kind, '$.' || k || '=' || json_extract_string(props, '$.' || k) AS what, count(*) AS n FROM k GROUP BY 2 UNION ALL SELECT 'window', substr(p_name, i::INT, 5), count(*) FROM w GROUP BY 2 UNION ALL SELECT 'motif', part, count(*) FROM m GROUP BY 2")
+def table_functions(spark, sf):
+    """Leaves of JSON, windows and motifs of names, by table functions called from SQL."""
+    register.register(spark)
+    rows = {"e": read(spark, sf, "events"), "p": read(spark, sf, "part")}
+    return spark.sql(
+        "SELECT 'leaf' AS kind, concat(l.path, '=', l.value) AS what, count(*) AS n FROM {e}, LATERAL json_leaves(props) l GROUP BY 2 "
+        "UNION ALL SELECT 'window', w.part, count(*) FROM {p}, LATERAL text_windows(p_name, 5) w GROUP BY 2 "
+        "UNION ALL SELECT 'motif', m.part, count(*) FROM {p}, LATERAL motif_hits(p_name, '[aeiou]{{2}}') m GROUP BY 2",
+        **rows,
+    )
+
+
 def _standard(name: str) -> str:
     v = PSEUDO[name]
     m = sum(v) / 20

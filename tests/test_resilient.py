@@ -108,3 +108,14 @@ def test_a_stopped_stream_gives_each_record_once(spark, tmp_path, monkeypatch):
     assert sorted(r.id for r in stream.keyed_results(spark, out).collect()) == sorted(f"r{i}" for i in range(33))
     assert stream.mend_keyed(spark, land, SCHEMA, out, table) == 0
     assert np.isfinite([r.prob for r in stream.keyed_results(spark, out).collect()]).all()
+
+
+def test_table_functions(spark):
+    from burdock.functions import register
+
+    assert {"text_windows", "json_leaves", "motif_hits"} <= set(register.register(spark))
+    rows = lambda q: sorted(map(tuple, spark.sql(q).collect()), key=str)
+    assert rows("SELECT * FROM text_windows('abcd', 3)") == [(1, "abc"), (2, "bcd")] and rows("SELECT * FROM text_windows(NULL, 3)") == rows("SELECT * FROM text_windows('ab', 3)") == []
+    assert rows("""SELECT * FROM json_leaves('{"a": [1, {"b": 2.50}], "c": null, "d": true, "e": {}}')""") == [("$.a[0]", "1"), ("$.a[1].b", "2.50"), ("$.c", None), ("$.d", "true")]
+    assert rows("SELECT * FROM json_leaves('not json')") == rows("SELECT * FROM json_leaves(NULL)") == []
+    assert rows("SELECT * FROM motif_hits('mKVkvK', 'KV,V.')") == [("KV", 2, "KV"), ("KV", 4, "kv"), ("V.", 3, "Vk"), ("V.", 5, "vK")]
