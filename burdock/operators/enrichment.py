@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Cells of a table of weights (samples x permutations) or values (genes x samples) that a task holds at once: 32 MB of doubles.
 CELLS = 4_000_000
+#: Samples whose labels are dealt out, at most: every task holds their names and sides.
+SAMPLES = 1_000_000
 
 
 def enrichment_scores(ranked: DataFrame, keys: list[str], score: str, hit: str, tie: str) -> DataFrame:
@@ -34,6 +36,8 @@ def enrichment_test(spark: SparkSession, rows: DataFrame, groups: DataFrame, mem
     ranking. The normalised score divides by the mean of null scores of the same sign. Samples without a value count as 0.
     """
     held = groups.where(F.col("grp").isin(a, b)).select("sample", "grp").dropDuplicates(["sample"])
+    if held.limit(SAMPLES + 1).count() > SAMPLES:
+        raise ValueError(f"more than {SAMPLES} samples: their labels cannot be dealt out in every task")
     found = sorted((r.sample, r.grp) for r in held.collect())
     names, side = [s for s, _ in found], np.array([g == b for _, g in found])
     empty = "signature string, es double, nes double, null_mean double, n_null long, p_greater double, p_less double, p_two_sided double"
