@@ -112,6 +112,42 @@ def single_sample(rows: DataFrame, members: DataFrame, power: float = 0.25) -> D
     return out.join(F.broadcast(span)).select("sample", "signature", "n_genes", "es", (F.col("es") / F.nullif(F.col("__span"), F.lit(0.0))).alias("nes"))
 
 
+def smooth_percentiles(x: np.ndarray, terms: int = 16, reach: int = 18) -> np.ndarray:
+    """Mean over j of the normal distribution function of (x_i - x_j) / h, h a quarter of the standard deviation.
+
+    Values fall into bins of half a bandwidth. A bin's values count by their moments about its centre and act on another
+    bin's centre by the derivatives of the distribution function there, which are Hermite polynomials times the density;
+    bins more than ``reach`` away count as whole (the tail beyond 8.5 bandwidths is below 1e-16). The cost grows with n
+    and the number of filled bins, not with pairs. An offset is at most a quarter of a bandwidth on either side, so by
+    Cramer's bound the terms left out are below 0.44 (1/4)^16 / 16! sum over m of sqrt((15 + m)!) (1/4)^m / m!, under
+    1e-15.
+    """
+    h = x.std(ddof=1) / 4
+    at = (x - x.min()) / h * 2
+    place = np.floor(at).astype(np.int64)
+    bins, own = np.unique(place, return_inverse=True)  # filled bins alone, in order
+    off = (at - place - 0.5) / 2  # in bandwidths
+    power = np.cumprod(np.concatenate([np.ones((1, len(x))), off / np.arange(1, terms)[:, None]]), 0)  # off^k / k!
+    moments = np.stack([np.bincount(own, p * (-1) ** k, len(bins)) for k, p in enumerate(power)], 1)
+    t = np.arange(-reach, reach + 1) / 2
+    slopes = [np.array([(1 + math.erf(v / math.sqrt(2))) / 2 for v in t])]
+    before, he = np.zeros_like(t), np.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    for k in range(2 * terms - 2):  # the (k + 1)th derivative is (-1)^k He_k times the density
+        slopes.append((-1) ** k * he)
+        before, he = he, t * he - k * before
+    slopes = np.stack(slopes, 1)
+    below = np.concatenate([[0.0], np.cumsum(moments[:, 0])])
+    local = np.zeros((len(bins), terms))
+    local[:, 0] = below[np.searchsorted(bins, bins - reach)]  # whole
+    k, m = np.meshgrid(np.arange(terms), np.arange(terms), indexing="ij")
+    for j, d in enumerate(range(-reach, reach + 1)):
+        near = np.searchsorted(bins, bins - d)
+        found = near < len(bins)
+        found[found] = bins[near[found]] == bins[found] - d
+        local[found] += moments[near[found]] @ slopes[j][k + m]
+    return (local[own] * power.T).sum(1) / len(x)
+
+
 def variation(rows: DataFrame, members: DataFrame) -> DataFrame:
     """sample, signature, es, n_genes: gene-set variation (Haenzelmann et al. 2013), Gaussian kernel, difference of the extremes.
 
@@ -119,19 +155,9 @@ def variation(rows: DataFrame, members: DataFrame) -> DataFrame:
     sample's genes are ranked by them, and the walk is weighted by the distance of a rank from the middle. Genes without
     spread take no part.
     """
-    erf = np.vectorize(math.erf, otypes=[float])
-
     @F.pandas_udf("array<double>")
     def smoothed(values: pd.Series) -> pd.Series:
-        def one(v):
-            v = np.asarray(v, float)
-            h = v.std(ddof=1) / 4
-            out = np.empty(len(v))
-            for at in range(0, len(v), 256):  # bounds the table of differences
-                out[at : at + 256] = ((1 + erf((v[at : at + 256, None] - v) / (h * math.sqrt(2)))) / 2).mean(1)
-            return out
-
-        return pd.Series([one(v) for v in values], dtype=object)
+        return pd.Series([smooth_percentiles(np.asarray(v, float)) for v in values], dtype=object)
 
     by_gene = rows.where("value is not null").groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("sample", F.col("value").cast("double").alias("value")))).alias("x"), F.stddev_samp("value").alias("sd")).where("sd > 0")
     each = by_gene.select("gene", F.col("x.sample").alias("s"), smoothed("x.value").alias("p")).select("gene", F.explode(F.arrays_zip("s", "p")).alias("z")).select("gene", F.col("z.s").alias("sample"), F.round("z.p", 12).alias("p"))

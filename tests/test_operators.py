@@ -393,6 +393,16 @@ def _running(w, hit):
     return np.cumsum(share - ~hit / (~hit).sum())
 
 
+def test_smooth_percentiles_against_all_pairs():
+    rng = np.random.default_rng(11)
+    for x in (rng.normal(size=500), rng.standard_cauchy(300), np.repeat([0.0, 1.0, 5.0], 40), np.array([1.0, 2.0]), np.r_[rng.normal(size=200), 1e6], -rng.exponential(size=90) - 1e4):
+        h = x.std(ddof=1) / 4
+        want = [math.fsum((1 + math.erf((a - b) / h / math.sqrt(2))) / 2 for b in x) / len(x) for a in x]
+        assert np.abs(enrichment.smooth_percentiles(x) - want).max() < 2e-13 * max(1, np.abs(x).max() / x.std())
+    x = rng.normal(size=400_000)  # all pairs would be 1.6e11
+    assert np.abs(enrichment.smooth_percentiles(x)[np.argsort(x)][199_999] - 0.5) < 0.01
+
+
 def test_enrichment_against_running_sums(spark):
     rng = np.random.default_rng(5)
     genes, names = [f"g{i:02}" for i in range(40)], [f"s{i}" for i in range(7)]
