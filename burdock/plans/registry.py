@@ -24,6 +24,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import cohort_queries, proteome_queries, run_queries, sequence_queries, source_queries, stats_queries  # noqa: F401
+    from . import cohort_queries, model_queries, proteome_queries, run_queries, sequence_queries, source_queries, stats_queries  # noqa: F401
 
     return QUERIES, ORACLES

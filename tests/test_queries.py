@@ -31,6 +31,7 @@ TESTED = {
     "bootstrap_ci": "test_blocks_of_resamples", "bootstrap_effects": "test_bootstrapped_effects_and_random_sets", "bootstrap_coupling": "test_bootstrapped_effects_and_random_sets",
     "within_bin_permutation": "test_blocks_of_resamples", "counterfactual_null": "test_counterfactual_null_against_a_plain_loop", "gene_set_variation": "test_enrichment_against_running_sums",
     "enrichment_test": "test_enrichment_against_running_sums", "matched_controls": "test_matching_equals_the_plain_loop", "downsample_per_class": "test_down_samples_are_whole_and_repeatable",
+    "stacked_ensemble": "test_stack_of_members_and_folds",
 }
 
 
