@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,51 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import labels
-from ..schema import GROUPS, SIXMERS
-
-_LUT = np.full(256, 255, np.uint8)
-for _i, _g in enumerate(GROUPS):
-    _LUT[[ord(c) for c in _g + _g.lower()]] = _i
-#: Other characters whose upper case holds ASCII letters, as UTF-8, with these letters.
-_LETTERS = {chr(c).encode(): up for c in range(128, 0x20000) if not 0xD800 <= c < 0xE000 and (up := chr(c).upper().encode("ascii", "ignore"))}
-_GROWS = re.compile(b"|".join(map(re.escape, _LETTERS)))
-
-
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts laid end to end as UTF-8, and where each begins; null counts as empty."""
-    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
-    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    held = texts.buffers()[2]
-    raw = memoryview(held)[edges[0] : edges[-1]] if held is not None else b""
-    edges = edges - edges[0]
-    found = list(_GROWS.finditer(raw))
-    if not found:
-        return np.frombuffer(raw, np.uint8), edges
-    longer = np.cumsum([0, *(len(_LETTERS[m[0]]) - len(m[0]) for m in found)])
-    return np.frombuffer(_GROWS.sub(lambda m: _LETTERS[m[0]], raw), np.uint8), edges + longer[np.searchsorted([m.start() for m in found], edges, "left")]
-
-
-def windows(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cleaned length and best probability (NaN without a window) of each text, from the buffer of the column itself."""
-    data, edges = _bytes(texts)
-    codes = _LUT[data]
-    keep = codes < 6
-    at = np.concatenate([[0], np.cumsum(keep)])[edges]
-    lens, c = np.diff(at), codes[keep].astype(np.uint16)
-    best = np.full(len(lens), np.nan)
-    n = len(c) - 5
-    if n > 0:
-        code = c[:n].copy()
-        for k in range(1, 6):
-            code *= 6
-            code += c[k : k + n]
-        p = np.append(table[code], -np.inf)
-        full = np.flatnonzero(lens >= 6)
-        if len(full):
-            first = at[full]
-            best[full] = np.maximum.reduceat(p, np.stack([first, first + lens[full] - 5], 1).ravel())[::2]
-    return lens, best
-
+from ..functions.sixmers import windows
+from ..schema import SIXMERS
 
 def best_windows(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``windows`` of a list."""

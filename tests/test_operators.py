@@ -5,8 +5,9 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from burdock.functions import descriptors, labels, sequence, special
+from burdock.functions import descriptors, labels, sequence, sixmers, special
 from burdock.operators import cohort, enrichment, proteome, scoring, stats
 from burdock.plans import registry
 from burdock.sources import readers, writers
@@ -393,6 +394,18 @@ def _running(w, hit):
     return np.cumsum(share - ~hit / (~hit).sum())
 
 
+def test_letters_whose_upper_case_is_plain():
+    plain = {chr(c): up for c in range(128, 0x20000) if not 0xD800 <= c < 0xE000 and (up := chr(c).upper().encode("ascii", "ignore").decode())}
+    assert plain == sixmers.LETTERS and all(len(v) <= len(k.encode()) for k, v in plain.items())
+    texts = ["", None, "ßvqivyk", "ab" + "".join(plain) + "VQIVYK", "\u4e2d\u1fb3", *(f"GG{k}{k}GG\U0001f600" for k in plain)]
+    clean = ["".join(c for c in (t or "").upper() if c in "ACDEFGHIKLMNPQRSTVWY") for t in texts]
+    table = np.random.default_rng(0).random(6**6)
+    for arr in (pa.array(texts), pa.array(["x", *texts, "y"]).slice(1, len(texts))):
+        lens, best = sixmers.windows(arr, table)
+        assert lens.tolist() == list(map(len, clean))
+        assert np.array_equal(best, scoring.best_windows(clean, table)[1], equal_nan=True)
+
+
 def test_smooth_percentiles_against_all_pairs():
     rng = np.random.default_rng(11)
     for x in (rng.normal(size=500), rng.standard_cauchy(300), np.repeat([0.0, 1.0, 5.0], 40), np.array([1.0, 2.0]), np.r_[rng.normal(size=200), 1e6], -rng.exponential(size=90) - 1e4):
