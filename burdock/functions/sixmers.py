@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from ..schema import GROUPS
+from ..schema import GROUPS, SIXMERS
 
 _LUT = np.full(256, 255, np.uint8)
 for _i, _g in enumerate(GROUPS):
@@ -38,20 +39,50 @@ def residue_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, edges - edges[0]
 
 
-def windows(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cleaned length and best probability (NaN without a window) of each text, from the buffer of the column itself."""
+#: Texts, and bytes beyond the first text, of one numpy step: a task's memory does not hang on the rows of an Arrow batch.
+STEP, BYTES = 1024, 1 << 20
+
+
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's residues begin, how many they are, and the code of the six residues from each on, over all texts."""
     data, edges = residue_bytes(texts)
     codes = _LUT[data]
     keep = codes < 6
     at = np.concatenate([[0], np.cumsum(keep)])[edges]
-    lens, c = np.diff(at), codes[keep].astype(np.uint16)
+    c = codes[keep].astype(np.uint16)
+    n = max(len(c) - 5, 0)
+    code = c[:n].copy()
+    for k in range(1, 6 if n else 1):
+        code *= 6
+        code += c[k : k + n]
+    return at, np.diff(at), code
+
+
+def steps(texts: pa.Array):
+    """A column in parts (from, to) of bounded rows and bytes; a text is never cut."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = min(a + STEP, max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + BYTES, "right"))))
+        yield a, min(b, len(texts))
+        a = b
+
+
+def counts(texts: pa.Array) -> np.ndarray:
+    """How often each six-mer stands in the texts."""
+    at, lens, code = _codes(texts)
+    inside = np.zeros(len(code) + 1, np.int32)
+    full = np.flatnonzero(lens >= 6)
+    np.add.at(inside, at[full], 1)
+    np.add.at(inside, at[full] + lens[full] - 5, -1)
+    return np.bincount(code[np.cumsum(inside)[:-1] > 0], minlength=SIXMERS)
+
+
+def windows(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cleaned length and best probability (NaN without a window) of each text, from the buffer of the column itself."""
+    at, lens, code = _codes(texts)
     best = np.full(len(lens), np.nan)
-    n = len(c) - 5
-    if n > 0:
-        code = c[:n].copy()
-        for k in range(1, 6):
-            code *= 6
-            code += c[k : k + n]
+    if len(code):
         p = np.append(table[code], -np.inf)
         full = np.flatnonzero(lens >= 6)
         if len(full):

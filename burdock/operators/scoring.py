@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import labels
-from ..functions.sixmers import windows
+from ..functions.sixmers import counts, steps, windows
 from ..schema import SIXMERS
 
 def best_windows(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,7 @@ def predict(spark: SparkSession, records: DataFrame, table: np.ndarray, id_col:
     rows = records.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text"))
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(i, j - i) for b in batches for i, j in steps(b.column(1))):
             lens, best = windows(b.column(1), held.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens.astype(np.int32)), pa.array(best, mask=np.isnan(best))], names=[id_col, "clean_length", "prob"])
 
@@ -52,6 +52,20 @@ def predict(spark: SparkSession, records: DataFrame, table: np.ndarray, id_col:
     return out.withColumns({"label": labels.label(F.col("prob"), threshold), "status": status})
 
 
+def code_counts(records: DataFrame, text_col: str = "sequence") -> DataFrame:
+    """code, n: how often each six-mer stands in all texts. A task adds up its own texts and sends one row a code at most."""
+
+    def run(batches):
+        total = np.zeros(SIXMERS, np.int64)
+        for b in batches:
+            for i, j in steps(b.column(0)):
+                total += counts(b.column(0).slice(i, j - i))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["code", "n"])
+
+    return records.select(text_col).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
 def predict_distinct(spark: SparkSession, records: DataFrame, table: np.ndarray, id_col: str = "id", text_col: str = "sequence") -> DataFrame:
     """Score each distinct sequence once and join back, for inputs with many copies."""
     scored = predict(spark, records.select(F.col(text_col).alias("k")).distinct(), table, "k", "k")
