@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 
 from pyspark.sql import functions as F
 
@@ -64,7 +63,7 @@ def sixmer_codes(spark, sf):
 @query("sixmer_round_trip", SEQ.strip() + f", g AS MATERIALIZED (SELECT doc_id, {_DIGITS} AS g FROM seq), w AS (SELECT unnest(list_transform(range(1, length(g) - 4), lambda i: substr(g, CAST(i AS INT), 6))) AS m FROM g WHERE length(g) >= 6) SELECT CAST({_CODE} AS INT) AS code, m AS six, count(*) AS n FROM w GROUP BY m")
 def sixmer_round_trip(spark, sf):
     """The six-mers of all texts: code to digits and back to the code."""
-    codes = sequences(spark, sf).select(F.explode(fs.sixmer_codes(fs.clean(F.coalesce("text", F.lit(""))))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    codes = scoring.code_counts(sequences(spark, sf), "text").select(F.col("code").alias("c"), "n")
     six = fs.sixmer_text(F.col("c").cast("long"))
     return codes.select(fs.sixmer_code(six).alias("code"), six.alias("six"), "n")
 
@@ -280,9 +279,9 @@ def feature_vector(spark, sf):
     """Composition, grouped composition, classes and pairs by their places in the assembled vector, all values above 0."""
     rows = profiles.assemble(sequences(spark, sf).select("doc_id", fs.clean(F.coalesce("text", F.lit(""))).alias("s")).where("length(s) > 1"), "s")
     at = [profiles.spans()[b] for b in ("AAC", "GAAC", "CTDC", "DPC")]
-    cells = rows.where(F.size("features") == 1849).select("doc_id", F.posexplode("features").alias("place", "value"))
-    inside = functools.reduce(lambda x, y: x | y, [F.col("place").between(a, b - 1) for a, b in at])
-    return rounded(cells.where(inside), 8).where("value > 0")
+    held = rows.where(F.size("features") == 1849).select("doc_id", F.posexplode(F.concat(*(F.slice("features", a + 1, b - a) for a, b in at))).alias("i", "value"))
+    place = F.element_at(F.array(*(F.lit(i) for a, b in at for i in range(a, b))), F.col("i") + 1)
+    return rounded(held.select("doc_id", place.alias("place"), "value"), 8).where("value > 0")
 
 
 def _charge(ph: str, pk: dict[str, float]) -> str:

@@ -472,3 +472,32 @@ def test_registered_functions(spark):
     assert "BatchEvalPython" not in got._jdf.queryExecution().toString()
     want = df.select(sequence.translate_dna(F.col("dna")).alias("t"), sequence.reverse_complement(F.col("dna")).alias("r"), sequence.clean(F.col("s")).alias("c"), sequence.cut_stops(F.col("s")).alias("k"), labels.label(F.col("p")).alias("l"), labels.by_cuts(F.col("p"), (0.1, 0.9)).alias("q"), F.lit(77).alias("n"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_passes_leave_a_task_in_slices(spark):
+    import pyarrow as pa
+    from burdock.functions import profiles
+
+    rows = spark.range(1300).coalesce(1).withColumn("t", F.lit("ACD"))
+    sizes = profiles.added(rows, "t", "n int", lambda texts: [pa.array([len(texts)] * len(texts), pa.int32())])
+    assert sorted(r["n"] for r in sizes.select("n").distinct().collect()) == [1300 - 2 * profiles.STEP, profiles.STEP]
+
+
+def test_six_mers_are_counted_in_steps(spark):
+    import pyarrow as pa
+    from burdock.functions import sixmers
+
+    rng = np.random.default_rng(4)
+    texts = [None, "", "ACDEF", *("".join(rng.choice(list("ACDEFGHIKLxz "), n)) for n in rng.integers(0, 400, 3000)), "ß" * 5]
+    column = pa.array(texts, pa.string())
+    parts = list(sixmers.steps(column))
+    assert [a for a, _ in parts] == [0, *(b for _, b in parts[:-1])] and parts[-1][1] == len(texts) and max(b - a for a, b in parts) <= sixmers.STEP
+    assert list(sixmers.steps(pa.array(["A" * 700_000] * 3))) == [(0, 1), (1, 2), (2, 3)]
+    want = {}
+    for t in texts:
+        c = [x for x in sixmers._LUT[np.frombuffer((t or "").replace("ß", "SS").encode(), np.uint8)] if x < 6]
+        for i in range(len(c) - 5):
+            code = sum(int(c[i + k]) * 6 ** (5 - k) for k in range(6))
+            want[code] = want.get(code, 0) + 1
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    assert {r.code: r.n for r in scoring.code_counts(df, "t").collect()} == want
