@@ -501,3 +501,28 @@ def test_six_mers_are_counted_in_steps(spark):
             want[code] = want.get(code, 0) + 1
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
     assert {r.code: r.n for r in scoring.code_counts(df, "t").collect()} == want
+
+
+def test_store_by_sample_has_files_for_ranges_not_samples(spark, tmp_path):
+    at = tmp_path / "store"
+    writers.by_sample(spark.range(3000).select((F.col("id") % 300).alias("sample"), F.col("id").alias("tx"), F.lit(1.0).alias("counts")).repartition(4), str(at))
+    assert 0 < len(list(at.rglob("*.parquet"))) <= 8
+    back = spark.read.parquet(str(at))
+    assert back.count() == 3000 and cohort.matrix_slice(back, [7, 9], [7, 309, 1207], id_col="tx").count() == 3
+
+
+def test_bins_are_permuted_without_copies_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(stats, "_blocks", None)  # rows are not copied for blocks of permutations
+    rng = np.random.default_rng(6)
+    rows = [(f"s{i % 7}", int(b), float(w), bool(h)) for i, (b, w, h) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(1, 9, 400), rng.random(400) < 0.3, strict=True))]
+    got = {r["sample"]: r for r in stats.permute_within(spark, spark.createDataFrame(rows, "sample string, bin int, w double, hot boolean"), ["bin"], "hot", "w", "sample", 20_000).collect()}
+    assert len(got) == 7
+    for s, r in got.items():
+        mean = var = 0.0
+        for b in range(3):
+            size, hot = sum(x[1] == b for x in rows), sum(x[1] == b and x[3] for x in rows)
+            w, p = np.array([x[2] for x in rows if x[0] == s and x[1] == b]), hot / size
+            mean += p * w.sum()
+            var += p * (1 - p) * ((w**2).sum() - (w.sum() ** 2 - (w**2).sum()) / (size - 1))
+        assert r.observed == sum(x[2] for x in rows if x[0] == s and x[3])
+        assert r.null_mean == pytest.approx(mean, abs=4 * math.sqrt(var / 20_000)) and r.null_sd == pytest.approx(math.sqrt(var), rel=0.03)
