@@ -354,26 +354,32 @@ def resample(rows: DataFrame, a: str, b: str, keys: list[str], n: int = 10_000,
 def permute_within(spark: SparkSession, rows: DataFrame, bins: list[str], label: str, weight: str, sample: str, n: int = 200, seed: int = 20260606) -> DataFrame:
     """Null of the labelled weight per sample when labels are permuted inside bins: mean, sd and p of the observed sum.
 
-    Work is split by bin and block of permutations, each with a generator of its own; a block's sums are one array per
-    sample and bin, with the observed sum in front, and are added up over the bins where they are compared with it.
+    What a sample's rows get of a permuted bin is a draw without replacement from the bin's labels, so each sample draws
+    from the sizes of its bins, row by row and all permutations at once; its null is that of whole permutations. A task
+    holds the rows of one sample and ``n`` sums, and no permutation leaves it.
     """
+    rows = rows.select(*{*bins, label, weight, sample})
+    sizes = rows.groupBy(*bins).agg(F.count("*").alias("__size"), F.count_if(F.col(label)).alias("__hot"))
+    named = sizes.select(*(F.col(c).alias(f"__k_{c}") for c in bins), "__size", "__hot")
+    held = rows.join(named, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in bins]).drop(*(f"__k_{c}" for c in bins))
 
     def one(pdf):
-        pdf = pdf.sort_values([sample, weight])
-        block = int(pdf["__block"].iloc[0])
-        rng = _seeds(seed, pdf.iloc[0][bins].to_dict(), block)
-        hot, w = pdf[label].to_numpy(bool), pdf[weight].to_numpy(float)
-        names, code = np.unique(pdf[sample].to_numpy(), return_inverse=True)
-        out = [np.bincount(code, w * (hot if k == 0 else rng.permutation(hot)), len(names)) for k in range(min(BLOCK, n - block * BLOCK) + 1)]
-        return pd.DataFrame({sample: names, "block": block, "s": list(np.stack(out, 1))})
+        name = pdf[sample].iloc[0]
+        pdf = pdf.sort_values([*bins, weight])
+        rng = _seeds(seed, {sample: name}, 0)
+        total, obs = np.zeros(n), 0.0
+        for _, part in pdf.groupby(bins, sort=True, dropna=False):
+            size, left = int(part["__size"].iloc[0]), np.full(n, float(part["__hot"].iloc[0]))
+            obs += float(part.loc[part[label].to_numpy(bool), weight].sum())
+            for i, w in enumerate(part[weight].to_numpy(float)):
+                hit = rng.random(n) * (size - i) < left
+                left -= hit
+                total += w * hit
+        near = 1e-9 * abs(obs)
+        return pd.DataFrame({sample: [name], "observed": obs, "null_mean": total.mean() if n else None, "null_sd": total.std(ddof=1) if n > 1 else None, "p_greater": (int((total >= obs - near).sum()) + 1) / (n + 1)})
 
     kinds = dict(rows.dtypes)
-    parts = _blocks(spark, rows.select(*{*bins, label, weight, sample}), n).groupBy(*bins, "__block").applyInPandas(one, f"{sample} {kinds[sample]}, block long, s array<double>")
-    each = parts.repartition(sample, "block").select(sample, "block", F.posexplode("s").alias("perm", "s"))
-    sums = each.groupBy(sample, "block", "perm").agg(F.sum("s").alias("s"))
-    sums = sums.withColumn("obs", F.max(F.when(F.col("perm") == 0, F.col("s"))).over(Window.partitionBy(sample, "block")))
-    null = F.when(F.col("perm") > 0, F.col("s"))
-    return sums.groupBy(sample).agg(F.max("obs").alias("observed"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"), ((F.count_if((F.col("perm") > 0) & (F.col("s") >= F.col("obs"))) + 1) / (n + 1)).alias("p_greater"))
+    return held.groupBy(sample).applyInPandas(one, f"{sample} {kinds[sample]}, observed double, null_mean double, null_sd double, p_greater double")
 
 
 def rank_correlation(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:

@@ -238,3 +238,13 @@ def test_matching_runs_out_of_controls_and_leaves_odd_rows(spark):
     rows = [("s", 1, True, 1.0), ("s", 2, True, 2.0), ("s", 3, False, 1.0), ("s", 4, False, None), ("t", 5, True, 1.0), ("u", 6, False, 1.0)]
     got = cohort.match_controls(spark.createDataFrame(rows, "p string, id int, hot boolean, u double"), "p", "hot", ["u"], ["u"], "id").collect()
     assert [(r.p, r.treated_id, r.control_id) for r in got] == [("s", 2, 3)]
+
+
+def test_observed_differences_pair_no_chunks(spark, burden, monkeypatch):
+    monkeypatch.setattr(counterfactual, "CHUNK", 16)
+    _, df, who, groups = burden
+    keyed = counterfactual.first_rank_bin(counterfactual.first_rank_bin(df, "length", ["sample", "id"], "lb", 3), "expression", ["sample", "id"], "eb", 2)
+    run = lambda n: counterfactual.null_differences(keyed, groups, ["all", "some"], "AC", "TOL", ["lb", "eb"], n, seed=3)
+    alone = run(0)
+    assert "Join" not in alone._jdf.queryExecution().optimizedPlan().toString()
+    assert list(alone.first()) == pytest.approx(list(run(2).where("perm < 0").first()))
