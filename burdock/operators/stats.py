@@ -110,12 +110,61 @@ def subsets_at_least(v: np.ndarray, k: int, bound: float) -> int:
     return found
 
 
+_TURN = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+_SINE = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_PLACE = [*range(16), *((5 * i + 1) % 16 for i in range(16)), *((3 * i + 5) % 16 for i in range(16)), *((7 * i) % 16 for i in range(16))]
+
+
+def _md5_heads(words: np.ndarray) -> np.ndarray:
+    """First eight bytes of the MD5 of messages of one block (16 x rows of words), as big-endian integers."""
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(words.shape[1], x) for x in start)
+    for i in range(64):
+        f = d ^ (b & (c ^ d)) if i < 16 else c ^ (d & (b ^ c)) if i < 32 else b ^ c ^ d if i < 48 else c ^ (b | ~d)
+        f += a
+        f += words[_PLACE[i]]
+        f += _SINE[i]
+        a, d, c, b = d, c, b, b + ((f << np.uint32(_TURN[i])) | (f >> np.uint32(32 - _TURN[i])))
+    return (a + start[0]).byteswap().astype(np.uint64) << np.uint64(32) | (b + start[1]).byteswap()
+
+
+class Deals:
+    """Random deals of ``k`` of the units: those whose digest with the deal's number comes first. Digests of names of up to
+    40 bytes are computed for many units at once."""
+
+    ROWS = 8192
+
+    def __init__(self, units: list, k: int):
+        self.names, self.k = [str(u).encode() for u in units], k
+        self.short = all(len(u) <= 40 for u in self.names)
+        self.held: tuple[int, np.ndarray] = (-1, np.zeros(0))
+
+    def _messages(self, head: int) -> np.ndarray:
+        """Blocks of a message each, with room for ``head`` bytes in front of the name."""
+        if self.held[0] != head:
+            out = np.frombuffer(b"".join((b"\0" * head + u + b"\x80").ljust(56, b"\0") + (8 * (head + len(u))).to_bytes(8, "little") for u in self.names), np.uint8)
+            self.held = head, out.reshape(-1, 64).copy()
+        return self.held[1]
+
+    def take(self, deal: int) -> np.ndarray:
+        head = f"{deal}:".encode()
+        if self.short and len(head) <= 15:
+            m = self._messages(len(head))
+            m[:, : len(head)] = np.frombuffer(head, np.uint8)
+            h = np.concatenate([_md5_heads(np.ascontiguousarray(m[at : at + self.ROWS].view("<u4").T)) for at in range(0, len(m), self.ROWS)])
+        else:
+            h = np.array([int.from_bytes(hashlib.md5(head + u).digest()[:8], "big") for u in self.names], np.uint64)
+        if self.k <= 0:
+            return np.zeros(len(h), bool)
+        last = np.partition(h, self.k - 1)[self.k - 1]
+        out = h < last
+        out[np.flatnonzero(h == last)[: self.k - out.sum()]] = True  # of equal digests the earlier units
+        return out
+
+
 def dealt(units: list[str], k: int, deal: int) -> np.ndarray:
-    """Which ``k`` of the units a random deal picks: those whose digest with the deal's number comes first."""
-    h = np.array([int.from_bytes(hashlib.md5(f"{deal}:{u}".encode()).digest()[:8], "big") for u in units], np.uint64)
-    out = np.zeros(len(units), bool)
-    out[np.argsort(h, kind="stable")[:k]] = True
-    return out
+    """Which ``k`` of the units a random deal picks."""
+    return Deals(units, k).take(deal)
 
 
 def exact_permutation(spark: SparkSession, rows: DataFrame, a: str, b: str, keys: list[str], unit: str | None = None, grp: str = "grp", value: str = "value", plus_one: bool = True, tolerance: float = 1e-15, most: int = 40, n: int = 10_000) -> DataFrame:
@@ -153,7 +202,8 @@ def exact_permutation(spark: SparkSession, rows: DataFrame, a: str, b: str, keys
         if not 0 < k < len(v):
             return pd.DataFrame(columns=[*keys, "n_permutations", "delta", "more", "two"])
         obs = diff(v[hot].sum())
-        d = np.array([diff(v[dealt(units, k, deal)].sum()) for deal in range(block * BLOCK, min(n, (block + 1) * BLOCK))])
+        deals = Deals(units, k)
+        d = np.array([diff(v[deals.take(deal)].sum()) for deal in range(block * BLOCK, min(n, (block + 1) * BLOCK))])
         return pd.DataFrame([head | {"n_permutations": len(d), "delta": obs, "more": int((d >= obs - tol).sum()), "two": int((np.abs(d) >= abs(obs) - tol).sum())}])
 
     shape = f"{head_kind}, n_permutations long, delta double, more long, two long"

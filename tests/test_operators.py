@@ -526,3 +526,17 @@ def test_bins_are_permuted_without_copies_of_the_rows(spark, monkeypatch):
             var += p * (1 - p) * ((w**2).sum() - (w.sum() ** 2 - (w**2).sum()) / (size - 1))
         assert r.observed == sum(x[2] for x in rows if x[0] == s and x[3])
         assert r.null_mean == pytest.approx(mean, abs=4 * math.sqrt(var / 20_000)) and r.null_sd == pytest.approx(math.sqrt(var), rel=0.03)
+
+
+def test_deals_follow_digests():
+    import hashlib
+
+    def plain(units, k, deal):
+        return set(sorted(range(len(units)), key=lambda i: (hashlib.md5(f"{deal}:{units[i]}".encode()).digest()[:8], i))[:k])
+
+    many = [str(i) for i in range(9000)]
+    for units, k in ((many, 4000), (["é" * 3, "", "x" * 40], 2), (["é", "y" * 41, "z"], 1), (["a", "a", "b"], 2)):
+        deals = stats.Deals(units, k)
+        for deal in (0, 7, 10, 99, 1234, 9999):
+            assert set(np.flatnonzero(deals.take(deal)).tolist()) == plain(units, k, deal)
+    assert not stats.dealt(["a", "b"], 0, 3).any()
