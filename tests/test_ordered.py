@@ -248,3 +248,41 @@ def test_observed_differences_pair_no_chunks(spark, burden, monkeypatch):
     alone = run(0)
     assert "Join" not in alone._jdf.queryExecution().optimizedPlan().toString()
     assert list(alone.first()) == pytest.approx(list(run(2).where("perm < 0").first()))
+
+
+def test_dealt_classes_are_one_permutation():
+    counts, sizes = np.array([9, 1, 5, 5]), [7, 4, 9]
+    for table in (counterfactual.class_table(counts), None):
+        seen, together, starts = np.zeros((20, 4)), np.zeros((4, 4)), np.cumsum([0, *sizes])
+        for deal in range(4000):
+            row = np.concatenate([counterfactual.dealt(counterfactual.class_share(counts, sizes, to, [1, 2, deal]), table, np.random.default_rng([5, deal, to])) for to in range(3)])
+            assert np.bincount(row, minlength=4).tolist() == counts.tolist()
+            seen[np.arange(20), row] += 1
+            together[row[3], row[4]] += 1  # of one chunk
+            together[row[2], row[15]] += 1  # of two
+        want = 4000 * counts / 20
+        chi2 = ((seen - want) ** 2 / want).sum()
+        assert chi2 < 57 + 6 * np.sqrt(2 * 57)
+        pair = 8000 * (np.outer(counts, counts) - np.diag(counts)) / (20 * 19)
+        assert ((together - pair) ** 2 / np.maximum(pair, 1e-9))[pair > 0].sum() < 15 + 6 * np.sqrt(30) and together[1, 1] == 0
+    big = np.array([50_000, 3, 20_000, 11_000])
+    out = counterfactual.dealt(big, counterfactual.class_table(np.array([500, 3, 200, 110])), np.random.default_rng(1))
+    assert np.bincount(out).tolist() == big.tolist()
+
+
+def test_chunks_of_few_classes_meet_no_other(spark, burden, monkeypatch):
+    """A chunk that meets every other of its bin makes the work grow with the square of the bin."""
+    _, df, _, groups = burden
+    coarse = df.withColumn("index", F.round("index"))
+    run = lambda rows: counterfactual.null_differences(rows.withColumn("b", F.lit(1)), groups, ["all", "some"], "AC", "TOL", ["b"], 2000, seed=3)
+    whole = run(coarse).where("perm >= 0").toPandas()
+    monkeypatch.setattr(counterfactual, "CHUNK", 16)
+    cut = run(coarse)
+    assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    cut = cut.where("perm >= 0").toPandas()
+    assert len(cut) == 2000 and cut["perm"].nunique() == 2000
+    for c in [c for c in whole.columns if c != "perm"]:
+        sd = whole[c].std()
+        assert abs(whole[c].mean() - cut[c].mean()) < 6 * sd * np.sqrt(2 / 2000) and cut[c].std() == pytest.approx(sd, rel=0.12)
+    monkeypatch.setattr(counterfactual, "CLASSES", 4)
+    assert "Join" in run(coarse)._jdf.queryExecution().optimizedPlan().toString()
