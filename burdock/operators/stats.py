@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from ..sources import shared
 from . import ordered
 
 
@@ -435,16 +436,22 @@ def permute_within(spark: SparkSession, rows: DataFrame, bins: list[str], label:
 def rank_correlation(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Pearson and Spearman (Pearson of average ranks) per key; null under 3 rows or 2 distinct values.
 
-    Rows are counted by (x, y), the distinct values are ranked in sorted ranges and their ranks joined to these counts; a
-    value that many pairs hold makes an uneven join, which Spark splits. No task sees a whole key.
+    Rows are counted by (x, y) once and the counts written; the distinct values of each column are ranked in sorted ranges
+    and their ranks joined to the counts. Ranks are written too, so where a column has few values, which many pairs hold,
+    Spark sees a small table and broadcasts it; with many values no key of the join is large. No task sees a whole key.
     """
+    spark, at = rows.sparkSession, shared.folder(rows.sparkSession)
     known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
-    pairs = known.groupBy(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("n"))
+    known.groupBy(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("n")).write.parquet(f"{at}/pairs")
+    counts = spark.read.parquet(f"{at}/pairs")
+    pairs = counts
     for c in ("__x", "__y"):
-        placed = ordered.running(pairs.groupBy(*keys, c).agg(F.sum("n").alias("m")), keys, c, ["m"])
-        named = placed.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col(c).alias("__v"), (F.col("before_m") + (F.col("m") + 1) / 2).alias(f"r{c}"))
+        placed = ordered.running(counts.groupBy(*keys, c).agg(F.sum("n").alias("m")), keys, c, ["m"])
+        placed.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col(c).alias("__v"), (F.col("before_m") + (F.col("m") + 1) / 2).alias(f"r{c}")).write.parquet(f"{at}/ranks{c}")
+        named = spark.read.parquet(f"{at}/ranks{c}")
         pairs = pairs.join(named, [F.col(c) == F.col("__v"), *(F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys)]).drop("__v", *(f"__k_{k}" for k in keys))
-    mean = pairs.groupBy(*keys).agg(*((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"m{c}") for c in ("__x", "__y", "r__x", "r__y")))
+    rank = ((F.sum("n") + 1) / 2).alias  # the mean of average ranks
+    mean = counts.groupBy(*keys).agg(*((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"m{c}") for c in ("__x", "__y")), rank("mr__x"), rank("mr__y"))
     named = mean.select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(f"m{c}" for c in ("__x", "__y", "r__x", "r__y")))
     centred = pairs.join(named, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] or F.lit(True)).drop(*(f"__k_{k}" for k in keys))
 

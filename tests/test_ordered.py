@@ -286,3 +286,17 @@ def test_chunks_of_few_classes_meet_no_other(spark, burden, monkeypatch):
         assert abs(whole[c].mean() - cut[c].mean()) < 6 * sd * np.sqrt(2 / 2000) and cut[c].std() == pytest.approx(sd, rel=0.12)
     monkeypatch.setattr(counterfactual, "CLASSES", 4)
     assert "Join" in run(coarse)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rank_correlation_reads_its_rows_once_and_joins_few_values_without_a_shuffle(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": rng.integers(0, 2, 3000), "x": rng.integers(0, 11, 3000) / 10, "y": rng.normal(size=3000)})
+    pdf["y"] += pdf["x"]
+    spark.createDataFrame(pdf).write.parquet(f"file://{tmp_path}/rows")
+    rows = spark.read.parquet(f"file://{tmp_path}/rows")
+    out = stats.rank_correlation(rows, "x", "y", ["k"])
+    assert not set(out.inputFiles()) & set(rows.inputFiles())  # counted once, not for each rank and mean again
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        one = pdf[pdf["k"] == r.k]
+        assert r.n == len(one) and r.pearson == pytest.approx(one["x"].corr(one["y"])) and r.spearman == pytest.approx(one["x"].rank().corr(one["y"].rank()))
