@@ -41,7 +41,7 @@ def gtf(spark: SparkSession, path: str, features: tuple[str, ...] = ("exon", "CD
 def attribute(name: str, col: str = "attribute"):
     """The last value of a GTF attribute; null if there is none."""
     found = F.regexp_extract_all(col, F.lit(rf'(?:^|[^A-Za-z0-9_]){name} "([^"]+)"'), F.lit(1))
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    return F.try_element_at(found, F.lit(-1))  # names ``found`` once, so the pattern runs once
 
 
 def vcf(spark: SparkSession, path: str) -> DataFrame:

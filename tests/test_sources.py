@@ -76,3 +76,9 @@ def test_folder_is_verified_by_content(spark, tmp_path):
     tx = spark.createDataFrame([("T1.1", "T1", 40, [1]), ("T2.5", "T2", 40, [1]), ("T3.1", "T3", 40, [1])], "transcript_id string, clean_id string, cds_bp int, exons array<int>")
     tpm = spark.createDataFrame([("T1", 5.0), ("T2.5", 5.0), ("T3", 5.0)], "transcript_id string, tpm double")
     assert [r.id for r in proteome.expressed_ids(tx, tpm, allowed=ids).collect()] == ["T1.1", "T2.5"]
+
+
+def test_attribute_runs_its_pattern_once(spark):
+    rows = spark.createDataFrame([('gene_id "A"; my_gene_id "B"; gene_id "C";',), ('x "A";',), (None,)], "attribute string").select(readers.attribute("gene_id").alias("g"))
+    assert [r.g for r in rows.collect()] == ["C", None, None]
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
