@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import CODONS, GROUPS, RESIDUES
+from ..schema import GROUPS, RESIDUES
+from . import codons
 
 
 def clean(s: Column) -> Column:
@@ -60,12 +62,14 @@ def reverse_complement(dna: Column) -> Column:
 
 
 def translate_dna(dna: Column, least: int = 0) -> Column:
-    """Frame 0 up to the first stop; unknown codons are X; empty if shorter than ``least``."""
-    table = F.create_map(*(F.lit(x) for pair in CODONS.items() for x in pair))
-    codon = lambda c, i: F.coalesce(F.try_element_at(table, F.concat(c[i * 3], c[i * 3 + 1], c[i * 3 + 2])), F.lit("X"))
-    residues = bound(F.split(F.upper(dna), ""), lambda c: _each(F.floor(F.size(c) / 3).cast("int"), lambda i: codon(c, i), "string"))
-    protein = F.substring_index(F.array_join(residues, ""), "*", 1)
-    return F.when(F.length(protein) >= least, protein).otherwise(F.lit(""))
+    """Frame 0 up to the first stop; unknown codons are X; empty if shorter than ``least``. An Arrow pass, so not for lambdas."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return codons.proteins(texts)
+
+    protein = run.asNondeterministic()(F.upper(dna))  # else a filter on the protein translates anew
+    return F.when(F.length(protein) >= least, protein).otherwise(F.lit("")) if least else protein
 
 
 def cut_stops(s: Column) -> Column:

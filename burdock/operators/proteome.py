@@ -46,14 +46,29 @@ def frameshift_variants(variants: DataFrame) -> DataFrame:
     return variants.where((F.length("alt") - F.length("ref")) % 3 != 0)
 
 
-def _coding(exons: Column, edit: bool) -> Column:
-    def part(e):
-        off = F.col("pos") - e["start"]
-        changed = F.concat(F.substring(e["seq"], F.lit(1), off), F.col("alt"), F.substring(e["seq"], off + F.length("ref") + 1, F.length(e["seq"])))
-        return F.when((F.col("pos") >= e["start"]) & (F.col("pos") <= e["end"]), changed).otherwise(e["seq"]) if edit else e["seq"]
+def on_strand(dna: Column) -> Column:
+    return F.when(F.col("strand") == "-", sequence.reverse_complement(dna)).otherwise(dna)
 
-    joined = F.array_join(F.transform(exons, part), "")
-    return F.when(F.col("strand") == "-", sequence.reverse_complement(joined)).otherwise(joined)
+
+def read_stretch(dna: Column, protein: Column) -> Column:
+    """What translation has read of ``dna`` up to its first stop, as it stands on the forward strand; null without a stop.
+    Whatever changes behind it, the protein stays."""
+    n = 3 * (F.length(protein) + 1)
+    return F.when(F.length(dna) >= n, F.when(F.col("strand") == "-", F.right(dna, n)).otherwise(F.left(dna, n)))
+
+
+def retranslated(rows: DataFrame, dna: str, stretch: str, protein: str) -> DataFrame:
+    """``rows`` with ``own``: the protein of the changed ``dna``, which goes. Only where the change reaches the ``stretch``
+    is it translated; else it is ``protein``."""
+    same = F.coalesce(F.when(F.col("strand") == "-", F.endswith(dna, stretch)).otherwise(F.startswith(dna, stretch)), F.lit(False))
+    left = rows.withColumn("__dna", F.when(~same, on_strand(F.col(dna)))).drop(dna, stretch)
+    return left.withColumn("own", F.when(F.col("__dna").isNull(), F.col(protein)).otherwise(sequence.translate_dna(F.col("__dna")))).drop("__dna")
+
+
+def _edited(e: Column) -> Column:
+    off = F.col("pos") - e["start"]
+    changed = F.concat(F.substring(e["seq"], F.lit(1), off), F.col("alt"), F.substring(e["seq"], off + F.length("ref") + 1, F.length(e["seq"])))
+    return F.when((F.col("pos") >= e["start"]) & (F.col("pos") <= e["end"]), changed).otherwise(e["seq"])
 
 
 def frameshift_proteins(variants: DataFrame, tx: DataFrame, genome: DataFrame, min_aa: int = 6, by: tuple[str, ...] = (), wanted: DataFrame | None = None) -> DataFrame:
@@ -61,7 +76,7 @@ def frameshift_proteins(variants: DataFrame, tx: DataFrame, genome: DataFrame, m
 
     ``genome`` is (chrom, seq); exons are cut from pieces of it, so no chromosome travels with an exon or a variant.
     ``by``: columns of the variants that keep apart what belongs to different samples; ``wanted`` (by, transcript_id):
-    the only transcripts that count.
+    the only transcripts that count. A transcript is translated once, a variant only where it changes what was read of it.
     """
     shifts = frameshift_variants(variants)
     spans = tx.select("transcript_id", "chrom", F.explode("exons").alias("e")).select("transcript_id", "chrom", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
@@ -71,8 +86,10 @@ def frameshift_proteins(variants: DataFrame, tx: DataFrame, genome: DataFrame, m
     needed = hit.select("transcript_id").distinct()
     cut = slices(binned(genome), spans.join(needed, "transcript_id", "left_semi").join(genome.select("chrom").distinct(), "chrom", "left_semi"))
     exons = cut.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "seq"))).alias("parts"))
-    rows = hit.join(exons, "transcript_id").join(tx.select("transcript_id", "gene_id", "strand"), "transcript_id")
-    rows = rows.withColumns({"wt": sequence.translate_dna(_coding(F.col("parts"), False)), "mut": sequence.translate_dna(_coding(F.col("parts"), True), min_aa)}).where("mut <> ''")
+    told = exons.join(tx.select("transcript_id", "gene_id", "strand"), "transcript_id").withColumn("__whole", F.array_join(F.col("parts.seq"), ""))
+    told = told.withColumn("wt", sequence.translate_dna(on_strand(F.col("__whole")))).withColumn("__read", read_stretch(F.col("__whole"), F.col("wt"))).drop("__whole")
+    rows = hit.join(told, "transcript_id").withColumn("__changed", F.array_join(F.transform("parts", _edited), "")).drop("parts")
+    rows = retranslated(rows, "__changed", "__read", "wt").withColumnRenamed("own", "mut").where(F.length("mut") >= F.greatest(F.lit(min_aa), F.lit(1)))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by, "gene_id", "mut").orderBy("ord", "transcript_id"))).where("n = 1")
     shift = F.length("alt") - F.length("ref")
     header = F.format_string("FRAMESHIFT_%s_%s type=%s shift=%dbp WT=%d MUT=%d diff=%d", "gene_id", "transcript_id", F.when(shift < 0, "DEL").otherwise("INS"), shift, F.length("wt"), F.length("mut"), F.length("mut") - F.length("wt"))

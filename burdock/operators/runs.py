@@ -120,26 +120,24 @@ def haplotype_alleles(variants: DataFrame) -> DataFrame:
     return one.select("sample", "chrom", "pos", "alt", F.concat(has(0), F.lit("|"), has(1)).alias("gt"))
 
 
-def _translated(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, sequence: the parts of each key joined in order, translated up to the first stop."""
-    whole = parts.groupBy(*keys).agg(F.min("strand").alias("strand"), F.array_sort(F.collect_list(F.struct("start", "seq"))).alias("p"))
-    dna = F.array_join(F.transform("p", lambda x: x["seq"]), "")
-    return whole.select(*keys, sequence.translate_dna(F.when(F.col("strand") == "-", sequence.reverse_complement(dna)).otherwise(dna)).alias("sequence"))
-
-
 def haplotypes(snps: DataFrame, cds: DataFrame, wanted: DataFrame) -> DataFrame:
     """sample, id (H1_ or H2_ and the transcript), sequence of the wanted (sample, transcript_id). Of several alleles at
-    one place the last in order counts."""
-    plain = _translated(cds, ["transcript_id"])
+    one place the last in order counts. A transcript is translated once, a haplotype only where it changes what was read."""
+    whole = cds.groupBy("transcript_id").agg(F.min("strand").alias("strand"), F.array_sort(F.collect_list(F.struct("start", "seq"))).alias("parts")).withColumn("dna", F.array_join("parts.seq", ""))
+    told = whole.withColumn("sequence", sequence.translate_dna(proteome.on_strand(F.col("dna")))).withColumn("stretch", proteome.read_stretch(F.col("dna"), F.col("sequence"))).drop("dna")
+    plain = told.select("transcript_id", "sequence")
     spans = cds.select("transcript_id", "chrom", "start", "end")
     hit = proteome.range_join(snps, spans, "chrom", "pos", "start", "end").join(wanted, ["sample", "transcript_id"], "left_semi")
     both = hit.select("sample", "transcript_id", "start", "pos", "alt", F.explode(F.filter(F.array(*(F.when(F.get(F.split("gt", r"\|"), F.lit(h)) == "1", h + 1) for h in (0, 1))), lambda x: x.isNotNull())).alias("h"))
-    edits = both.groupBy("sample", "h", "transcript_id", "start").agg(F.array_sort(F.collect_set(F.struct("pos", "alt"))).alias("edits"))
-    touched = edits.select("sample", "h", "transcript_id").distinct().join(cds.select("transcript_id", "strand", "start", "seq"), "transcript_id")
-    changed = F.aggregate("edits", F.col("seq"), lambda s, e: F.overlay(s, e["alt"], e["pos"] - F.col("start") + 1))
-    edited = touched.join(edits, ["sample", "h", "transcript_id", "start"], "left").withColumn("seq", F.when(F.col("edits").isNull(), F.col("seq")).otherwise(changed))
-    made = _translated(edited, ["sample", "h", "transcript_id"]).withColumnRenamed("sequence", "own")
-    rows = wanted.join(plain, "transcript_id").withColumn("h", F.explode(F.array(F.lit(1), F.lit(2)))).join(made, ["sample", "h", "transcript_id"], "left")
+    edits = both.groupBy("sample", "h", "transcript_id").agg(F.array_sort(F.collect_set(F.struct("start", "pos", "alt"))).alias("edits"))
+
+    def edited(part):
+        own = F.filter("edits", lambda e: e["start"] == part["start"])
+        return F.struct(part["start"].alias("start"), F.aggregate(own, part["seq"], lambda s, e: F.overlay(s, e["alt"], e["pos"] - e["start"] + 1)).alias("seq"))
+
+    changed = edits.join(told, "transcript_id").withColumn("parts", F.array_sort(F.transform("parts", edited)))
+    made = proteome.retranslated(changed.withColumn("dna", F.array_join("parts.seq", "")).drop("edits", "parts"), "dna", "stretch", "sequence")
+    rows = wanted.join(plain, "transcript_id").withColumn("h", F.explode(F.array(F.lit(1), F.lit(2)))).join(made.select("sample", "h", "transcript_id", "own"), ["sample", "h", "transcript_id"], "left")
     return rows.select("sample", F.concat(F.lit("H"), F.col("h").cast("string"), F.lit("_"), "transcript_id").alias("id"), F.coalesce("own", "sequence").alias("sequence"))
 
 
