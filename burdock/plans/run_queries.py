@@ -39,8 +39,8 @@ def _files(spark, sf) -> dict[str, str]:
     at = shared.folder(spark)
     k, letters = F.col("doc_id"), F.regexp_replace(F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))), "[^A-Z]", "")
     docs = read(spark, sf, "documents").where("text is not null").select(k, F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC").alias("dna"))
-    docs.withColumns({"n": F.length("dna"), "h": F.floor(F.length("dna") / 3).cast("int")}).where("n >= 6").write.parquet(f"{at}/docs")
-    docs = spark.read.parquet(f"{at}/docs")  # cleaned once, not anew for each kind of file
+    docs.write.parquet(f"{at}/docs")  # cleaned once, not anew for each kind of file
+    docs = spark.read.parquet(f"{at}/docs").withColumns({"n": F.length("dna"), "h": F.floor(F.length("dna") / 3).cast("int")}).where("n >= 6")
     writers.fasta(docs.select(_text("c", k).alias("header"), F.col("dna").alias("sequence"), k.alias("ord")), f"{at}/g.fa")
     strand = F.when(k % 3 == 0, "-").otherwise("+")
     stretches = F.explode(F.array(F.struct(F.lit(1).alias("a"), F.col("h").alias("b")), F.struct((2 * F.col("h") + 1).alias("a"), F.col("n").alias("b"))))

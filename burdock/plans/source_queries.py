@@ -252,9 +252,10 @@ def frameshift_proteins(spark, sf):
     """Every document, whole, as a chromosome with one transcript of two exons (its first and its last third) and a deletion
     in one of them."""
     letters = F.regexp_replace(F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))), "[^A-Z]", "")
-    k, n = F.col("doc_id"), F.length("seq")
-    genome = read(spark, sf, "documents").where("text is not null").select(k, F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC").alias("seq")).where("length(seq) >= 6").withColumns({"chrom": k.cast("string"), "h": F.floor(n / 3).cast("int")})
-    h = F.col("h")
+    k, n, h, at = F.col("doc_id"), F.col("n"), F.col("h"), shared.folder(spark) + "/genome"
+    cleaned = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC").alias("seq")
+    read(spark, sf, "documents").where("text is not null").select(k, cleaned).write.parquet(at)  # once, not anew for each reader
+    genome = spark.read.parquet(at).withColumns({"chrom": k.cast("string"), "n": F.length("seq")}).where("n >= 6").withColumn("h", F.floor(n / 3).cast("int"))
     exons = F.array(F.struct(F.lit(1).alias("start"), h.alias("end")), F.struct((2 * h + 1).alias("start"), n.alias("end")))
     tx = genome.select(_text("T", k).alias("transcript_id"), "chrom", F.when(k % 3 == 0, "-").otherwise("+").alias("strand"), _text("G", k % 100).alias("gene_id"), exons.alias("exons"))
     pos = F.when(k % 2 == 1, 2 * h + F.floor((n - 2 * h) / 2)).otherwise(F.floor(h / 2)).cast("int")

@@ -100,3 +100,11 @@ def test_nothing_behind_the_first_stop_is_translated_again(spark, monkeypatch):
         assert [r.sequence for r in run(late, _on(strand, "GGGGGGGG")).collect()] == ["MAIV"]
         with pytest.raises(Exception, match="translated"):
             run(early, _on(strand, "GGGGGGGG")).collect()
+
+
+def test_frameshift_query_cleans_its_texts_once(spark, sf):
+    """Every reader of the genome ran the expression over all texts again."""
+    from burdock.plans import registry
+
+    plan = registry.load()[0]["frameshift_proteins"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("run(") == 2  # each protein is computed once, also for the filter
