@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,63 +244,102 @@ class Free:
             step *= 2
 
 
+#: Cells of a table of distances, and controls of a part, up to which distances are taken from such tables.
+CELLS, NEAR = 1 << 18, 1 << 12
+
+
+def _from_tables(x: np.ndarray, own: np.ndarray, mine: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the control, distance) of each treated row in turn, from tables of the distances of some treated rows to all
+    controls. A column of ``held`` (codes, -1: none) counts while a free control has a value there."""
+    n = min(len(x), len(own))
+    has, known = (held >= 0).tolist(), (held >= 0).sum(0).tolist()
+    taken, row, found, far = np.zeros(len(own)), np.empty(len(own)), np.empty(n, int), np.empty(n)
+    k, end, counted = 0, 0, []
+    while k < n:
+        if k == end or counted != [c for c, v in enumerate(known) if v]:
+            start, end, counted = k, min(n, k + max(CELLS // len(own), 1)), [c for c, v in enumerate(known) if v]
+            d = np.zeros((end - start, len(own)))
+            for f in range(x.shape[1]):
+                d += (own[None, :, f] - x[start:end, None, f]) ** 2
+            np.sqrt(d, out=d)
+            for c in counted:
+                d += 2.0 * ((held[None, :, c] != mine[start:end, None, c]) & (mine[start:end, None, c] >= 0))
+        np.add(d[k - start], taken, out=row)
+        i = int(row.argmin())
+        found[k], far[k], taken[i] = i, row[i], np.inf
+        for c, v in enumerate(has[i]):
+            known[c] -= v
+        k += 1
+    return found, far
+
+
+def _by_search(x: np.ndarray, own: np.ndarray, mine: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many controls, from sorted tables of the free ones: each class of equal codes is a table of its own,
+    searched first; the table of all is then only searched for what a mismatch could still win."""
+    known = (held >= 0).sum(0)
+    classes: dict[tuple, list[int]] = {}
+    for i, key in enumerate(map(tuple, held.tolist())):
+        classes.setdefault(key, []).append(i)
+    tables = {k: (np.array(v), Free(own[v], np.array(v, float))) for k, v in classes.items()}
+    place = {int(i): (k, j) for k, (v, _) in tables.items() for j, i in enumerate(v)}
+    everyone, chosen, far = Free(own, np.arange(len(own), dtype=float)), [], []
+    for q, codes in zip(x, mine, strict=True):
+        if not everyone.left:
+            break
+        counts = [c for c in range(len(codes)) if codes[c] >= 0 and known[c] > 0]
+
+        def penalty(d, at, codes=codes, counts=counts):
+            for c in counts:
+                d = d + np.where(held[at, c] == codes[c], 0, 2)
+            return d
+
+        best, least = (np.inf, np.inf, -1), 0.0
+        if counts and len(counts) == len(codes):
+            if (key := tuple(codes.tolist())) in tables:
+                members, table = tables[key]
+                d, rank, j = table.nearest(q, lambda d, at: d, best)
+                best = (d, rank, int(members[j])) if j >= 0 else best
+            least = 2.0  # for any other class
+        found = everyone.nearest(q, penalty, best, least)[2]
+        chosen.append(found)
+        far.append(penalty(np.sqrt(((own[[found]] - q) ** 2).sum(1)), np.array([found]))[0])
+        everyone.take(found)
+        cls, j = place[found]
+        tables[cls][1].take(j)
+        known = known - (held[found] >= 0)
+    return np.array(chosen, int), np.array(far, float)
+
+
 def match_controls(rows: DataFrame, part: str, treated: str, order: list[str], features: list[str], id_col: str, same: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Greedy nearest control without replacement within ``part``: treated rows in ``order`` (descending, then id), Euclid
     over z-scored features, plus 2 for each column of ``same`` that differs (a control without a value differs; a treated
     row without one, or free controls all without one, add nothing). Rows without a feature take no part.
 
-    Each class of equal ``same`` values is a sorted table of its own, searched first; the table of all controls is then only
-    searched for what a mismatch could still win. The greedy order is a chain, so a part is one task's.
+    Parts of up to NEAR controls take their distances from tables of bounded size, larger ones search sorted tables. The
+    greedy order is a chain, so a part is one task's.
     """
-    import pandas as pd
 
-    def match(pdf):
-        pdf = pdf.dropna(subset=features)
-        x = pdf[features].to_numpy(float)
+    def match(rows: pa.Table) -> pa.Table:
+        columns = np.stack([rows[f"__x{k}"].to_numpy() for k in range(len(features))])
+        whole = ~np.isnan(columns).any(0)
+        rows, x = rows.filter(pa.array(whole)), np.ascontiguousarray(columns[:, whole]).T
         sd = x.std(0) if len(x) else np.ones(len(features))
         x = (x - (x.mean(0) if len(x) else 0)) / np.where(sd > 0, sd, 1)
-        hot = pdf[treated].to_numpy(bool)
-        pdf = pdf.assign(__i=np.arange(len(pdf)))
-        ranked = pdf[hot].sort_values([*order, id_col], ascending=[False] * len(order) + [True])["__i"].to_numpy()
-        controls = pdf[~hot].sort_values(id_col)["__i"].to_numpy()
-        codes = np.stack([pd.factorize(pdf[c])[0] for c in same], 1) if same else np.zeros((len(pdf), 0), int)
-        held, own = codes[controls], x[controls]
-        known = (held >= 0).sum(0)
-        classes: dict[tuple, np.ndarray] = {}
-        for i, key in enumerate(map(tuple, held.tolist())):
-            classes.setdefault(key, []).append(i)
-        tables = {k: (np.array(v), Free(own[v], np.array(v, float))) for k, v in classes.items()}
-        place = {int(i): (k, j) for k, (v, _) in tables.items() for j, i in enumerate(v)}
-        everyone, out = Free(own, np.arange(len(own), dtype=float)), []
-        for k in ranked:
-            if not everyone.left:
-                break
-            mine = codes[k]
-            counts = [c for c in range(len(same)) if mine[c] >= 0 and known[c] > 0]
-
-            def penalty(d, at, mine=mine, counts=counts):
-                for c in counts:
-                    d = d + np.where(held[at, c] == mine[c], 0, 2)
-                return d
-
-            best, least = (np.inf, np.inf, -1), 0.0
-            if counts and len(counts) == len(same):
-                if (key := tuple(mine.tolist())) in tables:
-                    members, table = tables[key]
-                    d, rank, j = table.nearest(x[k], lambda d, at: d, best)
-                    best = (d, rank, int(members[j])) if j >= 0 else best
-                least = 2.0  # for any other class
-            found = everyone.nearest(x[k], penalty, best, least)[2]
-            distance = penalty(np.sqrt(((own[[found]] - x[k]) ** 2).sum(1)), np.array([found]))[0]
-            out.append((pdf[part].iloc[0], pdf[id_col].iloc[k], pdf[id_col].iloc[controls[found]], float(distance)))
-            everyone.take(found)
-            cls, j = place[found]
-            tables[cls][1].take(j)
-            known = known - (held[found] >= 0)
-        return pd.DataFrame(out, columns=[part, "treated_id", "control_id", "distance"])
+        hot = pc.fill_null(rows[treated], False).to_numpy()
+        ordered = pc.sort_indices(rows, [*((f"__o{k}", "descending") for k in range(len(order))), (id_col, "ascending")]).to_numpy()
+        ranked = ordered[hot[ordered]]
+        by_id = pc.sort_indices(rows, [(id_col, "ascending")]).to_numpy()
+        controls = by_id[~hot[by_id]]
+        code = lambda c: pc.fill_null(rows[c].combine_chunks().dictionary_encode().indices, -1).to_numpy()
+        codes = np.stack([code(f"__s{k}") for k in range(len(same))], 1) if same else np.zeros((len(x), 0), int)
+        found, far = (_from_tables if len(controls) <= NEAR else _by_search)(x[ranked], x[controls], codes[ranked], codes[controls])
+        of = lambda c, at: rows[c].take(pa.array(at, pa.int64()))
+        return pa.table({part: of(part, np.zeros(len(found), int)), "treated_id": of(id_col, ranked[: len(found)]), "control_id": of(id_col, controls[found]), "distance": far})
 
     kinds = dict(rows.dtypes)
-    return rows.select(part, treated, id_col, *{*order, *features, *same}).groupBy(part).applyInPandas(match, f"{part} {kinds[part]}, treated_id {kinds[id_col]}, control_id {kinds[id_col]}, distance double")
+    known = lambda c: F.when(~F.isnan(c), F.col(c)) if kinds[c] in ("float", "double") else F.col(c)
+    named = [*(F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(features)), *(known(c).alias(f"__o{k}") for k, c in enumerate(order)), *(known(c).alias(f"__s{k}") for k, c in enumerate(same))]
+    return rows.select(part, treated, id_col, *named).groupBy(part).applyInArrow(match, f"{part} {kinds[part]}, treated_id {kinds[id_col]}, control_id {kinds[id_col]}, distance double")
 
 
 def sample_per_class(rows: DataFrame, cls: str, n: int, id_col: str, seed: int = 17) -> DataFrame:

@@ -234,6 +234,32 @@ def test_matching_equals_the_plain_loop(spark, same, grid):
     assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-12)
 
 
+@pytest.mark.parametrize("n_same", [0, 1, 2])
+@pytest.mark.parametrize("grid", [False, True])
+def test_small_parts_are_matched_without_a_search(monkeypatch, n_same, grid):
+    """A search in sorted tables for every treated row took most of the time, where a part has few rows."""
+    rng = np.random.default_rng(n_same + 10 * grid)
+    monkeypatch.setattr(cohort, "CELLS", 700)  # tables of a few rows
+    for treated, free in ((90, 150), (60, 40), (0, 5), (5, 0)):
+        make = lambda n: (rng.integers(4, size=(n, 2)).astype(float) if grid else rng.normal(size=(n, 2)), rng.integers(-1, 3, (n, n_same)))
+        (x, mine), (own, held) = make(treated), make(free)
+        held[5:, 1:] = -1  # few have a value: all of them are taken before the end
+        want = cohort._by_search(x, own, mine, held)
+        with monkeypatch.context() as m:
+            m.setattr(cohort, "Free", None)
+            got = cohort._from_tables(x, own, mine, held)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist() and len(got[0]) == min(treated, free)
+
+
+def test_large_parts_are_searched(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [{"p": "s", "id": int(i), "hot": i % 50 == 0, "u": float(rng.normal()), "v": float(rng.normal()), "a": "xyz"[rng.integers(3)]} for i in range(4500)]
+    assert sum(not r["hot"] for r in rows) > cohort.NEAR
+    got = cohort.match_controls(spark.createDataFrame(rows, "p string, id int, hot boolean, u double, v double, a string"), "p", "hot", ["u"], ["u", "v"], "id", ["a"])
+    want = _plain_match(rows, ["u"], ["u", "v"], ["a"])
+    assert sorted((r.treated_id, r.control_id) for r in got.collect()) == [r[:2] for r in want]
+
+
 def test_matching_runs_out_of_controls_and_leaves_odd_rows(spark):
     rows = [("s", 1, True, 1.0), ("s", 2, True, 2.0), ("s", 3, False, 1.0), ("s", 4, False, None), ("t", 5, True, 1.0), ("u", 6, False, 1.0)]
     got = cohort.match_controls(spark.createDataFrame(rows, "p string, id int, hot boolean, u double"), "p", "hot", ["u"], ["u"], "id").collect()
