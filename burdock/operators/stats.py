@@ -6,6 +6,7 @@ run in Python, group by group.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -406,8 +407,9 @@ def permute_within(spark: SparkSession, rows: DataFrame, bins: list[str], label:
     """Null of the labelled weight per sample when labels are permuted inside bins: mean, sd and p of the observed sum.
 
     What a sample's rows get of a permuted bin is a draw without replacement from the bin's labels, so each sample draws
-    from the sizes of its bins, row by row and all permutations at once; its null is that of whole permutations. A task
-    holds the rows of one sample and ``n`` sums, and no permutation leaves it.
+    from the sizes of its bins, all permutations at once (``draws_within``); its null is that of whole permutations. As with
+    whole permutations, the random numbers of a permutation are the same for all samples, so only a sample's own ``n`` draws
+    are independent of each other. A task holds the rows of one sample and ``n`` sums, and no permutation leaves it.
     """
     rows = rows.select(*{*bins, label, weight, sample})
     sizes = rows.groupBy(*bins).agg(F.count("*").alias("__size"), F.count_if(F.col(label)).alias("__hot"))
@@ -417,15 +419,11 @@ def permute_within(spark: SparkSession, rows: DataFrame, bins: list[str], label:
     def one(pdf):
         name = pdf[sample].iloc[0]
         pdf = pdf.sort_values([*bins, weight])
-        rng = _seeds(seed, {sample: name}, 0)
         total, obs = np.zeros(n), 0.0
-        for _, part in pdf.groupby(bins, sort=True, dropna=False):
-            size, left = int(part["__size"].iloc[0]), np.full(n, float(part["__hot"].iloc[0]))
-            obs += float(part.loc[part[label].to_numpy(bool), weight].sum())
-            for i, w in enumerate(part[weight].to_numpy(float)):
-                hit = rng.random(n) * (size - i) < left
-                left -= hit
-                total += w * hit
+        for key, part in pdf.groupby(bins, sort=True, dropna=False):
+            w = part[weight].to_numpy(float)
+            obs += float(w[part[label].to_numpy(bool)].sum())
+            total += draws_within(w, int(part["__size"].iloc[0]), int(part["__hot"].iloc[0]), n, (seed, *map(ord, str(key))))
         near = 1e-9 * abs(obs)
         return pd.DataFrame({sample: [name], "observed": obs, "null_mean": total.mean() if n else None, "null_sd": total.std(ddof=1) if n > 1 else None, "p_greater": (int((total >= obs - near).sum()) + 1) / (n + 1)})
 
@@ -433,6 +431,105 @@ def permute_within(spark: SparkSession, rows: DataFrame, bins: list[str], label:
     return held.groupBy(sample).applyInPandas(one, f"{sample} {kinds[sample]}, observed double, null_mean double, null_sd double, p_greater double")
 
 
+#: Rows whose labels are drawn at once, by one number: a table holds the sums of all their subsets.
+TOGETHER = 10
+#: Draws that are held at once.
+DRAWS = 4096
+
+
+def _lookup(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walker's tables of chances ``p``: a uniform place gives itself where a uniform number is below its own share, else the other."""
+    own, other = p * len(p), np.arange(len(p))
+    low, high = [*np.flatnonzero(own < 1)], [*np.flatnonzero(own >= 1)]
+    while low and high:
+        i, j = low.pop(), high[-1]
+        other[i] = j
+        own[j] -= 1 - own[i]
+        if own[j] < 1:
+            low.append(high.pop())
+    own[[*low, *high]] = 1.0
+    return own, other
+
+
+def _subsets(w: np.ndarray) -> np.ndarray:
+    """Sums of ``w`` over all of its subsets, by their pattern of bits."""
+    out = np.zeros(1 << len(w))
+    for i, v in enumerate(w):
+        np.add(out[: 1 << i], v, out=out[1 << i : 2 << i])
+    return out
+
+
+@functools.lru_cache(64)
+def _labels(size: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``TOGETHER`` independent labels, each set with the chance hot / size: ``_lookup`` of their patterns."""
+    n = _subsets(np.ones(TOGETHER))
+    return _lookup((hot / size) ** n * (1 - hot / size) ** (TOGETHER - n))
+
+
+@functools.lru_cache(1024)
+def _patterns(size: int, hot: int, key: tuple, at: int, page: int) -> np.ndarray:
+    """``DRAWS`` patterns of the labels of the rows from place ``at``; a worker keeps 32 MB of them at most."""
+    own, other = _labels(size, hot)
+    u = np.random.default_rng([*key, at, page]).random(DRAWS) * len(own)
+    place = u.astype(np.intp)
+    return np.where(u - place < own[place], place, other[place])
+
+
+@functools.lru_cache(512)
+def _set(size: int, hot: int, key: tuple, rows: int, page: int) -> np.ndarray:
+    """How many of ``rows`` labels, counted in whole patterns, each draw sets."""
+    n, out = _subsets(np.ones(TOGETHER)).astype(np.intp), np.zeros(DRAWS, np.intp)
+    for at in range(0, rows, TOGETHER):
+        out += n[_patterns(size, hot, key, at, page)]
+    return out
+
+
+@functools.lru_cache(1024)
+def _kept(rows: int, size: int, hot: int) -> tuple[np.ndarray, float]:
+    """For each number of set labels among ``rows``: its chance without replacement over its chance with it, as a share of the
+    largest such ratio, and that ratio."""
+    left = lambda of: np.concatenate([[0.0], np.cumsum(np.log(np.maximum(0, 1 - np.arange(rows) / of)))])
+    with np.errstate(divide="ignore"):
+        ratio = left(hot) + left(size - hot)[::-1] - left(size)[-1]
+    return np.exp(ratio - ratio.max()), math.exp(min(700.0, ratio.max()))
+
+
+def draws_within(w: np.ndarray, size: int, hot: int, n: int, key: tuple) -> np.ndarray:
+    """``n`` draws of the sum of ``w`` over labelled rows, where ``hot`` of the ``size`` rows of a bin are labelled at random and
+    ``w`` are some of them. ``key`` (whole numbers) fixes the random numbers.
+
+    Labels are first drawn with replacement, for ``TOGETHER`` rows by one number. With k labels set all choices of k rows are
+    alike in both cases, so a draw is kept by the ratio of the two chances of k, and kept draws are draws without replacement.
+    Where ``w`` is so much of its bin that few would be kept, rows are drawn one after the other.
+    """
+    if hot in (0, size):
+        return np.full(n, w.sum() if hot else 0.0)
+    share, most = _kept(len(w), size, hot)
+    if most > 4:
+        rng, left, total = np.random.default_rng([*key, 0]), np.full(n, float(hot)), np.zeros(n)
+        for i, v in enumerate(w):
+            hit = rng.random(n) * (size - i) < left
+            left -= hit
+            total += v * hit
+        return total
+    sums = [_subsets(w[at : at + TOGETHER]) for at in range(0, len(w), TOGETHER)]
+    whole = len(w) // TOGETHER * TOGETHER
+    few = _subsets(np.ones(len(w) - whole)).astype(np.intp)
+    out, done, page = np.empty(n), 0, 0
+    while done < n:
+        m, total = min(DRAWS, int((n - done) * most * 1.05) + 64), np.zeros(DRAWS)
+        for i, held in enumerate(sums):
+            code = _patterns(size, hot, key, i * TOGETHER, page)[:m]
+            total[:m] += held.take(code if len(held) == 1 << TOGETHER else code & (len(held) - 1), mode="clip")
+        k = _set(size, hot, key, whole, page)[:m]
+        if whole < len(w):
+            k = k + few[_patterns(size, hot, key, whole, page)[:m] & (len(few) - 1)]
+        got = total[:m][np.random.default_rng([*key, 1, page, len(w)]).random(m) < share[k]][: n - done]
+        out[done : done + len(got)] = got
+        done, page = done + len(got), page + 1
+    return out
+
+
 def rank_correlation(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Pearson and Spearman (Pearson of average ranks) per key; null under 3 rows or 2 distinct values.
 

@@ -306,6 +306,28 @@ def test_blocks_of_resamples(spark, monkeypatch):
     assert out.n_null == 9_999 and out.es == 1.0
 
 
+def test_labels_within_bins_are_drawn_for_many_rows_by_one_number(monkeypatch):
+    """The null of all ways to label a bin, and far fewer random numbers than rows times draws."""
+    import itertools
+
+    w = np.array([1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0])
+    for size, hot in ((20, 6), (60, 30), (9, 4), (7, 3), (1_000_000, 100_000)):
+        want: dict[float, float] = {}
+        for pick in itertools.product((0, 1), repeat=7):
+            k = sum(pick)
+            want[float(w @ pick)] = math.comb(size - 7, hot - k) / math.comb(size, hot) if hot >= k and size - 7 >= hot - k else 0.0
+        got = stats.draws_within(w, size, hot, 60_000, (5, size))
+        for v, p in want.items():
+            assert abs((got == v).mean() - p) < 5 * math.sqrt(p * (1 - p) / 60_000) + 1e-12
+        a, b = (stats.draws_within(np.ones(25), 400, 80, 60_000, (key,)) for key in (1, 2))
+        assert abs(np.corrcoef(a, b)[0, 1]) < 0.02 and a.var() == pytest.approx(25 * 0.2 * 0.8 * 375 / 399, rel=0.03)
+    assert stats.draws_within(w, 50, 0, 3, (1,)).tolist() == [0] * 3 and stats.draws_within(w, 50, 50, 3, (1,)).tolist() == [127] * 3
+    made, plain = [], np.random.default_rng
+    monkeypatch.setattr(stats.np.random, "default_rng", lambda key: made.append(key) or plain(key))
+    stats.draws_within(np.ones(1000), 100_000, 20_000, 4000, (77,))
+    assert len(made) == 1000 / stats.TOGETHER + 1
+
+
 def test_range_join_equals_all_pairs(spark):
     rng = np.random.default_rng(1)
     pts = [(int(k), int(x)) for k, x in zip(rng.integers(0, 3, 200), rng.integers(0, 500, 200), strict=True)]
