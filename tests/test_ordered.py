@@ -184,6 +184,14 @@ def test_counterfactual_null_against_a_plain_loop(spark, burden):
         assert got.loc[deal].to_list() == pytest.approx(_differences(frame, who, i, l))
 
 
+def test_counterfactual_chunks_are_not_shuffled_again(spark, burden):
+    """Weights and values lie in the written chunks; where each is worked on once, no exchange carries them a second time."""
+    _, df, _, groups = burden
+    keyed = counterfactual.first_rank_bin(df, "length", ["sample", "id"], "lb", 3)
+    plan = counterfactual.null_differences(keyed, groups, ["all", "some"], "AC", "TOL", ["lb"], 20, seed=3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "REPARTITION_BY" not in plan
+
+
 def test_counterfactual_chunks_have_the_same_null(spark, burden, monkeypatch):
     _, df, _, groups = burden
     whole = {(r.analysis_set, r.metric): r for r in counterfactual.counterfactual_null(df, groups, ["all", "some"], n=3000, bins=2).collect()}
